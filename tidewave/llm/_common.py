@@ -46,7 +46,7 @@ def open_output(path: str):
 
     store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(inner)
+    return store.open_output_stream(inner, compression=None)
 
 
 def open_input(path: str):
