@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewave.llm import bitslice, bpe, fingerprints, packing, simhash, token_files, warc
+from tidewave.llm import bitslice, bpe, fingerprints, langid, packing, quality, simhash, token_files, warc
 
-_MODULES = (simhash, warc, bitslice, packing, bpe, token_files, fingerprints)
+_MODULES = (simhash, warc, bitslice, packing, bpe, quality, token_files, fingerprints, langid)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
