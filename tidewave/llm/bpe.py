@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm._common import table, text_or_empty
+from tidewave.llm.vocab import unknown
 
 _loaded: dict[str, "BytePairCodec"] = {}
 
@@ -98,7 +99,7 @@ class BytePairCodec:
             self.chunks, self.words = {}, {}
         first, *rest = text.split(" ")
         chunks, known = [first, *map(" ".__add__, rest)], self.chunks
-        for chunk in {*chunks} - known.keys():
+        for chunk in unknown({*chunks}, known):
             known[chunk] = self._packed(chunk)
         return b"".join(map(known.__getitem__, chunks))
 

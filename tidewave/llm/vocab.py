@@ -10,17 +10,30 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import filterfalse
 
 #: White space of the Unicode standard, which the vocabularies' patterns mean by \s.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = {"", *"\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))}
+PUNCTUATION = ".,;:!?*#$%&\"'()-"
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _loaded: dict[tuple, "ChunkEncoder"] = {}
 
 
+def unknown(found: set[str], memo: dict) -> list[str]:
+    """What of `found` is not in `memo`; unlike a difference with memo.keys(), its time does not grow with the memo."""
+    return list(filterfalse(memo.__contains__, found))
+
+
 class ChunkEncoder:
-    """Encodes texts to packed unsigned 16-bit ids; remembers at most `cap` chunks."""
+    """Encodes texts to packed unsigned 16-bit ids; remembers at most `cap` chunks.
 
-    def __init__(self, path: str, cap: int = 300_000):
+    `memo` is keyed by what follows a single space. A chunk that ends in ASCII punctuation after a letter is cut there too,
+    as both vocabularies do, so that a word is encoded once however it is followed.
+    """
+
+    def __init__(self, path: str, cap: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,37 +44,64 @@ class ChunkEncoder:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.cap, self.memo = cap, {}
+        self.cap, self.memo, self.ends = cap, {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _end(self, end: str) -> bytes:
+        if end not in self.ends:
+            self.ends[end] = self._library([end])[0]
+        return self.ends[end]
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the chunks `new`, each after a space, into the memo."""
+        cut: list[tuple[str, str, str]] = []
+        whole: set[str] = set()
+        for chunk in new:
+            word = chunk.rstrip(PUNCTUATION)
+            if word != chunk and word[-1:].isalpha():
+                cut.append((chunk, word, chunk[len(word) :]))
+                whole.add(word)
+            else:
+                whole.add(chunk)
+        encode = unknown(whole, self.memo)
+        for at in range(0, len(encode), 20_000):
+            part = encode[at : at + 20_000]
+            self.memo.update(zip(part, self._library(list(map(" ".__add__, part))), strict=True))
+        if len(self.ends) > 10_000:
+            self.ends = {}
+        self.memo.update([(chunk, self.memo[word] + self._end(end)) for chunk, word, end in cut])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 16-bit."""
         split: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
-            if self.special and self.special.search(text):
+            if "  " in text or text.endswith(" ") or (self.special and self.special.search(text)):
                 split.append(None)
                 continue
-            if "  " in text or text.endswith(" "):
-                chunks = _CHUNK.findall(text)
-            else:
-                first, *rest = text.split(" ")
-                chunks = [first] if first else []
-                chunks += map(" ".__add__, rest)
-            seen.update(chunks)
+            chunks = text.split(" ")
+            seen.update(chunks[1:])
             split.append(chunks)
-        if len(self.memo) + len(seen) > self.cap:
+        new = unknown(seen, self.memo)
+        if len(self.memo) + len(new) > self.cap:
             self.memo = {k: v for k, v in self.memo.items() if k in seen}
-        new = list(seen - self.memo.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.memo.update(zip(part, self._library(part), strict=True))
+        self._learn(new)
         known = self.memo.__getitem__
-        return [self._library([text])[0] if chunks is None else b"".join(map(known, chunks)) for text, chunks in zip(texts, split, strict=True)]
+        starts = iter(self._library([chunks[0] for chunks in split if chunks is not None]))
+        return [self._any(text) if chunks is None else b"".join([next(starts), *map(known, chunks[1:])]) for text, chunks in zip(texts, split, strict=True)]
+
+    def _any(self, text: str) -> bytes:
+        """Texts with runs of spaces or special strings: by runs of space and what follows, or by the library whole."""
+        if self.special and self.special.search(text):
+            return self._library([text])[0]
+        chunks = _CHUNK.findall(text)
+        single = [c[1:] for c in chunks if c[0] == " " and c[1:2] not in SPACES]
+        self._learn(unknown({*single}, self.memo))
+        other = {c: None for c in chunks if not (c[0] == " " and c[1:2] not in SPACES)}
+        other = dict(zip(other, self._library([*other]), strict=True))
+        return b"".join(other[c] if c in other else self.memo[c[1:]] for c in chunks)
 
 
 def encoder(path: str) -> ChunkEncoder:
