@@ -220,10 +220,10 @@ def train(docs: DataFrame, vocabulary: str, sample_rows: int = 20_000) -> dict:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of `docs` with lang_pred (string) and score (probability among the languages, 0 to 1).
 
-    `und` with score 0 where the text is null or has no letter, or nothing was learned. Only `text` is read to predict.
+    Columns of these names are replaced. `und` with score 0 where the text is null or has no letter, or nothing was learned. Only `text` is read to predict.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator) -> Iterator:

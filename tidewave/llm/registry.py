@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidewave.llm import bitslice, bpe, fingerprints, langid, packing, quality, simhash, suffixes, token_files, warc
 
 _MODULES = (simhash, warc, bitslice, packing, suffixes, bpe, quality, token_files, fingerprints, langid)
-QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

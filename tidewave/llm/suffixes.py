@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewave.llm._common import table, text_or_empty, written
 from tidewave.llm.token_files import NULL_ID
@@ -310,9 +311,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 2000, sample_r
     return spans.union(again.select("doc", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, replace_text: bool = False) -> DataFrame:
     """All columns of `docs` with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans.
 
+    With `replace_text`, text becomes what stays, without bytes that no longer form a character, and kept is null.
+
     A byte goes if a `length`-byte string over it also starts earlier: in a smaller doc_id, or in the same document further
     left. Null texts count as empty, a null doc_id as the smallest. Rows that share a doc_id are versions of one document:
     equal places in them are not earlier than each other, and spans found in one are removed from all, as far as they
@@ -323,7 +326,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("text", text_or_empty())
     spans = repeated_spans(keyed, length).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
     joined = keyed.join(spans, F.col("_key") == F.col("doc"), "left").select(*docs.columns, "_spans")
-    schema = joined.drop("_spans").select("*", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")).schema
+    schema = joined.drop("_spans").select("*", F.lit(b"").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")).schema
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -347,7 +351,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 sizes.append(n)
                 removed.append(n - len(data))
             names = [c for c in batch.schema.names if c != "_spans"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, removed, runs))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            columns = {c: batch.column(c) for c in names}
+            if replace_text:
+                columns["text"] = pa.array([k.decode("utf-8", errors="ignore") for k in kept], pa.string())
+                kept = [None] * len(kept)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, removed, runs))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return joined.mapInArrow(run, schema)
 
