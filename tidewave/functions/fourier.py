@@ -56,6 +56,18 @@ def autocorrelation(x: Column, n: int) -> Column:
     return run(x)
 
 
+def circular_autocorrelation(x: Column) -> Column:
+    """irfft(|rfft(x)|^2): circular autocorrelation at an even number of lags."""
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return a.map(lambda v: np.fft.irfft(np.abs(np.fft.rfft(np.asarray(v, float))) ** 2))
+
+    return run(x)
+
+
 def real_cepstrum(x: Column, n_fft: int, eps: float = 1e-12) -> Column:
     """irfft(log(|rfft(x, n_fft)| + eps))."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import argmax, c, diff, dot, first_where, indexed, mean, ratio, rounded, total, total_of
+from tidewave.functions.fourier import circular_autocorrelation
 from tidewave.functions.windows import hann_periodic, hann_symmetric, literal
 from tidewave.sources.signals import frame_array, samples_long
 
@@ -124,22 +125,21 @@ def speech_rate(signals: DataFrame, sample_rate: int, threshold_ratio: float = 0
 
 
 def beat_lags(signals: DataFrame, sample_rate: int, hop: int, tempo_min: float = 60.0, tempo_max: float = 240.0) -> DataFrame:
-    """Tempo of each signal by the circular autocorrelation of its pooled rises: signal_id, tempo, lag, frames (0 on short input).
+    """Tempo of each signal by the autocorrelation of its pooled rises: signal_id, tempo, lag, frames (0 on short input).
 
-    Relational throughout: rises by lag(), pooling by groupBy, the autocorrelation by a self-join of the pooled frames.
+    Rises and pooling are native; the circular autocorrelation is the transform helper, whose even number of lags makes odd
+    lengths count as one shorter.
     """
     low, high = max(1, round(60.0 / tempo_max * sample_rate / hop)), round(60.0 / tempo_min * sample_rate / hop)
     order = Window.partitionBy("signal_id").orderBy("n")
     rises = samples_long(signals).withColumn("before", F.lag("x").over(order)).where("before is not null")
-    pooled = rises.select("signal_id", F.floor((F.col("n") - 1) / hop).alias("k"), F.greatest(F.col("x") - F.col("before"), F.lit(0.0)).alias("r"))
-    pooled = pooled.groupBy("signal_id", "k").agg(F.avg("r").alias("r"), F.count("*").alias("size")).where(F.col("size") == hop)
-    whole = Window.partitionBy("signal_id")
-    pooled = pooled.withColumn("frames", F.count("*").over(whole)).withColumn("r", F.col("r") - F.avg("r").over(whole)).where("frames >= 4")
-    most = F.least(F.lit(high), 2 * F.floor(F.col("frames") / 2) - 1)  # the inverse transform has an even number of lags
-    a = pooled.withColumn("lag", F.explode(F.sequence(F.lit(low), F.greatest(most - 1, F.lit(low))))).where(F.col("lag") < most)
-    a = a.select("signal_id", "frames", "lag", "r", ((F.col("k") + F.col("lag")) % F.col("frames")).alias("k"))
-    scores = a.join(pooled.select("signal_id", "k", F.col("r").alias("r2")), ["signal_id", "k"]).groupBy("signal_id", "frames", "lag").agg(F.sum(F.col("r") * F.col("r2")).alias("s"))
-    best = scores.groupBy("signal_id", "frames").agg(F.max_by("lag", F.struct(F.round("s", 9), -F.col("lag"))).alias("lag"))
+    pooled = rises.groupBy("signal_id", F.floor((F.col("n") - 1) / hop).alias("k")).agg(F.avg(F.greatest(F.col("x") - F.col("before"), F.lit(0.0))).alias("r"), F.count("*").alias("size")).where(F.col("size") == hop)
+    level = pooled.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("signal_id")))
+    series = level.groupBy("signal_id").agg(F.count("*").alias("frames"), F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]).alias("pools")).where("frames >= 4")
+    spectrum = series.select("signal_id", "frames", circular_autocorrelation(F.col("pools")).alias("ac"))
+    most = F.least(F.lit(high), F.size("ac") - 1)
+    part = F.transform(F.slice("ac", F.lit(low + 1), F.greatest(most - low, F.lit(0))), lambda v: F.round(v, 9))
+    best = spectrum.where(most > low).select("signal_id", "frames", (argmax(part) + low).alias("lag"))
     found = best.select("signal_id", (60.0 * sample_rate / (hop * F.col("lag"))).alias("tempo"), "lag", "frames")
     return signals.select("signal_id").join(found, "signal_id", "left").select("signal_id", F.coalesce("tempo", F.lit(0.0)).alias("tempo"), "lag", "frames")
 
