@@ -150,7 +150,7 @@ TEMPO_FS, TEMPO_HOP = 8, 2
 _T_LO, _T_HI = max(1, round(60.0 / 240 * TEMPO_FS / TEMPO_HOP)), round(60.0 / 60 * TEMPO_FS / TEMPO_HOP)
 BEAT = [USER, f"""bl AS (SELECT signal_id, unnest(x) AS v, unnest(range(0, len(x))) AS n FROM sig),
 bd AS (SELECT signal_id, n, greatest(v - lag(v) OVER (PARTITION BY signal_id ORDER BY n), 0) AS r FROM bl),
-bp AS (SELECT signal_id, (n-1)//{TEMPO_HOP} AS k, avg(r) AS r, count(*) AS c FROM bd WHERE r IS NOT NULL GROUP BY ALL HAVING count(*) = {TEMPO_HOP}),
+bp AS (SELECT signal_id, (n-1)//{TEMPO_HOP} AS k, avg(r) AS r, count(*) AS c FROM bd WHERE n > 0 GROUP BY ALL HAVING count(*) = {TEMPO_HOP}),
 bc AS (SELECT signal_id, k, r - avg(r) OVER w AS r, count(*) OVER w AS f FROM bp WINDOW w AS (PARTITION BY signal_id)),
 bk AS (SELECT signal_id, f, q, pow(sum(r*cos(2*pi()*q*k/f)), 2) + pow(sum(r*sin(2*pi()*q*k/f)), 2) AS p FROM bc CROSS JOIN (SELECT unnest(range(0, 200)) AS q) WHERE q <= f//2 GROUP BY signal_id, f, q),
 bs AS (SELECT signal_id, f AS frames, lag, round(sum(CASE WHEN q = 0 OR q = f//2 THEN 1 ELSE 2 END*p*cos(2*pi()*q*lag/(2*(f//2))))/(2*(f//2)), 9) AS s FROM bk CROSS JOIN (SELECT unnest(range({_T_LO}, {_T_HI})) AS lag) WHERE lag < least({_T_HI}, 2*(f//2)-1) AND f >= 4 GROUP BY signal_id, f, lag),
