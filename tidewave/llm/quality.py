@@ -56,7 +56,7 @@ def ngram_buckets(text: str, bits: int = 13):
     return np.concatenate([one * np.uint64(0x9E3779B97F4A7C15) >> top, two, pairs(shape + np.uint64(1 << 33))]).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 20_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 20_000, prior: float = 1000.0) -> dict:
     """Log ratios per bucket and the share of target labels.
 
     Target: rows of `labels` with quality 1 and toxic not 1; about `sample_rows` labels take part, by a hash of doc_id, and
@@ -93,12 +93,14 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 2
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
 
     sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.ones(1 << bits), np.ones(1 << bits)
+    raw, target = np.ones(1 << bits), np.zeros(1 << bits)
     for r in sums:
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    if good is None or target.sum() == len(target):
+    # The target model starts from the raw one with the weight of `prior` n-grams, so that few labels say little either way.
+    raw /= raw.sum()
+    ratio = np.log((target + prior * raw) / (target.sum() + prior) / raw)
+    if good is None or not target.any():
         return {"ratio": np.zeros(1 << bits), "share": 1.0, "bits": bits}
     return {"ratio": ratio, "share": float(good), "bits": bits}
 
