@@ -166,3 +166,27 @@ def roughness(spectra: DataFrame, bin_hz: float, top_db: float = 60.0) -> DataFr
     d = F.col("f2") - F.col("f")
     term = F.pow(F.col("a") * F.col("a2"), F.lit(0.1)) * F.pow(2 * F.least("a", "a2") / (F.col("a") + F.col("a2")), F.lit(3.11)) * (F.exp(-3.5 * s * d) - F.exp(-5.75 * s * d))
     return spectra.select("signal_id").join(pairs.groupBy("signal_id").agg(F.sum(term).alias("roughness")), "signal_id", "left").select("signal_id", F.coalesce("roughness", F.lit(0.0)).alias("roughness"))
+
+
+#: Edges of the 24 critical bands in Hz.
+BARK_EDGES = [0, 100, 200, 300, 400, 510, 630, 770, 920, 1080, 1270, 1480, 1720, 2000, 2320, 2700, 3150, 3700, 4400, 5300, 6400, 7700, 9500, 12000, 15500]
+
+
+def sharpness(spectra: DataFrame, bin_hz: float) -> DataFrame:
+    """Mean place of the power on the critical-band scale, high bands weighted up: a range join of bins with 24 bands."""
+    import math
+
+    spark = spectra.sparkSession
+    bands = [(float(a), float(b), z, 1.0 if z <= 16 else 0.066 * math.exp(0.171 * (z - 16))) for z, (a, b) in enumerate(zip(BARK_EDGES, BARK_EDGES[1:], strict=False), 1)]
+    edges = F.broadcast(spark.createDataFrame(bands, "low double, high double, z int, g double"))
+    rows = bins(spectra).withColumn("f", F.col("k") * bin_hz)
+    level = rows.join(edges, (F.col("f") >= F.col("low")) & (F.col("f") < F.col("high"))).groupBy("signal_id", "z", "g").agg(F.avg(F.col("m") * F.col("m")).alias("p"))
+    found = level.groupBy("signal_id").agg((F.sum(F.col("p") * F.col("g") * F.col("z")) / F.sum("p")).alias("sharpness"), F.sum("p").alias("all"))
+    return spectra.select("signal_id").join(found.where(F.col("all") > 0), "signal_id", "left").select("signal_id", F.coalesce("sharpness", F.lit(0.0)).alias("sharpness"))
+
+
+def nasality(nasal: DataFrame, oral: DataFrame, bin_hz: float, low: float = 300.0, high: float = 800.0) -> DataFrame:
+    """Power ratio in dB of two microphones' spectra (signal_id, mag) in [low, high]: a join of two signals."""
+    level = lambda df, name: df.select("signal_id", total(indexed("mag", lambda m, k: F.when((k * bin_hz >= low) & (k * bin_hz <= high), m * m).otherwise(0.0))).alias(name))
+    both = level(nasal, "n").join(level(oral, "o"), "signal_id")
+    return both.select("signal_id", (10 * F.log10((F.col("n") + 1e-8) / (F.col("o") + 1e-8))).alias("nasality"))

@@ -176,3 +176,16 @@ def silence_removal(signals: DataFrame, sample_rate: int, window: int, hop: int,
     return signals.join(cuts, "signal_id", "left").select("signal_id", "sample_rate", F.coalesce(kept, F.array().cast("array<double>")).alias("samples"))
 
 
+
+
+def voice_onset_time(signals: DataFrame, sample_rate: int, n: int, hop: int) -> DataFrame:
+    """Seconds from the first loud frame (over a tenth of the loudest) to the first frame from there on whose largest sample
+    between 2 and 15 ms is over 0.3 of its first sample; 0 if there is none: signal_id, onset."""
+    from tidewave.sources.signals import frames
+
+    low, high = int(0.002 * sample_rate), int(0.015 * sample_rate)
+    rows = frames(signals, n, hop).select("signal_id", "frame_idx", short_time_energy("frame").alias("e"), ratio(F.array_max(F.slice("frame", low + 1, high - low)), F.get("frame", F.lit(0)), None).alias("r"))
+    loud = rows.withColumn("top", F.max("e").over(Window.partitionBy("signal_id")))
+    burst = loud.withColumn("burst", F.min(F.when(F.col("e") > F.col("top") * 0.1, F.col("frame_idx"))).over(Window.partitionBy("signal_id")))
+    found = burst.groupBy("signal_id").agg(F.min(F.when((F.col("frame_idx") >= F.col("burst")) & (F.col("r") > 0.3), F.col("frame_idx") - F.col("burst"))).alias("d"))
+    return found.select("signal_id", F.coalesce(F.col("d") * hop / F.lit(float(sample_rate)), F.lit(0.0)).alias("onset"))

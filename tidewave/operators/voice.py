@@ -88,9 +88,9 @@ def subharmonic_to_harmonic_ratio(magnitudes: str | Column, f0_bin: int, harmoni
 
 
 def harmonic_differences(magnitudes: str | Column, f0_hz: float, sample_rate: int, n_magnitudes: int, harmonics: tuple[int, ...] = (1, 2)) -> Column:
-    """Differences in dB of neighbouring harmonics; the number of magnitudes counts as the transform size."""
-    step = f0_hz / (sample_rate / n_magnitudes)
-    level = [20 * F.log10(F.element_at(c(magnitudes), min(int(round(h * step)), n_magnitudes - 1) + 1) + 1e-8) for h in harmonics]
+    """Differences in dB of neighbouring harmonics; the number of magnitudes counts as the transform size, missing bins as 1e-8."""
+    step = int(f0_hz / (sample_rate / n_magnitudes))
+    level = [20 * F.log10(F.coalesce(F.get(c(magnitudes), F.lit(h * step)), F.lit(1e-8)) + 1e-8) for h in harmonics]
     return F.array(*[a - b for a, b in zip(level[:-1], level[1:], strict=True)])
 
 

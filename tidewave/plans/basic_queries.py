@@ -127,3 +127,15 @@ _TN = "list_transform(list_filter(x, lambda v: v > 0), lambda v: 12*log2(v/list_
 signal_query("semitone_sd", voice.semitone_sd, f"list_stddev_samp({_TN})", raw=True)
 SQL.pop("semitone_sd")
 SQL["semitone_sd"] = query([USER, "v AS (SELECT signal_id, unnest(x) AS v FROM raw), w AS (SELECT signal_id, v, avg(v) OVER (PARTITION BY signal_id) AS mu FROM v WHERE v > 0)"], f"SELECT signal_id, {rnd('stddev_samp(12*log2(v/mu))')} AS value FROM w GROUP BY signal_id")
+
+QUERIES["spectral_sharpness"] = lambda spark, d: spectral.sharpness(spectral.whole_spectrum(signals(spark, d), NW), BIN_W).select("signal_id", rounded("sharpness").alias("value"))
+_EDGES = spectral.BARK_EDGES
+SQL["spectral_sharpness"] = query([USER, WHOLE, f"ed AS (SELECT z, [{', '.join(map(str, _EDGES))}][z] AS lo, [{', '.join(map(str, _EDGES))}][z+1] AS hi, CASE WHEN z <= 16 THEN 1.0 ELSE 0.066*exp(0.171*(z-16)) END AS g FROM (SELECT unnest(range(1, 25)) AS z)), bp AS (SELECT signal_id, z, g, avg(m*m) AS p FROM wbins JOIN ed ON k*{BIN_W} >= lo AND k*{BIN_W} < hi GROUP BY ALL)"], f"SELECT signal_id, {rnd('sum(p*g*z)/sum(p)')} AS value FROM bp GROUP BY signal_id")
+QUERIES["voice_onset_time"] = lambda spark, d: temporal.voice_onset_time(signals(spark, d), FS, N, HOP).select("signal_id", rounded("onset").alias("value"))
+SQL["voice_onset_time"] = query([USER, FRAMES, "vr AS (SELECT signal_id, frame_idx, list_sum(list_transform(f, lambda v: v*v)) AS e, list_max(f[3:15])/f[1] AS r FROM fr), vt AS (SELECT *, max(e) OVER (PARTITION BY signal_id) AS t FROM vr), vb AS (SELECT *, min(frame_idx) FILTER (e > t*0.1) OVER (PARTITION BY signal_id) AS b FROM vt)"], f"SELECT signal_id, {rnd(f'coalesce(min(frame_idx - b) FILTER (frame_idx >= b AND r > 0.3)*{HOP}/{FS}.0, 0.0)')} AS value FROM vb GROUP BY signal_id")
+QUERIES["nasality_index"] = lambda spark, d: spectral.nasality(spectral.whole_spectrum(signals(spark, d), NW), spectral.whole_spectrum(user_signals(spark, d, FS), NW), BIN_W, 100.0, 300.0).select("signal_id", rounded("nasality").alias("value"))
+_RAW = WHOLE.replace("FROM sig)", "FROM raw)").replace("wsm", "osm").replace("wbins", "obins").replace("wm AS", "om AS")
+SQL["nasality_index"] = query([USER, WHOLE, _RAW, f"nn AS (SELECT signal_id, sum(m*m) AS n FROM wbins WHERE k*{BIN_W} >= 100 AND k*{BIN_W} <= 300 GROUP BY ALL), oo AS (SELECT signal_id, sum(m*m) AS o FROM obins WHERE k*{BIN_W} >= 100 AND k*{BIN_W} <= 300 GROUP BY ALL)"], f"SELECT signal_id, {rnd('10*log10((n+1e-8)/(o+1e-8))')} AS value FROM nn JOIN oo USING (signal_id)")
+whole_query("harmonic_differences", lambda m: F.get(voice.harmonic_differences(m, 120.0, FS, NW // 2 + 1), F.lit(0)), f"20*log10(m[{int(120.0 / (FS / (NW // 2 + 1))) + 1}]+1e-8)-20*log10(m[{2 * int(120.0 / (FS / (NW // 2 + 1))) + 1}]+1e-8)")
+whole_query("subharmonic_to_harmonic_ratio", lambda m: voice.subharmonic_to_harmonic_ratio(m, 4, 3), "10*log10((m[7]*m[7]+m[11]*m[11]+m[15]*m[15])/(m[5]*m[5]+m[9]*m[9]+m[13]*m[13]+1e-8))")
+whole_query("inharmonicity", lambda m: spectral.inharmonicity(F.slice(F.col(m), 2, 5), F.lit(2.0)), "list_avg(list_transform(m[2:6], lambda v, i: abs(v/(i*2.0)-1)))")
