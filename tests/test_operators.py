@@ -176,3 +176,29 @@ def test_catalog(spark):
     assert c.where("name = 'rms'").count() == 1 and c.where("error is not null").count() == 1
     assert {r.component: r.errors for r in catalog.summarize(c).collect()}[None] == 1
     assert "| operators.temporal | rms |" in catalog.to_markdown(c)
+
+
+def test_formants(spark):
+    from tidewave.operators import formants
+
+    fs, f0 = 10000, 120
+    x = sum(np.sin(2 * math.pi * k * f0 * np.arange(4000) / fs) / k for k in range(1, 15))
+    for f, bw in ((500, 80), (1500, 100)):
+        r, w = math.exp(-math.pi * bw / fs), 2 * math.pi * f / fs
+        y = np.zeros(len(x))
+        for i in range(len(x)):
+            y[i] = x[i] + (2 * r * math.cos(w) * y[i - 1] if i else 0) - (r * r * y[i - 2] if i > 1 else 0)
+        x = y
+    tracks = formants.contours(formants.candidates(signal(spark, x, fs), fs, 11, 500, 125, 4500.0), 5, 4500.0)
+    got = {r.formant: r.freq for r in formants.frequencies(tracks).collect()}
+    assert 150 <= got[1] <= 1200 and 500 <= got[2] <= 3200 and got[1] < got[2]
+
+
+def test_burg_matches_signal():
+    from tidewave.operators.formants import burg
+
+    rng = np.random.default_rng(1)
+    x = np.zeros(3000)
+    for i in range(2, 3000):
+        x[i] = 1.3 * x[i - 1] - 0.6 * x[i - 2] + rng.normal()
+    assert np.allclose(burg(x[None, :], 2)[0], [1, -1.3, 0.6], atol=0.05)

@@ -34,3 +34,19 @@ th AS (SELECT signal_id, h, round_even(f0*h/{_BIN}, 0) AS c FROM tp CROSS JOIN (
 tm AS (SELECT sb.signal_id, frame_idx, h, max(m) AS a FROM sb JOIN th ON sb.signal_id = th.signal_id AND abs(k - c) <= {max(1, round(30.0 / _BIN))} GROUP BY ALL),
 ts AS (SELECT signal_id, frame_idx, sum(a) AS s, coalesce(sum(a) FILTER (h = 1), 0) AS t1, coalesce(sum(a) FILTER (h BETWEEN 2 AND 4), 0) AS t2, coalesce(sum(a) FILTER (h >= 5), 0) AS t3 FROM tm GROUP BY ALL HAVING sum(a) > 1e-8)"""],
     "SELECT sig.signal_id, " + ", ".join(f"{rnd(f'coalesce(avg({t}/s), 1.0/3)')} AS {t}" for t in ("t1", "t2", "t3")) + " FROM sig LEFT JOIN ts USING (signal_id) GROUP BY sig.signal_id")
+
+
+def formant_tracks(spark: SparkSession, d: str) -> DataFrame:
+    from tidewave.operators import formants
+
+    return formants.contours(formants.candidates(signals(spark, d), FS, 8, N, HOP, 450.0), 3, 450.0)
+
+
+def formant_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    from tidewave.operators import formants
+
+    return formants.frequencies(formant_tracks(spark, d)).select("signal_id", "formant", rounded("freq", 3).alias("freq"))
+
+
+QUERIES["formant_contours"] = lambda spark, d: formant_tracks(spark, d).select("signal_id", "frame_idx", "formant", rounded("freq", 3).alias("freq"), rounded("width", 3).alias("width"))
+QUERIES["formant_frequencies"] = formant_frequencies
