@@ -61,6 +61,13 @@ def _mix(h):
     return h ^ (h >> np.uint64(32))
 
 
+def small(batches: Iterator, rows: int = 256) -> Iterator:
+    """Batches cut to a few hundred rows, so that Python objects are made of few texts and lists at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sliding_min(x, w: int):
     import numpy as np
 
@@ -221,7 +228,7 @@ def _local_spans(fetched: DataFrame, length: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        from tidewave.llm.suffixes import equal_windows
+        from tidewave.llm.suffixes import equal_windows, small
 
         def spans(rows: list[tuple]):
             lead, doc, start, back = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
@@ -233,9 +240,9 @@ def _local_spans(fetched: DataFrame, length: int) -> DataFrame:
 
         held: list[tuple] = []
         held_bytes = 0
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "doc", "start", "back", "bytes")), strict=True):
-                if held_bytes > 4_000_000 and row[0] != held[-1][0]:
+                if held_bytes > 1_000_000 and row[0] != held[-1][0]:
                     yield spans(held)
                     held, held_bytes = [], 0
                 held.append(row)
@@ -254,7 +261,9 @@ def _fetch(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        from tidewave.llm.suffixes import small
+
+        for batch in small(batches):
             for key, text, places in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 data = text.encode("utf-8")
                 got = [(p["lead"], key, p["start"], p["back"], cut) for p in places if len(cut := data[p["start"] : p["start"] + p["width"] + length - 1]) >= length]
@@ -333,7 +342,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, replace_text: bool = Fals
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        from tidewave.llm.suffixes import small
+
+        for batch in small(batches):
             kept, sizes, removed, runs = [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 data = text.encode("utf-8")
