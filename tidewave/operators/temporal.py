@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import argmax, c, diff, dot, first_where, indexed, mean, ratio, rounded, total, total_of
+from tidewave.functions.arrays import argmax, c, diff, dot, first_where, indexed, mean, ratio, total, total_of
 from tidewave.functions.fourier import circular_autocorrelation
 from tidewave.functions.windows import hann_periodic, hann_symmetric, literal
 from tidewave.sources.signals import frame_array, samples_long

@@ -12,7 +12,7 @@ from tidewave.operators import pitch, spectral, spectrograms, stats, temporal, v
 from tidewave.operators.filterbanks import bank_rows, chroma_bank, dct_bank, gammatone_bank, mel_bank, tonnetz_bank
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.extract import extract_core
-from tidewave.plans.twins import BINS, FRAMES, FS, HOP, N, USER, query, rnd
+from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, query, rnd
 from tidewave.sources.signals import user_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,8 @@ rg AS (SELECT signal_id, frame_idx, regr_slope(c, q) FILTER (q >= {int(FS * 0.00
  max(c) FILTER (q >= {Q_LO} AND q < {Q_HI}) AS top, arg_max(q, struct_pack(a := round(c, 9), b := -q)) FILTER (q >= {Q_LO} AND q < {Q_HI}) AS pk FROM cp GROUP BY ALL)"""]
 cpp_rows = lambda s: pitch.cepstral_peak_prominence(s, FS, N, HOP, 60.0, F_HIGH)
 values_query("cepstral_peak_prominence", cpp_rows, "cpp", query(CPP, f"SELECT signal_id, frame_idx, {rnd('(top-(a+b*pk))*8.685889')} AS value FROM rg"))
+QUERIES["delta_cpp"] = lambda spark, d: cpp_rows(signals(spark, d)).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "cpp"))), lambda s: s["cpp"]).alias("x")).select("signal_id", F.posexplode(voice.delta_series("x")).alias("frame_idx", "v")).select("signal_id", F.col("frame_idx").cast("long").alias("frame_idx"), rounded("v").alias("value"))
+SQL["delta_cpp"] = query([*CPP, "cv AS (SELECT signal_id, frame_idx, (top-(a+b*pk))*8.685889 AS c FROM rg)"], f"SELECT signal_id, frame_idx, {rnd('coalesce(c - lag(c) OVER (PARTITION BY signal_id ORDER BY frame_idx), 0.0)')} AS value FROM cv")
 QUERIES["delta"] = lambda spark, d: pitch.series_delta(_samples(user_signals(spark, d, FS)), ["signal_id"], "n", "x").select("signal_id", "n", rounded("delta").alias("value"))
 QUERIES["delta_delta"] = lambda spark, d: pitch.series_delta(pitch.series_delta(_samples(user_signals(spark, d, FS)), ["signal_id"], "n", "x").select("signal_id", "n", F.col("delta").alias("x")), ["signal_id"], "n", "x").select("signal_id", "n", rounded("delta").alias("value"))
 
