@@ -36,6 +36,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_live: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps from task to task under `key`, made when first asked for. Workers outlive stages, so all
+    that other keys hold is dropped then: one operator's memory at a time."""
+    if key not in _live:
+        _live.clear()
+        made = make()
+        _live[key] = made
+    return _live[key]
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

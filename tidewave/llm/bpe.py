@@ -9,11 +9,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty
+from tidewave.llm._common import table, text_or_empty, worker_cache
 from tidewave.llm.vocab import unknown
 
-_loaded: dict[str, "BytePairCodec"] = {}
-
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
@@ -111,9 +109,7 @@ class BytePairCodec:
 
 
 def codec(path: str) -> BytePairCodec:
-    if path not in _loaded:
-        _loaded[path] = BytePairCodec(path)
-    return _loaded[path]
+    return worker_cache(("codec", path), lambda: BytePairCodec(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table
+from tidewave.llm._common import table, worker_cache
 from tidewave.llm.vocab import unknown
 
 START, LONGEST, UNKNOWN = "▁", 32, 1e-7
 _LETTER = re.compile(r"[^\W\d_]")
-_loaded: dict[tuple, object] = {}
 
 
 class PieceTable:
@@ -109,15 +108,13 @@ def units(word: str) -> list[str]:
 
 
 def pieces_of(path: str) -> PieceTable:
-    if ("pieces", path) not in _loaded:
-        _loaded["pieces", path] = PieceTable(path)
-    return _loaded["pieces", path]
+    return worker_cache(("pieces", path), lambda: PieceTable(path))
 
 
 class WordScorer:
     """Log-probabilities of words per language, remembered for at most `cap` words."""
 
-    def __init__(self, pieces: PieceTable, prob, cap: int = 400_000):
+    def __init__(self, pieces: PieceTable, prob, cap: int = 300_000):
         import numpy as np
 
         self.pieces, self.prob, self.cap = pieces, prob, cap
@@ -128,8 +125,8 @@ class WordScorer:
 
         if len(self.memo) + len(words) > self.cap:
             self.memo, self.scores = {}, self.scores[:0]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), 8_000):
+            part = words[at : at + 8_000]
             cut = [units(w) for w in part]
             flat = [u for us in cut for u in us]
             edges = self.pieces.edges(flat)
@@ -166,8 +163,8 @@ def expected_counts(pieces: PieceTable, counts: Counter) -> "object":
     prob = np.full((pieces.size + 1, 1), 1.0 / pieces.size)
     prob[-1] = UNKNOWN
     words = list(counts)
-    for at in range(0, len(words), 20_000):
-        flat = [(u, counts[w]) for w in words[at : at + 20_000] for u in units(w)]
+    for at in range(0, len(words), 8_000):
+        flat = [(u, counts[w]) for w in words[at : at + 8_000] for u in units(w)]
         edges = pieces.edges([u for u, _ in flat])
         word, begin, end, piece, length = edges
         alpha, beta = forward(edges, prob), forward(edges, prob, backward=True)
@@ -231,12 +228,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         import pyarrow as pa
 
         from tidewave.llm import langid, vocab
+        from tidewave.llm._common import worker_cache
 
         m = shared.value
         names = m["languages"]
-        scorer = langid._loaded.get("scorer")
-        if scorer is None or scorer.prob.shape != m["prob"].shape or not np.array_equal(scorer.prob, m["prob"]):
-            scorer = langid._loaded["scorer"] = langid.WordScorer(langid.pieces_of(m["vocabulary"]), m["prob"])
+        scorer = worker_cache(("scorer", hash(m["prob"].tobytes())), lambda: langid.WordScorer(langid.PieceTable(m["vocabulary"]), m["prob"]))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             pred, score = [], []

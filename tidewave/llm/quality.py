@@ -16,11 +16,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty, written
+from tidewave.llm._common import table, text_or_empty, worker_cache, written
 from tidewave.llm.vocab import unknown
 
-_words: dict[str, int] = {}
-
 
 def word_shape(word: str) -> str:
     """Runs of capitals as A, of other letters as a, of digits as 0, other characters as they are, runs of them once."""
@@ -38,8 +36,9 @@ def ngram_buckets(text: str, bits: int = 13):
     import numpy as np
 
     words = text.split()
+    _words = worker_cache("word codes", dict)
     new = unknown({*words}, _words)
-    if len(_words) + len(new) > 600_000:
+    if len(_words) + len(new) > 400_000:
         _words.clear()
         new = {*words}
     code = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))

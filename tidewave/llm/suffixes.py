@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidewave.llm._common import table, text_or_empty, written
+from tidewave.llm._common import table, text_or_empty, worker_cache, written
 from tidewave.llm.token_files import NULL_ID
 
 LEAD = 20  # leading bytes of a sampled suffix
 CHUNK = 1 << 20  # windows of longer texts are taken in runs of so many
-_powers: dict = {}
 
 ROW = "lead long, body long, doc long, start long, width int, back int"
 
@@ -34,14 +33,16 @@ def _hasher():
     """Byte tables and powers of two odd bases modulo 2^64, and the powers of their inverses."""
     import numpy as np
 
-    if not _powers:
-        rng = np.random.default_rng(20)
+    def make() -> dict:
+        rng, powers = np.random.default_rng(20), {}
         for k, base in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
             n = CHUNK + 4096
             up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
-            _powers[k] = (rng.integers(0, 1 << 62, 256, dtype=np.uint64) * 2 + 1, np.cumprod(up), np.cumprod(down))
-    return _powers
+            powers[k] = (rng.integers(0, 1 << 62, 256, dtype=np.uint64) * 2 + 1, np.cumprod(up), np.cumprod(down))
+        return powers
+
+    return worker_cache(("powers", CHUNK), make)
 
 
 def _prefix(data, k: int):
