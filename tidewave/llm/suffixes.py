@@ -8,8 +8,8 @@ windows with the same suffix is a stretch; per suffix one row goes on: hash of t
    rows compared, also across bucket boundaries. A stretch that equals an earlier one is removed whole. Stretches that share
    leading bytes with a different stretch go on; the rest has no repeats.
 2. Of those the bytes are fetched. Per leading bytes, a multikey quicksort on 8-byte words orders their windows; a window that
-   equals one of an earlier place is removed. Leading bytes with more than `hot` different stretches would make one large
-   group: their windows are hashed (128 bits) and range-partitioned by hash and place like the rows of step 1.
+   equals one of an earlier place is removed. Leading bytes with so many different stretches that they would make one
+   large group are an exception: their windows are hashed (128 bits) and range-partitioned by hash and place like the rows of step 1.
 """
 
 from __future__ import annotations
@@ -294,10 +294,11 @@ def _window_rows(fetched: DataFrame, length: int) -> DataFrame:
     return fetched.mapInArrow(run, ROW)
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 2000, sample_rows: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, hot: int | None = None, sample_rows: int = 2000) -> DataFrame:
     """Spans (doc, begin, end) that cover just the bytes of windows that also start earlier; they may overlap.
 
     `docs` has _key (the doc_id, nulls as the least long) and text without nulls. Splitters come from about `sample_rows` texts.
+    Leading bytes are common if they have over `hot` different stretches: by default a quarter of a partition's share.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -311,6 +312,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 2000, sample_r
     settled = written(_settle(found), "firsts")
 
     per_lead = settled.where("not repeat").groupBy("lead").agg(F.count("*").alias("bodies")).where("bodies > 1")
+    if hot is None:
+        hot = (per_lead.agg(F.sum("bodies")).first()[0] or 0) // (4 * buckets) + 1
     mixed = settled.where("not repeat").join(per_lead, "lead")
     whole = found.where("repeat").select("doc", "start", "width").union(settled.where("repeat").select("doc", "start", "width"))
     spans = whole.select("doc", F.col("start").alias("begin"), (F.col("start") + F.col("width") + length - 1).alias("end"))
