@@ -13,12 +13,13 @@ import re
 from array import array
 from itertools import filterfalse
 
+from tidewave.llm._common import worker_cache
+
 #: White space of the Unicode standard, which the vocabularies' patterns mean by \s.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = {"", *"\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))}
 PUNCTUATION = ".,;:!?*#$%&\"'()-"
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_loaded: dict[tuple, "ChunkEncoder"] = {}
 
 
 def unknown(found: set[str], memo: dict) -> list[str]:
@@ -45,10 +46,28 @@ class ChunkEncoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
         self.cap, self.memo, self.ends = cap, {}, {}
+        # Ids that begin a word (a letter for the space) or end one (a suffix): where the ids of joined words part.
+        vocab = self.tokenizer.get_vocab()
+        self.begins, self.finishes = bytearray(1 << 16), bytearray(1 << 16)
+        for token, i in vocab.items():
+            self.begins[i], self.finishes[i] = token.startswith("\u0120"), token.endswith("</w>")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a space: encoded as one text and parted at word begins or ends."""
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        begin = np.flatnonzero(np.frombuffer(self.begins, np.uint8)[ids])
+        if not len(begin):
+            begin = np.concatenate([[0], np.flatnonzero(np.frombuffer(self.finishes, np.uint8)[ids]) + 1])[:-1]
+        if len(begin) != len(words):  # a word that normalises to several
+            return self._library(list(map(" ".__add__, words)))
+        packed, cuts = ids.tobytes(), (2 * begin).tolist() + [2 * len(ids)]
+        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _end(self, end: str) -> bytes:
         if end not in self.ends:
             self.ends[end] = self._library([end])[0]
@@ -66,9 +85,12 @@ class ChunkEncoder:
             else:
                 whole.add(chunk)
         encode = unknown(whole, self.memo)
-        for at in range(0, len(encode), 20_000):
-            part = encode[at : at + 20_000]
-            self.memo.update(zip(part, self._library(list(map(" ".__add__, part))), strict=True))
+        letters = list(filter(str.isalpha, encode))
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            self.memo.update(zip(part, self._words(part), strict=True))
+        other = [w for w in encode if not w.isalpha()]
+        self.memo.update(zip(other, self._library(list(map(" ".__add__, other))), strict=True))
         if len(self.ends) > 10_000:
             self.ends = {}
         self.memo.update([(chunk, self.memo[word] + self._end(end)) for chunk, word, end in cut])
@@ -106,9 +128,7 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per Python worker and vocabulary; workers live through many tasks."""
-    if path not in _loaded:
-        _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+    return worker_cache(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def slices(texts: list[str], chars: int = 1_000_000):
