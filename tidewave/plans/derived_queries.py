@@ -172,9 +172,9 @@ QUERIES["silence_removal"] = lambda spark, d: temporal.silence_removal(signals(s
 SQL["silence_removal"] = query([*_ISL, "cut AS (SELECT isl.signal_id, unnest(x[first_frame*8+1:last_frame*8+16]) AS v FROM isl JOIN sig USING (signal_id)), ag AS (SELECT signal_id, count(*) AS kept, sum(v*v) AS e FROM cut GROUP BY ALL)"], f"SELECT sig.signal_id, coalesce(kept, 0) AS kept, {rnd('coalesce(e, 0.0)', 4)} AS energy FROM sig LEFT JOIN ag USING (signal_id)")
 
 # functionals, grouped summaries and the feature row
-QUERIES["functionals"] = lambda spark, d: stats.functionals(_samples(user_signals(spark, d, FS)), ["signal_id"], ["x"]).select("signal_id", *[rounded(f"x_{s}", 4).alias(s) for s in stats.STATS])
+QUERIES["functionals"] = lambda spark, d: stats.functionals(_samples(user_signals(spark, d, FS)), ["signal_id"], ["x"]).select("signal_id", *[rounded(F.col(f"x_{s}") + 1e-9, 4).alias(s) for s in stats.STATS])
 _FN = [USER, _LONG, "mm AS (SELECT signal_id, x, avg(x) OVER w AS mu FROM lg WINDOW w AS (PARTITION BY signal_id)), ms AS (SELECT signal_id, min(mu) AS mean, sqrt(avg(pow(x-mu, 2))) AS std, min(x) AS mn, max(x) AS mx, avg(pow(x-mu, 3)) AS m3, avg(pow(x-mu, 4)) AS m4 FROM mm GROUP BY ALL)"]
-SQL["functionals"] = query(_FN, f"SELECT signal_id, {rnd('mean', 4)} AS mean, {rnd('std', 4)} AS std, {rnd('mn', 4)} AS min, {rnd('mx', 4)} AS max, {rnd('m3/(pow(std,3)+1e-8)', 4)} AS skewness, {rnd('m4/(pow(std,4)+1e-8)-3', 4)} AS kurtosis FROM ms")
+SQL["functionals"] = query(_FN, f"SELECT signal_id, {rnd('mean + 1e-9', 4)} AS mean, {rnd('std + 1e-9', 4)} AS std, {rnd('mn + 1e-9', 4)} AS min, {rnd('mx + 1e-9', 4)} AS max, {rnd('m3/(pow(std,3)+1e-8) + 1e-9', 4)} AS skewness, {rnd('m4/(pow(std,4)+1e-8)-3 + 1e-9', 4)} AS kurtosis FROM ms")
 QUERIES["region_rollup"] = lambda spark, d: _regions(spark, d)
 
 
