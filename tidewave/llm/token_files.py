@@ -8,7 +8,6 @@ prefix sum of the id counts before it. `read_tokens` maps the files into memory
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     manifest only names files of finished tasks. The manifest has a row per partition; only it meets in the driver.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")  # ids alone are sampled for the ranges
 
     def write(batches: Iterator) -> Iterator:
         import uuid
