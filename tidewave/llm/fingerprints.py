@@ -92,12 +92,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     take = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - take), F.substring(F.col("next_text"), F.lit(1), take))
     known = rows.withColumn("edited", F.when(F.col("own"), edited))
-    facts = known.select("bucket", "n", "own", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    facts = ["own", "doc_id", "n_chars", "edited_sha256"]
+    known = known.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    # The facts travel as grouping keys, so that the texts are shuffled once.
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.coalesce("edited", F.lit("")).alias("body"))))
-    votes = fingerprint_rows(known.select("bucket", "n", kinds.alias("k")).select("bucket", "n", "k.kind", "k.body"), ["bucket", "n", "kind"], "body")
-    both = votes.groupBy("bucket", "n").agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
+    keys = ["bucket", "n", "kind", *facts]
+    votes = fingerprint_rows(known.select("bucket", "n", *facts, kinds.alias("k")).select("bucket", "n", *facts, "k.kind", "k.body"), keys, "body")
+    of_kind = lambda k: F.max(F.when(F.col("kind") == k, F.col("fp")))
+    both = votes.groupBy("bucket", "n").agg(*[F.max(c).alias(c) for c in facts], of_kind(0).alias("fp"), of_kind(1).alias("edited_fp"))
     order = Window.partitionBy("bucket").orderBy("n")
-    joined = facts.join(both, ["bucket", "n"]).withColumn("next_fp", F.lead("fp").over(order)).where("own")
+    joined = both.withColumn("next_fp", F.lead("fp").over(order)).where("own")
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", "fp", digits("fp").alias("fingerprint"), digits("edited_fp").alias("edited_fingerprint"),
