@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import langid, packing, quality, simhash, suffixes
+from tidewave.llm import langid, packing, quality, similar, suffixes
 from tidewave.llm._common import table, written
 
 
@@ -28,8 +28,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """The document of smallest doc_id of each group of near duplicates: texts whose sets of 5-word shingles have a Jaccard
+    similarity of 0.8 or more are linked, all of them (`similar`); the 3 bits and 3 words of op1 hold for op1 alone."""
+    return similar.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

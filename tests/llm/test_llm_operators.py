@@ -414,3 +414,37 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert {r.doc_id for r in docs.select("doc_id").collect()}.isdisjoint({42, 43})
     assert docs.count() > 30
+
+
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = {}
+    for g in range(8):  # groups of edited copies, chained, of several lengths; few of their pairs are within 3 bits
+        words = prose(40 + 40 * g, 7000 + g).split()
+        for _ in range(15):
+            for at in rng.integers(0, len(words), max(1, len(words) // 60)):
+                words[at] = f"w{rng.integers(0, 10**6)}"
+            texts[len(texts)] = " ".join(words)
+    common = prose(30, 7100)
+    texts |= {len(texts) + i: f"{common} {prose(60, 7200 + i)}" for i in range(30)}
+    texts |= {len(texts) + i: t for i, t in enumerate(["", "one two", "One  two", texts[3].upper(), texts[140]])}
+    sets = {}
+    for k, t in texts.items():
+        w = t.lower().split()
+        n = min(5, len(w))
+        sets[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    label = {k: k for k in texts}
+    root = lambda k: k if label[k] == k else root(label[k])
+    for a in texts:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    want = {root(k) for k in texts}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert corpus_pipeline.simhash_near_dedup(spark, empty(docs), "").count() == 0

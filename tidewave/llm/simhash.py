@@ -20,21 +20,30 @@ from tidewave.llm._common import table, text_or_empty, written
 from tidewave.llm.graph import components
 
 
-def text_fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash: words of the text with A-Z in lower case, split at ASCII white space; shingles of `shingle` words joined
-    by single spaces, repeats included (fewer words: all of them; none: 0); a bit is set if it is in over half the XXH64 values."""
+def shingle_hashes(text: str, shingle: int = 3, seed: int = 42):
+    """XXH64 values of the shingles of a text: words with A-Z in lower case, split at ASCII white space; runs of `shingle` words
+    joined by single spaces, repeats included (fewer words: all of them; none: no values)."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     width = min(shingle, len(words))
     begins = (ends - size)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def text_fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the shingles of a text (none: 0): a bit is set if it is in over half the XXH64 values."""
+    import numpy as np
+
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 100_000):
         counts += np.unpackbits(h[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
