@@ -202,3 +202,24 @@ def test_burg_matches_signal():
     for i in range(2, 3000):
         x[i] = 1.3 * x[i - 1] - 0.6 * x[i - 2] + rng.normal()
     assert np.allclose(burg(x[None, :], 2)[0], [1, -1.3, 0.6], atol=0.05)
+
+
+def test_uncut_spectra(spark):
+    """Noise in the second half of long signals only, which a transform of the first 64 samples does not see."""
+    rng = np.random.default_rng(5)
+    signals = {n: np.concatenate([np.zeros(n // 2), rng.normal(size=n - n // 2)]) for n in (1, 40, 64, 99, 300, 1000)}
+    df = spark.createDataFrame([(n, 1000, [float(v) for v in x]) for n, x in signals.items()], "signal_id long, sample_rate int, samples array<double>")
+    rows = spectral.uncut_spectrum(df).select("*", spectral.entropy("mag").alias("entropy"), spectral.spread("mag", F.col("bin_hz")).alias("spread")).collect()
+    assert len(rows) == len(signals)
+    for r in rows:
+        n = r.signal_id
+        size = max(2, 2 ** math.ceil(math.log2(n)))
+        j, k = np.arange(n), np.arange(size // 2 + 1)
+        x = signals[n] * 0.5 * (1 - np.cos(2 * np.pi * j / max(n - 1, 1)))
+        mag = np.abs((x * np.exp(-2j * np.pi * np.outer(k, j) / size)).sum(axis=1))
+        assert np.allclose(r.mag, mag, atol=1e-9) and math.isclose(r.bin_hz, 1000 / size)
+        p = mag**2
+        if p.sum() > 0:
+            q = p / p.sum()
+            assert math.isclose(r.entropy, -(q * np.log2(q + 1e-12)).sum(), abs_tol=1e-7)
+            assert math.isclose(r.spread, math.sqrt((q * (k - (q * k).sum()) ** 2).sum()) * 1000 / size, abs_tol=1e-5)

@@ -43,6 +43,18 @@ def magnitude(x: Column, n_fft: int) -> Column:
     return run(x)
 
 
+def whole_magnitude(x: Column) -> Column:
+    """|rfft(x)| over the next power of two of each array's own length, so that no sample is cut off."""
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return a.map(lambda v: np.abs(np.fft.rfft(np.asarray(v, float), 1 << max(1, (len(v) - 1).bit_length()))))
+
+    return run(x)
+
+
 def autocorrelation(x: Column, n: int) -> Column:
     """Linear autocorrelation of arrays of n samples at lags 0 to 2n - 1, by FFT."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import argmax, c, diff, head, indexed, mean, ratio, tail, total, total_of
-from tidewave.functions.fourier import magnitude
+from tidewave.functions.fourier import magnitude, whole_magnitude
 from tidewave.sources.signals import frames
 
 
@@ -18,11 +18,21 @@ def frame_spectrum(signals: DataFrame, n: int, hop: int) -> DataFrame:
     return frames(signals, n, hop).select("signal_id", "sample_rate", "frame_idx", magnitude(F.col("frame"), n).alias("mag"))
 
 
+def _under_hann(samples: str) -> Column:
+    """The samples under a symmetric Hann window of their own length."""
+    size = F.size(samples)
+    return F.transform(samples, lambda v, i: v * (0.5 * (1 - F.cos(2 * F.pi() * i / F.greatest(size - 1, F.lit(1))))))
+
+
 def whole_spectrum(signals: DataFrame, n_fft: int) -> DataFrame:
     """Magnitudes of whole signals under a symmetric Hann window of their own length, then cut or zero-padded to n_fft."""
-    size = F.size("samples")
-    window = lambda v, i: v * (0.5 * (1 - F.cos(2 * F.pi() * i / F.greatest(size - 1, F.lit(1)))))
-    return signals.select("signal_id", "sample_rate", magnitude(F.transform("samples", window), n_fft).alias("mag"))
+    return signals.select("signal_id", "sample_rate", magnitude(_under_hann("samples"), n_fft).alias("mag"))
+
+
+def uncut_spectrum(signals: DataFrame) -> DataFrame:
+    """As whole_spectrum, with the next power of two of each signal's length as transform size; bin_hz is the width of a bin."""
+    spectra = signals.select("signal_id", "sample_rate", whole_magnitude(_under_hann("samples")).alias("mag"))
+    return spectra.withColumn("bin_hz", F.col("sample_rate") / (2.0 * (F.size("mag") - 1)))
 
 
 def bins(spectra: DataFrame) -> DataFrame:
