@@ -448,3 +448,28 @@ def test_pipeline_near_duplicates(spark):
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
     assert corpus_pipeline.simhash_near_dedup(spark, empty(docs), "").count() == 0
+
+
+def test_common_windows_are_written_and_samples_bounded(spark, monkeypatch):
+    from tidewave.llm import suffixes
+
+    same = prose(60, 8000)
+    texts = [f"{prose(50, 8001 + i)} {same} {prose(50, 8101 + i)}" for i in range(12)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, _key long, text string")
+    names, write = [], suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, name: names.append(name) or write(df, name))
+
+    def covered(**how):
+        return {(r.doc, i) for r in suffixes.repeated_spans(docs, **how).collect() for i in range(r.begin, r.end)}
+
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        data = t.encode()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                want |= {(k, x) for x in range(i, i + 100)}
+            seen.add(data[i : i + 100])
+    assert covered(hot=0) == want and covered() == want
+    assert "windows" in names
+    long = spark.createDataFrame([(i, prose(4000, 8200 + i)) for i in range(6)], "_key long, text string")
+    assert 300 < len(suffixes._sampled_suffixes(long, 100, 1000)) < 1500

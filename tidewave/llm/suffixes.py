@@ -294,6 +294,14 @@ def _window_rows(fetched: DataFrame, length: int) -> DataFrame:
     return fetched.mapInArrow(run, ROW)
 
 
+def _sampled_suffixes(texts: DataFrame, length: int, most: int = 200_000) -> list[tuple]:
+    """Ascending suffix rows of `texts`, about `most` of them at most however long the texts are; (length - LEAD) / 2 bytes have
+    one suffix on average, so the share follows from the bytes."""
+    expected = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 / (length - LEAD)
+    rows = _suffix_rows(texts, length, None).select("lead", "body", "doc", "start")
+    return sorted(tuple(r) for r in rows.sample(min(1.0, most / max(1.0, expected)), seed=6).collect())
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, hot: int | None = None, sample_rows: int = 2000) -> DataFrame:
     """Spans (doc, begin, end) that cover just the bytes of windows that also start earlier; they may overlap.
 
@@ -303,8 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int | None = None, s
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = max(1, docs.count())
-    few = _suffix_rows(docs.sample(min(1.0, sample_rows / total), seed=5), length, None).select("lead", "body", "doc", "start")
-    few = sorted(tuple(r) for r in few.sample(min(1.0, 200_000 / (90 * sample_rows)), seed=6).collect())
+    few = _sampled_suffixes(docs.sample(min(1.0, sample_rows / total), seed=5), length)
     splitters = [few[len(few) * i // buckets] for i in range(1, buckets)] if few else []
     order = ["lead", "body", "doc", "start"]
     rows = _suffix_rows(docs, length, splitters).repartitionById(buckets, F.col("bucket")).drop("bucket").sortWithinPartitions(*order)
@@ -319,7 +326,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int | None = None, s
     spans = whole.select("doc", F.col("start").alias("begin"), (F.col("start") + F.col("width") + length - 1).alias("end"))
     spans = spans.union(_local_spans(_fetch(docs, mixed.where(F.col("bodies") <= hot), length), length))
     windows = _window_rows(_fetch(docs, mixed.where(F.col("bodies") > hot), length), length)
-    ranged = _adjacent(windows.repartitionByRange(*order).sortWithinPartitions(*order))
+    # Written, as both readers below need the same bounds of the ranges.
+    ranged = written(_adjacent(windows.repartitionByRange(*order).sortWithinPartitions(*order)), "windows")
     again = ranged.where("repeat").select("doc", "start").union(_settle(ranged).where("repeat").select("doc", "start"))
     return spans.union(again.select("doc", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
 
