@@ -57,6 +57,76 @@ def test_token_files(spark, docs, tmp_path):
     assert token_files.read_tokens(token_files.write_tokens(empty(docs), public.path("byte_bpe_50k.json"), str(tmp_path / "v"))).count() == 0
 
 
+ODD = [
+    "a", "Be", "the", "Word", "\xa0", "\u2009", "\u3000", " ", "\n", "\t", "\r", "\x85", "\x1c", "\u200b", "\ufeff", "\x00", "\x01", "İ", "ÜYESİ", "İ.", "é", "e\u0301", "\u0301", "ß", "ẞ", "Ω", "ς", "Σ",
+    "ǅ", "ﬁ", "ﬀ.", "ŉ", "ª.", "ʰ,", "Å", "K", ".", ",", "'s", "'", "'ll", "don't", "l'été", "12", "3", "½", "%%", "…", "—", "-", "(", "!", "ñ.", "ü,", "n.", "\n\n", "  ", "&nbsp;", "漢字", "한", "ไทย", "\U0001f600",
+    "<|endoftext|>", "<|startoftext|>", "<|end",
+]
+
+
+def test_ids_of_odd_texts():
+    """Both encoders give the library's ids on 100 000 texts of odd letters, marks, white space and special strings."""
+    import random
+
+    import pyarrow as pa
+
+    from tidewave.llm import bpe, vocab
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(ODD) if rng.random() < 0.6 else rng.choice([" ", "a", "\n", "."]) for _ in range(rng.randint(0, 14))) for _ in range(50_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = tokenizer(name)
+        tok.no_padding()
+        tok.no_truncation()
+        want = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = vocab.ChunkEncoder(public.path(name)).encode
+        for at in range(0, len(texts), 7000):
+            assert [np.frombuffer(x, "<u2").tolist() for x in encode(pa.array(texts[at : at + 7000]))] == want[at : at + 7000]
+        if name.startswith("byte"):
+            codec = bpe.BytePairCodec(public.path(name), cap=2000)
+            for at in range(0, len(texts), 7000):
+                got = codec.encode(pa.array(texts[at : at + 7000]))
+                assert [np.frombuffer(x, "<u4").tolist() for x in got] == want[at : at + 7000]
+                assert [codec.decode(x) for x in got[:700]] == [tok.decode(x, skip_special_tokens=False) for x in want[at : at + 700]]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_long_texts(name):
+    import pyarrow as pa
+
+    from tidewave.llm import vocab
+
+    texts = [prose(30_000, 4) + "\n" + prose(10, 5), "x" * 20_000, " \n" * 5_000, "<|endoftext|>" + "a b " * 5_000]
+    tok = tokenizer(name)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in vocab.ChunkEncoder(public.path(name)).encode(pa.array(texts))] == want
+
+
+def test_token_files_hot_ids(spark, tmp_path):
+    """Half of all rows share one id or have none, many of them are equal: all stay, in order, over several files."""
+    from tidewave.llm import token_files
+
+    rows = [(None, "same text"), (7, "same text"), (7, "other")] * 200 + [(i, f"text {i}") for i in range(100)] + [(-(2**63), "least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_tokens(docs, public.path("byte_bpe_50k.json"), str(tmp_path / "h"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_tokens(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert max(r.docs for r in manifest.collect()) < 400
+
+
+def test_packing_hot_rows(spark):
+    from tidewave.llm import packing
+
+    docs = spark.createDataFrame([(None, "the same words")] * 3000 + [(i, "the same words") for i in range(50)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, public.path("word_bpe_49k.json"), 64).toPandas()
+    assert len(rows) == 3050 and not rows.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_bpe_codec(docs):
     from tidewave.llm import bpe
 

@@ -36,46 +36,65 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
         from tidewave.llm import vocab
 
-        encode, end = vocab.encoder(tokenizer).encode, np.array([end_id], "<u2").tobytes()
+        encode, end = vocab.encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for a, b in vocab.slices(texts):
-                for doc, packed in zip(ids[a:b], encode(texts[a:b]), strict=True):
+            ids = batch.column("doc_id")
+            for a, b, coded in encode(batch.column("text")):
+                out: list[tuple] = []
+                for doc, packed in zip(ids.slice(a, b - a).to_pylist(), coded, strict=True):
                     wide = np.frombuffer(packed + end, "<u2").astype("<u4")
                     for k, at in enumerate(range(0, len(wide), capacity)):
                         cut = wide[at : at + capacity]
                         out.append((doc, k, at, len(cut), zlib.crc32(cut.tobytes())))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return rows.mapInArrow(run, PIECES)
 
 
-def _fillers(gap: int, largest: int, left: Counter, lengths: list[int]) -> tuple[int, ...] | None:
-    """One, two or three available lengths of at most `largest` that sum to `gap`, larger ones first; None if there are none."""
-    if gap <= largest and left[gap] > 0:
-        return (gap,)
-    usable = lengths[: bisect.bisect_right(lengths, min(gap - 1, largest))]
-    have = set(usable)
-    for a in reversed(usable):
-        if 2 * a < gap:
-            break
-        b = gap - a
-        if b in have and (a != b or left[a] > 1):
-            return (a, b)
-    for a in reversed(usable):
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in reversed(usable[: bisect.bisect_right(usable, min(a, rest - 1))]):
-            if 2 * b < rest:
+class SumIndex:
+    """Lengths by their single, pair and triple sums, with the numbers of pieces that are left of each.
+
+    Singles and pairs are hashed by their sum, larger lengths first. A triple of sum s is a length and a pair indexed under
+    what it leaves of s. Work depends on the number of distinct lengths (at most the capacity) only.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = Counter({n: c for n, c in counts.items() if c > 0})
+        self.lengths = sorted(self.left)
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for i in range(len(self.lengths) - 1, -1, -1):
+            a = self.lengths[i]
+            for b in self.lengths[: bisect.bisect_right(self.lengths, min(a, capacity - a))]:
+                self.pairs.setdefault(a + b, []).append((a, b))
+
+    def available(self, *lengths: int) -> bool:
+        return all(self.left[n] >= k for n, k in Counter(lengths).items())
+
+    def find(self, total: int, largest: int, beside: int) -> tuple[int, ...] | None:
+        """One, two or three lengths of at most `largest` that sum to `total` and are left besides one piece of length `beside`."""
+        if total <= largest and self.available(total, beside):
+            return (total,)
+        for a, b in self.pairs.get(total, ()):
+            if a <= largest and self.available(a, b, beside):
+                return (a, b)
+        for c in reversed(self.lengths[: bisect.bisect_right(self.lengths, min(largest, total - 2))]):
+            if 3 * c < total:
                 break
-            c = rest - b
-            if c in have and min(left[x] - n for x, n in Counter((a, b, c)).items()) >= 0:
-                return (a, b, c)
-    return None
+            if self.left[c]:
+                for a, b in self.pairs.get(total - c, ()):
+                    if a <= c and self.available(a, b, c, beside):
+                        return (c, a, b)
+        return None
+
+    def take(self, lengths: tuple[int, ...]) -> int:
+        """Use these lengths together as often as the counts allow; how often that was."""
+        need = Counter(lengths)
+        times = min(self.left[n] // k for n, k in need.items())
+        for n, k in need.items():
+            self.left[n] -= times * k
+        return times
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
@@ -84,25 +103,16 @@ def plan_bins(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tup
     Longest lengths first: those with an exact complement among single, pair and triple sums are consumed as often as the
     counts allow. What remains is packed by best fit, longest first, whole groups of equal bins at a time.
     """
-    left = Counter({n: c for n, c in histogram.items() if c > 0})
+    index = SumIndex(histogram, capacity)
     done: list[tuple[tuple[int, ...], int]] = []
     rest: Counter = Counter()
-    for length in sorted(left, reverse=True):
-        while left[length] > 0:
-            if length == capacity:
-                done.append(((length,), left.pop(length)))
-                break
-            left[length] -= 1  # it must not complete itself twice
-            fill = _fillers(capacity - length, length, left, sorted(n for n, c in left.items() if c > 0))
-            left[length] += 1
+    for length in reversed(index.lengths):
+        while index.left[length] > 0:
+            fill = () if length == capacity else index.find(capacity - length, length, length)
             if fill is None:
-                rest[length] = left.pop(length)
+                rest[length] = index.left.pop(length)
                 break
-            need = Counter((length, *fill))
-            times = min(left[n] // k for n, k in need.items())
-            done.append(((length, *fill), times))
-            for n, k in need.items():
-                left[n] -= times * k
+            done.append(((length, *fill), index.take((length, *fill))))
     groups: dict[tuple[int, ...], int] = {}
     room: list[tuple[int, tuple[int, ...]]] = []  # sorted: free space and contents of a group of equal bins
 
@@ -152,17 +162,16 @@ def placements(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 def pack(pieces: DataFrame, capacity: int = 2048, salt_rows: int = 100_000) -> DataFrame:
     """Give every row of `pieces` (length between 1 and `capacity`) a sequence_id and an offset.
 
-    `pieces` should be a written table, as it is read twice. Salts per length follow the counts: about `salt_rows` rows
-    to a salt. The histogram (at most `capacity` rows) and the plan made of it are all that the driver sees.
+    `pieces` must be a written table with a number `mix` that tells its rows apart (equal rows too), as it is read more than
+    once. Salts per length follow the counts: about `salt_rows` rows to a salt. The histogram (at most `capacity` rows) and the plan made of it are all that the driver sees.
     """
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_h", F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = max([1, *(-(-n // salt_rows) for n in histogram.values())])
-    keyed = keyed.withColumn("_salt", F.pmod("_h", F.lit(max(salts, 8))))
+    keyed = pieces.withColumn("_salt", F.pmod("mix", F.lit(max(salts, 8))))
     by_salt = keyed.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     first = by_salt.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_first"))
-    within = Window.partitionBy("length", "_salt").orderBy("_h", "doc_id", "piece")
+    within = Window.partitionBy("length", "_salt").orderBy("mix", "doc_id", "piece")
     ranked = keyed.withColumn("_in", F.row_number().over(within)).join(first, ["length", "_salt"]).withColumn("rank", F.col("_first") + F.col("_in") - 1)
     plan = spark.sparkContext.broadcast(placements(plan_bins(histogram, capacity)))
 
@@ -184,7 +193,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, salt_rows: int = 100_000) -> D
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """Pieces of all documents with their places. An empty table gives no rows."""
-    return pack(written(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity).withColumn("mix", F.xxhash64(F.monotonically_increasing_id()))
+    return pack(written(pieces, "pieces"), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidewave.llm._common import table, text_or_empty, worker_cache, written
-from tidewave.llm.token_files import NULL_ID
+
+#: Stands for a null doc_id.
+NULL_ID = -(2**63)
 
 LEAD = 20  # leading bytes of a sampled suffix
 CHUNK = 1 << 20  # windows of longer texts are taken in runs of so many

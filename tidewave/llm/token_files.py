@@ -15,20 +15,19 @@ from pyspark.sql import functions as F
 
 from tidewave.llm._common import fresh_dir, open_input, open_output, table, text_or_empty
 
-#: Stands for a null doc_id in the flat files.
-NULL_ID = -(2**63)
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents of `docs` as token files under `folder`; returns the manifest.
 
-    Manifest columns: file (path without suffix), part (place in the order), docs, tokens, base (ids before the file).
-    A null text counts as empty and yields the end id alone; a null id sorts first; repeated ids keep all their rows,
-    ordered by text; an empty table gives an empty manifest. A task that is run again writes under a new name, so the
-    manifest only names files of finished tasks. The manifest has a row per partition; only it meets in the driver.
+    Manifest columns: file (path without suffix), part (place in the order), docs, nulls (documents with a null id, the
+    first ones), tokens, base (ids before the file). A null text counts as empty and yields the end id alone; null ids sort
+    first; rows that repeat an id all stay, in the order of a hash of their texts, however many tasks they fill; an empty
+    table gives an empty manifest. A task that is run again writes under a new name, so the manifest only names files of
+    finished tasks. The manifest has a row per partition; only it meets in the driver.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")  # ids alone are sampled for the ranges
+    # Three numbers are sampled for the ranges, no texts; the last one parts equal rows, whose order does not matter.
+    order = ["id", "_hash", "_row"]
+    ordered = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def write(batches: Iterator) -> Iterator:
         import uuid
@@ -39,34 +38,33 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         from tidewave.llm import vocab
 
-        encode = vocab.encoder(tokenizer).encode
+        encode = vocab.encoder(tokenizer).encode_all
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         end, offsets, ids, out = np.array([end_id], "<u2").tobytes(), [0], [], None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if texts and out is None:
+            if batch.num_rows and out is None:
                 out = open_output(name + ".bin")
-            for a, b in vocab.slices(texts):
-                for packed in encode(texts[a:b]):
+            for _, _, coded in encode(batch.column("text")):
+                for packed in coded:
                     out.write(packed + end)
                     offsets.append(offsets[-1] + len(packed) // 2 + 1)
             ids += batch.column("id").to_pylist()
         if out is None:
             return
         out.close()
-        for suffix, values in ((".idx", offsets), (".ids", [NULL_ID if i is None else i for i in ids])):
+        for suffix, values in ((".idx", offsets), (".ids", [0 if i is None else i for i in ids])):
             with open_output(name + suffix) as f:
                 f.write(np.array(values, "<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([offsets[-1]], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "nulls": pa.array([ids.count(None)], pa.int64()), "tokens": pa.array([offsets[-1]], pa.int64())})
 
-    found = sorted(ordered.mapInArrow(write, "file string, part int, docs long, tokens long").collect(), key=lambda r: r.part)
+    found = sorted(ordered.mapInArrow(write, "file string, part int, docs long, nulls long, tokens long").collect(), key=lambda r: r.part)
     manifest, base = [], 0
     for r in found:
-        manifest.append((r.file, r.part, r.docs, r.tokens, base))
+        manifest.append((r.file, r.part, r.docs, r.nulls, r.tokens, base))
         base += r.tokens
     spark = docs.sparkSession
-    return spark.createDataFrame(manifest, "file string, part int, docs long, tokens long, base long").repartition(max(1, len(manifest)))
+    return spark.createDataFrame(manifest, "file string, part int, docs long, nulls long, tokens long, base long").repartition(max(1, len(manifest)))
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         wide = np.frombuffer(f.read(2 * int(offsets[b] - offsets[a])), "<u2").astype("<u4")
                         cut = offsets[a : b + 1] - offsets[a]
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array([None if i == NULL_ID else int(i) for i in ids[a:b]], pa.int64()), "start": pa.array(offsets[a:b] + row["base"]), "n_tokens": pa.array(np.diff(offsets[a : b + 1])),
+                            "doc_id": pa.array(ids[a:b], mask=np.arange(a, b) < row["nulls"]), "start": pa.array(offsets[a:b] + row["base"]), "n_tokens": pa.array(np.diff(offsets[a : b + 1])),
                             "ids": pa.array([wide[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                         })
 

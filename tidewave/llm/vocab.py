@@ -1,40 +1,24 @@
-"""Encoding whole texts with the tokenizers library at corpus speed, by remembering the ids of space-separated chunks.
-
-Both supported vocabularies cut their input at every change from non-space to space, and the cut only depends on the run
-of spaces and what follows it. So a text may be split before single spaces, each distinct chunk encoded once by the
-library, and the ids concatenated: the result is that of encoding the whole text. Texts that hold one of the
-tokenizer's special strings go through the library whole.
-"""
+"""Encoding whole texts with the tokenizers library at corpus speed: each distinct chunk (see `chunks`) goes to the library
+once, and the ids of a text are those of its chunks. Texts that hold one of the tokenizer's special strings go to the
+library whole."""
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from itertools import filterfalse
+from collections.abc import Iterator
 
 from tidewave.llm._common import worker_cache
+from tidewave.llm.chunks import SPACE, encode_parts, encode_slice, gather, text_slices
 
-#: White space of the Unicode standard, which the vocabularies' patterns mean by \s.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = {"", *"\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))}
-PUNCTUATION = ".,;:!?*#$%&\"'()-"
-_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-
-
-def unknown(found: set[str], memo: dict) -> list[str]:
-    """What of `found` is not in `memo`; unlike a difference with memo.keys(), its time does not grow with the memo."""
-    return list(filterfalse(memo.__contains__, found))
-
+_SIMPLE = re.compile(f" ?[^{SPACE}]+")
 
 class ChunkEncoder:
-    """Encodes texts to packed unsigned 16-bit ids; remembers at most `cap` chunks.
+    """Encodes Arrow arrays of texts to packed unsigned 16-bit ids. Nothing is remembered from slice to slice."""
 
-    `memo` is keyed by what follows a single space. A chunk that ends in ASCII punctuation after a letter is cut there too,
-    as both vocabularies do, so that a word is encoded once however it is followed.
-    """
+    def __init__(self, path: str):
+        import numpy as np
 
-    def __init__(self, path: str, cap: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,85 +29,92 @@ class ChunkEncoder:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.cap, self.memo, self.ends = cap, {}, {}
         # Ids that begin a word (a letter for the space) or end one (a suffix): where the ids of joined words part.
-        vocab = self.tokenizer.get_vocab()
-        self.begins, self.finishes = bytearray(1 << 16), bytearray(1 << 16)
-        for token, i in vocab.items():
+        self.begins, self.finishes = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
             self.begins[i], self.finishes[i] = token.startswith("\u0120"), token.endswith("</w>")
+        line = self._ids("\n")
+        self.line = line[0] if len(line) == 1 else None  # a line feed is a token of its own
+
+    def _ids(self, text: str):
+        import numpy as np
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each after a space: encoded as one text and parted at word begins or ends."""
+    def _apart(self, texts: list[str]):
+        """Ragged ids of texts, each encoded by itself."""
         import numpy as np
 
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-        begin = np.flatnonzero(np.frombuffer(self.begins, np.uint8)[ids])
-        if not len(begin):
-            begin = np.concatenate([[0], np.flatnonzero(np.frombuffer(self.finishes, np.uint8)[ids]) + 1])[:-1]
-        if len(begin) != len(words):  # a word that normalises to several
-            return self._library(list(map(" ".__add__, words)))
-        packed, cuts = ids.tobytes(), (2 * begin).tolist() + [2 * len(ids)]
-        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _end(self, end: str) -> bytes:
-        if end not in self.ends:
-            self.ends[end] = self._library([end])[0]
-        return self.ends[end]
-
-    def _learn(self, new: list[str]) -> None:
-        """Put the chunks `new`, each after a space, into the memo."""
-        cut: list[tuple[str, str, str]] = []
-        whole: set[str] = set()
-        for chunk in new:
-            word = chunk.rstrip(PUNCTUATION)
-            if word != chunk and word[-1:].isalpha():
-                cut.append((chunk, word, chunk[len(word) :]))
-                whole.add(word)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.array([x for row in ids for x in row], "<u2")
+
+    def _spaced(self, words):
+        """Ragged ids of words of letters (Arrow strings), each after a space: thousands as one text, parted at word begins or ends."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, "<u2")]
+        for at in range(0, len(words), 2000):
+            group = words.slice(at, 2000)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), group), " ")[0].as_py()
+            flat = self._ids(" " + text)
+            begin = np.flatnonzero(self.begins[flat])
+            if not len(begin):
+                begin = np.append(0, np.flatnonzero(self.finishes[flat]) + 1)[:-1]
+            size = np.diff(np.append(begin, len(flat)))
+            if len(begin) != len(group):  # a word that normalises to several
+                size, flat = self._apart([" " + w for w in group.to_pylist()])
+            sizes.append(size)
+            flats.append(flat)
+        return np.concatenate(sizes), np.concatenate(flats)
+
+    def _lines(self, chunks):
+        """Ragged ids of chunks without line feeds and without white space at their ends or, but for a first space, within.
+
+        Where a line feed is a token of its own they are encoded as lines of one text."""
+        import numpy as np
+
+        if self.line is None:
+            return self._apart(chunks.to_pylist())
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, "<u2")]
+        texts = chunks.to_pylist()
+        for at in range(0, len(texts), 2000):
+            group = texts[at : at + 2000]
+            ids = self._ids("\n".join(group))
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) != len(group):
+                size, flat = self._apart(group)
             else:
-                whole.add(chunk)
-        encode = unknown(whole, self.memo)
-        letters = list(filter(str.isalpha, encode))
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            self.memo.update(zip(part, self._words(part), strict=True))
-        other = [w for w in encode if not w.isalpha()]
-        self.memo.update(zip(other, self._library(list(map(" ".__add__, other))), strict=True))
-        if len(self.ends) > 10_000:
-            self.ends = {}
-        self.memo.update([(chunk, self.memo[word] + self._end(end)) for chunk, word, end in cut])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 16-bit."""
-        split: list[list[str] | None] = []
-        seen: set[str] = set()
-        for text in texts:
-            if "  " in text or text.endswith(" ") or (self.special and self.special.search(text)):
-                split.append(None)
-                continue
-            chunks = text.split(" ")
-            seen.update(chunks[1:])
-            split.append(chunks)
-        new = unknown(seen, self.memo)
-        if len(self.memo) + len(new) > self.cap:
-            self.memo = {k: v for k, v in self.memo.items() if k in seen}
-        self._learn(new)
-        known = self.memo.__getitem__
-        starts = iter(self._library([chunks[0] for chunks in split if chunks is not None]))
-        return [self._any(text) if chunks is None else b"".join([next(starts), *map(known, chunks[1:])]) for text, chunks in zip(texts, split, strict=True)]
-
-    def _any(self, text: str) -> bytes:
-        """Texts with runs of spaces or special strings: by runs of space and what follows, or by the library whole."""
-        if self.special and self.special.search(text):
-            return self._library([text])[0]
-        chunks = _CHUNK.findall(text)
-        single = [c[1:] for c in chunks if c[0] == " " and c[1:2] not in SPACES]
-        self._learn(unknown({*single}, self.memo))
-        other = {c: None for c in chunks if not (c[0] == " " and c[1:2] not in SPACES)}
-        other = dict(zip(other, self._library([*other]), strict=True))
-        return b"".join(other[c] if c in other else self.memo[c[1:]] for c in chunks)
+                size, flat = np.diff(np.append(-1, ends)) - 1, ids[ids != self.line]
+            sizes.append(size)
+            flats.append(flat)
+        return np.concatenate(sizes), np.concatenate(flats)
+
+    def encode_keys(self, keys):
+        """Ragged ids of the chunks named by distinct keys (Arrow strings)."""
+        return encode_parts(keys, self._ids("\n"), self._spaced, self._lines, self._lines, self._rest)
+
+    def _rest(self, texts: list[str]):
+        """Ragged ids of any chunks: those with no white space but a single first space as lines, the others by themselves."""
+        import numpy as np
+        import pyarrow as pa
+
+        simple = np.array([bool(_SIMPLE.fullmatch(t)) for t in texts], bool)
+        one = self._lines(pa.array([t for t, s in zip(texts, simple, strict=True) if s], pa.string()))
+        two = self._apart([t for t, s in zip(texts, simple, strict=True) if not s])
+        place = np.zeros(len(texts), np.int64)
+        place[simple], place[~simple] = np.arange(len(one[0])), len(one[0]) + np.arange(len(two[0]))
+        return gather(np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), place)
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow string array without nulls, little-endian unsigned 16-bit."""
+        return encode_slice(texts, self.encode_keys, self.special, lambda t: self._ids(t).tobytes())
+
+    def encode_all(self, texts) -> Iterator[tuple[int, int, list[bytes]]]:
+        """The ids of a long array, some MB of texts at a time: begin and end of the slice, ids of its texts."""
+        for a, b in text_slices(texts):
+            yield a, b, self.encode(texts.slice(a, b - a))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -131,6 +122,11 @@ def encoder(path: str) -> ChunkEncoder:
     return worker_cache(("encoder", path), lambda: ChunkEncoder(path))
 
 
+def unknown(found: set[str], memo: dict) -> list[str]:
+    """What of `found` is not in `memo`; unlike a difference with memo.keys(), its time does not grow with the memo."""
+    return [x for x in found if x not in memo]
+
+
 def slices(texts: list[str], chars: int = 1_000_000):
     """Index ranges of at most about `chars` code points (at least one text each)."""
     at, total = 0, 0
