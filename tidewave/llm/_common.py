@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one only where it is unset and
+    the driver runs all tasks itself."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidewave-"))
     return folder.rstrip("/")
 
@@ -49,15 +52,31 @@ def worker_cache(key, make):
     return _live[key]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that `df` has as columns (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def open_output(path: str):
-    """A writable stream on a path of any file system that Arrow knows (file, hdfs, s3...); made in tasks."""
+def file_system(path: str):
+    """The Arrow file system of a path (file, hdfs, s3...) and the path within it."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_output(path: str):
+    """A writable stream on a path of any file system that Arrow knows; made in tasks."""
+    store, inner = file_system(path)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
     return store.open_output_stream(inner, compression=None)
 
@@ -67,5 +86,5 @@ def open_input(path: str):
     import pyarrow as pa
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, inner = file_system(path)
     return pa.memory_map(inner) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(inner)

@@ -9,46 +9,91 @@ are still tied at the boundary after the last slice have equal scores and are re
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, written
+from tidewave.llm._common import file_system, fresh_dir, open_input, open_output, table, written
 
 
-def build_block(ids, vectors) -> dict:
-    """Slices of a block: ids (ascending), least component, words (both signs, dimensions, bits, rows / 64)."""
+def quantise(x, scale: float):
+    """floor(scale * x) of finite doubles: 64-bit integers, or Python's where these would not hold them."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        scaled = x * scale
+    if np.abs(scaled).max(initial=0.0) < 2.0**62:
+        return np.floor(scaled).astype(np.int64)
+    whole = lambda v, s: math.floor(s) if math.isfinite(s) else math.floor(Fraction(v) * Fraction(scale))
+    out = np.empty(x.shape, object)
+    for at in np.ndindex(x.shape):
+        out[at] = whole(float(x[at]), float(scaled[at]))
+    return out
+
+
+def build_block(ids, x) -> dict:
+    """Slices of a block of integer vectors: ids (ascending), least component, least and largest of each dimension, bits, and
+    words (dimensions, bits, rows / 64)."""
     import numpy as np
 
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], vectors[order].astype(np.int64)
-    low = int(x.min()) if x.size else 0
-    x = x - low
-    bits = max(1, int(x.max()).bit_length()) if x.size else 1
-    rows = -(-len(ids) // 64) * 64
+    ids, x = ids[order], x[order]
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    bits, rows = max(1, (high - low).bit_length()), -(-len(ids) // 64) * 64
     planes = np.zeros((x.shape[1], bits, rows), np.uint8)
     for b in range(bits):
-        planes[:, b, : len(ids)] = ((x >> b) & 1).T
+        planes[:, b, : len(ids)] = (((x - low) >> b) & 1).T
     words = np.packbits(planes, axis=2, bitorder="little").view("<u8")
-    return {"ids": ids, "low": low, "bits": bits, "words": np.stack([words, ~words])}
+    least, most = (list(map(int, x.min(axis=0))), list(map(int, x.max(axis=0)))) if len(x) else ([], [])
+    return {"ids": ids, "low": low, "least": least, "most": most, "bits": bits, "words": words}
+
+
+def save_block(block: dict, path: str) -> None:
+    """A block as one file: length of the header, header (JSON), ids, words."""
+    with open_output(path) as f:
+        header = json.dumps({k: block[k] for k in ("low", "least", "most", "bits")} | {"rows": len(block["ids"]), "shape": block["words"].shape}).encode()
+        f.write(len(header).to_bytes(8, "little") + header)
+        f.write(block["ids"].astype("<i8").tobytes())
+        f.write(block["words"].tobytes())
+
+
+def load_block(path: str) -> dict:
+    import numpy as np
+
+    with open_input(path) as f:
+        header = json.loads(f.read(int.from_bytes(f.read(8), "little")))
+        header["ids"] = np.frombuffer(f.read(8 * header["rows"]), "<i8")
+        header["words"] = np.frombuffer(f.read(), "<u8").reshape(header["shape"])
+    return header
+
+
+def best_possible(block: dict, query) -> int:
+    """No row of the block has a larger inner product with the query."""
+    return sum(max(q * a, q * b) for q, a, b in zip(map(int, query), block["least"], block["most"], strict=True))
 
 
 def weigh(block: dict, query) -> tuple[list, int]:
-    """Slices of the scores of all rows, least significant first, and what must be added to them."""
+    """Slices of the scores of all rows, least significant first, and what must be added to them.
+
+    Negative components of the query take the complemented slices.
+    """
     import numpy as np
 
     size, bits = np.abs(query), block["bits"]
-    sign = (query < 0).astype(np.int64)
-    shift = block["low"] * int(query.sum()) - int(size[query < 0].sum()) * ((1 << bits) - 1)
+    flip = np.where(query < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
+    shift = block["low"] * sum(map(int, query)) - sum(map(int, size[query < 0])) * ((1 << bits) - 1)
     top, carried, out, weight = bits + int(size.max(initial=0)).bit_length(), [], [], 0
     while weight < top or carried:
         parts = carried
         for j in range(max(0, weight - bits + 1), weight + 1):
-            dims = np.flatnonzero((size >> j) & 1)
+            dims = np.flatnonzero((size >> j) & 1) if j < 63 or size.dtype == object else []
             if len(dims):
-                parts.append(block["words"][sign[dims], dims, weight - j])
-        rows = np.concatenate(parts) if parts else np.zeros((1, block["words"].shape[3]), "<u8")
+                parts.append(block["words"][dims, weight - j] ^ flip[dims])
+        rows = np.concatenate(parts) if parts else np.zeros((1, block["words"].shape[2]), "<u8")
         carried = []
         while len(rows) > 1:
             third = max(1, len(rows) // 3)
@@ -83,87 +128,129 @@ def select_top(slices: list, allowed, k: int):
     return np.concatenate([chosen, rows(open_)[: k - len(chosen)]])
 
 
-def search_block(block: dict, query, exclude: int, k: int):
-    """ids and scores of the k best rows of a block whose id is not `exclude`."""
+def search_block(block: dict, query, exclude: int, k: int) -> list[tuple[int, int]]:
+    """(score, id) of the k best rows of a block whose id is not `exclude`."""
     import numpy as np
 
     n = len(block["ids"])
-    allowed = np.zeros(block["words"].shape[3] * 64, np.uint8)
+    allowed = np.zeros(block["words"].shape[2] * 64, np.uint8)
     allowed[:n] = 1
     allowed[np.searchsorted(block["ids"], exclude) : np.searchsorted(block["ids"], exclude, side="right")] = 0
     slices, shift = weigh(block, query)
     rows = select_top(slices, np.packbits(allowed, bitorder="little").view("<u8"), k)
-    score = np.full(len(rows), shift, np.int64)
+    place, bit = rows >> 6, (rows & 63).astype("<u8")
+    score = [shift] * len(rows)
     for w, s in enumerate(slices):
-        score += ((s[rows >> 6] >> (rows & 63).astype("<u8")) & np.uint64(1)).astype(np.int64) << w
-    return block["ids"][rows], score
+        for i in np.flatnonzero((s[place] >> bit) & np.uint64(1)).tolist():
+            score[i] += 1 << w
+    return list(zip(score, block["ids"][rows].tolist(), strict=True))
 
 
-def quantised(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """(id, q): components as floor(scale * x). Rows with a null id, a null vector or a component that is null or not finite go."""
+def finite_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, x) of the rows with an id and a vector of which no component is null or not finite."""
     x = F.col(vector_col).cast("array<double>")
-    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e12))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("q"))
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+
+
+def matrix(lists, dims: int):
+    """An Arrow array of lists of doubles as a matrix; shorter lists are filled with zeros."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    out = np.zeros((len(size), dims))
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.asarray(lists.flatten())
+    return out
+
 
+def build_index(rows: DataFrame, dims: int, scale: float, block_rows: int) -> str:
+    """Write the sliced blocks of `rows` (id, x) as files, each from rows of one partition; returns the folder of the manifest
+    (a table with the block files). A task that is run again writes under new names; the manifest names finished tasks' files."""
+    spark = rows.sparkSession
+    folder = fresh_dir(spark, "slices")
 
-def _blocks(rows: DataFrame, label: str, size: int, dims: int) -> tuple[DataFrame, int]:
-    """One row per block of about `size` rows: block, ids and vectors as flat binaries; shorter vectors are filled with zeros."""
-    count = max(1, -(-rows.count() // size))
-    numbered = rows.withColumn("block", (F.monotonically_increasing_id() % count).cast("int"))
+    def build(batches: Iterator) -> Iterator:
+        import uuid
 
-    def pack(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        def save(ids, parts):
+            path = f"{folder}/blocks/{uuid.uuid4().hex}"
+            save_block(build_block(np.concatenate(ids), quantise(np.concatenate(parts), scale)), path)
+            return pa.RecordBatch.from_pydict({"file": [path]})
+
+        ids, parts, held = [], [], 0
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                x = np.zeros((len(r["rows"]), dims), "<i8")
-                for i, row in enumerate(r["rows"]):
-                    x[i, : len(row["q"])] = row["q"]
-                out.append((r["block"], np.array([row["id"] for row in r["rows"]], "<i8").tobytes(), x.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "ids", "q"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids.append(np.asarray(part.column("id")))
+                parts.append(matrix(part.column("x"), dims))
+                held += part.num_rows
+                if held >= block_rows:
+                    yield save(ids, parts)
+                    ids, parts, held = [], [], 0
+        if held:
+            yield save(ids, parts)
+
+    rows.mapInArrow(build, "file string").write.parquet(f"{folder}/manifest")
+    return f"{folder}/manifest"
+
 
-    grouped = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "q")).alias("rows"))
-    return written(grouped.mapInArrow(pack, "block int, ids binary, q binary"), label), count
+def block_files(manifest: str) -> Iterator[str]:
+    """Paths of the blocks of a manifest folder, read in tasks."""
+    import pyarrow.parquet as pq
 
+    store, inner = file_system(manifest)
+    from pyarrow import fs
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32768, query_rows: int = 128) -> DataFrame:
+    for info in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            yield from pq.read_table(info.path, filesystem=store).column("file").to_pylist()
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32768, query_rows: int = 64) -> DataFrame:
     """The k highest integer inner products of each query over all rows but its own: query_id, rank, vec_id, score.
 
-    Ties go to the smaller id. Vectors that are null, hold null or non-finite components (or some of 1e12 or more) or have
-    a null id take no part; shorter vectors count as filled with zeros. Rows that repeat an id are all candidates, except
-    for queries of that id; a repeated query is answered once per distinct vector it has. Fewer than k candidates: all of
-    them. Empty tables: no rows. Blocks of queries meet blocks of the index; a task holds one pair of blocks at a time.
+    Ties go to the smaller id. Vectors that are null, hold null or non-finite components or have a null id take no part;
+    shorter vectors count as filled with zeros. Components and scores of any size are exact; a score that a long does not hold
+    is returned as the nearest long, in its true rank. Rows that repeat an id are all candidates, except for queries of that
+    id; a repeated query is answered once per distinct vector it has. Fewer than k candidates: all of them. Empty tables: no
+    rows.
+
+    The index is a table of block files. A task has some queries, opens one block after the other and keeps the k best of
+    each; blocks that cannot hold a better row are passed over. Nothing but the queries is shuffled, and only answers are returned.
     """
-    rows, asked = quantised(vectors, scale, id_col, vector_col), quantised(queries, scale, id_col, vector_col).distinct()
-    dims = max(rows.agg(F.max(F.size("q"))).first()[0] or 0, asked.agg(F.max(F.size("q"))).first()[0] or 0)
-    index, _ = _blocks(rows, "slices", block_rows, dims)
-    question, groups = _blocks(asked, "questions", query_rows, dims)
-    pairs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(
-        question.select(F.col("block").alias("group"), F.col("ids").alias("query_ids"), F.col("q").alias("query_q")), "group"
-    )
+    rows, asked = finite_vectors(vectors, id_col, vector_col), finite_vectors(queries, id_col, vector_col).distinct()
+    dims = max(rows.agg(F.max(F.size("x"))).first()[0] or 0, asked.agg(F.max(F.size("x"))).first()[0] or 0)
+    asked = written(asked, "questions")
+    manifest = build_index(rows, dims, scale, block_rows)
+    tasks = max(1, -(-asked.count() // query_rows))
 
     def search(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        built: dict[int, dict] = {}
+        files = None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["block"] not in built:
-                    ids = np.frombuffer(r["ids"], "<i8")
-                    built = {r["block"]: build_block(ids, np.frombuffer(r["q"], "<i8").reshape(len(ids), dims))}
-                block, asked_ids = built[r["block"]], np.frombuffer(r["query_ids"], "<i8")
-                asked_q = np.frombuffer(r["query_q"], "<i8").reshape(len(asked_ids), dims)
-                for n, (query_id, q) in enumerate(zip(asked_ids.tolist(), asked_q, strict=True)):
-                    ids, scores = search_block(block, q, query_id, k)
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([query_id] * len(ids), pa.int64()), "copy": pa.array([(r["group"] << 32) + n] * len(ids), pa.int64()), "vec_id": pa.array(ids), "score": pa.array(scores)})
-
-    found = pairs.repartition("block", "group").sortWithinPartitions("block").mapInArrow(search, "query_id long, copy long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for at in range(0, batch.num_rows, query_rows):
+                part = batch.slice(at, query_rows)
+                ids, asked_q = part.column("id").to_pylist(), quantise(matrix(part.column("x"), dims), scale)
+                best: list[list[tuple[int, int]]] = [[] for _ in ids]
+                files = files if files is not None else list(block_files(manifest))
+                for file in files:
+                    block = load_block(file)
+                    for n, (query_id, q) in enumerate(zip(ids, asked_q, strict=True)):
+                        if len(best[n]) < k or best_possible(block, q) >= best[n][-1][0]:
+                            best[n] = sorted(best[n] + search_block(block, q, query_id, k), key=lambda r: (-r[0], r[1]))[:k]
+                out = [(i, rank, vec, min(max(score, -(2**63)), 2**63 - 1)) for i, found in zip(ids, best, strict=True) for rank, (score, vec) in enumerate(found, 1)]
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "rank", "vec_id", "score"])
+
+    return asked.repartition(tasks).mapInArrow(search, "query_id long, rank int, vec_id long, score long")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
