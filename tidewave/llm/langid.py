@@ -5,24 +5,25 @@ all ways to cut it into pieces of the product of their probabilities, by a forwa
 over its words. Pieces are learned from labelled texts: one expectation step from equal probabilities (forward and
 backward sums give the expected use of each piece), added up per language.
 
-A word is a run without white space in lower case, after a word-start mark; runs of more than 32 code points are cut into
-words of 32 without the mark. Characters that no piece covers have one small probability in all languages.
+A word is a run without white space in lower case, after a word-start mark, however long it is. Characters that no piece
+covers have one small probability in all languages. Short words are summed as plain probabilities, many at a time; longer
+ones as logarithms, a bounded stretch at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewave.llm._common import table, worker_cache
-from tidewave.llm.vocab import unknown
 
-START, LONGEST, UNKNOWN = "▁", 32, 1e-7
-_LETTER = re.compile(r"[^\W\d_]")
+START, UNKNOWN = "▁", 1e-7
+SHORT = 32  # code points of words whose probability a double still holds
+STRETCH = 20_000  # positions of a long word at a time
 
 
 class PieceTable:
@@ -39,7 +40,7 @@ class PieceTable:
         known: dict[int, dict[int, int]] = {}
         for n, piece in enumerate(pieces):
             h = 0
-            for k, c in enumerate(piece[:LONGEST], 1):
+            for k, c in enumerate(piece, 1):
                 h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
                 at = known.setdefault(k, {})
                 at[h] = n if k == len(piece) else at.get(h, -1)
@@ -47,6 +48,7 @@ class PieceTable:
         for k in sorted(known):
             keys = np.array(sorted(known[k]), np.uint64)
             self.levels.append((keys, np.array([known[k][int(x)] for x in keys], np.int64)))
+        self.longest = len(self.levels)
 
     def edges(self, words: list[str]):
         """All pieces in all words: word, begin, end, piece (-1: an unknown character); and the words' lengths."""
@@ -83,28 +85,62 @@ def forward(edges, prob, backward: bool = False):
     import numpy as np
 
     word, begin, end, piece, length = edges
-    source, goal = (end, begin) if backward else (begin, end)
     alpha = np.zeros((len(length), int(length.max(initial=0)) + 1, prob.shape[1]))
     alpha[np.arange(len(length)), length if backward else 0] = 1.0
+    _sweep(alpha, word, *((end, begin) if backward else (begin, end)), prob[piece], np.multiply, np.add, backward)
+    return alpha
+
+
+def _sweep(alpha, word, source, goal, p, along, joined, backward: bool) -> None:
+    """Fill alpha position by position: what stands at the sources of all edges to a position, `along` p, `joined`."""
+    import numpy as np
+
     order = np.lexsort((word, -goal if backward else goal))
-    word, source, goal, p = word[order], source[order], goal[order], prob[piece[order]]
+    word, source, goal, p = word[order], source[order], goal[order], p[order]
     cut = np.flatnonzero(np.concatenate([[True], (goal[1:] != goal[:-1]) | (word[1:] != word[:-1])])) if len(goal) else np.zeros(0, np.int64)
     level = np.flatnonzero(np.concatenate([[True], np.diff(goal[cut]) != 0])) if len(cut) else cut
     for a, b in zip(level, [*level[1:], len(cut)], strict=True):
         rows = slice(cut[a], cut[b] if b < len(cut) else len(goal))
-        flow = alpha[word[rows], source[rows]] * p[rows]
-        alpha[word[cut[a:b]], goal[cut[a]]] = np.add.reduceat(flow, cut[a:b] - cut[a], axis=0)
-    return alpha
+        flow = along(alpha[word[rows], source[rows]], p[rows])
+        alpha[word[cut[a:b]], goal[cut[a]]] = joined.reduceat(flow, cut[a:b] - cut[a], axis=0)
 
 
-def text_words(text: str) -> list[str]:
-    return text.lower().split()
+def long_forward(pieces: PieceTable, word: str, prob, backward: bool = False, keep: bool = False):
+    """Like `forward` for one word of any length, as logarithms: of the whole word, or with `keep` at every position.
+
+    Stretches of the word are taken in turn; the last positions of one, as many as a piece is long, start the next.
+    """
+    import numpy as np
 
+    n, reach, log = len(word), pieces.longest, np.log(prob)
+    carry, all_ = np.zeros((1, prob.shape[1])), []  # what is known at the last positions, in order of the sweep
+    for done in range(0, n, STRETCH):
+        step, known = min(STRETCH, n - done), len(carry) - 1
+        lo, hi = (done - known, done + step) if not backward else (n - done - step, n - done + known)
+        w, begin, end, piece, _ = pieces.edges([word[lo:hi]])
+        size = hi - lo
+        alpha = np.full((1, size + 1, prob.shape[1]), -np.inf)
+        if backward:
+            alpha[0, size - known :] = carry[::-1]
+            new = begin < size - known
+            _sweep(alpha, w[new], end[new], begin[new], log[piece[new]], np.add, np.logaddexp, True)
+            swept = alpha[0, ::-1]
+        else:
+            alpha[0, : known + 1] = carry
+            new = end > known
+            _sweep(alpha, w[new], begin[new], end[new], log[piece[new]], np.add, np.logaddexp, False)
+            swept = alpha[0]
+        if keep:
+            all_.append(swept[known + (done > 0) :] if done else swept)
+        carry = swept[-(reach + 1) :].copy()
+    if not keep:
+        return carry[-1]
+    whole = np.concatenate(all_) if all_ else carry
+    return whole[::-1] if backward else whole
 
-def units(word: str) -> list[str]:
-    """What a word is scored as: itself after the start mark, or runs of LONGEST code points."""
-    marked = START + word
-    return [marked] if len(marked) <= LONGEST else [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
+
+def text_words(text: str) -> list[str]:
+    return text.lower().split()
 
 
 def pieces_of(path: str) -> PieceTable:
@@ -114,7 +150,7 @@ def pieces_of(path: str) -> PieceTable:
 class WordScorer:
     """Log-probabilities of words per language, remembered for at most `cap` words."""
 
-    def __init__(self, pieces: PieceTable, prob, cap: int = 300_000):
+    def __init__(self, pieces: PieceTable, prob, cap: int = 120_000):
         import numpy as np
 
         self.pieces, self.prob, self.cap = pieces, prob, cap
@@ -127,15 +163,17 @@ class WordScorer:
             self.memo, self.scores = {}, self.scores[:0]
         for at in range(0, len(words), 8_000):
             part = words[at : at + 8_000]
-            cut = [units(w) for w in part]
-            flat = [u for us in cut for u in us]
-            edges = self.pieces.edges(flat)
+            marked = list(map(START.__add__, part))
+            short = np.fromiter(map(len, marked), np.int64, len(part)) <= SHORT
+            total = np.zeros((len(part), self.prob.shape[1]))
+            edges = self.pieces.edges([w for w, s in zip(marked, short.tolist(), strict=True) if s])
             alpha = forward(edges, self.prob)
-            total = np.log(np.maximum(alpha[np.arange(len(flat)), edges[4]], 1e-300))
-            first = np.concatenate([[0], np.cumsum([len(us) for us in cut])[:-1]])
+            total[short] = np.log(np.maximum(alpha[np.arange(len(edges[4])), edges[4]], 1e-300))
+            for i in np.flatnonzero(~short).tolist():
+                total[i] = long_forward(self.pieces, marked[i], self.prob)
             base = len(self.memo)
             self.memo.update(zip(part, range(base, base + len(part)), strict=True))
-            self.scores = np.concatenate([self.scores, np.add.reduceat(total, first, axis=0)])
+            self.scores = np.concatenate([self.scores, total])
 
     def texts(self, texts: list[str]):
         """Log-probability of each text in each language."""
@@ -147,7 +185,7 @@ class WordScorer:
             seen.update(w)
         if len(self.memo) + len(seen) > self.cap:
             self.memo, self.scores = {}, self.scores[:0]
-        self.learn(unknown(seen, self.memo))
+        self.learn([w for w in seen if w not in self.memo])
         out = np.zeros((len(texts), self.prob.shape[1]))
         for i, w in enumerate(words):
             if w:
@@ -160,11 +198,11 @@ def expected_counts(pieces: PieceTable, counts: Counter) -> "object":
     import numpy as np
 
     total = np.zeros(pieces.size + 1)
-    prob = np.full((pieces.size + 1, 1), 1.0 / pieces.size)
-    prob[-1] = UNKNOWN
-    words = list(counts)
-    for at in range(0, len(words), 8_000):
-        flat = [(u, counts[w]) for w in words[at : at + 8_000] for u in units(w)]
+    prob = background(pieces)
+    marked = [(START + w, n) for w, n in counts.items()]
+    short = [(w, n) for w, n in marked if len(w) <= SHORT]
+    for at in range(0, len(short), 8_000):
+        flat = short[at : at + 8_000]
         edges = pieces.edges([u for u, _ in flat])
         word, begin, end, piece, length = edges
         alpha, beta = forward(edges, prob), forward(edges, prob, backward=True)
@@ -172,9 +210,26 @@ def expected_counts(pieces: PieceTable, counts: Counter) -> "object":
         weight = np.array([n for _, n in flat], float)
         use = alpha[word, begin, 0] * prob[piece, 0] * beta[word, end, 0] / np.maximum(z[word], 1e-300) * weight[word]
         np.add.at(total, piece, use)
+    for w, n in marked:
+        if len(w) > SHORT:
+            alpha, beta = long_forward(pieces, w, prob, keep=True)[:, 0], long_forward(pieces, w, prob, backward=True, keep=True)[:, 0]
+            for at in range(0, len(w), STRETCH):  # pieces that begin in this stretch
+                _, begin, end, piece, _ = pieces.edges([w[at : at + STRETCH + pieces.longest]])
+                mine = begin < STRETCH
+                begin, end, piece = begin[mine] + at, end[mine] + at, piece[mine]
+                np.add.at(total, piece, np.exp(alpha[begin] + np.log(prob[piece, 0]) + beta[end] - alpha[-1]) * n)
     return total
 
 
+def background(pieces: PieceTable):
+    """Probabilities of a text of no language: all pieces equally likely."""
+    import numpy as np
+
+    prob = np.full((pieces.size + 1, 1), 1.0 / pieces.size)
+    prob[-1] = UNKNOWN
+    return prob
+
+
 def train(docs: DataFrame, vocabulary: str, sample_rows: int = 20_000) -> dict:
     """Languages and their piece probabilities, from rows of `docs` (doc_id, text, lang) with both text and lang.
 
@@ -214,39 +269,49 @@ def train(docs: DataFrame, vocabulary: str, sample_rows: int = 20_000) -> dict:
     return {"languages": languages, "prob": prob, "vocabulary": vocabulary}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of `docs` with lang_pred (string) and score (probability among the languages, 0 to 1).
+def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """All columns of `docs` with three more: the language (string), its probability among the languages (0 to 1), and fit:
+    how much more likely a character of the text is in that language than where all pieces are equally likely (mean logarithm).
 
-    Columns of these names are replaced. `und` with score 0 where the text is null or has no letter, or nothing was learned. Only `text` is read to predict.
+    Columns of `docs` that have one of the `names` are replaced. `und` with score 0 and fit null where the text is null or has
+    no letter, or nothing was learned. Only `text` is read to predict. Repeated rows get equal results; an empty table gives
+    no rows.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).cast("double").alias(names[2])).schema
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from tidewave.llm import langid, vocab
+        from tidewave.llm import langid
         from tidewave.llm._common import worker_cache
+        from tidewave.llm.chunks import text_slices
 
         m = shared.value
-        names = m["languages"]
-        scorer = worker_cache(("scorer", hash(m["prob"].tobytes())), lambda: langid.WordScorer(langid.PieceTable(m["vocabulary"]), m["prob"]))
+        languages = m["languages"]
+
+        def make():
+            pieces = langid.PieceTable(m["vocabulary"])
+            return langid.WordScorer(pieces, np.concatenate([m["prob"], langid.background(pieces)], axis=1))
+
+        scorer = worker_cache(("scorer", hash(m["prob"].tobytes())), make)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            pred, score = [], []
-            for a, b in vocab.slices(texts, 2_000_000):
-                log = scorer.texts(texts[a:b]) if names else np.zeros((b - a, 0))
-                for text, row in zip(texts[a:b], log, strict=True):
-                    if not names or not langid._LETTER.search(text):
-                        pred.append("und")
-                        score.append(0.0)
-                    else:
+            column = batch.column("text").cast(pa.string()).fill_null("")
+            for a, b in text_slices(column, 2 << 20):
+                texts = column.slice(a, b - a).to_pylist()
+                pred, score, fit = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+                log = scorer.texts(texts)
+                for i, text in enumerate(texts):
+                    if languages and any(map(str.isalpha, text)):
+                        row = log[i, :-1]
                         best = int(row.argmax())
-                        pred.append(names[best])
-                        score.append(float(1.0 / np.exp(row - row[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                        pred[i], score[i] = languages[best], float(1.0 / np.exp(row - row[best]).sum())
+                        fit[i] = float(row[best] - log[i, -1]) / len(text)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
