@@ -3,9 +3,10 @@
 Fingerprints of whole texts are made in one pass. Two of them within r bits agree on at least B - r of B blocks of their
 bits, so every distinct fingerprint goes to one shard per choice of B - r blocks, keyed by those bits. In a shard a BK-tree
 is built (children keyed by integer Hamming distance to the parent) and every member searches it, following only edges
-within the radius of its distance. A shard tree is shuffled to the task that needs it, never through the driver. A shard of
-more than `chunk_rows` members is split into chunks, and each pair of chunks is a tree of its own, so one huge group of
-near copies is spread over tasks. A tree emits a spanning forest of its links, not the links, and components follow.
+within the radius of its distance. A shard tree is shuffled to the task that needs it, never through the driver. Members of
+crowded shards are sharded anew by more and smaller blocks. On the finest level a shard agrees in all but 12 bits, so it has
+at most 4096 members: one huge group of near copies is spread over many small trees, and work grows in proportion to the
+rows. A tree emits a spanning forest of its links, not the links, and components follow.
 """
 
 from __future__ import annotations
@@ -37,11 +38,10 @@ def shingle_hashes(text: str, shingle: int = 3, seed: int = 42):
     return np.array([digest(joined[a:b], seed) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)], "<u8")
 
 
-def text_fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the shingles of a text (none: 0): a bit is set if it is in over half the XXH64 values."""
+def fingerprint_of(h) -> int:
+    """64-bit SimHash of an array of 64-bit hashes (none: 0): a bit is set if it is in over half of them."""
     import numpy as np
 
-    h = shingle_hashes(text, shingle, seed)
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -50,6 +50,11 @@ def text_fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
+def text_fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the XXH64 values of the shingles of a text."""
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (64 bits as a long) of every row; null texts count as empty and get 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -61,8 +66,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         from tidewave.llm.simhash import text_fingerprint
 
         for batch in batches:
-            fp = np.array([text_fingerprint(t, shingle) for t in batch.column("text").to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                fp = np.array([text_fingerprint(t, shingle) for t in part.column("text").to_pylist()], "<u8").view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, "doc_id long, fp long")
 
@@ -105,18 +112,20 @@ def tree_forest(tree, fp, radius: int):
     order = np.argsort(key, kind="stable")
     child, key = child[order], key[order]
 
-    left, right = [], []
-    q, x = np.arange(n), first
-    while len(q):
-        d = distance(q, x)
-        hit = (d <= radius) & (q != x)
-        left.append(q[hit])
-        right.append(x[hit])
-        lo, hi = np.searchsorted(key, x * 65 + np.maximum(d - radius, 0)), np.searchsorted(key, x * 65 + np.minimum(d + radius, 64), side="right")
-        many = hi - lo
-        q = np.repeat(q, many)
-        x = child[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(q) else q
-    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin in range(0, n, 1024):  # so many searches at a time
+        q = np.arange(begin, min(begin + 1024, n))
+        x = first[q]
+        while len(q):
+            d = distance(q, x)
+            hit = (d <= radius) & (q != x)
+            left.append(q[hit])
+            right.append(x[hit])
+            lo, hi = np.searchsorted(key, x * 65 + np.maximum(d - radius, 0)), np.searchsorted(key, x * 65 + np.minimum(d + radius, 64), side="right")
+            many = hi - lo
+            q = np.repeat(q, many)
+            x = child[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(q))] if len(q) else q
+    a, b = np.concatenate(left), np.concatenate(right)
     label = np.arange(n)
     while True:
         was = label.copy()
@@ -129,15 +138,8 @@ def tree_forest(tree, fp, radius: int):
     return linked, label[linked]
 
 
-def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 5, chunk_rows: int = 512) -> DataFrame:
-    """Links (fp_a, fp_b) that connect the distinct fingerprints `fp` just as all pairs within `radius` bits would."""
-    shards = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(block_masks(blocks, radius))])).alias("s"))
-    shards = written(shards.select("fp", "s.t", "s.v"), "shards")
-    sizes = shards.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
-    member = shards.join(sizes, ["t", "v"]).withColumn("m", F.ceil(F.col("n") / chunk_rows).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
-    placed = member.withColumn("c", mine).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    keyed = placed.select("fp", F.xxhash64("t", "v", F.least("c", "x"), F.greatest("c", "x")).alias("tree"), "t", "v")
+def tree_links(members: DataFrame, radius: int) -> DataFrame:
+    """Links (fp_a, fp_b) of the trees of `members` (tree, fp): all rows of a tree meet in one task, trees follow each other."""
 
     def link(batches: Iterator) -> Iterator:
         import numpy as np
@@ -145,21 +147,44 @@ def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 5, chunk_rows
 
         from tidewave.llm.simhash import tree_forest
 
-        got = [(np.asarray(b.column("tree")), np.asarray(b.column("fp"))) for b in batches]
-        if not got:
-            return
-        tree, fp = (np.concatenate(v) for v in zip(*got, strict=True))
-        starts = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(tree)]]))
-        at = 0
-        while at < len(starts):  # so many whole trees that their pairs stay within bounds
-            stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:].astype(np.int64) ** 2), 2_000_000)))
-            a, b = starts[at], starts[stop] if stop < len(starts) else len(tree)
-            left, right = tree_forest(tree[a:b], fp[a:b], radius)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a:b][left]), pa.array(fp[a:b][right])], ["fp_a", "fp_b"])
-            at = stop
-
-    return keyed.repartition("tree").sortWithinPartitions("tree").select("tree", "fp").mapInArrow(link, "fp_a long, fp_b long")
+        def links(tree, fp):
+            left, right = tree_forest(tree, fp, radius)
+            return pa.RecordBatch.from_arrays([pa.array(fp[left]), pa.array(fp[right])], ["fp_a", "fp_b"])
+
+        tree, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            tree, fp = np.concatenate([tree, np.asarray(batch.column("tree"))]), np.concatenate([fp, np.asarray(batch.column("fp"))])
+            whole = int(np.searchsorted(tree == tree[-1], True)) if len(tree) else 0  # the last tree may go on
+            if whole:
+                yield links(tree[:whole], fp[:whole])
+                tree, fp = tree[whole:], fp[whole:]
+        if len(tree):
+            yield links(tree, fp)
+
+    return members.repartition("tree").sortWithinPartitions("tree").select("tree", "fp").mapInArrow(link, "fp_a long, fp_b long")
+
+
+def near_links(distinct: DataFrame, radius: int = 3, extra: tuple[int, ...] = (2, 5, 13), most: int = 2048) -> DataFrame:
+    """Links (fp_a, fp_b) that connect the distinct fingerprints `fp` just as all pairs within `radius` bits would.
+
+    Per level there are `radius` + `extra` blocks. Shards of more than `most` members are left to the next level: two members
+    within the radius share a shard there as well. The last level takes all shards.
+    """
+    links, left = None, distinct.select("fp")
+    for level, more in enumerate(extra):
+        masks = enumerate(block_masks(radius + more, radius))
+        spread = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in masks]))
+        shards = written(left.select("fp", spread.alias("s")).select("fp", "s.t", "s.v"), "shards")
+        sizes = shards.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
+        member = shards.join(sizes, ["t", "v"])
+        last = level == len(extra) - 1
+        found = tree_links((member if last else member.where(F.col("n") <= most)).select("fp", F.xxhash64("t", "v").alias("tree")), radius)
+        links = found if links is None else links.union(found)
+        if not last:
+            left = written(member.where(F.col("n") > most).select("fp").distinct(), "crowded")
+            if left.isEmpty():
+                break
+    return links
 
 
 def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:

@@ -1,11 +1,12 @@
 """Near copies by the Jaccard similarity of shingle sets, without loss.
 
-A radius of SimHash bits that reaches a similarity of 0.8 has no sharp end, so candidates come from prefixes instead: with
-the shingles of every set in one common order, two sets of similarity t or more share one of the first n - ceil(t n) + 1.
-Rare shingles come first (a sample tells which are common; the order only has to be the same for all sets), so that few
-unlike texts meet. Candidates are confirmed by their whole sets. Texts of one prefix shingle are first compared with one of
-them, round by round, and joined into groups; only texts of different groups are then compared in pairs, so that a large
-group of near copies does not cost all its pairs.
+First SimHash fingerprints of the same shingles are linked through the BK-trees of `simhash`; links whose sets are similar
+enough join texts into groups. A radius of bits that reaches every pair of similarity 0.8 has no sharp end, so the pairs that
+are still apart come from prefixes: with the shingles of every set in one common order, two sets of similarity t or more
+share one of the first n - ceil(t n) + 1. Rare shingles come first (a sample tells which are common; the order only has to be
+the same for all sets), so that few unlike texts meet. All candidates are confirmed by their whole sets. Texts of one prefix
+shingle are first compared with one of them, round by round, and joined into groups; only texts of different groups are then
+compared in pairs, so that a large group of near copies does not cost all its pairs.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 
 from tidewave.llm._common import text_or_empty, written
 from tidewave.llm.graph import components
+from tidewave.llm.simhash import near_links
 
 #: Similarity of linked texts, as a fraction.
 OVER, UNDER = 4, 5
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, s (hash of the set), n and shingles (ascending, distinct) of every row; null texts count as empty."""
+    """doc_id, s (hash of the set), fp (SimHash of the set), n and shingles (ascending, distinct) of every row; null texts count
+    as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def run(batches: Iterator) -> Iterator:
@@ -31,19 +34,20 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        from tidewave.llm.simhash import shingle_hashes
+        from tidewave.llm.simhash import fingerprint_of, shingle_hashes
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column("text").to_pylist()]
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
+                fp = np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")
                 n = np.array([len(x) for x in sets], np.int32)
                 flat = np.concatenate(sets).view("<i8")
                 arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(n), arrays], ["doc_id", "s", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(fp), pa.array(n), arrays], ["doc_id", "s", "fp", "n", "shingles"])
 
-    return rows.mapInArrow(run, "doc_id long, s long, n int, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, s long, fp long, n int, shingles array<long>")
 
 
 def common_shingles(known: DataFrame, sample_rows: int = 20_000, most: int = 200_000) -> tuple:
@@ -91,15 +95,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(UNDER * both >= OVER * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
+def fingerprint_pairs(sets: DataFrame, radius: int = 3) -> DataFrame:
+    """Candidates (a, b) among sets (s, fp): those of one fingerprint with its least, and the leasts of linked fingerprints."""
+    least = written(sets.groupBy("fp").agg(F.min("s").alias("least")), "distinct")
+    same = sets.join(least, "fp").select(F.col("least").alias("a"), F.col("s").alias("b"))
+    of = lambda fp, s: least.select(F.col("fp").alias(fp), F.col("least").alias(s))
+    near = near_links(least, radius).join(of("fp_a", "a"), "fp_a").join(of("fp_b", "b"), "fp_b").select("a", "b")
+    return same.union(near).where("a <> b")
+
+
 def similar_sets(known: DataFrame, stars: int = 2) -> DataFrame:
-    """s, label of the sets of `known` (s, n, shingles) that have candidates: connected just as all pairs of similarity
+    """s, label of the sets of `known` (s, fp, n, shingles) that have candidates: connected just as all pairs of similarity
     OVER / UNDER or more would connect them."""
     found = written(prefixes(known, common_shingles(known)), "prefixes")
     several = found.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t")
     lists = written(found.join(several, "t").distinct(), "lists")
-    sets = known.join(lists.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = known.join(lists.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     sets = written(sets, "sets")
-    labels = sets.select("s", F.col("s").alias("label"))
+    joined = components(confirmed(fingerprint_pairs(sets), sets))
+    labels = written(sets.select("s").join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("label", "s").alias("label")), "labels")
     for k in range(stars + 1):
         member = lists.join(labels, "s")
         mixed = member.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), "s", "n", "label")).alias("x")).where("lo <> hi")
