@@ -8,6 +8,8 @@ i and i + 32.
 
 from __future__ import annotations
 
+import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,30 +56,44 @@ def near_fingerprints(queries: DataFrame, known: DataFrame, radius: int = 3, blo
     return a.join(b, near).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("near_fp"))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 500, most_buckets: int = 4096) -> DataFrame:
+def _bucket(at: Column, cuts: list[tuple[bool, int | None, int]]) -> Column:
+    """How many of the ascending keys `cuts` are not after the key `at`; found among about sqrt(n) of them, twice."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    kind = "struct<known: boolean, doc_id: bigint, h: bigint>"
+    rows = lambda keys: [{"known": k, "doc_id": i, "h": h} for k, i, h in keys]
+    literal = lambda value, of: F.from_json(F.lit(json.dumps(value)), f"array<{of}>")
+    passed = lambda keys: F.size(F.filter(keys, lambda c: c <= at))
+    group = passed(literal(rows(g[0] for g in groups), kind))
+    within = passed(F.get(literal([rows(g) for g in groups], f"array<{kind}>"), group - 1))
+    return F.when(group == 0, 0).otherwise((group - 1) * width + within)
+
+
+def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows of `docs` (doc_id, text) in ascending doc_id order with the text that follows: bucket, n (place in the bucket),
-    own (false for the copy of the next bucket's first row that closes a bucket), doc_id, text, next_text.
+    own (false for copies of the next bucket's first row that close a bucket), doc_id, text, next_text.
 
-    The order is cut into buckets at quantiles of doc_id. The first rows of the buckets, at most `most_buckets`, are the only
-    rows whose keys the driver sees. Null ids come first; ties go by the text's hash, then the text. The last row is followed
-    by the first. Null texts are empty.
+    The order is cut into buckets (eight to a shuffle partition) at keys that Spark's range partitioning of the keys finds;
+    one key per bucket is all that the driver sees. Null ids come first; ties go by the text's hash, then the text, so rows
+    that share an id fall into many buckets; only rows that repeat both id and text meet in one. The last row is followed by
+    the first. Null texts are empty.
     """
+    spark = docs.sparkSession
+    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    total = docs.count()
-    parts = min(most_buckets, max(1, total // bucket_rows))
-    cuts = (docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first()["c"] or []) if parts > 1 else []
-    cuts = sorted({*cuts})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"))
-    keyed = rows.withColumn("bucket", bucket).withColumn("at", place)
-    heads = sorted((r["bucket"], *r["first"]) for r in keyed.groupBy("bucket").agg(F.min("at").alias("first")).collect())
-    before = {h[1:]: heads[i - 1][0] for i, h in enumerate(heads)}
-    if before:
-        known = docs.sparkSession.createDataFrame([(*k, b) for k, b in before.items()], "known boolean, id long, h long, previous int")
-        ends = keyed.join(F.broadcast(known), F.col("at.doc_id").eqNullSafe(F.col("id")) & (F.col("at.h") == known["h"])).select("doc_id", "text", F.col("previous").alias("bucket"), F.lit(False).alias("own"), "at")
-        keyed = keyed.select("doc_id", "text", "bucket", F.lit(True).alias("own"), "at").union(ends)
-    else:
-        keyed = keyed.select("doc_id", "text", "bucket", F.lit(True).alias("own"), "at")
+    keyed = rows.withColumn("at", place)
+    ranged = keyed.select("at.known", "at.doc_id", "at.h").repartitionByRange(buckets, "known", "doc_id", "h")
+    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("known", "doc_id", "h")).alias("first")).collect()
+    heads = sorted({tuple(r["first"]) for r in found}, key=lambda k: (k[0], k[1] or 0, k[2]))
+    keyed = keyed.withColumn("bucket", _bucket(F.col("at"), heads[1:]))
+    before = [(*head, (i - 1) % len(heads)) for i, head in enumerate(heads)]
+    known = spark.createDataFrame(before, "known boolean, id long, h long, previous int")
+    ends = keyed.join(F.broadcast(known), F.col("at.doc_id").eqNullSafe(F.col("id")) & (F.col("at.h") == known["h"]))
+    ends = ends.select("doc_id", "text", F.col("previous").alias("bucket"), F.lit(False).alias("own"), "at")
+    keyed = keyed.select("doc_id", "text", "bucket", F.lit(True).alias("own"), "at").union(ends)
     order = Window.partitionBy("bucket").orderBy(F.desc("own"), "at", "text")
     return keyed.select("bucket", F.row_number().over(order).alias("n"), "own", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
@@ -110,11 +126,14 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and their edited texts; near_count for documents whose doc_id is divisible by 100."""
+    """Fingerprints of all documents and their edited texts; near_count, for documents whose doc_id is divisible by 100, is how
+    many other documents have a fingerprint within 3 bits."""
     known = written(edited_likeness(table(spark, sf_dir, "documents")), "fingerprints")
-    asked = known.where("doc_id % 100 = 0")
-    counts = near_fingerprints(asked, known).groupBy("fp").agg(F.count("*").alias("found"))
-    return known.join(counts, "fp", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 100 == 0, F.coalesce("found", F.lit(0))).alias("near_count"))
+    asked = known.where("doc_id % 100 = 0").select("fp").distinct()
+    sizes = known.groupBy("fp").agg(F.count("*").alias("rows"))
+    near = near_fingerprints(asked, sizes).union(asked.select("fp", F.col("fp").alias("near_fp")))
+    counts = near.join(sizes.withColumnRenamed("fp", "near_fp"), "near_fp").groupBy("fp").agg((F.sum("rows") - 1).alias("found"))
+    return known.join(counts, "fp", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 100 == 0, F.col("found")).alias("near_count"))
 
 
 QUERIES = {"op9_fingerprints": op9_fingerprints}
