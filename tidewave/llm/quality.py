@@ -13,11 +13,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm._common import table, text_or_empty, worker_cache, written
-from tidewave.llm.vocab import unknown
+from tidewave.llm.chunks import text_slices
 
 
 def word_shape(word: str) -> str:
@@ -37,8 +37,8 @@ def ngram_buckets(text: str, bits: int = 13):
 
     words = text.split()
     _words = worker_cache("word codes", dict)
-    new = unknown({*words}, _words)
-    if len(_words) + len(new) > 400_000:
+    new = {w for w in words if w not in _words}
+    if len(_words) + len(new) > 150_000:
         _words.clear()
         new = {*words}
     code = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 2
     share = min(1 << 20, -(-sample_rows * (1 << 20) // n))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("label sample")), F.lit(1 << 20)) < share).select(F.col("doc_id").alias("_label_id"), ((F.col("good") == 1) & (F.col("bad") == 0)).alias("_target"), "good")
     sample = written(sample, "labels")
-    good = sample.agg(F.avg("good")).first()[0]
+    good = sample.agg(F.avg(F.col("_target").cast("int"))).first()[0]
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample.where("_target").select("_label_id", "_target")), F.col("doc_id") == F.col("_label_id"), "left").select("text", F.coalesce("_target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator) -> Iterator:
@@ -80,14 +80,12 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 2
 
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for text, is_target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                got = np.bincount(ngram_buckets(text, bits), minlength=1 << bits) if len(text) > 200_000 else None
-                b = ngram_buckets(text, bits) if got is None else None
-                for into in (raw, target)[: 1 + is_target]:
-                    if got is None:
-                        np.add.at(into, b, 1)
-                    else:
-                        into += got
+            for a, b in text_slices(batch.column("text"), 2 << 20):
+                wanted = batch.column("target").slice(a, b - a).to_pylist()
+                got = [ngram_buckets(t, bits) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                raw += np.bincount(np.concatenate(got), minlength=1 << bits)
+                for buckets in (x for x, is_target in zip(got, wanted, strict=True) if is_target):
+                    target += np.bincount(buckets, minlength=1 << bits)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
 
@@ -104,11 +102,16 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 2
     return {"ratio": ratio, "share": float(good), "bits": bits}
 
 
+def text_hash(text: Column) -> Column:
+    """What tells texts of one doc_id apart; null and empty texts are alike."""
+    return F.xxhash64(text_or_empty(text))
+
+
 def score(docs: DataFrame, model: dict, seed: int = 7) -> DataFrame:
-    """doc_id, row_key (hash of id and text), log_ratio, ngrams and sample_key (log ratio plus Gumbel noise) of every row."""
+    """doc_id, text_hash, log_ratio, ngrams and sample_key (log ratio plus Gumbel noise, a function of doc_id) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_hash(F.col("text")).alias("text_hash"), (-F.log(-F.log(uniform))).alias("noise"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -118,11 +121,16 @@ def score(docs: DataFrame, model: dict, seed: int = 7) -> DataFrame:
 
         m = shared.value
         for batch in batches:
-            got = [ngram_buckets(t, m["bits"]) for t in batch.column("text").to_pylist()]
-            log = np.array([m["ratio"][b].sum() for b in got])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(log, pa.float64()), pa.array([len(b) for b in got], pa.int64()), pa.array(log + np.asarray(batch.column("noise")), pa.float64())], ["doc_id", "log_ratio", "ngrams", "sample_key"])
+            log, ngrams = [], []
+            for a, b in text_slices(batch.column("text"), 2 << 20):
+                for t in batch.column("text").slice(a, b - a).to_pylist():
+                    buckets = ngram_buckets(t, m["bits"])
+                    log.append(m["ratio"][buckets].sum())
+                    ngrams.append(len(buckets))
+            log = np.array(log, float)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(log), pa.array(ngrams, pa.int64()), pa.array(log + np.asarray(batch.column("noise")), pa.float64())], ["doc_id", "text_hash", "log_ratio", "ngrams", "sample_key"])
 
-    return rows.mapInArrow(run, "doc_id long, log_ratio double, ngrams long, sample_key double")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, log_ratio double, ngrams long, sample_key double")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, enough: int = 5000) -> float:
@@ -148,7 +156,7 @@ def kth_largest(rows: DataFrame, column: str, k: int, enough: int = 5000) -> flo
 
 
 def select(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """doc_id, log_ratio, sample_key and keep of every row of `docs` (doc_id, text).
+    """doc_id, text_hash, log_ratio, sample_key and keep of every row of `docs` (doc_id, text).
 
     keep: sample_key is at least the k-th largest; rows tied with it all stay. Null texts count as empty, and texts without
     words have no n-grams: they are not kept and do not count. Repeated rows have equal keys. Without labels all rows with
@@ -160,7 +168,7 @@ def select(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Dat
     expected = use.agg(F.sum(F.least(F.lit(1.0), F.lit(model["share"]) * F.exp(F.least("log_ratio", F.lit(50.0))))), F.count("*")).first()
     k = min(expected[1], round(expected[0] or 0)) if model["ratio"].any() else expected[1]
     bar = kth_largest(use, "sample_key", k) if k else float("inf")
-    return scored.select("doc_id", "log_ratio", "sample_key", ((F.col("ngrams") > 0) & (F.col("sample_key") >= F.lit(bar))).alias("keep"))
+    return scored.select("doc_id", "text_hash", "log_ratio", "sample_key", ((F.col("ngrams") > 0) & (F.col("sample_key") >= F.lit(bar))).alias("keep"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

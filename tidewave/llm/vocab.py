@@ -120,20 +120,3 @@ class ChunkEncoder:
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per Python worker and vocabulary; workers live through many tasks."""
     return worker_cache(("encoder", path), lambda: ChunkEncoder(path))
-
-
-def unknown(found: set[str], memo: dict) -> list[str]:
-    """What of `found` is not in `memo`; unlike a difference with memo.keys(), its time does not grow with the memo."""
-    return [x for x in found if x not in memo]
-
-
-def slices(texts: list[str], chars: int = 1_000_000):
-    """Index ranges of at most about `chars` code points (at least one text each)."""
-    at, total = 0, 0
-    for i, text in enumerate(texts):
-        if i > at and total + len(text) > chars:
-            yield at, i
-            at, total = i, 0
-        total += len(text)
-    if at < len(texts):
-        yield at, len(texts)
