@@ -1,7 +1,10 @@
 """Each operator against a brute-force version on small hand-made tables: nulls, empties, ties, repeats, clashing names."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -236,6 +239,15 @@ def test_top_k(spark):
     assert got == want
     few = vectors.where("vec_id < 3")
     assert bitslice.top_k(few, few, k=7).count() == 6
+    large = [(i, [float(x) for x in v]) for i, v in enumerate([(2e12, 1.0), (-3e12, 2.0), (1e15, -1e15), (1.0, 1.0), (5e17, 1.0), (1e300, 3.0), (0.5, 7.0), (1.5e308, -1e308)])]
+    big = spark.createDataFrame(large, "vec_id long, embedding array<double>").repartition(2)
+    got = [tuple(r) for r in bitslice.top_k(big, big, k=4, block_rows=3).orderBy("query_id", "rank").collect()]
+    q = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in large}
+    want = []
+    for a in q:
+        best = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a)[:4]
+        want += [(a, n + 1, b, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, b) in enumerate(best)]
+    assert got == want
     assert bitslice.top_k(empty(vectors), vectors).count() == 0 and bitslice.top_k(few, empty(vectors)).count() == 0
 
 
@@ -282,8 +294,8 @@ def test_simhash(spark, docs):
     assert simhash.near_components(empty(docs)).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [512, 4])
-def test_near_links(spark, chunk):
+@pytest.mark.parametrize("most", [2048, 4])
+def test_near_links(spark, most):
     from tidewave.llm import simhash
     from tidewave.llm.graph import components
 
@@ -295,7 +307,7 @@ def test_near_links(spark, chunk):
                 c ^= 1 << int(bit)
             values.add(c)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), chunk_rows=chunk)
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), most=most)
     got = {r.node: r.label for r in components(links).collect()}
     want = brute_components({v: v % (1 << 64) for v in signed})
     assert {v: got.get(v, v) for v in signed} == want
@@ -327,7 +339,7 @@ def test_bucketed_order(spark):
     from tidewave.llm import fingerprints
 
     rows = [(int(i), f"text {i}") for i in np.random.default_rng(0).permutation(300)]
-    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bucket_rows=20).where("own").collect()
+    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), buckets=20).where("own").collect()
     assert sorted((r.doc_id, r.next_text) for r in out) == [(i, f"text {(i + 1) % 300}") for i in range(300)]
 
 
@@ -357,11 +369,12 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffixes(spark, docs, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "small"), [(2000, 2048), (1, 8)])
+def test_suffixes(spark, docs, hot, small, monkeypatch):
     from tidewave.llm import suffixes
 
-    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (100, hot, 2000))
+    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (100, hot, 2000, 1_000_000))
+    monkeypatch.setattr(suffixes, "SMALL", small)
     plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = [(r.doc_id, r.text or "") for r in plain.collect()] + [(500, "ab" * 400), (501, "é" * 300), (502, "q" + "ab" * 90)]
     table = plain.select("doc_id", "text").union(spark.createDataFrame(rows[-3:], "doc_id long, text string"))
@@ -381,8 +394,8 @@ def test_long_text_in_chunks(monkeypatch):
     whole = suffixes.stretches(data)
     monkeypatch.setattr(suffixes, "CHUNK", 700)
     cut = suffixes.stretches(data)
-    assert cut[3].sum() == whole[3].sum() == 4901
-    at = lambda s: {(int(b) + i, int(l)) for l, _, b, w, _ in zip(*s, strict=True) for i in range(w)}  # noqa: E731, E741
+    assert cut[2].sum() == whole[2].sum() == 4901
+    at = lambda s: {(int(b) + i, int(p)) for p, b, w in zip(*s, strict=True) for i in range(w)}
     assert at(whole) == at(cut)
 
 
@@ -404,7 +417,7 @@ def test_language(spark):
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows[:150])
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     from tidewave.llm import langid
 
     pieces = langid.pieces_of(public.path("piece_bpe_32k.model"))
@@ -426,6 +439,26 @@ def test_forward_sums_all_segmentations():
                 total = total + prob[-1] * brute(word[1:])
         return total
 
+    def plain(word):  # the same sum in logarithms, position by position
+        log, at = np.log(prob), [np.zeros(2)]
+        for k in range(1, len(word) + 1):
+            terms = [at[j] + log[rank[word[j:k]]] for j in range(max(0, k - pieces.longest), k) if word[j:k] in rank]
+            if word[k - 1] not in rank:
+                terms.append(at[k - 1] + log[-1])
+            at.append(np.logaddexp.reduce(terms, axis=0))
+        return np.array(at)
+
+    long = "▁" + "".join(np.random.default_rng(3).choice(list("thequickbrown語é"), 5000))
+    for stretch in (20_000, 700):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert np.allclose(langid.long_forward(pieces, long, prob, keep=True), plain(long)) and np.allclose(langid.long_forward(pieces, long, prob), plain(long)[-1])
+        assert np.allclose(langid.long_forward(pieces, long, prob, backward=True), plain(long)[-1])
+        use = langid.expected_counts(pieces, Counter({long[1:]: 2}))
+        sizes = np.array([len(p) for p in sorted(known)] + [1])
+        assert math.isclose((use * sizes).sum(), 2 * len(long), rel_tol=1e-6)  # every character is in one piece of each segmentation
+    few = langid.expected_counts(pieces, Counter({"thequick": 3}))
+    monkeypatch.setattr(langid, "SHORT", 2)
+    assert np.allclose(few, langid.expected_counts(pieces, Counter({"thequick": 3})))
     words = ["▁the", "▁straße", "▁x", "▁日本語", "▁housing", "ab"]
     edges = pieces.edges(words)
     alpha = langid.forward(edges, prob)
@@ -450,6 +483,71 @@ def test_quality(spark):
     assert quality.select(empty(docs), labels).count() == 0
 
 
+def test_quality_by_brute_force(spark):
+    """Bucket counts, ratios, k and the kept rows, computed again from the definitions in plain Python."""
+    import zlib as z
+
+    from tidewave.llm import quality
+
+    def buckets(text, bits=13):
+        mask, words = (1 << 64) - 1, text.split()
+        one, shape = [z.crc32(w.encode()) for w in words], [z.crc32(quality.word_shape(w).encode()) + (1 << 33) for w in words]
+        first = 0x9E3779B97F4A7C15
+
+        def pair(a, b):
+            a, b = a * first & mask, b * first & mask
+            return ((a ^ (b * 0xD6E8FEB86659FD93 & mask) ^ (b >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> (64 - bits)
+
+        out = [(x * first & mask) >> (64 - bits) for x in one]
+        out += [0 if a == b else pair(a, b) for a, b in zip(one, one[1:])]  # noqa: B905
+        return out + [pair(a, b) for a, b in zip(shape, shape[1:])]  # noqa: B905
+
+    texts = {i: prose(20 + i, 40 + i) if i % 3 else " ".join(f"X{j % 4}!" for j in range(12 + i)) for i in range(45)} | {50: "", 51: "one"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = {i: (int(i % 3 > 0), int(i == 7)) for i in range(30)}
+    table = spark.createDataFrame([(i, q, t) for i, (q, t) in labels.items()], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, table)
+    target = {i for i, (q, t) in labels.items() if q and not t}
+    raw, good = Counter(b for t in texts.values() for b in buckets(t)), Counter(b for i in target for b in buckets(texts[i]))
+    total, aim = sum(raw.values()) + (1 << 13), sum(good.values())
+    p = {b: (raw[b] + 1) / total for b in range(1 << 13)}
+    ratio = [math.log((good[b] + 1000 * p[b]) / (aim + 1000) / p[b]) for b in range(1 << 13)]
+    assert np.allclose(model["ratio"], ratio) and math.isclose(model["share"], len(target) / len(labels))
+    logs = {i: sum(ratio[b] for b in buckets(t)) for i, t in texts.items()}
+    rows = {r.doc_id: r for r in quality.select(docs, table).collect()}
+    assert all(math.isclose(rows[i].log_ratio, x, abs_tol=1e-9) for i, x in logs.items())
+    k = round(sum(min(1.0, model["share"] * math.exp(min(50.0, logs[i]))) for i, t in texts.items() if t))
+    keys = {i: rows[i].sample_key for i, t in texts.items() if t}
+    assert {i for i, r in rows.items() if r.keep} == set(sorted(keys, key=keys.get, reverse=True)[:k])
+
+
+CLASHES = ["doc", "score", "fit", "lang_pred", "n_removed", "n_bytes", "n_spans", "kept", "_key", "_spans", "_kept", "text_hash", "s", "fp", "label", "t", "n", "bucket", "at", "own", "length", "rank", "held_out"]
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Every stage leaves columns of any name alone and handles null ids, null texts, repeated rows and an empty table."""
+    import corpus_pipeline
+
+    texts = [prose(120, 500 + i) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (20, None), (None, texts[4] + " more"), (None, "!!"), (21, prose(9000, 550)), (22, "")]
+    more = [tuple(f"{c} {i}" for c in CLASHES) for i in range(len(rows))]
+    kind = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *m) for (i, t), m in zip(rows, more, strict=True)], kind).repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    given = {tuple(r[c] for c in CLASHES): r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, empty(docs), str(tmp_path)).count() == 0
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in out.collect()} == {i for i, _ in rows}
+            continue
+        got = out.collect()
+        assert out.columns == docs.columns and got
+        for r in got:
+            was = given[tuple(r[c] for c in CLASHES)]
+            assert name == "suffix_array_dedup" or r.text == was
+
+
 def test_kth_largest(spark):
     from tidewave.llm import quality
 
@@ -542,4 +640,32 @@ def test_common_windows_are_written_and_samples_bounded(spark, monkeypatch):
     assert covered(hot=0) == want and covered() == want
     assert "windows" in names
     long = spark.createDataFrame([(i, prose(4000, 8200 + i)) for i in range(6)], "_key long, text string")
-    assert 300 < len(suffixes._sampled_suffixes(long, 100, 1000)) < 1500
+    few, expected = suffixes._sampled_suffixes(long, 100, 1, 1000)
+    assert 300 < len(few) < 1500 and expected > 2000
+
+
+@pytest.mark.parametrize("small", [1, 4, 2048])
+def test_multikey_sort(small, monkeypatch):
+    from tidewave.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "SMALL", small)
+    rng = np.random.default_rng(small)
+    for n, top in ((0, 3), (1, 3), (2, 1), (500, 2), (700, 5), (300, 10**9)):
+        words = rng.integers(0, top, (4, n))
+        order, group = suffixes.multikey_sort(n, 4, lambda depth, rows, words=words: words[depth, rows])
+        rows = [tuple(words[:, i]) for i in order]
+        assert rows == sorted(tuple(x) for x in words.T) and sorted(order) == list(range(n))
+        assert all((rows[i] == rows[i - 1]) == (group[i] == group[i - 1]) for i in range(1, n))
+
+
+def test_suffixes_structured_strings(spark):
+    """Texts of two letters in self-similar order, for which hashes of sums of powers agree far too often; one lead is very common."""
+    from tidewave.llm import suffixes
+
+    thue = lambda n, a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    texts = [thue(512, "a", "b"), thue(512, "b", "a"), thue(700, "a", "b"), "ab" * 200, "ba" * 200, "a" * 300]
+    lead = "the same twenty leading bytes and more "
+    texts += [lead + prose(12, 600 + i) + " " + lead + prose(9, 700 + i % 3) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_repeats(enumerate(texts))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect()} == want
