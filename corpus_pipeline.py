@@ -9,39 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm import langid, packing, quality, similar, suffixes
-from tidewave.llm._common import table, written
+from tidewave.llm._common import free_names, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a probability of at least 0.5; texts without letters go."""
+    """Documents in a learned language, told with a probability of at least 0.5, whose characters are likelier in it than where
+    all pieces are equally likely. Null texts and texts without letters go. All columns and repeated rows stay as they are,
+    null ids too (they take no part in the learning). Without labelled rows, or from an empty table, nothing stays."""
     import public_tokenizers
 
     labelled = docs.where(~langid.held_out()).where("doc_id is not null")
     model = langid.train(labelled, public_tokenizers.path("piece_bpe_32k.model"))
-    return langid.predict(docs, model).where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    lang, score, fit = free_names(docs, "lang_pred", "score", "fit")
+    found = langid.predict(docs, model, (lang, score, fit))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= 0.5) & (F.col(fit) > 0)).select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling toward the rows labelled good selects."""
-    kept = quality.select(docs, table(spark, sf_dir, "labels")).where("keep").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """Documents that importance resampling toward the rows labelled good selects; null and empty texts go.
+
+    Rows are told apart by doc_id (null or not) and text: those that repeat both are kept or go together. All columns stay
+    as they are. Without labels all texts with words stay; an empty table gives no rows."""
+    kept = quality.select(docs, table(spark, sf_dir, "labels")).where("keep").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (quality.text_hash(docs["text"]) == kept["text_hash"])
+    return docs.join(kept, same, "left_semi")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near duplicates: texts whose sets of 5-word shingles have a Jaccard
-    similarity of 0.8 or more are linked, all of them (`similar`); the 3 bits and 3 words of op1 hold for op1 alone."""
+    similarity of 0.8 or more are linked, all of them. SimHash fingerprints of the sets and their BK-trees link most; prefixes
+    of the sets find what no radius of bits reaches (`similar`). The 3 bits and 3 words of op1 hold for op1 alone.
+
+    Texts without words are one group. Of rows that repeat the kept doc_id all stay; rows with a null doc_id stay only if
+    their group has no other doc_id. An empty table gives no rows."""
     return similar.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 100-byte strings that occur earlier; n_chars follows the text. Emptied texts stay as rows."""
+    """Documents without the bytes of 100-byte strings that occur earlier; n_chars follows the text. Emptied texts stay as rows,
+    and null texts become empty. Rows that share a doc_id (or have none) count as versions of one document, see
+    `suffixes.remove_repeats`. All columns stay; an empty table gives no rows."""
     kind = docs.schema["n_chars"].dataType
-    out = suffixes.remove_repeats(docs, replace_text=True)
+    kept, *names = free_names(docs, "kept", "n_bytes", "n_removed", "n_spans")
+    out = suffixes.remove_repeats(docs, replace_text=True, names=(kept, *names))
     return out.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in sequences."""
+    """Pieces of at most 2048 tokens with their places in sequences; a null or empty text gives one piece of the end id. Null
+    and repeated ids and repeated rows all have pieces; other columns are not read. An empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
