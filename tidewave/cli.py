@@ -1,4 +1,5 @@
-"""Command line: python -m tidewave.cli batch-extract FOLDER OUT | list-features [--format markdown] | doctor"""
+"""Command line: python -m tidewave.cli batch-extract FOLDER OUT | extract FILE | gold-scorecard | validate FILE REFERENCE |
+list-features [--format markdown] | doctor"""
 
 from __future__ import annotations
 
@@ -31,6 +32,44 @@ def batch_extract(args: argparse.Namespace) -> int:
     return 0
 
 
+def extract(args: argparse.Namespace) -> int:
+    """The feature row of one file, as JSON."""
+    from tidewave.plans.batch import extract_folder
+
+    rows, errors = extract_folder(session(), args.file, args.sample_rate, args.frame_length, args.hop_length)
+    failed = errors.limit(1).collect()
+    if failed:
+        print(f"{failed[0].path}: {failed[0].error}", file=sys.stderr)
+        return 1
+    for line in rows.toJSON().take(1):
+        print(line)
+    return 0
+
+
+def gold_scorecard(args: argparse.Namespace) -> int:
+    from tidewave.plans import scorecard
+
+    found = scorecard.checks(session(), args.sample_rate, args.frame_length, args.hop_length).cache()
+    total = scorecard.summary(found).first()
+    for r in found.collect():
+        print(f"{r.name}: {'passed' if r.passed else 'failed'} (error {r.error:.6g}, tolerance {r.tolerance:g})")
+    print(f"score {total.score:.1f} of 100")
+    return int(total.score < args.min_score)
+
+
+def validate(args: argparse.Namespace) -> int:
+    """Pitch and formants of a file against a reference file."""
+    from tidewave.plans import report
+    from tidewave.plans.batch import folder_signals
+
+    spark = session()
+    signals = folder_signals(spark, args.file, args.sample_rate)[0].drop("path")
+    checks = report.compare_with_reference(signals, report.load_reference(spark, args.reference), args.sample_rate, args.frame_length, args.hop_length, args.profile).collect()
+    for r in checks:
+        print(f"{r.metric}: {'skipped' if r.skipped else 'passed' if r.passed else 'failed'} (error {r.error}, tolerance {r.tolerance})")
+    return int(not checks or not all(r.passed for r in checks))
+
+
 def list_features(args: argparse.Namespace) -> int:
     from tidewave.plans import catalog
 
@@ -54,6 +93,17 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--sample-rate", type=int, default=22050), b.add_argument("--frame-length", type=int, default=2048), b.add_argument("--hop-length", type=int, default=512)
     b.add_argument("--format", choices=("csv", "json"), default="csv"), b.add_argument("--fail-on-error", action="store_true")
     b.set_defaults(run=batch_extract)
+    e = verbs.add_parser("extract", help="the feature row of one audio file")
+    e.add_argument("file")
+    e.set_defaults(run=extract)
+    g = verbs.add_parser("gold-scorecard", help="operators against signals whose features are known")
+    g.add_argument("--min-score", type=float, default=95.0)
+    g.set_defaults(run=gold_scorecard)
+    v = verbs.add_parser("validate", help="pitch and formants of a file against a reference file")
+    v.add_argument("file"), v.add_argument("reference"), v.add_argument("--profile", default="neutral")
+    v.set_defaults(run=validate)
+    for verb, n, hop in ((e, 2048, 512), (g, 1024, 256), (v, 2048, 512)):
+        verb.add_argument("--sample-rate", type=int, default=22050), verb.add_argument("--frame-length", type=int, default=n), verb.add_argument("--hop-length", type=int, default=hop)
     f = verbs.add_parser("list-features", help="the catalogue of operators")
     f.add_argument("--format", choices=("table", "markdown"), default="table")
     f.set_defaults(run=list_features)

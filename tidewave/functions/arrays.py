@@ -22,6 +22,17 @@ def total_of(a: str | Column, f: Callable[[Column], Column]) -> Column:
     return F.aggregate(c(a), F.lit(0.0), lambda s, v: s + f(v))
 
 
+def folded(a: str | Column, given: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Sum of f(value, given); unlike a column that a lambda holds, `given` is evaluated once, not once per value."""
+    start = F.struct(given.alias("g"), F.lit(0.0).alias("s"))
+    return F.aggregate(c(a), start, lambda acc, v: F.struct(acc["g"].alias("g"), (acc["s"] + f(v, acc["g"])).alias("s")), lambda acc: acc["s"])
+
+
+def numbered(a: str | Column) -> Column:
+    """The values as structs (v, k) with their 0-based place as a double."""
+    return F.transform(c(a), lambda v, i: F.struct(v.alias("v"), i.cast("double").alias("k")))
+
+
 def ratio(a: Column, b: Column, otherwise: float | None = 0.0) -> Column:
     """a / b, or `otherwise` where b is 0."""
     return F.when(b != 0, a / b).otherwise(F.lit(otherwise).cast("double"))

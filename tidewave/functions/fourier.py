@@ -90,3 +90,16 @@ def real_cepstrum(x: Column, n_fft: int, eps: float = 1e-12) -> Column:
         return pd.Series(list(np.fft.irfft(np.log(np.abs(np.fft.rfft(_rows(a, n_fft), axis=1)) + eps), axis=1)))
 
     return run(x)
+
+
+def through_bank(x: Column, bank: list[list[float]], squared: bool = False) -> Column:
+    """sum(w * x) per row of a bank, or sum(w * x^2): arrays as long as a row of the bank in, arrays as long as the bank out."""
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series) -> pd.Series:
+        import numpy as np
+
+        rows = _rows(a, len(bank[0]))
+        return pd.Series(list((rows * rows if squared else rows) @ np.array(bank).T))
+
+    return run(x)

@@ -1,12 +1,9 @@
-"""Filterbanks as small tables (band, k, w) of fixed size, and their application as a broadcast join with an aggregation."""
+"""Filterbanks as small matrices whose size is fixed by parameters: a row of weights per band."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
 def mel_bank(sample_rate: int, n_fft: int, n_mels: int, f_min: float = 0.0, f_max: float | None = None) -> list[list[float]]:
     """Triangles with edges evenly spaced on 2595 log10(1 + f / 700), unnormalised."""
@@ -41,19 +38,22 @@ def erb_to_hz(e: float) -> float:
 
 
 def chroma_bank(sample_rate: int, n_fft: int, n_chroma: int = 12, centre_octave: float = 5.0, octave_width: float = 2.0) -> list[list[float]]:
-    """Gaussian bumps per pitch class over log frequency, columns of length 1, weighted towards the centre octave, from C."""
-    place = [n_chroma * math.log2(k * sample_rate / n_fft / 27.5) for k in range(1, n_fft)]
-    place = [place[0] - 1.5 * n_chroma, *place]
-    width = [max(1.0, b - a) for a, b in zip(place, place[1:], strict=False)] + [1.0]
-    half = round(n_chroma / 2)
-    rows = [[0.0] * (n_fft // 2 + 1) for _ in range(n_chroma)]
+    """Weights of the bins per pitch class, from C.
+
+    A bin lies at a number of steps (`n_chroma` to the octave) above A0; bin 0, which has no pitch, lies one and a half octaves
+    below bin 1. A class weighs a bin by a Gaussian of the distance to its nearest tone, as wide as the step to the next bin
+    but at least one; the weights of a bin have length 1, times a Gaussian of the bin's octave.
+    """
+    from_a_to_c = 3 * n_chroma // 12
+    columns = []
     for k in range(n_fft // 2 + 1):
-        bump = [math.exp(-0.5 * (2 * (((place[k] - c + half + 10 * n_chroma) % n_chroma) - half) / width[k]) ** 2) for c in range(n_chroma)]
-        norm = math.sqrt(sum(b * b for b in bump)) + 1e-12
-        weight = math.exp(-0.5 * ((place[k] / n_chroma - centre_octave) / octave_width) ** 2) if octave_width > 0 else 1.0
-        for c in range(n_chroma):
-            rows[(c - 3 * (n_chroma // 12)) % n_chroma][k] = bump[c] / norm * weight
-    return rows
+        above = n_chroma * math.log2(max(k, 1) * sample_rate / n_fft / 27.5) - (0 if k else 1.5 * n_chroma)
+        width = max(1.0, n_chroma * math.log2(1 + 1 / k)) if k else 1.5 * n_chroma
+        away = [math.remainder(above - from_a_to_c - tone, n_chroma) for tone in range(n_chroma)]
+        near = [math.exp(-2 * (d / width) ** 2) for d in away]
+        loud = math.exp(-(((above / n_chroma - centre_octave) / octave_width) ** 2) / 2) if octave_width > 0 else 1.0
+        columns.append([loud * x / math.hypot(*near) for x in near])
+    return [list(row) for row in zip(*columns, strict=True)]
 
 
 def dct_bank(n_out: int, n_in: int) -> list[list[float]]:
@@ -65,18 +65,3 @@ def tonnetz_bank() -> list[list[float]]:
     # Interval ratios and radii of the tonal centroid space (fifths, minor thirds, major thirds).
     scale, radius = [7 / 6, 7 / 6, 3 / 2, 3 / 2, 2 / 3, 2 / 3], [1.0, 1.0, 1.0, 1.0, 0.5, 0.5]
     return [[radius[r] * math.cos(math.pi * (scale[r] * c - (0.5 if r % 2 == 0 else 0.0))) for c in range(12)] for r in range(6)]
-
-
-def bank_rows(bank: list[list[float]]) -> list[tuple[int, int, float]]:
-    return [(b, k, float(w)) for b, row in enumerate(bank) for k, w in enumerate(row) if w != 0.0]
-
-
-def apply_bank(rows: DataFrame, bank: list[list[float]], index: str, value: str, out_index: str = "band", out: str = "value") -> DataFrame:
-    """sum(w * value) per band; `rows` has one row per index and any further columns, which are the group.
-
-    The bank is broadcast: its size is fixed by parameters, not by data. Partial sums are made before the shuffle.
-    """
-    spark: SparkSession = rows.sparkSession
-    weights = F.broadcast(spark.createDataFrame(bank_rows(bank), f"{out_index} long, {index} long, w double"))
-    group = [c for c in rows.columns if c not in (index, value)]
-    return rows.join(weights, index).groupBy(*group, out_index).agg(F.sum(F.col("w") * F.col(value)).alias(out))

@@ -41,18 +41,32 @@ def pitch_strength(ac: str | Column, n: int, sample_rate: int, f_min: float, f_m
     return ratio(F.array_max(F.slice(c(ac), low + 1, high - low)), F.get(c(ac), F.lit(0)))
 
 
-def yin(rows: DataFrame, n: int, sample_rate: int, f_min: float, f_max: float, threshold: float = 0.1) -> DataFrame:
-    """First lag whose normalised difference is under the threshold, else the least: signal_id, frame_idx, f0.
+def yin_of(ac: str | Column, n: int, sample_rate: int, f_min: float, f_max: float, threshold: float = 0.1) -> Column:
+    """Pitch at the first lag whose normalised difference is under the threshold, else at the least one.
 
-    The cumulative mean is a running window sum over the lags of a frame.
+    One pass over the lags: the running sum of differences, the first lag under the threshold and the least so far.
     """
     low, high = lag_range(sample_rate, f_min, f_max)
-    lags = rows.select("signal_id", "frame_idx", F.get("ac", F.lit(0)).alias("e"), F.posexplode(F.slice("ac", 1, n)).alias("lag", "r")).where("lag > 0")
-    d = lags.withColumn("d", 2 * F.col("e") - 2 * F.col("r"))
-    frame = Window.partitionBy("signal_id", "frame_idx").orderBy("lag")
-    cm = d.withColumn("cm", F.col("d") * F.col("lag") / (F.sum("d").over(frame) + 1e-8)).where(F.col("lag").between(low, min(high, n) - 1))
-    best = cm.groupBy("signal_id", "frame_idx").agg(F.min(F.when(F.round("cm", 9) < threshold, F.col("lag"))).alias("first"), F.min_by("lag", F.struct(F.round("cm", 9), "lag")).alias("least"))
-    return best.select("signal_id", "frame_idx", (F.lit(float(sample_rate)) / F.greatest(F.coalesce("first", "least"), F.lit(1))).alias("f0"))
+    start = F.struct(F.get(c(ac), F.lit(0)).alias("e"), F.lit(0.0).alias("run"), F.lit(1).alias("lag"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(float("inf")).alias("least"))
+
+    def step(acc: Column, r: Column) -> Column:
+        d = 2 * acc["e"] - 2 * r
+        run, lag = acc["run"] + d, acc["lag"]
+        cm = F.round(d * lag / (run + 1e-8), 9)
+        inside = (lag >= low) & (lag < min(high, n))
+        less = inside & ((cm < acc["least"]) | (acc["at"] == 0))
+        return F.struct(
+            acc["e"].alias("e"), run.alias("run"), (lag + 1).alias("lag"), F.when((acc["first"] == 0) & inside & (cm < threshold), lag).otherwise(acc["first"]).alias("first"),
+            F.when(less, lag).otherwise(acc["at"]).alias("at"), F.when(less, cm).otherwise(acc["least"]).alias("least"),
+        )
+
+    best = F.aggregate(F.slice(c(ac), 2, n - 1), start, step, lambda acc: F.when(acc["first"] > 0, acc["first"]).otherwise(acc["at"]))
+    return F.lit(float(sample_rate)) / F.greatest(best, F.lit(1))
+
+
+def yin(rows: DataFrame, n: int, sample_rate: int, f_min: float, f_max: float, threshold: float = 0.1) -> DataFrame:
+    """`yin_of` every frame: signal_id, frame_idx, f0."""
+    return rows.select("signal_id", "frame_idx", yin_of("ac", n, sample_rate, f_min, f_max, threshold).alias("f0"))
 
 
 def cepstral_peak_prominence(signals: DataFrame, sample_rate: int, n: int, hop: int, f0_min: float = 60.0, f0_max: float = 333.3) -> DataFrame:

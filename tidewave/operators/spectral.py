@@ -5,10 +5,11 @@ All of them read one magnitude array per frame or signal, so a spectrum is compu
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import argmax, c, diff, head, indexed, mean, ratio, tail, total, total_of
+from tidewave.functions.arrays import argmax, c, diff, folded, head, indexed, mean, numbered, ratio, tail, total, total_of
 from tidewave.functions.fourier import magnitude, whole_magnitude
 from tidewave.sources.signals import frames
 
@@ -53,34 +54,46 @@ def flatness(mag: str | Column) -> Column:
     return ratio(F.exp(mean(F.transform(c(mag), lambda m: F.log(m + 1e-8)))), mean(mag))
 
 
+def rolloff_of(mag: str | Column, bin_hz: float | Column, share: float = 0.85) -> Column:
+    """First bin where the running power reaches a share of the total (last bin if none), in Hz: one pass with the total known."""
+    p = power(mag)
+    start = F.struct((share * total(p)).alias("goal"), F.lit(0.0).alias("run"), F.lit(0).alias("k"), F.lit(-1).alias("at"))
+
+    def step(acc: Column, v: Column) -> Column:
+        run = acc["run"] + v
+        at = F.when(acc["at"] >= 0, acc["at"]).when(F.round(run + 1e-8 - acc["goal"], 9) >= 0, acc["k"]).otherwise(-1)
+        return F.struct(acc["goal"].alias("goal"), run.alias("run"), (acc["k"] + 1).alias("k"), at.alias("at"))
+
+    return F.aggregate(p, start, step, lambda acc: F.when(acc["at"] >= 0, acc["at"]).otherwise(acc["k"] - 1)) * bin_hz
+
+
 def rolloff(spectra: DataFrame, bin_hz: float, share: float = 0.85) -> DataFrame:
-    """First bin where the running power reaches a share of the total (last bin if none), in Hz. A running sum per frame."""
-    rows = bins(spectra).withColumn("p", F.col("m") * F.col("m"))
-    frame = Window.partitionBy("signal_id", "frame_idx")
-    run = rows.withColumn("run", F.sum("p").over(frame.orderBy("k"))).withColumn("all", F.sum("p").over(frame))
-    reached = F.min(F.when(F.round(F.col("run") + 1e-8 - share * F.col("all"), 9) >= 0, F.col("k")))
-    return run.groupBy("signal_id", "frame_idx").agg((F.coalesce(reached, F.max("k")) * bin_hz).alias("rolloff"))
+    """`rolloff_of` every frame: signal_id, frame_idx, rolloff."""
+    return spectra.select("signal_id", "frame_idx", rolloff_of("mag", bin_hz, share).alias("rolloff"))
+
+
+def distance(mag: str | Column, before: str | Column) -> Column:
+    """Euclidean distance of two spectra; null if either is."""
+    return F.sqrt(F.aggregate(F.zip_with(c(mag), c(before), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
 
 def flux(spectra: DataFrame) -> DataFrame:
-    """Euclidean distance of each frame's magnitudes from those of the frame before."""
+    """Distance of each frame's magnitudes from those of the frame before."""
     order = Window.partitionBy("signal_id").orderBy("frame_idx")
     rows = spectra.withColumn("before", F.lag("mag").over(order)).where("before is not null")
-    away = F.aggregate(F.zip_with("mag", "before", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return rows.select("signal_id", "frame_idx", F.sqrt(away).alias("flux"))
+    return rows.select("signal_id", "frame_idx", distance("mag", "before").alias("flux"))
 
 
 def entropy(mag: str | Column) -> Column:
     p = power(mag)
-    return F.when(total(p) > 0, -total_of(p, lambda v: v / total(p) * F.log2(v / total(p) + 1e-12))).otherwise(0.0)
+    return F.when(total(p) > 0, -folded(p, total(p), lambda v, all_: v / all_ * F.log2(v / all_ + 1e-12))).otherwise(0.0)
 
 
 def _moment(mag: str | Column, order: int) -> Column:
     """Central moment of the power over bin numbers."""
     p = power(mag)
     centre = total(indexed(p, lambda v, k: k * v)) / total(p)
-    term = lambda v, k: F.pow(k - centre, F.lit(order)) * v
-    return total(indexed(p, term)) / total(p)
+    return folded(numbered(p), centre, lambda x, m: F.pow(x["k"] - m, F.lit(order)) * x["v"]) / total(p)
 
 
 def skewness(mag: str | Column) -> Column:
@@ -100,7 +113,8 @@ def slope(mag: str | Column) -> Column:
     n = F.size(c(mag)).cast("double")
     y = F.transform(c(mag), lambda m: F.log(m + 1e-8))
     k_mean = (n - 1) / 2
-    return total(indexed(y, lambda v, k: (k - k_mean) * (v - mean(y)))) / (n * (n * n - 1) / 12)
+    given = F.struct(mean(y).alias("y"), k_mean.alias("k"))
+    return folded(numbered(y), given, lambda x, m: (x["k"] - m["k"]) * (x["v"] - m["y"])) / (n * (n * n - 1) / 12)
 
 
 def crest_factor(mag: str | Column) -> Column:
@@ -164,18 +178,36 @@ def phase_coherence(phases: str | Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
-def roughness(spectra: DataFrame, bin_hz: float, top_db: float = 60.0) -> DataFrame:
-    """Sensory roughness: a self-join of the loud bins of each signal. Quiet bins go before the join, so it stays small."""
-    rows = bins(spectra)
-    most = Window.partitionBy("signal_id")
-    loud = rows.withColumn("top", F.max("m").over(most)).where("top > 0").withColumn("a", F.col("m") / F.col("top"))
-    loud = loud.where(20 * F.log10(F.greatest("a", F.lit(1e-300))) >= -top_db).select("signal_id", "k", "a", (F.col("k") * bin_hz).alias("f"))
-    other = loud.select("signal_id", F.col("k").alias("k2"), F.col("a").alias("a2"), F.col("f").alias("f2"))
-    pairs = loud.join(other, "signal_id").where("k < k2")
-    s = F.lit(0.24) / (0.021 * F.col("f") + 19.0)
-    d = F.col("f2") - F.col("f")
-    term = F.pow(F.col("a") * F.col("a2"), F.lit(0.1)) * F.pow(2 * F.least("a", "a2") / (F.col("a") + F.col("a2")), F.lit(3.11)) * (F.exp(-3.5 * s * d) - F.exp(-5.75 * s * d))
-    return spectra.select("signal_id").join(pairs.groupBy("signal_id").agg(F.sum(term).alias("roughness")), "signal_id", "left").select("signal_id", F.coalesce("roughness", F.lit(0.0)).alias("roughness"))
+def roughness(spectra: DataFrame, bin_hz: float | Column, top_db: float = 60.0) -> DataFrame:
+    """Sensory roughness of the pairs of loud bins of a spectrum: signal_id, roughness.
+
+    A helper sums the pairs of one spectrum as a matrix, a block of bins against all at a time; no row per pair is made. The
+    pairs' weight falls off exponentially with their distance.
+    """
+
+    @F.pandas_udf("double")
+    def run(mags: pd.Series, widths: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(mag, hz):
+            m = np.asarray(mag, float)
+            if not len(m) or m.max() <= 0:
+                return 0.0
+            a = m / m.max()
+            k = np.flatnonzero(20 * np.log10(np.maximum(a, 1e-300)) >= -top_db)
+            a, f, out = a[k], k * hz, 0.0
+            for at in range(0, len(k), 512):
+                x, y = a[at : at + 512, None], a[None, :]
+                pair = np.arange(len(k))[None, :] > np.arange(at, at + len(x))[:, None]
+                z = 0.24 / (0.021 * f[at : at + 512, None] + 19.0) * (f[None, :] - f[at : at + 512, None])
+                z = np.where(pair, z, 0.0)
+                out += float((np.where(pair, (x * y) ** 0.1 * (2 * np.minimum(x, y) / (x + y)) ** 3.11, 0.0) * (np.exp(-3.5 * z) - np.exp(-5.75 * z))).sum())
+            return out
+
+        return pd.Series([one(m, w) for m, w in zip(mags, widths, strict=True)], dtype=float)
+
+    width = bin_hz if isinstance(bin_hz, Column) else F.lit(float(bin_hz))
+    return spectra.select("signal_id", run(F.col("mag"), width).alias("roughness"))
 
 
 #: Edges of the 24 critical bands in Hz.

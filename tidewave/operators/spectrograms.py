@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import c, indexed, mean, ratio, total
-from tidewave.functions.fourier import magnitude
+from tidewave.functions.arrays import c, folded, indexed, mean, numbered, total
+from tidewave.functions.fourier import magnitude, through_bank
 from tidewave.functions.windows import hann_periodic, hann_symmetric, literal
-from tidewave.operators.filterbanks import apply_bank, chroma_bank, dct_bank, gammatone_bank, mel_bank, tonnetz_bank
+from tidewave.operators.filterbanks import chroma_bank, dct_bank, gammatone_bank, mel_bank, tonnetz_bank
 from tidewave.operators.spectral import bins
 from tidewave.sources.signals import frames
 
@@ -51,48 +51,73 @@ def linear_spectrogram(signals: DataFrame, n_fft: int, hop: int) -> DataFrame:
 def bandwidth(mag: str | Column, bin_hz: float) -> Column:
     """Magnitude-weighted deviation about the centroid."""
     centre = total(indexed(mag, lambda m, k: k * bin_hz * m)) / (total(mag) + 1e-8)
-    return F.sqrt(total(indexed(mag, lambda m, k: (k * bin_hz - centre) * (k * bin_hz - centre) * m)) / (total(mag) + 1e-8))
+    return F.sqrt(folded(numbered(mag), centre, lambda x, c_: (x["k"] * bin_hz - c_) * (x["k"] * bin_hz - c_) * x["v"]) / (total(mag) + 1e-8))
 
 
 def power_bins(spectra: DataFrame) -> DataFrame:
     return bins(spectra).select("signal_id", "frame_idx", "k", (F.col("m") * F.col("m")).alias("p"))
 
 
+def by_band(frames_: DataFrame, values: str, index: str) -> DataFrame:
+    """One row per band of an array column: signal_id, frame_idx, the band's number, value."""
+    rows = frames_.select("signal_id", "frame_idx", F.posexplode(values).alias(index, "value"))
+    return rows.withColumn(index, F.col(index).cast("long"))
+
+
+def mel_frames(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, n_mels: int, mode: str | None = "reflect", squared: bool = True) -> DataFrame:
+    """Power (or magnitude) per mel band: signal_id, frame_idx, mel (array)."""
+    bank = mel_bank(sample_rate, n_fft, n_mels)
+    return stft(signals, n_fft, hop, mode).select("signal_id", "frame_idx", through_bank(F.col("mag"), bank, squared).alias("mel"))
+
+
 def mel_spectrogram(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, n_mels: int, mode: str | None = "reflect") -> DataFrame:
     """Power per mel band: signal_id, frame_idx, band, value."""
-    return apply_bank(power_bins(stft(signals, n_fft, hop, mode)), mel_bank(sample_rate, n_fft, n_mels), "k", "p")
+    return by_band(mel_frames(signals, sample_rate, n_fft, hop, n_mels, mode), "mel", "band")
 
 
 def log_mel_spectrogram(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, n_mels: int) -> DataFrame:
     return mel_spectrogram(signals, sample_rate, n_fft, hop, n_mels).withColumn("value", F.log(F.col("value") + 1e-6))
 
 
+def mfcc_frames(signals: DataFrame, sample_rate: int, n_mfcc: int, n_fft: int, hop: int, n_mels: int, top_db: float = 80.0) -> DataFrame:
+    """Cepstra of the mel spectrogram in dB, held within `top_db` of the signal's loudest value: signal_id, frame_idx, mfcc (array)."""
+    mel = mel_frames(signals, sample_rate, n_fft, hop, n_mels, mode=None)
+    db = mel.select("signal_id", "frame_idx", F.transform("mel", lambda v: 10 * F.log10(F.greatest(v, F.lit(1e-10)))).alias("db"))
+    held = db.withColumn("floor", F.max(F.array_max("db")).over(Window.partitionBy("signal_id")) - top_db)
+    held = held.select("signal_id", "frame_idx", F.transform("db", lambda v: F.greatest(v, F.col("floor"))).alias("db"))
+    return held.select("signal_id", "frame_idx", through_bank(F.col("db"), dct_bank(n_mfcc, n_mels)).alias("mfcc"))
+
+
 def mfcc(signals: DataFrame, sample_rate: int, n_mfcc: int, n_fft: int, hop: int, n_mels: int, top_db: float = 80.0) -> DataFrame:
-    """Cepstra of the mel spectrogram in dB, held within `top_db` of the signal's loudest value: signal_id, frame_idx, coeff, value."""
-    mel = mel_spectrogram(signals, sample_rate, n_fft, hop, n_mels, mode=None)
-    db = mel.withColumn("db", 10 * F.log10(F.greatest("value", F.lit(1e-10))))
-    loudest = db.groupBy("signal_id").agg(F.max("db").alias("top"))
-    held = db.join(loudest, "signal_id").select("signal_id", "frame_idx", "band", F.greatest("db", F.col("top") - top_db).alias("db"))
-    return apply_bank(held, dct_bank(n_mfcc, n_mels), "band", "db", "coeff")
+    """`mfcc_frames` as rows: signal_id, frame_idx, coeff, value."""
+    return by_band(mfcc_frames(signals, sample_rate, n_mfcc, n_fft, hop, n_mels, top_db), "mfcc", "coeff")
 
 
 def erb_cepstra(signals: DataFrame, sample_rate: int, n_coeffs: int, n_fft: int, hop: int, n_bands: int, f_min: float = 50.0, f_max: float | None = None) -> DataFrame:
     """Cepstra of log energies in gammatone bands (GTCC and GFCC): signal_id, frame_idx, coeff, value."""
-    bands = apply_bank(power_bins(stft(signals, n_fft, hop)), gammatone_bank(sample_rate, n_fft, n_bands, f_min, f_max), "k", "p")
-    return apply_bank(bands.withColumn("value", F.log(F.col("value") + 1e-10)), dct_bank(min(n_coeffs, n_bands), n_bands), "band", "value", "coeff")
+    bands = through_bank(F.col("mag"), gammatone_bank(sample_rate, n_fft, n_bands, f_min, f_max), squared=True)
+    logs = stft(signals, n_fft, hop).select("signal_id", "frame_idx", F.transform(bands, lambda v: F.log(v + 1e-10)).alias("logs"))
+    cepstra = logs.select("signal_id", "frame_idx", through_bank(F.col("logs"), dct_bank(min(n_coeffs, n_bands), n_bands)).alias("c"))
+    return by_band(cepstra, "c", "coeff")
+
+
+def chroma_frames(signals: DataFrame, sample_rate: int, n_fft: int, hop: int) -> DataFrame:
+    """Energy per pitch class, the largest of a frame being 1: signal_id, frame_idx, chroma (array)."""
+    raw = stft(signals, n_fft, hop, "constant").select("signal_id", "frame_idx", through_bank(F.col("mag"), chroma_bank(sample_rate, n_fft), squared=True).alias("raw"))
+    most = F.array_max(F.transform("raw", F.abs)) + 1e-12
+    return raw.select("signal_id", "frame_idx", F.transform("raw", lambda v: v / most).alias("chroma"))
 
 
 def chroma(signals: DataFrame, sample_rate: int, n_fft: int, hop: int) -> DataFrame:
-    """Energy per pitch class, the largest of a frame being 1: signal_id, frame_idx, pitch_class, value."""
-    raw = apply_bank(power_bins(stft(signals, n_fft, hop, "constant")), chroma_bank(sample_rate, n_fft), "k", "p", "pitch_class")
-    return raw.withColumn("value", F.col("value") / (F.max(F.abs("value")).over(Window.partitionBy("signal_id", "frame_idx")) + 1e-12))
+    """`chroma_frames` as rows: signal_id, frame_idx, pitch_class, value."""
+    return by_band(chroma_frames(signals, sample_rate, n_fft, hop), "chroma", "pitch_class")
 
 
-def tonnetz(chroma_rows: DataFrame) -> DataFrame:
+def tonnetz(chroma_: DataFrame) -> DataFrame:
     """Tonal centroids of chroma frames of sum 1: signal_id, frame_idx, dim, value."""
-    frame = Window.partitionBy("signal_id", "frame_idx")
-    unit = chroma_rows.withColumn("value", F.col("value") / F.greatest(F.sum(F.abs("value")).over(frame), F.lit(1e-12)))
-    return apply_bank(unit, tonnetz_bank(), "pitch_class", "value", "dim", "out").withColumnRenamed("out", "value")
+    whole = F.greatest(total(F.transform("chroma", F.abs)), F.lit(1e-12))
+    unit = chroma_.select("signal_id", "frame_idx", F.transform("chroma", lambda v: v / whole).alias("unit"))
+    return by_band(unit.select("signal_id", "frame_idx", through_bank(F.col("unit"), tonnetz_bank()).alias("t")), "t", "dim")
 
 
 def key_templates() -> list[tuple[str, int, int, float]]:
@@ -106,15 +131,18 @@ def key_templates() -> list[tuple[str, int, int, float]]:
     return out
 
 
-def key_detect(chroma_rows: DataFrame) -> DataFrame:
+def key_detect(chroma_: DataFrame) -> DataFrame:
     """The key whose profile fits the mean chroma best, the first on ties: signal_id, key."""
-    spark = chroma_rows.sparkSession
-    level = chroma_rows.groupBy("signal_id", "pitch_class").agg(F.avg("value").alias("v"))
-    whole = Window.partitionBy("signal_id")
-    z = level.withColumn("z", (F.col("v") - F.avg("v").over(whole)) / (F.stddev_pop("v").over(whole) + 1e-12))
-    keys = F.broadcast(spark.createDataFrame(key_templates(), "key string, rank int, pitch_class long, w double"))
-    fit = z.join(keys, "pitch_class").groupBy("signal_id", "key", "rank").agg(F.round(F.sum(F.col("z") * F.col("w")) / 12, 9).alias("fit"))
-    return fit.groupBy("signal_id").agg(F.max_by("key", F.struct("fit", -F.col("rank"))).alias("key"))
+    averages = [F.avg(F.get("chroma", F.lit(p))).alias(f"c{p}") for p in range(12)]
+    level = chroma_.groupBy("signal_id").agg(*averages).select("signal_id", F.array(*[f"c{p}" for p in range(12)]).alias("v"))
+    away = F.transform("v", lambda x: x - mean("v"))
+    spread = F.sqrt(mean(F.transform(away, lambda x: x * x))) + 1e-12
+    rows = level.select("signal_id", away.alias("z"), spread.alias("spread"))
+    weights: dict[tuple[str, int], list[float]] = {}
+    for key, rank, pitch_class, w in key_templates():
+        weights.setdefault((key, rank), [0.0] * 12)[pitch_class] = w
+    fits = [F.struct(F.round(total(F.zip_with("z", F.array(*map(F.lit, w)), lambda x, y: x * y)) / F.col("spread") / 12, 9).alias("fit"), F.lit(-rank).alias("rank"), F.lit(key).alias("key")) for (key, rank), w in weights.items()]
+    return rows.select("signal_id", F.array_max(F.array(*fits))["key"].alias("key"))
 
 
 def chords(signals: DataFrame, sample_rate: int, n_fft: int, hop: int) -> DataFrame:
@@ -161,28 +189,54 @@ def spectral_contrast(signals: DataFrame, sample_rate: int, n_fft: int, hop: int
     return picked.select("signal_id", "frame_idx", "band", (F.greatest(db("high"), top("high") - 80) - F.greatest(db("low"), top("low") - 80)).alias("value"))
 
 
-def thumbnail(chroma_rows: DataFrame, length: int, exclude_diagonal: bool = False) -> DataFrame:
+def thumbnail(chroma_: DataFrame, length: int, exclude_diagonal: bool = False, block: int = 512) -> DataFrame:
     """Start frame of the stretch of `length` frames most similar to some stretch: signal_id, start_frame.
 
-    Similarity of frame pairs by a self-join per signal, summed along diagonals by a window. The main diagonal counts unless
-    it is excluded; the first place wins ties.
+    The frames of a signal are cut into blocks that reach `length` - 1 frames into the next one. A task has a pair of blocks,
+    the similarities of their frames as a matrix, and sums them along diagonals; one row per pair of blocks goes on. The main
+    diagonal counts unless it is excluded; the first place wins ties.
     """
-    vector = chroma_rows.groupBy("signal_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pitch_class", "value"))), lambda s: s["value"]).alias("v"))
-    vector = vector.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    a, b = vector.select("signal_id", F.col("frame_idx").alias("i"), F.col("v").alias("va"), F.col("norm").alias("na")), vector.select("signal_id", F.col("frame_idx").alias("j"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
-    sim = a.join(b, "signal_id").select("signal_id", "i", "j", ratio(total(F.zip_with("va", "vb", lambda x, y: x * y)), F.col("na") * F.col("nb")).alias("s"))
-    run = Window.partitionBy("signal_id", F.col("j") - F.col("i")).orderBy("i").rowsBetween(0, length - 1)
-    summed = sim.withColumn("sum", F.round(F.sum("s").over(run), 9)).withColumn("n", F.count("*").over(run)).where(F.col("n") == length)
-    if exclude_diagonal:
-        summed = summed.where("i <> j")
-    return summed.groupBy("signal_id").agg(F.max_by("i", F.struct("sum", -F.col("i"), -F.col("j"))).alias("start_frame"))
+    at = F.floor(F.col("frame_idx") / block)
+    first = F.floor(F.greatest(F.col("frame_idx") - length + 1, F.lit(0)) / block)
+    rows = chroma_.select("signal_id", "frame_idx", "chroma", F.explode(F.sequence(first, at)).alias("b"))
+    frames_ = F.array_sort(F.collect_list(F.struct("frame_idx", "chroma")))
+    blocks = rows.groupBy("signal_id", "b").agg(F.transform(frames_, lambda r: r["chroma"]).alias("v"))
+    pairs = blocks.select("signal_id", F.col("b").alias("bi"), F.col("v").alias("vi")).join(blocks.select("signal_id", F.col("b").alias("bj"), F.col("v").alias("vj")), "signal_id").where("bi <= bj")  # (i, j) and (j, i) are alike, and the lesser i wins
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                out = []
+                for signal, bi, vi, bj, vj in zip(*(batch.column(c).slice(at, 16).to_pylist() for c in ("signal_id", "bi", "vi", "bj", "vj")), strict=True):
+                    a, b = np.array(vi), np.array(vj)
+                    norm = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+                    s = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm != 0)
+                    n, m = len(a) - length + 1, len(b) - length + 1
+                    if n < 1 or m < 1:
+                        continue
+                    summed = np.round(sum(s[k : k + n, k : k + m] for k in range(length)), 9)[:block, :block]
+                    if exclude_diagonal and bi == bj:
+                        np.fill_diagonal(summed, -np.inf)
+                    i, j = np.unravel_index(int(np.argmax(summed)), summed.shape)  # the least i, then the least j
+                    if np.isfinite(summed[i, j]):
+                        out.append((signal, float(summed[i, j]), int(bi) * block + int(i), int(bj) * block + int(j)))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["signal_id", "sum", "i", "j"])
+
+    found = pairs.mapInArrow(best, "signal_id long, sum double, i long, j long")
+    return found.groupBy("signal_id").agg(F.max_by("i", F.struct("sum", -F.col("i"), -F.col("j"))).alias("start_frame"))
 
 
 def onsets(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, n_mels: int) -> DataFrame:
     """Onset times from the rise of log-mel magnitudes: peaks over median + 1.5 median deviations: signal_id, frame_idx, time."""
-    level = apply_bank(bins(stft(signals, n_fft, hop)).select("signal_id", "frame_idx", "k", "m"), mel_bank(sample_rate, n_fft, n_mels), "k", "m").withColumn("v", F.log(F.col("value") + 1e-8))
-    band = Window.partitionBy("signal_id", "band").orderBy("frame_idx")
-    rise = level.withColumn("r", F.greatest(F.col("v") - F.lag("v").over(band), F.lit(0.0))).groupBy("signal_id", "frame_idx").agg(F.coalesce(F.sum("r") / n_mels, F.lit(0.0)).alias("flux"))
+    mel = mel_frames(signals, sample_rate, n_fft, hop, n_mels, squared=False)
+    level = mel.select("signal_id", "frame_idx", F.transform("mel", lambda m: F.log(m + 1e-8)).alias("v"))
+    before = F.lag("v").over(Window.partitionBy("signal_id").orderBy("frame_idx"))
+    up = F.zip_with("v", "before", lambda now, then: F.greatest(now - then, F.lit(0.0)))
+    rise = level.withColumn("before", before).select("signal_id", "frame_idx", F.coalesce(total(up) / n_mels, F.lit(0.0)).alias("flux"))
     middle = rise.groupBy("signal_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY flux)").alias("med"))
     away = rise.join(middle, "signal_id")
     spread = away.groupBy("signal_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(flux - med))").alias("mad"))

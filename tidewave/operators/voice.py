@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import c, diff, mean, ratio, total, total_of
+from tidewave.functions.arrays import c, diff, folded, mean, ratio, total
 
 
 def relative_perturbation(series: str | Column) -> Column:
@@ -81,24 +81,26 @@ def vocal_tract_length(f1: str | Column, f2: str | Column, speed: float = 34400.
     return F.lit(speed / 4) * (1 / c(f1) + 1 / (c(f2) - c(f1)))
 
 
-def subharmonic_to_harmonic_ratio(magnitudes: str | Column, f0_bin: int, harmonics: int) -> Column:
+def subharmonic_to_harmonic_ratio(magnitudes: str | Column, f0_bin: int | Column, harmonics: int) -> Column:
+    """Power in dB halfway between the harmonics over that at the harmonics; `f0_bin` is the bin of the fundamental."""
     m = c(magnitudes)
-    at = lambda shift: total(F.transform(F.sequence(F.lit(1), F.lit(harmonics)), lambda k: F.element_at(m, k * f0_bin + shift + 1) * F.element_at(m, k * f0_bin + shift + 1)))
-    return 10 * F.log10(at(f0_bin // 2) / (at(0) + 1e-8))
+    f0_bin = F.lit(f0_bin) if isinstance(f0_bin, int) else f0_bin
+    at = lambda shift: total(F.transform(F.sequence(F.lit(1), F.lit(harmonics)), lambda k: F.pow(F.get(m, k * f0_bin + shift), F.lit(2.0))))
+    return 10 * F.log10(at(F.floor(f0_bin / 2).cast("int")) / (at(F.lit(0)) + 1e-8))
 
 
-def harmonic_differences(magnitudes: str | Column, f0_hz: float, sample_rate: int, n_magnitudes: int, harmonics: tuple[int, ...] = (1, 2)) -> Column:
+def harmonic_differences(magnitudes: str | Column, f0_hz: float, sample_rate: int, n_magnitudes: int | Column, harmonics: tuple[int, ...] = (1, 2)) -> Column:
     """Differences in dB of neighbouring harmonics; the number of magnitudes counts as the transform size, missing bins as 1e-8."""
-    step = int(f0_hz / (sample_rate / n_magnitudes))
-    level = [20 * F.log10(F.coalesce(F.get(c(magnitudes), F.lit(h * step)), F.lit(1e-8)) + 1e-8) for h in harmonics]
+    step = F.floor(F.lit(float(f0_hz)) / (F.lit(float(sample_rate)) / n_magnitudes)).cast("int")
+    level = [20 * F.log10(F.coalesce(F.get(c(magnitudes), h * step), F.lit(1e-8)) + 1e-8) for h in harmonics]
     return F.array(*[a - b for a, b in zip(level[:-1], level[1:], strict=True)])
 
 
 def semitone_sd(f0: str | Column) -> Column:
     """Sample deviation of semitones about the mean pitch of voiced frames; 0 without any, null for one."""
     v = F.filter(c(f0), lambda x: x > 0)
-    tones = F.transform(v, lambda x: 12 * F.log2(x / mean(v)))
-    spread = F.sqrt(total_of(tones, lambda t: (t - mean(tones)) * (t - mean(tones))) / (F.size(v) - 1))
+    tones = F.transform(v, lambda x: 12 * F.log2(x))  # the deviation does not depend on what they are counted from
+    spread = F.sqrt(folded(tones, mean(tones), lambda t, m: (t - m) * (t - m)) / (F.size(v) - 1))
     return F.when(F.size(v) == 0, 0.0).when(F.size(v) > 1, spread)
 
 

@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
 from tidewave.operators import spectral, temporal, voice
-from tidewave.plans.twins import FRAMES, FS, HOP, N, NW, USER, mp, over_frames, over_magnitudes, over_signals, over_whole, query, rnd, sm
+from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, mp, over_frames, over_magnitudes, over_signals, over_whole, query, rnd, sm
 from tidewave.sources.signals import centered, frames, user_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-BIN, BIN_W = FS / N, FS / NW
-#: Whole-signal queries whose function takes the width of a bin, and those that name bins of NW samples: these have no uncut form.
-IN_HZ = {"spectral_spread", "low_high_energy_ratio", "alpha_ratio", "hammarberg_index", "sibilant_peak_frequency"}
-BY_BIN_NUMBER = {"harmonic_differences", "subharmonic_to_harmonic_ratio", "inharmonicity"}
+BIN = FS / N
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +37,11 @@ def magnitude_query(name: str, f: Callable[[str], Column], sql: str) -> None:
 
 
 def whole_query(name: str, f: Callable[[str], Column], sql: str) -> None:
-    QUERIES[name] = lambda spark, d: spectral.whole_spectrum(signals(spark, d), NW).select("signal_id", rounded(f("mag")).alias("value"))
+    """A feature of whole-signal spectra; `bin_hz` (in SQL: hz) is the width of a bin. The name with `_uncut` is the same query."""
+    QUERIES[name] = lambda spark, d: spectral.uncut_spectrum(signals(spark, d)).select("signal_id", rounded(f("mag")).alias("value"))
     SQL[name] = over_whole(sql)
-    if name not in BY_BIN_NUMBER:
-        own = (lambda m: f(m, F.col("bin_hz"))) if name in IN_HZ else f
-        QUERIES[f"{name}_uncut"] = lambda spark, d: spectral.uncut_spectrum(signals(spark, d)).select("signal_id", rounded(own("mag")).alias("value"))
+    if name not in ("harmonic_differences", "subharmonic_to_harmonic_ratio", "inharmonicity"):
+        QUERIES[f"{name}_uncut"], SQL[f"{name}_uncut"] = QUERIES[name], SQL[name]
 
 
 HS = f"(0.5*(1-cos(2*pi()*(i-1)/{N - 1})))"
@@ -95,24 +92,23 @@ MOM = lambda k: f"({sm(mp('m', f'pow(i-1-{CEN}, {k})*v*v'))}/{SP})"  # noqa: E73
 whole_query("spectral_entropy", spectral.entropy, f"-{sm(mp('m', f'v*v/{SP}*log2(v*v/{SP}+1e-12)'))}")
 whole_query("spectral_skewness", spectral.skewness, f"{MOM(3)}/pow({MOM(2)}, 1.5)")
 whole_query("spectral_kurtosis", spectral.kurtosis, f"{MOM(4)}/pow({MOM(2)}, 2)-3")
-whole_query("spectral_spread", lambda m, b=BIN_W: spectral.spread(m, b), f"sqrt({MOM(2)})*{BIN_W}")
+whole_query("spectral_spread", lambda m: spectral.spread(m, F.col("bin_hz")), f"sqrt({MOM(2)})*hz")
 whole_query("spectral_slope", spectral.slope, f"{sm(mp('m', '(i-1-(len(m)-1)/2.0)*ln(v+1e-8)'))}/(len(m)*(len(m)*len(m)-1)/12.0)")
 whole_query("spectral_crest", spectral.crest_factor, f"list_max({P})/{SP}")
 whole_query("spectral_deviation", spectral.deviation, f"{sm(mp('m[2:]', 'abs(v*v-m[i]*m[i])'))}/{SP}")
 whole_query("spectral_irregularity", spectral.irregularity, f"least(1, {sm(mp('m[2:]', 'abs(v-m[i])'))}/{sm(mp('m[2:]', 'v+m[i]+1e-12'))})")
-_BAND = lambda lo, hi, op=">=": sm(mp("m", f"CASE WHEN {'true' if lo is None else f'(i-1)*{BIN_W} {op} {lo}'} AND {'true' if hi is None else f'(i-1)*{BIN_W} < {hi}'} THEN v*v ELSE 0 END"))
-_TOP = lambda lo, hi, op="<": f"list_max({mp('m', f'CASE WHEN (i-1)*{BIN_W} >= {lo} AND (i-1)*{BIN_W} {op} {hi} THEN v*v END')})"
-whole_query("low_high_energy_ratio", lambda m, b=BIN_W: spectral.low_high_energy_ratio(m, b, 100.0, 300.0), f"10*log10({_BAND(None, 100)}/({_BAND(300, None, '>')}+1e-8))")
-whole_query("alpha_ratio", lambda m, b=BIN_W: spectral.alpha_ratio(m, b, (50.0, 150.0, 400.0)), f"10*log10({_BAND(50, 150)}/({_BAND(150, 400)}+1e-8))")
-whole_query("hammarberg_index", lambda m, b=BIN_W: spectral.hammarberg_index(m, b, 200.0, 450.0), f"10*log10({_TOP(0, 200)}/({_TOP(200, 450)}+1e-8))")
-whole_query("sibilant_peak_frequency", lambda m, b=BIN_W: spectral.band_peak_frequency(m, b, 100.0, 450.0), f"(list_position({mp('m', f'CASE WHEN (i-1)*{BIN_W} >= 100 AND (i-1)*{BIN_W} <= 450 THEN v*v END')}, {_TOP(100, 450, '<=')})-1)*{BIN_W}")
+_BAND = lambda lo, hi, op=">=": sm(mp("m", f"CASE WHEN {'true' if lo is None else f'(i-1)*hz {op} {lo}'} AND {'true' if hi is None else f'(i-1)*hz < {hi}'} THEN v*v ELSE 0 END"))
+_TOP = lambda lo, hi, op="<": f"list_max({mp('m', f'CASE WHEN (i-1)*hz >= {lo} AND (i-1)*hz {op} {hi} THEN v*v END')})"
+whole_query("low_high_energy_ratio", lambda m: spectral.low_high_energy_ratio(m, F.col("bin_hz"), 100.0, 300.0), f"10*log10({_BAND(None, 100)}/({_BAND(300, None, '>')}+1e-8))")
+whole_query("alpha_ratio", lambda m: spectral.alpha_ratio(m, F.col("bin_hz"), (50.0, 150.0, 400.0)), f"10*log10({_BAND(50, 150)}/({_BAND(150, 400)}+1e-8))")
+whole_query("hammarberg_index", lambda m: spectral.hammarberg_index(m, F.col("bin_hz"), 200.0, 450.0), f"10*log10({_TOP(0, 200)}/({_TOP(200, 450)}+1e-8))")
+whole_query("sibilant_peak_frequency", lambda m: spectral.band_peak_frequency(m, F.col("bin_hz"), 100.0, 450.0), f"(list_position({mp('m', f'CASE WHEN (i-1)*hz >= 100 AND (i-1)*hz <= 450 THEN v*v END')}, {_TOP(100, 450, '<=')})-1)*hz")
 _LOUD = "list_filter(m, lambda q: 20*log10(greatest(q, 1e-300)/list_max(m)) >= -60)"
 whole_query("spectral_tonality", spectral.tonality, f"CASE WHEN len({_LOUD}) > 1 THEN greatest(0, least(1, (list_max(m)/list_avg({_LOUD})-1)/(len({_LOUD})-1))) ELSE 1 END")
-QUERIES["spectral_roughness"] = lambda spark, d: spectral.roughness(spectral.whole_spectrum(signals(spark, d), NW), BIN_W).select("signal_id", rounded("roughness").alias("value"))
-QUERIES["spectral_roughness_uncut"] = lambda spark, d: spectral.roughness(spectral.uncut_spectrum(signals(spark, d)), F.col("bin_hz")).select("signal_id", rounded("roughness").alias("value"))
+QUERIES["spectral_roughness"] = lambda spark, d: spectral.roughness(spectral.uncut_spectrum(signals(spark, d)), F.col("bin_hz")).select("signal_id", rounded("roughness").alias("value"))
 from tidewave.plans.twins import WHOLE  # noqa: E402
 
-SQL["spectral_roughness"] = query([USER, WHOLE, f"""l AS (SELECT signal_id, k, m/max(m) OVER (PARTITION BY signal_id) AS a, k*{BIN_W} AS f FROM wbins),
+SQL["spectral_roughness"] = query([USER, WHOLE, f"""l AS (SELECT signal_id, k, m/max(m) OVER (PARTITION BY signal_id) AS a, k*hz AS f FROM wbins),
 q AS (SELECT * FROM l WHERE 20*log10(greatest(a, 1e-300)) >= -60),
 pr AS (SELECT q.signal_id, pow(q.a*r.a, 0.1)*pow(2*least(q.a, r.a)/(q.a+r.a), 3.11) AS w, 0.24/(0.021*q.f+19.0)*(r.f-q.f) AS z FROM q JOIN q r ON q.signal_id = r.signal_id AND q.k < r.k),
 t AS (SELECT signal_id, sum(w*(exp(-3.5*z)-exp(-5.75*z))) AS v FROM pr GROUP BY signal_id)"""], f"SELECT sig.signal_id, {rnd('coalesce(v, 0.0)')} AS value FROM sig LEFT JOIN t USING (signal_id)")
@@ -135,16 +131,19 @@ signal_query("semitone_sd", voice.semitone_sd, f"list_stddev_samp({_TN})", raw=T
 SQL.pop("semitone_sd")
 SQL["semitone_sd"] = query([USER, "v AS (SELECT signal_id, unnest(x) AS v FROM raw), w AS (SELECT signal_id, v, avg(v) OVER (PARTITION BY signal_id) AS mu FROM v WHERE v > 0)"], f"SELECT signal_id, {rnd('stddev_samp(12*log2(v/mu))')} AS value FROM w GROUP BY signal_id")
 
-QUERIES["spectral_sharpness"] = lambda spark, d: spectral.sharpness(spectral.whole_spectrum(signals(spark, d), NW), BIN_W).select("signal_id", rounded("sharpness").alias("value"))
-QUERIES["spectral_sharpness_uncut"] = lambda spark, d: spectral.sharpness(spectral.uncut_spectrum(signals(spark, d)), F.col("bin_hz")).select("signal_id", rounded("sharpness").alias("value"))
+QUERIES["spectral_sharpness"] = lambda spark, d: spectral.sharpness(spectral.uncut_spectrum(signals(spark, d)), F.col("bin_hz")).select("signal_id", rounded("sharpness").alias("value"))
 _EDGES = spectral.BARK_EDGES
-SQL["spectral_sharpness"] = query([USER, WHOLE, f"ed AS (SELECT z, [{', '.join(map(str, _EDGES))}][z] AS lo, [{', '.join(map(str, _EDGES))}][z+1] AS hi, CASE WHEN z <= 16 THEN 1.0 ELSE 0.066*exp(0.171*(z-16)) END AS g FROM (SELECT unnest(range(1, 25)) AS z)), bp AS (SELECT signal_id, z, g, avg(m*m) AS p FROM wbins JOIN ed ON k*{BIN_W} >= lo AND k*{BIN_W} < hi GROUP BY ALL)"], f"SELECT signal_id, {rnd('sum(p*g*z)/sum(p)')} AS value FROM bp GROUP BY signal_id")
+SQL["spectral_sharpness"] = query([USER, WHOLE, f"ed AS (SELECT z, [{', '.join(map(str, _EDGES))}][z] AS lo, [{', '.join(map(str, _EDGES))}][z+1] AS hi, CASE WHEN z <= 16 THEN 1.0 ELSE 0.066*exp(0.171*(z-16)) END AS g FROM (SELECT unnest(range(1, 25)) AS z)), bp AS (SELECT signal_id, z, g, avg(m*m) AS p FROM wbins JOIN ed ON k*hz >= lo AND k*hz < hi GROUP BY ALL)"], f"SELECT signal_id, {rnd('sum(p*g*z)/sum(p)')} AS value FROM bp GROUP BY signal_id")
 QUERIES["voice_onset_time"] = lambda spark, d: temporal.voice_onset_time(signals(spark, d), FS, N, HOP).select("signal_id", rounded("onset").alias("value"))
 SQL["voice_onset_time"] = query([USER, FRAMES, "vr AS (SELECT signal_id, frame_idx, list_sum(list_transform(f, lambda v: v*v)) AS e, list_max(f[3:15])/f[1] AS r FROM fr), vt AS (SELECT *, max(e) OVER (PARTITION BY signal_id) AS t FROM vr), vb AS (SELECT *, min(frame_idx) FILTER (e > t*0.1) OVER (PARTITION BY signal_id) AS b FROM vt)"], f"SELECT signal_id, {rnd(f'coalesce(min(frame_idx - b) FILTER (frame_idx >= b AND r > 0.3)*{HOP}/{FS}.0, 0.0)')} AS value FROM vb GROUP BY signal_id")
-QUERIES["nasality_index"] = lambda spark, d: spectral.nasality(spectral.whole_spectrum(signals(spark, d), NW), spectral.whole_spectrum(user_signals(spark, d, FS), NW), BIN_W, 100.0, 300.0).select("signal_id", rounded("nasality").alias("value"))
-QUERIES["nasality_index_uncut"] = lambda spark, d: spectral.nasality(spectral.uncut_spectrum(signals(spark, d)), spectral.uncut_spectrum(user_signals(spark, d, FS)), F.col("bin_hz"), 100.0, 300.0).select("signal_id", rounded("nasality").alias("value"))
-_RAW = WHOLE.replace("FROM sig)", "FROM raw)").replace("wsm", "osm").replace("wbins", "obins").replace("wm AS", "om AS")
-SQL["nasality_index"] = query([USER, WHOLE, _RAW, f"nn AS (SELECT signal_id, sum(m*m) AS n FROM wbins WHERE k*{BIN_W} >= 100 AND k*{BIN_W} <= 300 GROUP BY ALL), oo AS (SELECT signal_id, sum(m*m) AS o FROM obins WHERE k*{BIN_W} >= 100 AND k*{BIN_W} <= 300 GROUP BY ALL)"], f"SELECT signal_id, {rnd('10*log10((n+1e-8)/(o+1e-8))')} AS value FROM nn JOIN oo USING (signal_id)")
-whole_query("harmonic_differences", lambda m: F.get(voice.harmonic_differences(m, 120.0, FS, NW // 2 + 1), F.lit(0)), f"20*log10(m[{int(120.0 / (FS / (NW // 2 + 1))) + 1}]+1e-8)-20*log10(m[{2 * int(120.0 / (FS / (NW // 2 + 1))) + 1}]+1e-8)")
-whole_query("subharmonic_to_harmonic_ratio", lambda m: voice.subharmonic_to_harmonic_ratio(m, 4, 3), "10*log10((m[7]*m[7]+m[11]*m[11]+m[15]*m[15])/(m[5]*m[5]+m[9]*m[9]+m[13]*m[13]+1e-8))")
+QUERIES["nasality_index"] = lambda spark, d: spectral.nasality(spectral.uncut_spectrum(signals(spark, d)), spectral.uncut_spectrum(user_signals(spark, d, FS)), F.col("bin_hz"), 100.0, 300.0).select("signal_id", rounded("nasality").alias("value"))
+_RAW = WHOLE.replace("FROM sig)", "FROM raw)").replace("wsz", "osz").replace("wsm", "osm").replace("wks", "oks").replace("wbins", "obins").replace("wm AS", "om AS")
+SQL["nasality_index"] = query([USER, WHOLE, _RAW, f"nn AS (SELECT signal_id, sum(m*m) AS n FROM wbins WHERE k*hz >= 100 AND k*hz <= 300 GROUP BY ALL), oo AS (SELECT signal_id, sum(m*m) AS o FROM obins WHERE k*hz >= 100 AND k*hz <= 300 GROUP BY ALL)"], f"SELECT signal_id, {rnd('10*log10((n+1e-8)/(o+1e-8))')} AS value FROM nn JOIN oo USING (signal_id)")
+_STEP = "CAST(floor(120.0/(1000.0/len(m))) AS INTEGER)"
+whole_query("harmonic_differences", lambda m: F.get(voice.harmonic_differences(m, 120.0, FS, F.size(m)), F.lit(0)), f"20*log10(coalesce(m[{_STEP}+1], 1e-8)+1e-8)-20*log10(coalesce(m[2*{_STEP}+1], 1e-8)+1e-8)")
+# The fundamental is at 62.5 Hz: a sixteenth of the transform size, in bins.
+_AT = lambda shift: "+".join(f"pow(m[{k}*((len(m)-1)//8){shift}+1], 2)" for k in (1, 2, 3))
+whole_query("subharmonic_to_harmonic_ratio", lambda m: voice.subharmonic_to_harmonic_ratio(m, F.floor((F.size(m) - 1) / 8).cast("int"), 3), f"10*log10(({_AT('+(len(m)-1)//8//2')})/({_AT('')}+1e-8))")
 whole_query("inharmonicity", lambda m: spectral.inharmonicity(F.slice(F.col(m), 2, 5), F.lit(2.0)), "list_avg(list_transform(m[2:6], lambda v, i: abs(v/(i*2.0)-1)))")
+for _name in ("spectral_roughness", "spectral_sharpness", "nasality_index"):
+    QUERIES[f"{_name}_uncut"], SQL[f"{_name}_uncut"] = QUERIES[_name], SQL[_name]

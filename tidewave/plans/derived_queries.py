@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
 from tidewave.operators import pitch, spectral, spectrograms, stats, temporal, voice
-from tidewave.operators.filterbanks import bank_rows, chroma_bank, dct_bank, gammatone_bank, mel_bank, tonnetz_bank
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.extract import extract_core
-from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, query, rnd
+from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, chroma_sql, dct_sql, gammatone_sql, mel_sql, query, rnd, tonnetz_sql
 from tidewave.sources.signals import user_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,10 +25,6 @@ def values_query(name: str, f: Callable[[DataFrame], DataFrame], column: str, sq
         SQL[name] = sql
 
 
-def bank_cte(name: str, bank: list[list[float]], index: str = "k", band: str = "band") -> str:
-    return f"{name}({band}, {index}, w) AS (VALUES " + ", ".join(f"({b}::BIGINT, {k}::BIGINT, {w!r}::DOUBLE)" for b, k, w in bank_rows(bank)) + ")"
-
-
 def stft_ctes(mode: str | None, window: str = "periodic") -> list[str]:
     half = N // 2
     zeros = f"list_transform(range(0, {half}), lambda z: 0.0::DOUBLE)"
@@ -43,8 +38,8 @@ sb AS (SELECT signal_id, frame_idx, k, sqrt(re*re+im*im) AS m FROM (
   FROM ss CROSS JOIN (SELECT unnest(range(0, {N // 2 + 1})) AS k) GROUP BY ALL))"""]
 
 
-def banked(mode: str | None, bank: list[list[float]], value: str = "m*m", out: str = "b") -> list[str]:
-    return [*stft_ctes(mode), bank_cte("fb", bank), f"{out} AS (SELECT signal_id, frame_idx, band, sum(w*{value}) AS v FROM sb JOIN fb USING (k) GROUP BY ALL)"]
+def banked(mode: str | None, bank: str, value: str = "m*m", out: str = "b") -> list[str]:
+    return [*stft_ctes(mode), bank, f"{out} AS (SELECT signal_id, frame_idx, band, sum(w*{value}) AS v FROM sb JOIN fb USING (k) GROUP BY ALL)"]
 
 
 # short-time spectra
@@ -52,21 +47,22 @@ values_query("linear_spectrogram", lambda s: spectral.bins(spectrograms.linear_s
 QUERIES["spectral_bandwidth"] = lambda spark, d: spectrograms.stft(signals(spark, d), N, HOP).select("signal_id", "frame_idx", rounded(spectrograms.bandwidth("mag", FS / N)).alias("value"))
 SQL["spectral_bandwidth"] = query([*stft_ctes("reflect"), f"c AS (SELECT *, sum(k*{FS / N}*m) OVER w / (sum(m) OVER w + 1e-8) AS c FROM sb WINDOW w AS (PARTITION BY signal_id, frame_idx))"], f"SELECT signal_id, frame_idx, {rnd(f'sqrt(sum(pow(k*{FS / N}-c, 2)*m)/(sum(m)+1e-8))')} AS value FROM c GROUP BY signal_id, frame_idx")
 BAND = ("signal_id", "frame_idx", "band")
-MEL = mel_bank(FS, N, MELS)
+MEL = mel_sql(MELS)
 values_query("mel_spectrogram", lambda s: spectrograms.mel_spectrogram(s, FS, N, HOP, MELS), "value", query(banked("reflect", MEL), f"SELECT signal_id, frame_idx, band, {rnd('v', 2)} AS value FROM b"), BAND, digits=2)
 values_query("log_mel_spectrogram", lambda s: spectrograms.log_mel_spectrogram(s, FS, N, HOP, MELS), "value", query(banked("reflect", MEL), f"SELECT signal_id, frame_idx, band, {rnd('ln(v+1e-6)')} AS value FROM b"), BAND)
-_MFCC = [*banked(None, MEL), "d AS (SELECT signal_id, frame_idx, band, greatest(10*log10(greatest(v, 1e-10)), max(10*log10(greatest(v, 1e-10))) OVER (PARTITION BY signal_id) - 80) AS db FROM b)", bank_cte("dc", dct_bank(COEFFS, MELS), "band", "coeff")]
+_MFCC = [*banked(None, MEL), "d AS (SELECT signal_id, frame_idx, band, greatest(10*log10(greatest(v, 1e-10)), max(10*log10(greatest(v, 1e-10))) OVER (PARTITION BY signal_id) - 80) AS db FROM b)", dct_sql(COEFFS, MELS)]
 values_query("mfcc", lambda s: spectrograms.mfcc(s, FS, COEFFS, N, HOP, MELS), "value", query(_MFCC, f"SELECT signal_id, frame_idx, coeff, {rnd('sum(w*db)')} AS value FROM d JOIN dc USING (band) GROUP BY ALL"), ("signal_id", "frame_idx", "coeff"))
 for _name, _coeffs in (("gtcc", 4), ("gfcc", 8)):
-    _ctes = [*banked("reflect", gammatone_bank(FS, N, MELS, 50.0)), bank_cte("dc", dct_bank(_coeffs, MELS), "band", "coeff")]
+    _ctes = [*banked("reflect", gammatone_sql(MELS, 50.0)), dct_sql(_coeffs, MELS)]
     values_query(_name, lambda s, c=_coeffs: spectrograms.erb_cepstra(s, FS, c, N, HOP, MELS, 50.0), "value", query(_ctes, f"SELECT signal_id, frame_idx, coeff, {rnd('sum(w*ln(v+1e-10))')} AS value FROM b JOIN dc USING (band) GROUP BY ALL"), ("signal_id", "frame_idx", "coeff"))
 
 # tonal
-_CH = [*banked("constant", chroma_bank(FS, N)), "ch AS (SELECT signal_id, frame_idx, band AS pitch_class, v/(max(abs(v)) OVER (PARTITION BY signal_id, frame_idx) + 1e-12) AS v FROM b)"]
+_CH = [*banked("constant", chroma_sql()), "ch AS (SELECT signal_id, frame_idx, band AS pitch_class, v/(max(abs(v)) OVER (PARTITION BY signal_id, frame_idx) + 1e-12) AS v FROM b)"]
 chroma = lambda s: spectrograms.chroma(s, FS, N, HOP)
+chroma_frames = lambda s: spectrograms.chroma_frames(s, FS, N, HOP)
 values_query("chroma", chroma, "value", query(_CH, f"SELECT signal_id, frame_idx, pitch_class, {rnd('v')} AS value FROM ch"), ("signal_id", "frame_idx", "pitch_class"))
-values_query("tonnetz", lambda s: spectrograms.tonnetz(chroma(s)), "value", query([*_CH, bank_cte("tn", tonnetz_bank(), "pitch_class", "dim"), "u AS (SELECT signal_id, frame_idx, pitch_class, v/greatest(sum(abs(v)) OVER (PARTITION BY signal_id, frame_idx), 1e-12) AS v FROM ch)"], f"SELECT signal_id, frame_idx, dim, {rnd('sum(w*v)')} AS value FROM u JOIN tn USING (pitch_class) GROUP BY ALL"), ("signal_id", "frame_idx", "dim"))
-QUERIES["key_detect"] = lambda spark, d: spectrograms.key_detect(chroma(signals(spark, d)))
+values_query("tonnetz", lambda s: spectrograms.tonnetz(chroma_frames(s)), "value", query([*_CH, tonnetz_sql(), "u AS (SELECT signal_id, frame_idx, pitch_class, v/greatest(sum(abs(v)) OVER (PARTITION BY signal_id, frame_idx), 1e-12) AS v FROM ch)"], f"SELECT signal_id, frame_idx, dim, {rnd('sum(w*v)')} AS value FROM u JOIN tn USING (pitch_class) GROUP BY ALL"), ("signal_id", "frame_idx", "dim"))
+QUERIES["key_detect"] = lambda spark, d: spectrograms.key_detect(chroma_frames(signals(spark, d)))
 _KEYS = "kt(key, rank, pitch_class, w) AS (VALUES " + ", ".join(f"('{n}', {r}, {p}::BIGINT, {w!r}::DOUBLE)" for n, r, p, w in spectrograms.key_templates()) + ")"
 SQL["key_detect"] = query([*_CH, _KEYS, """l AS (SELECT signal_id, pitch_class, avg(v) AS v FROM ch GROUP BY ALL),
 z AS (SELECT signal_id, pitch_class, (v - avg(v) OVER w)/(stddev_pop(v) OVER w + 1e-12) AS z FROM l WINDOW w AS (PARTITION BY signal_id)),
@@ -79,8 +75,8 @@ _EDGE = "ed(band, k, q) AS (VALUES " + ", ".join(f"({b}::BIGINT, {k}, {q})" for
 values_query("spectral_contrast", lambda s: spectrograms.spectral_contrast(s, FS, N, HOP, 3, 60.0, 0.2), "value", query([*stft_ctes("constant"), _EDGE, """g AS (SELECT signal_id, frame_idx, band, q, list(m ORDER BY m) AS m FROM sb JOIN ed USING (k) GROUP BY ALL),
 h AS (SELECT signal_id, frame_idx, band, 10*log10(greatest(list_avg(m[1:q]), 1e-10)) AS lo, 10*log10(greatest(list_avg(m[greatest(len(m)-q+1, 1):]), 1e-10)) AS hi FROM g)"""],
     f"SELECT signal_id, frame_idx, band, {rnd('greatest(hi, max(hi) OVER (PARTITION BY signal_id) - 80) - greatest(lo, max(lo) OVER (PARTITION BY signal_id) - 80)')} AS value FROM h"), BAND)
-QUERIES["music_thumbnailing"] = lambda spark, d: spectrograms.thumbnail(chroma(signals(spark, d)), 2)
-QUERIES["music_thumbnailing_off_diagonal"] = lambda spark, d: spectrograms.thumbnail(chroma(signals(spark, d)), 2, exclude_diagonal=True)
+QUERIES["music_thumbnailing"] = lambda spark, d: spectrograms.thumbnail(chroma_frames(signals(spark, d)), 2)
+QUERIES["music_thumbnailing_off_diagonal"] = lambda spark, d: spectrograms.thumbnail(chroma_frames(signals(spark, d)), 2, exclude_diagonal=True)
 for _name, _where in (("music_thumbnailing", ""), ("music_thumbnailing_off_diagonal", " AND i <> j")):
     SQL[_name] = query([*_CH, """nv AS (SELECT *, sqrt(sum(v*v) OVER (PARTITION BY signal_id, frame_idx)) AS n FROM ch),
 si AS (SELECT a.signal_id, a.frame_idx AS i, b.frame_idx AS j, CASE WHEN max(a.n*b.n) = 0 THEN 0 ELSE sum(a.v*b.v)/max(a.n*b.n) END AS s FROM nv a JOIN nv b USING (signal_id, pitch_class) GROUP BY ALL),
@@ -172,9 +168,9 @@ QUERIES["silence_removal"] = lambda spark, d: temporal.silence_removal(signals(s
 SQL["silence_removal"] = query([*_ISL, "cut AS (SELECT isl.signal_id, unnest(x[first_frame*8+1:last_frame*8+16]) AS v FROM isl JOIN sig USING (signal_id)), ag AS (SELECT signal_id, count(*) AS kept, sum(v*v) AS e FROM cut GROUP BY ALL)"], f"SELECT sig.signal_id, coalesce(kept, 0) AS kept, {rnd('coalesce(e, 0.0)', 4)} AS energy FROM sig LEFT JOIN ag USING (signal_id)")
 
 # functionals, grouped summaries and the feature row
-QUERIES["functionals"] = lambda spark, d: stats.functionals(_samples(user_signals(spark, d, FS)), ["signal_id"], ["x"]).select("signal_id", *[rounded(F.col(f"x_{s}") + 1e-9, 4).alias(s) for s in stats.STATS])
+QUERIES["functionals"] = lambda spark, d: stats.functionals(_samples(user_signals(spark, d, FS)), ["signal_id"], ["x"]).select("signal_id", *[rounded(f"x_{s}", 9 if s == "mean" else 6).alias(s) for s in stats.STATS])  # means of up to 128 cents have no tie there
 _FN = [USER, _LONG, "mm AS (SELECT signal_id, x, avg(x) OVER w AS mu FROM lg WINDOW w AS (PARTITION BY signal_id)), ms AS (SELECT signal_id, min(mu) AS mean, sqrt(avg(pow(x-mu, 2))) AS std, min(x) AS mn, max(x) AS mx, avg(pow(x-mu, 3)) AS m3, avg(pow(x-mu, 4)) AS m4 FROM mm GROUP BY ALL)"]
-SQL["functionals"] = query(_FN, f"SELECT signal_id, {rnd('mean + 1e-9', 4)} AS mean, {rnd('std + 1e-9', 4)} AS std, {rnd('mn + 1e-9', 4)} AS min, {rnd('mx + 1e-9', 4)} AS max, {rnd('m3/(pow(std,3)+1e-8) + 1e-9', 4)} AS skewness, {rnd('m4/(pow(std,4)+1e-8)-3 + 1e-9', 4)} AS kurtosis FROM ms")
+SQL["functionals"] = query(_FN, f"SELECT signal_id, {rnd('mean', 9)} AS mean, {rnd('std')} AS std, {rnd('mn')} AS min, {rnd('mx')} AS max, {rnd('m3/(pow(std,3)+1e-8)')} AS skewness, {rnd('m4/(pow(std,4)+1e-8)-3')} AS kurtosis FROM ms")
 QUERIES["region_rollup"] = lambda spark, d: _regions(spark, d)
 
 

@@ -46,3 +46,41 @@ def verdict(checks: DataFrame, keys: list[str]) -> DataFrame:
     counted = F.sum((~F.col("skipped")).cast("int"))
     earned = F.sum((~F.col("skipped") & F.col("passed")).cast("int"))
     return checks.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), F.when(counted > 0, F.round(100.0 * earned / counted, 4)).alias("score"))
+
+
+def profile(name: str = "neutral") -> dict[str, float]:
+    """Pitch floor, pitch ceiling and highest formant of a speaker profile."""
+    if name not in PROFILES:
+        raise ValueError(f"unknown speaker profile {name!r}")
+    return dict(zip(("pitch_floor", "pitch_ceiling", "max_formant"), PROFILES[name][:3], strict=True))
+
+
+def load_reference(spark: SparkSession, path: str) -> DataFrame:
+    """metric, value from a JSON file of the form {"pitch": {"mean_hz": .., "median_hz": ..}, "formants": {"f1": .., ..}}; numbers
+    only, `_hz` dropped from names. A missing block gives no rows."""
+    text = spark.read.text(path, wholetext=True).select("value")
+    blocks = text.select(F.from_json("value", "pitch map<string,string>, formants map<string,string>").alias("r"))
+    rows = lambda block, prefix: blocks.select(F.explode(f"r.{block}").alias("k", "v")).select(F.concat(F.lit(prefix), F.regexp_replace(F.lower("k"), "_hz$", "")).alias("metric"), F.col("v").try_cast("double").alias("value"))
+    return rows("pitch", "pitch_").union(rows("formants", "formant_")).where("value is not null")
+
+
+def reference_metrics(signals: DataFrame, sample_rate: int, n: int = 2048, hop: int = 512, name: str = "neutral", order: int = 12) -> DataFrame:
+    """signal_id, metric, value: mean, median and voiced share of the pitch, and median formants, within a speaker profile."""
+    from tidewave.operators import formants, pitch
+
+    limits = profile(name)
+    top = min(limits["max_formant"], sample_rate / 2)
+    f0 = pitch.yin(pitch.frame_autocorrelation(signals, n, hop), n, sample_rate, limits["pitch_floor"], limits["pitch_ceiling"])
+    voiced = F.when(F.col("f0") > 0, F.col("f0"))
+    tones = f0.groupBy("signal_id").agg(F.avg(voiced).alias("pitch_mean"), F.median(voiced).alias("pitch_median"), F.avg((F.col("f0") > 0).cast("double")).alias("pitch_voiced_ratio"))
+    medians = formants.frequencies(formants.contours(formants.candidates(signals, sample_rate, order, n, hop, top), 3, top))
+    rows = tones.unpivot("signal_id", ["pitch_mean", "pitch_median", "pitch_voiced_ratio"], "metric", "value")
+    return rows.union(medians.select("signal_id", F.concat(F.lit("formant_f"), F.col("formant").cast("string")).alias("metric"), F.col("freq").alias("value")))
+
+
+def compare_with_reference(signals: DataFrame, reference: DataFrame, sample_rate: int, n: int = 2048, hop: int = 512, name: str = "neutral") -> DataFrame:
+    """Checks of every signal against one reference (metric, value): signal_id, metric, error, tolerance, skipped, passed."""
+    spark = signals.sparkSession
+    every = signals.select("signal_id").join(reference.where(F.col("metric").isin(*METRICS)))
+    measured = reference_metrics(signals, sample_rate, n, hop, name).where(F.col("metric").isin(*METRICS))
+    return evaluate(compare(measured, every, ["signal_id"]), tolerances(spark, name), ["signal_id"])

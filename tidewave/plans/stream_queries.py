@@ -24,7 +24,11 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewave-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidewave-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -38,8 +42,8 @@ def streaming_frames(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["streaming_frames"] = streaming_frames
 SQL["streaming_frames"] = f"""WITH s AS (SELECT user_id, list(value ORDER BY ts) AS x FROM events GROUP BY user_id)
 SELECT user_id, CAST(i AS BIGINT) AS frame_idx, {rnd('list_avg(x[i*4+1:i*4+8])')} AS value FROM (SELECT user_id, x, unnest(range(0, (len(x)-8)//4+1)) AS i FROM s)"""
-QUERIES["event_windows"] = lambda spark, d: framing.window_functionals(spark.read.parquet(f"{d}/events.parquet"), "ts", "value", ["event_type"], "1 day").select("window_start", "event_type", "n", *[rounded(F.col(c) + 1e-9, 4).alias(c) for c in ("mean", "std", "min", "max")])  # means of cents often lie on a tie
-SQL["event_windows"] = f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, {rnd('avg(value) + 1e-9', 4)} AS mean, {rnd('stddev_pop(value) + 1e-9', 4)} AS std, {rnd('min(value) + 1e-9', 4)} AS min, {rnd('max(value) + 1e-9', 4)} AS max FROM events GROUP BY 1, 2"""
+QUERIES["event_windows"] = lambda spark, d: framing.window_functionals(spark.read.parquet(f"{d}/events.parquet"), "ts", "value", ["event_type"], "1 day").select("window_start", "event_type", "n", *[rounded(c, 9 if c == "mean" else 6).alias(c) for c in ("mean", "std", "min", "max")])  # means of cents have fewer ties there
+SQL["event_windows"] = f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, {rnd('avg(value)', 9)} AS mean, {rnd('stddev_pop(value)')} AS std, {rnd('min(value)')} AS min, {rnd('max(value)')} AS max FROM events GROUP BY 1, 2"""
 QUERIES["event_sessions"] = lambda spark, d: framing.sessions(spark.read.parquet(f"{d}/events.parquet"), "ts", "user_id", "6 hours")
 SQL["event_sessions"] = """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o)

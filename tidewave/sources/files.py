@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Suffixes taken for audio, and the first bytes of files that stand in for missing audio.
 SUFFIXES = ("wav", "flac", "mp3", "ogg", "m4a")
+OTHERS = {b"fLaC": "FLAC", b"OggS": "Ogg", b"ID3": "MP3", b"\xff\xfb": "MP3", b"ftyp": "M4A"}
 PLACEHOLDERS = ("404:", "File not found:", "version https://git-lfs.github.com/spec/")
 
 
@@ -20,12 +21,16 @@ def audio_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _decode(content: bytes) -> tuple[int | None, list[list[float]] | None, str | None]:
-    """Sample rate, channels and error of WAV data with 8, 16, 24 or 32 bit samples; full scale is 1."""
+    """Sample rate, channels and error of WAV data with 8, 16, 24 or 32 bit samples; full scale is 1. Other formats have no decoder here."""
     import io
     import wave
 
     import numpy as np
 
+    for begin, kind in OTHERS.items():
+        if content[: len(begin)] == begin or content[4 : 4 + len(begin)] == begin:
+            return None, None, f"no decoder for {kind} files, only for WAV"
+
     try:
         with wave.open(io.BytesIO(content)) as w:
             width, raw = w.getsampwidth(), w.readframes(w.getnframes())
