@@ -18,7 +18,7 @@ def test_every_sql_has_a_query():
 
 def test_works_without_llm(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'rms' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q); print(len(q))"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'rms' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
 

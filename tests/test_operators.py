@@ -330,3 +330,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert "pitch_mean: passed" in capsys.readouterr().out
     (tmp_path / "b.flac").write_bytes(b"fLaC....")
     assert cli.main(["extract", str(tmp_path / "b.flac"), *rate]) == 1
+
+
+def test_frames_of_rows(spark):
+    from tidewave.sources.signals import frames_of_rows
+
+    rng = np.random.default_rng(2)
+    sizes = {1: 3000, 2: 5, 3: 32, 4: 33, 5: 48}  # one key holds nearly all rows
+    rows = [(k, int(t), float(rng.normal())) for k, n in sizes.items() for t in rng.permutation(n)]
+    df = spark.createDataFrame(rows, "k long, t int, x double").repartition(4)
+    got = {(r.signal_id, r.frame_idx): r.frame for r in frames_of_rows(df, "k", "x", ["t"], F.floor(F.col("t") / 100), 32, 16).collect()}
+    want = {}
+    for k, n in sizes.items():
+        x = [v for _, _, v in sorted(r for r in rows if r[0] == k)]
+        x += [0.0] * (32 - n)
+        want |= {(k, i): x[16 * i : 16 * i + 32] for i in range((len(x) - 32) // 16 + 1)}
+    assert got == want and frames_of_rows(df.where("false"), "k", "x", ["t"], F.lit(0), 32, 16).count() == 0

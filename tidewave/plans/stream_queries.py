@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
+from tidewave.functions.fourier import magnitude
 from tidewave.functions.windows import hann_symmetric, literal
-from tidewave.operators import linear
+from tidewave.operators import linear, spectral, temporal
+from tidewave.plans import basic_queries, report
 from tidewave.plans import derived_queries as dq
-from tidewave.plans import report
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.twins import FS, HOP, N, query, rnd
-from tidewave.sources.signals import frames
+from tidewave.sources.signals import frames, frames_of_rows
 from tidewave.streaming import framing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,21 @@ SQL["pitch_report"] = query([*dq.YIN, f"""fa AS (SELECT signal_id, frame_idx, {F
 ya AS (SELECT signal_id, avg(f0) AS a, quantile_disc(f0, 0.5) AS b FROM yf GROUP BY ALL), fb AS (SELECT signal_id, avg(f) AS a, quantile_disc(f, 0.5) AS b FROM fa GROUP BY ALL),
 e AS (SELECT signal_id, abs(ya.a-fb.a)/greatest(abs(fb.a), 1e-8) AS a, abs(ya.b-fb.b)/greatest(abs(fb.b), 1e-8) AS b FROM ya JOIN fb USING (signal_id)),
 u AS (SELECT signal_id, 'pitch_mean' AS metric, a AS v FROM e UNION ALL SELECT signal_id, 'pitch_median', b FROM e)"""], f"SELECT signal_id, metric, {rnd('v')} AS error, 0.15::DOUBLE AS tolerance, v <= 0.15 AS passed FROM u")
+
+
+def event_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of the events of each user less their mean, built from rows: no task holds a user's events."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value")
+    means = rows.groupBy("user_id").agg(F.avg("value").alias("_mean"))
+    rows = rows.join(means, "user_id").withColumn("value", F.col("value") - F.col("_mean"))
+    return frames_of_rows(rows, "user_id", "value", ["ts", "event_id"], F.date_trunc("day", "ts"), N, HOP, FS)
+
+
+def by_rows(name: str, f) -> None:
+    QUERIES[f"{name}_by_rows"] = lambda spark, d: f(event_frames(spark, d)).select("signal_id", "frame_idx", rounded("v").alias("value"))
+    SQL[f"{name}_by_rows"] = basic_queries.SQL[name]
+
+
+by_rows("rms", lambda df: df.withColumn("v", temporal.rms("frame", N)))
+by_rows("zero_crossing_rate", lambda df: df.withColumn("v", temporal.zero_crossing_rate("frame")))
+by_rows("spectral_centroid", lambda df: df.withColumn("v", spectral.centroid(magnitude(F.col("frame"), N), FS / N)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,30 @@ def frames(signals: DataFrame, n: int, hop: int, pad: bool = True) -> DataFrame:
     return signals.select("signal_id", "sample_rate", F.posexplode(frame_array(F.col("samples"), n, hop, pad)).alias("frame_idx", "frame")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
 
 
+def frames_of_rows(rows: DataFrame, key: str, value: str, order: list[str], bucket: Column, n: int, hop: int, sample_rate: int = 0) -> DataFrame:
+    """The frames of `frames`, straight from rows that are samples, for signals too long for one row or task.
+
+    `bucket` cuts a key's rows into runs along the order (an hour of the time, say): numbers within a run come from a window
+    over the run, and the runs before it are prefix sums of their counts. Each sample goes to the frames it falls in, so a
+    task sees single runs and frames, never a whole signal. A signal shorter than a frame gives one, padded with zeros.
+    """
+    checked(n, hop)
+    keyed = rows.select(F.col(key).cast("long").alias("signal_id"), *order, F.col(value).cast("double").alias("_v"), bucket.alias("_b"))
+    counts = keyed.groupBy("signal_id", "_b").agg(F.count("*").alias("_n"))
+    signal = Window.partitionBy("signal_id")
+    runs = counts.select("signal_id", "_b", (F.sum("_n").over(signal.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(signal).alias("_size"))
+    within = F.row_number().over(Window.partitionBy("signal_id", "_b").orderBy(*order)) - 1
+    placed = keyed.withColumn("_i", within).join(runs, ["signal_id", "_b"]).withColumn("_i", F.col("_i") + F.col("_before"))
+    last = F.floor((F.greatest("_size", F.lit(n)) - n) / hop)
+    first = F.greatest(F.ceil((F.col("_i") - n + 1) / hop), F.lit(0))
+    until = F.least(F.floor(F.col("_i") / hop), last)
+    spread = placed.where(first <= until).select("signal_id", F.explode(F.sequence(first, until)).alias("frame_idx"), "_i", "_v")
+    grouped = spread.groupBy("signal_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
+    values = F.transform("_s", lambda s: s["_v"])
+    frame = F.concat(values, F.array_repeat(F.lit(0.0), n - F.size("_s")))
+    return grouped.select("signal_id", F.lit(sample_rate).alias("sample_rate"), "frame_idx", frame.alias("frame"))
+
+
 def samples_long(signals: DataFrame) -> DataFrame:
     """One row per sample: signal_id, sample_rate, n, x."""
     return signals.select("signal_id", "sample_rate", F.posexplode("samples").alias("n", "x")).withColumn("n", F.col("n").cast("long"))

@@ -11,25 +11,31 @@ from pyspark.sql import functions as F
 from tidewave.operators.stats import moments
 
 
-def frame_stream(stream: DataFrame, key: str, order: str, value: str, n: int, hop: int, feature: Callable) -> DataFrame:
+def frame_stream(stream: DataFrame, key: str, order: str, value: str, n: int, hop: int, feature: Callable, idle_seconds: int | None = None) -> DataFrame:
     """feature(frame) for every full frame of every key: key, frame_idx, value.
 
     State per key is the tail that no frame has used up, and the next frame's number. Rows of a micro-batch are put in order
-    of `order`; rows that come after their place was used count where they arrive. An incomplete tail gives no frame.
+    of `order`; rows that come after their place was used count where they arrive. An incomplete tail gives no frame. With
+    `idle_seconds`, a key that has had no rows for so long loses its state; rows that come later start it anew.
     """
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         tail, at = state.get if state.exists else ([], 0)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         held = np.concatenate([np.asarray(tail, float), rows[value].to_numpy(float)])
         count = max(0, (len(held) - n) // hop + 1)
         out = [feature(held[i * hop : i * hop + n]) for i in range(count)]
         state.update((held[count * hop :].tolist(), at + count))
+        if idle_seconds:
+            state.setTimeoutDuration(1000 * idle_seconds)
         yield pd.DataFrame({key: [group[0]] * count, "frame_idx": np.arange(at, at + count), "value": np.asarray(out, float)})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, frame_idx long, value double", "tail array<double>, at long", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, frame_idx long, value double", "tail array<double>, at long", "append", "ProcessingTimeTimeout" if idle_seconds else "NoTimeout")
 
 
 def window_functionals(stream: DataFrame, time: str, value: str, keys: list[str], size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
