@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import gaussian, literal
+from tidewave.sources.files import resample
 from tidewave.sources.signals import frames
 
 #: Search ranges of the first five formants in Hz.
@@ -65,6 +66,14 @@ def candidates(signals: DataFrame, sample_rate: int, order: int, n: int, hop: in
     return frames(signals.withColumn("samples", flat), n, hop).select("signal_id", "frame_idx", run(windowed).alias("r")).select("signal_id", "frame_idx", "r.freqs", "r.widths")
 
 
+def at_formant_rate(signals: DataFrame, sample_rate: int, top: float) -> tuple[DataFrame, int]:
+    """The signals at twice the highest formant, and that rate; signals of a lower rate stay as they are."""
+    target = int(2 * top)
+    if sample_rate <= target:
+        return signals, sample_rate
+    return signals.withColumn("samples", resample(F.col("samples"), sample_rate, target)).withColumn("sample_rate", F.lit(target)), target
+
+
 def contours(found: DataFrame, count: int, top: float) -> DataFrame:
     """Formant tracks: signal_id, frame_idx, formant (from 1), freq, width. Frames of a signal are followed in order.
 

@@ -146,16 +146,14 @@ def key_detect(chroma_: DataFrame) -> DataFrame:
 
 
 def chords(signals: DataFrame, sample_rate: int, n_fft: int, hop: int) -> DataFrame:
-    """Chord template with the largest sum of magnitudes per frame: signal_id, frame_idx, time, chord."""
-    spark = signals.sparkSession
+    """Chord template with the largest sum of magnitudes per frame, the first on ties: signal_id, frame_idx, time, chord."""
     n = n_fft // 2 + 1
-    classes = [(k, int(round(12 * math.log2(sample_rate / 2 * k / (n - 1) / 440.0) + 69)) % 12) for k in range(1, n)]
-    of = F.broadcast(spark.createDataFrame(classes, "k long, pitch_class int"))
-    level = power_bins(stft(signals, n_fft, hop)).join(of, "k").groupBy("signal_id", "frame_idx", "pitch_class").agg(F.sum(F.sqrt(F.col("p") + 1e-9)).alias("v"))
-    templates = F.broadcast(spark.createDataFrame([(name, r, p) for r, (name, ps) in enumerate(CHORDS.items()) for p in ps], "chord string, rank int, pitch_class int"))
-    fit = level.join(templates, "pitch_class").groupBy("signal_id", "frame_idx", "chord", "rank").agg(F.round(F.sum("v"), 9).alias("fit"))
-    best = fit.groupBy("signal_id", "frame_idx").agg(F.max_by("chord", F.struct("fit", -F.col("rank"))).alias("chord"))
-    return best.select("signal_id", "frame_idx", (F.col("frame_idx") * hop / F.lit(float(sample_rate))).alias("time"), "chord")
+    classes = [0] + [int(round(12 * math.log2(sample_rate / 2 * k / (n - 1) / 440.0) + 69)) % 12 for k in range(1, n)]
+    bank = [[float(k > 0 and classes[k] == p) for k in range(n)] for p in range(12)]
+    level = stft(signals, n_fft, hop).select("signal_id", "frame_idx", through_bank(F.transform("mag", lambda m: F.sqrt(m * m + 1e-9)), bank).alias("level"))
+    fit = lambda ps: F.round(sum((F.get("level", F.lit(p)) for p in ps[1:]), F.get("level", F.lit(ps[0]))), 9)
+    best = F.array_max(F.array(*[F.struct(fit(ps).alias("fit"), F.lit(-r).alias("rank"), F.lit(name).alias("chord")) for r, (name, ps) in enumerate(CHORDS.items())]))["chord"]
+    return level.select("signal_id", "frame_idx", (F.col("frame_idx") * hop / F.lit(float(sample_rate))).alias("time"), best.alias("chord"))
 
 
 def contrast_bands(sample_rate: int, n_fft: int, n_bands: int, f_min: float, quantile: float) -> list[tuple[int, int, int, int]]:
@@ -175,18 +173,21 @@ def contrast_bands(sample_rate: int, n_fft: int, n_bands: int, f_min: float, qua
 
 def spectral_contrast(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, n_bands: int = 6, f_min: float = 200.0, quantile: float = 0.02) -> DataFrame:
     """Peak less valley in dB per octave band, each held within 80 dB of the signal's largest: signal_id, frame_idx, band, value."""
-    spark = signals.sparkSession
     bands = contrast_bands(sample_rate, n_fft, n_bands, f_min, quantile)
-    edges = F.broadcast(spark.createDataFrame([(b, k, q) for b, lo, hi, q in bands for k in range(lo, hi + 1)], "band long, k long, q int"))
-    level = bins(stft(signals, n_fft, hop, "constant")).join(edges, "k")
-    sorted_ = level.groupBy("signal_id", "frame_idx", "band", "q").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    picked = sorted_.select("signal_id", "frame_idx", "band", mean(F.slice("m", F.lit(1), F.least("q", F.size("m")))).alias("low"), mean(F.slice("m", F.greatest(F.size("m") - F.col("q") + 1, F.lit(1)), F.col("q"))).alias("high"))
-    whole = Window.partitionBy("signal_id")
-    db = lambda x: 10 * F.log10(F.greatest(F.col(x), F.lit(1e-10)))
-    missing = 10 * math.log10(1e-10)
+    db = lambda x: 10 * F.log10(F.greatest(x, F.lit(1e-10)))
+    ends = []
+    for band, first, last, q in bands:
+        size = last - first + 1
+        ordered = F.array_sort(F.slice("mag", first + 1, size))
+        low, high = mean(F.slice(ordered, 1, min(q, size))), mean(F.slice(ordered, max(size - q + 1, 1), q))
+        ends.append(F.struct(F.lit(band).cast("long").alias("band"), db(low).alias("low"), db(high).alias("high")))
+    picked = stft(signals, n_fft, hop, "constant").select("signal_id", "frame_idx", F.array(*ends).alias("ends"))
+    whole, missing = Window.partitionBy("signal_id"), 10 * math.log10(1e-10)
     full = len(bands) == n_bands + 1
-    top = lambda x: F.max(db(x)).over(whole) if full else F.greatest(F.max(db(x)).over(whole), F.lit(missing))
-    return picked.select("signal_id", "frame_idx", "band", (F.greatest(db("high"), top("high") - 80) - F.greatest(db("low"), top("low") - 80)).alias("value"))
+    most = lambda x: F.max(F.array_max(F.transform("ends", lambda e: e[x]))).over(whole)
+    top = lambda x: most(x) if full else F.greatest(most(x), F.lit(missing))
+    rows = picked.withColumns({"top_low": top("low") - 80, "top_high": top("high") - 80}).select("signal_id", "frame_idx", "top_low", "top_high", F.explode("ends").alias("e"))
+    return rows.select("signal_id", "frame_idx", "e.band", (F.greatest("e.high", "top_high") - F.greatest("e.low", "top_low")).alias("value"))
 
 
 def thumbnail(chroma_: DataFrame, length: int, exclude_diagonal: bool = False, block: int = 512) -> DataFrame:

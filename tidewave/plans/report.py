@@ -73,7 +73,9 @@ def reference_metrics(signals: DataFrame, sample_rate: int, n: int = 2048, hop:
     f0 = pitch.yin(pitch.frame_autocorrelation(signals, n, hop), n, sample_rate, limits["pitch_floor"], limits["pitch_ceiling"])
     voiced = F.when(F.col("f0") > 0, F.col("f0"))
     tones = f0.groupBy("signal_id").agg(F.avg(voiced).alias("pitch_mean"), F.median(voiced).alias("pitch_median"), F.avg((F.col("f0") > 0).cast("double")).alias("pitch_voiced_ratio"))
-    medians = formants.frequencies(formants.contours(formants.candidates(signals, sample_rate, order, n, hop, top), 3, top))
+    slower, rate = formants.at_formant_rate(signals, sample_rate, top)
+    size, step = (max(1, x * rate // sample_rate) for x in (n, hop))
+    medians = formants.frequencies(formants.contours(formants.candidates(slower, rate, order, size, step, top), 3, top))
     rows = tones.unpivot("signal_id", ["pitch_mean", "pitch_median", "pitch_voiced_ratio"], "metric", "value")
     return rows.union(medians.select("signal_id", F.concat(F.lit("formant_f"), F.col("formant").cast("string")).alias("metric"), F.col("freq").alias("value")))
 
