@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -335,6 +336,54 @@ def test_fingerprints(spark, docs):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_by_brute_force(spark, docs):
+    """Fingerprints and likeness computed again in plain Python: terms of five word hashes, each the seed of the next."""
+    import xxhash
+
+    from tidewave.llm import fingerprints
+
+    def chain(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        return seed
+
+    def brute(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \t\n\r\x0b\f]+", text.lower()) if w]
+        terms = [chain(h[i : i + 5]) for i in range(max(1, len(h) - 4))] if h else []
+        return sum(1 << b for b in range(64) if 2 * sum(t >> b & 1 for t in terms) > len(terms))
+
+    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = [(r.doc_id, r.text or "") for r in sorted(plain.collect(), key=lambda r: r.doc_id)]
+    rows = {r.doc_id: r for r in fingerprints.edited_likeness(plain).collect()}
+    like = lambda a, b: max(0.0, math.cos((a ^ b).bit_count() * math.pi / 64))
+    for i, (key, text) in enumerate(texts):
+        after, take = texts[(i + 1) % len(texts)][1], len(text) // 4
+        own, edited = brute(text), brute(text[: len(text) - take] + after[:take])
+        assert rows[key].fingerprint == format(own, "016x") and rows[key].edited_fingerprint == format(edited, "016x")
+        assert math.isclose(rows[key].near_edited, like(own, edited), abs_tol=1e-12) and math.isclose(rows[key].near_next, like(own, brute(after)), abs_tol=1e-12)
+
+
+def test_order_with_hot_ids(spark):
+    """Half of the rows share an id or have none: every row is followed by the next in the order, over many buckets."""
+    from tidewave.llm import fingerprints
+
+    rows = [(7, f"seven {i}") for i in range(120)] + [(None, f"none {i % 90}") for i in range(100)] + [(i, f"text {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = fingerprints.with_next(docs, buckets=12).where("own").collect()
+    follows = Counter((r.text, r.next_text) for r in out)
+    assert Counter(t for t, _ in follows.elements()) == Counter(n for _, n in follows.elements()) == Counter(t for _, t in rows)
+    assert len({r.bucket for r in out if r.doc_id == 7}) > 1
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(t, i)
+    order = sorted({i for i, _ in rows if i is not None})
+    for a, b in follows:
+        x, y = ids[a], ids[b]
+        assert x == y or (x is None and y == order[0]) or (x == order[-1] and y is None) or (x is not None and order[order.index(x) + 1] == y)
+    assert fingerprints.edited_likeness(docs).count() == len(rows)
+
+
 def test_bucketed_order(spark):
     from tidewave.llm import fingerprints
 

@@ -36,7 +36,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables of which nothing is read any more: all that was made of them has been written itself."""
+    for df in tables:
+        store, inner = file_system(df.written_to)
+        store.delete_dir(inner)
 
 
 _live: dict = {}

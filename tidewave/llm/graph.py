@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import written
+from tidewave.llm._common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         after = written(nearer.join(far, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "was"), "labels")
-        moved = after.where("label <> was").limit(1).count()
-        labels = after.drop("was")
-        if not moved:
-            return labels
+        discard(labels)
+        if not after.where("label <> was").limit(1).count():
+            discard(both)
+            return after.drop("was")
+        labels = after

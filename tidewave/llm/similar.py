@@ -4,7 +4,8 @@ First SimHash fingerprints of the same shingles are linked through the BK-trees
 enough join texts into groups. A radius of bits that reaches every pair of similarity 0.8 has no sharp end, so the pairs that
 are still apart come from prefixes: with the shingles of every set in one common order, two sets of similarity t or more
 share one of the first n - ceil(t n) + 1. Rare shingles come first (a sample tells which are common; the order only has to be
-the same for all sets), so that few unlike texts meet. All candidates are confirmed by their whole sets. Texts of one prefix
+the same for all sets), so that few unlike texts meet. Most candidates are unlike: bit signatures of the sets bound their similarity from above, without error, and only pairs that
+may reach it are confirmed by their whole sets, which are made again for these texts. Texts of one prefix
 shingle are first compared with one of them, round by round, and joined into groups; only texts of different groups are then
 compared in pairs, so that a large group of near copies does not cost all its pairs.
 """
@@ -13,21 +14,56 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import text_or_empty, written
+from tidewave.llm._common import discard, text_or_empty, written
+from tidewave.llm.chunks import text_slices
 from tidewave.llm.graph import components
 from tidewave.llm.simhash import near_links
 
 #: Similarity of linked texts, as a fraction.
 OVER, UNDER = 4, 5
+#: Bits of the map that tells which rows may have candidates; a full map only lets more rows through.
+MAP_BITS = 1 << 22
+#: 64-bit words of a set's signature: bit h mod (64 WORDS) is set for every shingle hash h.
+WORDS = 32
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, s (hash of the set), fp (SimHash of the set), n and shingles (ascending, distinct) of every row; null texts count
-    as empty."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), k (what tells rows apart by both)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.withColumn("k", F.xxhash64("doc_id", "text"))
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, most: int = 200_000) -> tuple:
+    """Shingles in at least 3 of about `sample_rows` texts, ascending, and their counts; the driver sees at most `most`."""
+    import numpy as np
+
+    rows = _rows(docs)
+    share = min(1 << 20, -(-sample_rows * (1 << 20) // max(1, docs.count())))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from tidewave.llm.simhash import shingle_hashes
+
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view("<i8"))], ["t"])
+
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < share).select("text").distinct().mapInArrow(run, "t long")
+    found = sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
+    t, n = np.asarray(found.column("t")), np.asarray(found.column("n"))
+    order = np.argsort(t)
+    return t[order], n[order]
+
+
+def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5) -> DataFrame:
+    """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set), n, sig (signature) and prefix, the first shingles in the common order (32
+    bits of each, distinct): two sets of similarity OVER / UNDER or more share one. Null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -36,87 +72,114 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
         from tidewave.llm.simhash import fingerprint_of, shingle_hashes
 
+        names, counts = shared.value
+
+        def first(x):
+            t = x.view("<i8")
+            rank = np.zeros(len(t), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, t), len(names) - 1)
+                rank = np.where(names[at] == t, counts[at], 0)
+            length = len(t) - (OVER * len(t) + UNDER - 1) // UNDER + 1
+            return np.unique((x[np.lexsort((t, rank))[:length]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+        def signature(x):
+            bits = np.zeros(64 * WORDS, np.uint8)
+            bits[x % np.uint64(64 * WORDS)] = 1
+            return np.packbits(bits, bitorder="little").view("<i8")
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for a, b in text_slices(batch.column("text"), 2 << 20):
+                part = batch.slice(a, b - a)
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column("text").to_pylist()]
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
                 fp = np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")
-                n = np.array([len(x) for x in sets], np.int32)
-                flat = np.concatenate(sets).view("<i8")
-                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(fp), pa.array(n), arrays], ["doc_id", "s", "fp", "n", "shingles"])
+                prefix = [first(x) for x in sets]
+                ends = np.cumsum([0, *map(len, prefix)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(np.concatenate([signature(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(s), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), sigs, lists], ["doc_id", "k", "s", "fp", "n", "sig", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, s long, fp long, n int, shingles array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, prefix array<int>")
 
 
-def common_shingles(known: DataFrame, sample_rows: int = 20_000, most: int = 200_000) -> tuple:
-    """Shingles in at least 3 of about `sample_rows` sets, ascending, and their counts; the driver sees at most `most`."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
+    """s, n, shingles (ascending) of the rows of `docs` whose k is in `wanted`, and of few others: a map of bits of bounded size
+    tells them, so that no text is shuffled."""
     import numpy as np
 
-    share = min(1 << 20, -(-sample_rows * (1 << 20) // max(1, known.count())))
-    sample = known.where(F.pmod(F.xxhash64("s", F.lit("sample")), F.lit(1 << 20)) < share).select("s", F.explode("shingles").alias("t"))
-    rows = sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
-    t, n = np.asarray(rows.column("t")), np.asarray(rows.column("n"))
-    order = np.argsort(t)
-    return t[order], n[order]
-
-
-def prefixes(known: DataFrame, common: tuple) -> DataFrame:
-    """t, s, n: the shingles of each set of which one is shared with every set of similarity OVER / UNDER or more."""
-    shared = known.sparkSession.sparkContext.broadcast(common)
+    bit = F.pmod(F.col("k"), F.lit(MAP_BITS))
+    bits = np.zeros(MAP_BITS, bool)
+    bits[np.asarray(wanted.select(bit.cast("int").alias("b")).distinct().toArrow().column("b"))] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        names, counts = shared.value
-        for batch in batches:
-            s, n = np.asarray(batch.column("s")), np.asarray(batch.column("n"))
-            lists = batch.column("shingles")
-            flat, ends = np.asarray(lists.flatten()), np.cumsum(n)
-            row = np.repeat(np.arange(len(n)), n)
-            rank = np.zeros(len(flat), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-                rank = np.where(names[at] == flat, counts[at], 0)
-            order = np.lexsort((flat, rank, row))
-            length = n - (OVER * n.astype(np.int64) + UNDER - 1) // UNDER + 1
-            kept = order[np.arange(len(flat)) - np.repeat(ends - n, n) < np.repeat(length, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(s[row[kept]]), pa.array(n[row[kept]])], ["t", "s", "n"])
+        from tidewave.llm.simhash import shingle_hashes
 
-    return known.select("s", "n", "shingles").mapInArrow(run, "t long, s long, n int")
+        bits = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[np.asarray(batch.column("bit"))]))
+            for a, b in text_slices(batch.column("text"), 2 << 20):
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view("<i8")))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.diff(ends), pa.int32()), lists], ["s", "n", "shingles"])
+
+    made = written(_rows(docs).select("text", bit.cast("int").alias("bit")).mapInArrow(run, "s long, n int, shingles array<long>"), "sets")
+    if made.count() > made.select("s").distinct().count():  # rows that repeat id and text
+        once = written(made.groupBy("s").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
+        discard(made)
+        return once
+    return made
+
+
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets (s, n, sig) whose similarity may be OVER / UNDER or more: every bit that is set in one signature
+    only stands for a shingle that the other set lacks."""
+    side = lambda x: known.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
+    both = F.least(F.col("n_a") - alone("sig_a", "sig_b"), F.col("n_b") - alone("sig_b", "sig_a"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(UNDER * both >= OVER * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is OVER / UNDER or more."""
+def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets of `known` whose similarity is OVER / UNDER or more."""
+    pairs = written(possible(pairs, known), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    sets = whole_sets(docs, known.join(ends, "s", "left_semi"), shingle)
     side = lambda x: sets.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"of_{x}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(UNDER * both >= OVER * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(UNDER * both >= OVER * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    found = written(found, "confirmed")
+    discard(pairs, sets)
+    return found
 
 
 def fingerprint_pairs(sets: DataFrame, radius: int = 3) -> DataFrame:
     """Candidates (a, b) among sets (s, fp): those of one fingerprint with its least, and the leasts of linked fingerprints."""
     least = written(sets.groupBy("fp").agg(F.min("s").alias("least")), "distinct")
-    same = sets.join(least, "fp").select(F.col("least").alias("a"), F.col("s").alias("b"))
+    same = sets.join(least, "fp").select(F.col("least").alias("x"), F.col("s").alias("y"))
     of = lambda fp, s: least.select(F.col("fp").alias(fp), F.col("least").alias(s))
-    near = near_links(least, radius).join(of("fp_a", "a"), "fp_a").join(of("fp_b", "b"), "fp_b").select("a", "b")
-    return same.union(near).where("a <> b")
-
-
-def similar_sets(known: DataFrame, stars: int = 2) -> DataFrame:
-    """s, label of the sets of `known` (s, fp, n, shingles) that have candidates: connected just as all pairs of similarity
-    OVER / UNDER or more would connect them."""
-    found = written(prefixes(known, common_shingles(known)), "prefixes")
-    several = found.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t")
-    lists = written(found.join(several, "t").distinct(), "lists")
-    sets = known.join(lists.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    sets = written(sets, "sets")
-    joined = components(confirmed(fingerprint_pairs(sets), sets))
-    labels = written(sets.select("s").join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("label", "s").alias("label")), "labels")
+    near = near_links(least, radius).join(of("fp_a", "x"), "fp_a").join(of("fp_b", "y"), "fp_b").select("x", "y")
+    return same.union(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def similar_sets(docs: DataFrame, distinct: DataFrame, shingle: int = 5, stars: int = 2) -> DataFrame:
+    """s, label of those of `distinct` (s, k, fp, n, sig, prefix; one row per set) that have candidates: connected just as all pairs of
+    similarity OVER / UNDER or more would connect them."""
+    several = distinct.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("sets")).where("sets > 1").select("t")
+    lists = written(distinct.select("s", "n", F.explode("prefix").alias("t")).join(several, "t"), "lists")
+    known = written(distinct.drop("prefix").join(lists.select("s").distinct(), "s", "left_semi"), "candidates")
+    labels = written(known.select("s", F.col("s").alias("label")), "labels")
     for k in range(stars + 1):
         member = lists.join(labels, "s")
-        mixed = member.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), "s", "n", "label")).alias("x")).where("lo <> hi")
+        hub: Column = F.min(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), "s", "n", "label")).alias("x")
+        mixed = member.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi")
         if k < stars:
             other = mixed.select("t", F.col("x.s").alias("s2"), F.col("x.n").alias("n2"), F.col("x.label").alias("label2"))
             near = member.join(other, "t")
@@ -124,10 +187,14 @@ def similar_sets(known: DataFrame, stars: int = 2) -> DataFrame:
             member = written(member.join(mixed.select("t"), "t"), "mixed")
             near = member.join(member.select("t", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "t").where("s < s2")
         near = near.where((F.col("label") != F.col("label2")) & (UNDER * F.least("n", "n2") >= OVER * F.greatest("n", "n2")))
-        links = confirmed(near.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct(), sets)
+        near = near.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b"))
+        links = confirmed(docs, (near.union(fingerprint_pairs(known)) if k == 0 else near).distinct(), known, shingle)
         of = lambda x: labels.select(F.col("s").alias(x), F.col("label").alias(f"label_{x}"))
         joined = components(links.join(of("a"), "a").join(of("b"), "b").select("label_a", "label_b"))
-        labels = written(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("s", F.coalesce("least", "label").alias("label")), "labels")
+        after = written(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("s", F.coalesce("least", "label").alias("label")), "labels")
+        discard(labels, links)
+        labels = after
+    discard(lists, known, member)
     return labels
 
 
@@ -137,12 +204,15 @@ def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Texts of equal sets, the empty one of empty and null texts included, are linked. Null doc_ids are never the smallest:
     a component of null doc_ids only has a null component_id. Repeated rows all come back. An empty table gives no rows.
     """
-    known = written(shingle_sets(docs, shingle), "shingles")
-    labels = similar_sets(known)
-    member = known.groupBy("s").agg(F.min("doc_id").alias("least")).join(labels, "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
+    rows = written(prefix_rows(docs, common_shingles(docs, shingle), shingle), "prefixes")
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "prefix")]
+    distinct = written(rows.groupBy("s").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), *firsts), "distinct")
+    labels = similar_sets(docs, distinct.drop("least"), shingle)
+    member = distinct.select("s", "least").join(labels, "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
     member = written(member, "members")
+    discard(distinct, labels)
     least = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    return known.select("doc_id", "s").join(member.join(least, "label").select("s", "component_id"), "s").select("doc_id", "component_id")
+    return rows.select("doc_id", "s").join(member.join(least, "label").select("s", "component_id"), "s").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
