@@ -664,6 +664,10 @@ def test_pipeline_near_duplicates(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    from tidewave.llm import similar
+
+    found = {r.doc_id: r.component_id for r in similar.near_components(docs, crowd=3, rounds=3).collect()}  # nearly all shingles come last
+    assert found == {k: root(k) for k in texts}
     assert corpus_pipeline.simhash_near_dedup(spark, empty(docs), "").count() == 0
 
 

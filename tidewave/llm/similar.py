@@ -3,8 +3,9 @@
 First SimHash fingerprints of the same shingles are linked through the BK-trees of `simhash`; links whose sets are similar
 enough join texts into groups. A radius of bits that reaches every pair of similarity 0.8 has no sharp end, so the pairs that
 are still apart come from prefixes: with the shingles of every set in one common order, two sets of similarity t or more
-share one of the first n - ceil(t n) + 1. Rare shingles come first (a sample tells which are common; the order only has to be
-the same for all sets), so that few unlike texts meet. Most candidates are unlike: bit signatures of the sets bound their similarity from above, without error, and only pairs that
+share one of the first n - ceil(t n) + 1. Rare shingles come first, so that few unlike texts meet: a sample tells which are
+common, and those that still turn out to be in many prefixes are put last, in a map of bits of bounded size (the order may be
+any, it only has to be the same for all sets). Most candidates are unlike: bit signatures of the sets bound their similarity from above, without error, and only pairs that
 may reach it are confirmed by their whole sets, which are made again for these texts. Texts of one prefix
 shingle are first compared with one of them, round by round, and joined into groups; only texts of different groups are then
 compared in pairs, so that a large group of near copies does not cost all its pairs.
@@ -60,10 +61,21 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
     return t[order], n[order]
 
 
-def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5) -> DataFrame:
+def bit_map(numbers: DataFrame):
+    """A packed map of MAP_BITS bits with bit x mod MAP_BITS set for every x of a column of numbers."""
+    import numpy as np
+
+    bits = np.zeros(MAP_BITS, bool)
+    column = F.pmod(F.col(numbers.columns[0]).cast("long"), F.lit(MAP_BITS)).cast("int")
+    bits[np.asarray(numbers.select(column.alias("b")).distinct().toArrow().column("b"))] = True
+    return np.packbits(bits)
+
+
+def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5, late=None, only=None) -> DataFrame:
     """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set), n, sig (signature) and prefix, the first shingles in the common order (32
-    bits of each, distinct): two sets of similarity OVER / UNDER or more share one. Null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    bits of each, distinct): two sets of similarity OVER / UNDER or more share one. Null texts count as empty. `late`: a map of shingles that come last;
+    `only`: a map of the k of rows to take (and few others)."""
+    shared = docs.sparkSession.sparkContext.broadcast((*common, late, only))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -72,16 +84,18 @@ def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5) -> DataFrame:
 
         from tidewave.llm.simhash import fingerprint_of, shingle_hashes
 
-        names, counts = shared.value
+        names, counts, late, only = shared.value
+        last = None if late is None else np.unpackbits(late)
+        taken = None if only is None else np.unpackbits(only).view(bool)
 
         def first(x):
-            t = x.view("<i8")
+            t, short = x.view("<i8"), (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
             rank = np.zeros(len(t), np.int64)
             if len(names):
                 at = np.minimum(np.searchsorted(names, t), len(names) - 1)
                 rank = np.where(names[at] == t, counts[at], 0)
-            length = len(t) - (OVER * len(t) + UNDER - 1) // UNDER + 1
-            return np.unique((x[np.lexsort((t, rank))[:length]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            order = np.lexsort((t, rank) if last is None else (t, rank, last[short.astype(np.int64) % MAP_BITS]))
+            return np.unique(short[order[: len(t) - (OVER * len(t) + UNDER - 1) // UNDER + 1]])
 
         def signature(x):
             bits = np.zeros(64 * WORDS, np.uint8)
@@ -89,6 +103,8 @@ def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5) -> DataFrame:
             return np.packbits(bits, bitorder="little").view("<i8")
 
         for batch in batches:
+            if taken is not None:
+                batch = batch.filter(pa.array(taken[np.asarray(batch.column("k")) % MAP_BITS]))
             for a, b in text_slices(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column("text").to_pylist()]
@@ -106,12 +122,7 @@ def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5) -> DataFrame:
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
     """s, n, shingles (ascending) of the rows of `docs` whose k is in `wanted`, and of few others: a map of bits of bounded size
     tells them, so that no text is shuffled."""
-    import numpy as np
-
-    bit = F.pmod(F.col("k"), F.lit(MAP_BITS))
-    bits = np.zeros(MAP_BITS, bool)
-    bits[np.asarray(wanted.select(bit.cast("int").alias("b")).distinct().toArrow().column("b"))] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select("k")))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -120,9 +131,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFram
 
         from tidewave.llm.simhash import shingle_hashes
 
-        bits = np.unpackbits(shared.value).view(bool)
+        taken = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[np.asarray(batch.column("bit"))]))
+            batch = batch.filter(pa.array(taken[np.asarray(batch.column("k")) % MAP_BITS]))
             for a, b in text_slices(batch.column("text"), 2 << 20):
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
@@ -130,7 +141,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view("<i8")))
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.diff(ends), pa.int32()), lists], ["s", "n", "shingles"])
 
-    made = written(_rows(docs).select("text", bit.cast("int").alias("bit")).mapInArrow(run, "s long, n int, shingles array<long>"), "sets")
+    made = written(_rows(docs).select("text", "k").mapInArrow(run, "s long, n int, shingles array<long>"), "sets")
     if made.count() > made.select("s").distinct().count():  # rows that repeat id and text
         once = written(made.groupBy("s").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
         discard(made)
@@ -198,15 +209,57 @@ def similar_sets(docs: DataFrame, distinct: DataFrame, shingle: int = 5, stars:
     return labels
 
 
-def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def touched(distinct: DataFrame, late) -> DataFrame:
+    """s, k of the sets whose prefix holds a shingle of the map."""
+    shared = distinct.sparkSession.sparkContext.broadcast(late)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last = np.unpackbits(shared.value)
+        for batch in batches:
+            lists = batch.column("prefix")
+            hits = np.append(0, np.cumsum(last[np.asarray(lists.flatten()).astype(np.int64) % MAP_BITS], dtype=np.int64))
+            ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+            yield batch.select(["s", "k"]).filter(pa.array(hits[ends[1:]] > hits[ends[:-1]]))
+
+    return distinct.select("s", "k", "prefix").mapInArrow(run, "s long, k long")
+
+
+def thinned(docs: DataFrame, distinct: DataFrame, common: tuple, shingle: int, crowd: int, rounds: int) -> DataFrame:
+    """`distinct` with prefixes in which shingles of over `crowd` prefixes come last. Each round looks at the prefixes of the one
+    before and makes those anew that hold such shingles; the others stay as they are in the new order, too."""
+    import numpy as np
+
+    late = np.zeros(MAP_BITS // 8, np.uint8)
+    for _ in range(rounds):
+        tokens = distinct.select(F.explode("prefix").alias("t"))
+        crowded = written(tokens.groupBy("t").agg(F.count("*").alias("sets")).where(F.col("sets") > crowd), "crowded")
+        more = late | bit_map(crowded.select("t"))
+        if (more == late).all():
+            discard(crowded)
+            break
+        late = more
+        hit = written(touched(distinct, late), "affected")
+        again = prefix_rows(docs, common, shingle, late, bit_map(hit.select("k"))).groupBy("s").agg(F.first("prefix").alias("new"))
+        after = written(distinct.join(again, "s", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "distinct")
+        discard(crowded, hit, distinct)
+        distinct = after
+    return distinct
+
+
+def near_components(docs: DataFrame, shingle: int = 5, crowd: int = 50, rounds: int = 2) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable over links) of every row.
 
     Texts of equal sets, the empty one of empty and null texts included, are linked. Null doc_ids are never the smallest:
     a component of null doc_ids only has a null component_id. Repeated rows all come back. An empty table gives no rows.
     """
-    rows = written(prefix_rows(docs, common_shingles(docs, shingle), shingle), "prefixes")
+    common = common_shingles(docs, shingle)
+    rows = written(prefix_rows(docs, common, shingle), "prefixes")
     firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "prefix")]
     distinct = written(rows.groupBy("s").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), *firsts), "distinct")
+    distinct = thinned(docs, distinct, common, shingle, crowd, rounds)
     labels = similar_sets(docs, distinct.drop("least"), shingle)
     member = distinct.select("s", "least").join(labels, "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
     member = written(member, "members")
