@@ -75,21 +75,21 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows of `docs` (doc_id, text) in ascending doc_id order with the text that follows: bucket, n (place in the bucket),
     own (false for copies of the next bucket's first row that close a bucket), doc_id, text, next_text.
 
-    The order is cut into buckets (eight to a shuffle partition) at keys that Spark's range partitioning of the keys finds;
-    one key per bucket is all that the driver sees. Null ids come first; ties go by the text's hash, then the text, so rows
-    that share an id fall into many buckets; only rows that repeat both id and text meet in one. The last row is followed by
-    the first. Null texts are empty.
+    The order is cut into buckets (four to a shuffle partition) at keys of a sample (sixteen to a bucket); these and one key per
+    bucket are all that the driver sees. Null ids come first; ties go by the text's hash, then the text, so rows that share
+    an id fall into many buckets; only rows that repeat both id and text meet in one. The last row is followed by the first.
+    Null texts are empty.
     """
     spark = docs.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"))
-    keyed = rows.withColumn("at", place)
-    ranged = keyed.select("at.known", "at.doc_id", "at.h").repartitionByRange(buckets, "known", "doc_id", "h")
-    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("known", "doc_id", "h")).alias("first")).collect()
-    heads = sorted({tuple(r["first"]) for r in found}, key=lambda k: (k[0], k[1] or 0, k[2]))
-    keyed = keyed.withColumn("bucket", _bucket(F.col("at"), heads[1:]))
-    before = [(*head, (i - 1) % len(heads)) for i, head in enumerate(heads)]
+    ascending = lambda keys: sorted({tuple(k) for k in keys}, key=lambda k: (k[0], k[1] or 0, k[2]))
+    sample = rows.sample(min(1.0, 16 * buckets / max(1, docs.count())), seed=9).select(place.alias("at"))
+    few = ascending(r["at"] for r in sample.collect())
+    keyed = rows.withColumn("at", place).withColumn("bucket", _bucket(F.col("at"), ascending(few[len(few) * i // buckets] for i in range(1, buckets)) if few else []))
+    heads = sorted((r["bucket"], *r["first"]) for r in keyed.groupBy("bucket").agg(F.min("at").alias("first")).collect())
+    before = [(*head[1:], heads[i - 1][0]) for i, head in enumerate(heads)]
     known = spark.createDataFrame(before, "known boolean, id long, h long, previous int")
     ends = keyed.join(F.broadcast(known), F.col("at.doc_id").eqNullSafe(F.col("id")) & (F.col("at.h") == known["h"]))
     ends = ends.select("doc_id", "text", F.col("previous").alias("bucket"), F.lit(False).alias("own"), "at")
