@@ -570,6 +570,18 @@ def test_quality_by_brute_force(spark):
     assert {i for i, r in rows.items() if r.keep} == set(sorted(keys, key=keys.get, reverse=True)[:k])
 
 
+def test_shape_codes():
+    import pyarrow as pa
+
+    from tidewave.llm import quality
+
+    words = ["the", "The", "THE", "I", "a1", "12", "x-y", "don't", "İ", "É.", "été,,", "漢字", "Ab!", "aB", "A.", "ß", "ABC!!", "...", "", "ǅa", "Ⅷ", "a²", "mail.x@y.com", "!a!", "Ω,"]
+    assert quality.shape_codes(pa.array(words)).tolist() == [zlib.crc32(quality.word_shape(w).encode()) for w in words]
+    assert len(quality.shape_codes(pa.array([], pa.string()))) == 0
+    text, buckets = quality.ngram_buckets(pa.array(["", " a ", "a b\nc", "\n"]))
+    assert text.tolist() == [1, 2, 2, 2, 2, 2, 2, 2] and len(buckets) == 8
+
+
 CLASHES = ["doc", "score", "fit", "lang_pred", "n_removed", "n_bytes", "n_spans", "kept", "_key", "_spans", "_kept", "text_hash", "s", "fp", "label", "t", "n", "bucket", "at", "own", "length", "rank", "held_out"]
 
 

@@ -56,6 +56,23 @@ PUNCTUATION = ".,;:!?*#$%&\"'()-"
 _LAST = r"[A-Za-zß-öø-ÿ]\z"
 
 
+def cut_tails(strings):
+    """An Arrow string array as two: the strings without the PUNCTUATION at their ends, and that punctuation."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    word = pc.utf8_rtrim(strings, PUNCTUATION)
+    many = np.asarray(pc.binary_length(strings)).astype(np.int64) - np.asarray(pc.binary_length(word))
+    if not len(strings):
+        return word, word
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset + 1 : strings.offset + 1 + len(strings)]
+    source = np.repeat(ends - np.cumsum(many), many) + np.arange(int(many.sum()))
+    letters = np.frombuffer(strings.buffers()[2], np.uint8)[source] if len(source) else np.zeros(0, np.uint8)
+    cuts = np.append(0, np.cumsum(many)).astype(np.int32)
+    return word, pa.StringArray.from_buffers(len(many), pa.py_buffer(cuts), pa.py_buffer(letters.tobytes()))
+
+
 def key_parts(keys):
     """Which keys (Arrow strings) are one word of letters, and of those: head (line feed, mark or nothing), word and tail
     (punctuation). Both patterns match such a word apart from what stands before and after it."""
@@ -64,21 +81,12 @@ def key_parts(keys):
     import pyarrow.compute as pc
 
     led = pc.or_(pc.starts_with(keys, "\n"), pc.starts_with(keys, MARK))
-    body = pc.if_else(led, pc.utf8_slice_codeunits(keys, 1), keys)
-    word = pc.utf8_rtrim(body, PUNCTUATION)
-    size, whole = np.asarray(pc.binary_length(word)), np.asarray(pc.binary_length(body))
-    plain = np.asarray(pc.utf8_is_alpha(word)) & ((size == whole) | np.asarray(pc.match_substring_regex(word, _LAST)))
+    word, tail = cut_tails(pc.if_else(led, pc.utf8_slice_codeunits(keys, 1), keys))
+    bare = np.asarray(pc.equal(tail, ""))
+    plain = np.asarray(pc.utf8_is_alpha(word)) & (bare | np.asarray(pc.match_substring_regex(word, _LAST)))
     mask = pa.array(plain)
     head = pc.utf8_slice_codeunits(pc.if_else(led, keys, ""), 0, 1).filter(mask)
-    body = body.filter(mask)
-    # The tails are the last bytes of the bodies.
-    many = (whole - size)[plain]
-    ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset + 1 : body.offset + 1 + len(body)]
-    source = np.repeat(ends - np.cumsum(many), many) + np.arange(int(many.sum()))
-    letters = np.frombuffer(body.buffers()[2], np.uint8)[source] if len(source) else np.zeros(0, np.uint8)
-    cuts = np.append(0, np.cumsum(many)).astype(np.int32)
-    tail = pa.StringArray.from_buffers(len(many), pa.py_buffer(cuts), pa.py_buffer(letters.tobytes()))
-    return plain, head, word.filter(mask), tail
+    return plain, head, word.filter(mask), tail.filter(mask)
 
 
 def chunk_keys(texts):

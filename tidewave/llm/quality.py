@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty, worker_cache, written
-from tidewave.llm.chunks import text_slices
+from tidewave.llm._common import table, text_or_empty, written
+from tidewave.llm.chunks import cut_tails, text_slices
 
 
 def word_shape(word: str) -> str:
@@ -26,33 +26,59 @@ def word_shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", shape), flags=re.S)
 
 
-def ngram_buckets(text: str, bits: int = 13):
-    """Bucket of every word, of every pair of adjacent words and of every pair of adjacent word shapes.
+def shape_codes(words):
+    """CRC-32 of the shape of every word of an Arrow array. Words of letters in one case or with one capital, punctuation after
+    them or not, have few shapes; others are taken one by one."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    stem, tail = cut_tails(words)
+    alpha = np.asarray(pc.utf8_is_alpha(stem))
+    long = np.asarray(pc.utf8_length(stem)) > 1
+    kind = np.select([alpha & np.asarray(pc.utf8_is_lower(stem)), alpha & long & np.asarray(pc.utf8_is_title(stem)) & ~np.asarray(pc.match_substring_regex(stem, r"^\p{Lt}")), alpha & long & np.asarray(pc.utf8_is_upper(stem))], [0, 1, 2], -1)
+    tails = tail.dictionary_encode()
+    code = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
+    few = np.array([[code(word_shape(w + t)) for w in ("aa", "Aa", "AA")] for t in tails.dictionary.to_pylist()], np.uint64).reshape(-1, 3)
+    out = few[np.asarray(tails.indices), np.maximum(kind, 0)] if len(few) else np.zeros(len(words), np.uint64)
+    rest = np.flatnonzero(kind < 0)
+    out[rest] = [code(word_shape(w)) for w in words.take(pa.array(rest)).to_pylist()]
+    return out
 
-    Pairs of equal words share bucket 0, so that runs of one word tell whatever the word is.
+
+def ngram_buckets(texts, bits: int = 13):
+    """The n-grams of an Arrow array of texts: number of the text and bucket, for every word, every pair of adjacent words and
+    every pair of adjacent word shapes. Words are what stands between white space.
+
+    Pairs of equal words share bucket 0, so that runs of one word tell whatever the word is. Distinct words are hashed once a call.
     """
     import zlib
 
     import numpy as np
-
-    words = text.split()
-    _words = worker_cache("word codes", dict)
-    new = {w for w in words if w not in _words}
-    if len(_words) + len(new) > 150_000:
-        _words.clear()
-        new = {*words}
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.utf8_split_whitespace(texts)
+    words = lists.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+    some = np.asarray(pc.binary_length(words)) > 0
+    owner, coded = owner[some], words.filter(pa.array(some)).dictionary_encode()
     code = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
-    _words.update((w, code(w) | code(word_shape(w)) << 32) for w in new)
-    both = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    distinct, index = coded.dictionary, np.asarray(coded.indices)
+    one = np.fromiter(map(code, distinct.to_pylist()), np.uint64, len(distinct))[index]
+    shape = shape_codes(distinct)[index]
     top = np.uint64(64 - bits)
+    follows = owner[1:] == owner[:-1]
 
     def pairs(x):
         m = x * np.uint64(0x9E3779B97F4A7C15)
-        return (m[:-1] ^ (m[1:] * np.uint64(0xD6E8FEB86659FD93)) ^ (m[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> top
+        return ((m[:-1] ^ (m[1:] * np.uint64(0xD6E8FEB86659FD93)) ^ (m[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> top)[follows]
 
-    one, shape = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
-    two = np.where(one[:-1] == one[1:], np.uint64(0), pairs(one))
-    return np.concatenate([one * np.uint64(0x9E3779B97F4A7C15) >> top, two, pairs(shape + np.uint64(1 << 33))]).astype(np.int64)
+    two = np.where((one[:-1] == one[1:])[follows], np.uint64(0), pairs(one))
+    buckets = np.concatenate([one * np.uint64(0x9E3779B97F4A7C15) >> top, two, pairs(shape + np.uint64(1 << 33))]).astype(np.int64)
+    return np.concatenate([owner, owner[1:][follows], owner[1:][follows]]), buckets
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 20_000, prior: float = 1000.0) -> dict:
@@ -80,12 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 2
 
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for a, b in text_slices(batch.column("text"), 2 << 20):
-                wanted = batch.column("target").slice(a, b - a).to_pylist()
-                got = [ngram_buckets(t, bits) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                raw += np.bincount(np.concatenate(got), minlength=1 << bits)
-                for buckets in (x for x, is_target in zip(got, wanted, strict=True) if is_target):
-                    target += np.bincount(buckets, minlength=1 << bits)
+            for a, b in text_slices(batch.column("text"), 4 << 20):
+                text, buckets = ngram_buckets(batch.column("text").slice(a, b - a), bits)
+                raw += np.bincount(buckets, minlength=1 << bits)
+                target += np.bincount(buckets[np.asarray(batch.column("target").slice(a, b - a))[text]], minlength=1 << bits)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
 
@@ -121,13 +145,12 @@ def score(docs: DataFrame, model: dict, seed: int = 7) -> DataFrame:
 
         m = shared.value
         for batch in batches:
-            log, ngrams = [], []
-            for a, b in text_slices(batch.column("text"), 2 << 20):
-                for t in batch.column("text").slice(a, b - a).to_pylist():
-                    buckets = ngram_buckets(t, m["bits"])
-                    log.append(m["ratio"][buckets].sum())
-                    ngrams.append(len(buckets))
-            log = np.array(log, float)
+            log, ngrams = [np.zeros(0)], [np.zeros(0, np.int64)]
+            for a, b in text_slices(batch.column("text"), 4 << 20):
+                text, buckets = ngram_buckets(batch.column("text").slice(a, b - a), m["bits"])
+                log.append(np.bincount(text, m["ratio"][buckets], b - a))
+                ngrams.append(np.bincount(text, minlength=b - a))
+            log, ngrams = np.concatenate(log), np.concatenate(ngrams)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(log), pa.array(ngrams, pa.int64()), pa.array(log + np.asarray(batch.column("noise")), pa.float64())], ["doc_id", "text_hash", "log_ratio", "ngrams", "sample_key"])
 
     return rows.mapInArrow(run, "doc_id long, text_hash long, log_ratio double, ngrams long, sample_key double")
