@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ _own_folder: dict[str, str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +36,7 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
+    bound_batches(df.sparkSession)
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -72,6 +75,32 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def lean(run):
+    """`run` for mapInArrow, whose worker gives its unused memory back to the system when a task ends: workers are kept for later
+    tasks of other operators."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB for this session, unless its user has set a size: tasks hold a few batches at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(name, "8m")
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import file_system, fresh_dir, open_input, open_output, table, written
+from tidewave.llm._common import file_system, fresh_dir, lean, open_input, open_output, table, written
 
 
 def quantise(x, scale: float):
@@ -171,6 +171,7 @@ def build_index(rows: DataFrame, dims: int, scale: float, block_rows: int) -> st
     spark = rows.sparkSession
     folder = fresh_dir(spark, "slices")
 
+    @lean
     def build(batches: Iterator) -> Iterator:
         import uuid
 
@@ -229,6 +230,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: float = 64
     manifest = build_index(rows, dims, scale, block_rows)
     tasks = max(1, -(-asked.count() // query_rows))
 
+    @lean
     def search(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

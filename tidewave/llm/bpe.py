@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty, worker_cache
+from tidewave.llm._common import lean, table, text_or_empty, worker_cache
 from tidewave.llm.chunks import encode_parts, encode_slice, text_slices
 
 
@@ -149,6 +149,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidewave.llm._common import table, worker_cache
+from tidewave.llm._common import bound_batches, lean, table, worker_cache
 
 START, UNKNOWN = "▁", 1e-7
 SHORT = 32  # code points of words whose probability a double still holds
@@ -238,11 +238,13 @@ def train(docs: DataFrame, vocabulary: str, sample_rows: int = 20_000) -> dict:
     """
     import numpy as np
 
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = max(1, rows.count())
     share = min(1 << 20, -(-sample_rows * (1 << 20) // total))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < share).select("text", F.col("lang").cast("string").alias("lang"))
 
+    @lean
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -282,6 +284,7 @@ def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_p
     schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).cast("double").alias(names[2])).schema
     schema = StructType([StructField(f.name, f.dataType) for f in schema])
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty, written
+from tidewave.llm._common import lean, table, text_or_empty, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -28,6 +28,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import zlib
 
@@ -175,6 +176,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, salt_rows: int = 100_000) -> D
     ranked = keyed.withColumn("_in", F.row_number().over(within)).join(first, ["length", "_salt"]).withColumn("rank", F.col("_first") + F.col("_in") - 1)
     plan = spark.sparkContext.broadcast(placements(plan_bins(histogram, capacity)))
 
+    @lean
     def place(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

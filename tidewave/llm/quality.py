@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty, written
+from tidewave.llm._common import lean, table, text_or_empty, written
 from tidewave.llm.chunks import cut_tails, text_slices
 
 
@@ -98,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 13, sample_rows: int = 2
     good = sample.agg(F.avg(F.col("_target").cast("int"))).first()[0]
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample.where("_target").select("_label_id", "_target")), F.col("doc_id") == F.col("_label_id"), "left").select("text", F.coalesce("_target", F.lit(False)).alias("target"))
 
+    @lean
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -137,6 +138,7 @@ def score(docs: DataFrame, model: dict, seed: int = 7) -> DataFrame:
     uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_hash(F.col("text")).alias("text_hash"), (-F.log(-F.log(uniform))).alias("noise"))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import table, text_or_empty, written
+from tidewave.llm._common import lean, table, text_or_empty, written
 from tidewave.llm.graph import components
 
 
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (64 bits as a long) of every row; null texts count as empty and get 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -141,6 +142,7 @@ def tree_forest(tree, fp, radius: int):
 def tree_links(members: DataFrame, radius: int) -> DataFrame:
     """Links (fp_a, fp_b) of the trees of `members` (tree, fp): all rows of a tree meet in one task, trees follow each other."""
 
+    @lean
     def link(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

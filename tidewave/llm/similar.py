@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import discard, text_or_empty, written
+from tidewave.llm._common import discard, lean, text_or_empty, written
 from tidewave.llm.chunks import text_slices
 from tidewave.llm.graph import components
 from tidewave.llm.simhash import near_links
@@ -44,6 +44,7 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
     rows = _rows(docs)
     share = min(1 << 20, -(-sample_rows * (1 << 20) // max(1, docs.count())))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -77,6 +78,7 @@ def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5, late=None, onl
     `only`: a map of the k of rows to take (and few others)."""
     shared = docs.sparkSession.sparkContext.broadcast((*common, late, only))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -124,6 +126,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFram
     tells them, so that no text is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select("k")))
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -213,6 +216,7 @@ def touched(distinct: DataFrame, late) -> DataFrame:
     """s, k of the sets whose prefix holds a shingle of the map."""
     shared = distinct.sparkSession.sparkContext.broadcast(late)
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

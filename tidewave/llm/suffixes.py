@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidewave.llm._common import free_names, table, text_or_empty, worker_cache, written
+from tidewave.llm._common import free_names, lean, table, text_or_empty, worker_cache, written
 
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
@@ -174,6 +174,7 @@ def _suffix_rows(docs: DataFrame, length: int, splitters: list[tuple] | None, se
     """Rows of all texts of `docs` (_key, text), with the bucket of each if there are splitters."""
     shared = docs.sparkSession.sparkContext.broadcast(splitters) if splitters is not None else None
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -235,6 +236,7 @@ def _adjacent(rows: DataFrame) -> DataFrame:
     """Sort each bucket and compare neighbours: repeat (equals an earlier row of the bucket) or not; rows that differ from all
     others in their leading bytes are left out, unless they touch the end of a bucket. A task holds one bucket of rows."""
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -311,6 +313,7 @@ def equal_windows(lead, doc, start, back, texts: list[bytes], length: int = 100)
 def _local_spans(fetched: DataFrame, length: int) -> DataFrame:
     """Spans (doc, begin, end) of repeated windows among fetched stretches, group by group of leading bytes."""
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -347,6 +350,7 @@ def _fetch(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     wanted = places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("a", "b", "c", "common", "start", "width", "back")).alias("_places"))
     joined = docs.select("_key", "text").join(wanted, F.col("_key") == F.col("_doc")).select("_key", "text", "_places")
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -366,6 +370,7 @@ def _fetch(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 def _window_rows(fetched: DataFrame, length: int) -> DataFrame:
     """Every window of fetched stretches: window (its bytes), doc, start."""
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -383,6 +388,7 @@ def _window_rows(fetched: DataFrame, length: int) -> DataFrame:
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """doc, start of the windows that equal one of an earlier place: neighbours in ranges of windows, also across their ends."""
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -462,6 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, replace_text: bool = Fals
     more = [F.lit(b"").cast("binary").alias(names[0]), *(F.lit(0).cast("long").alias(c) for c in names[1:])]
     schema = StructType([StructField(f.name, f.dataType) for f in joined.drop(spans_).select("*", *more).schema])
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import fresh_dir, open_input, open_output, table, text_or_empty
+from tidewave.llm._common import fresh_dir, lean, open_input, open_output, table, text_or_empty
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents of `docs` as token files under `folder`; returns the manifest.
@@ -29,6 +29,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     order = ["id", "_hash", "_row"]
     ordered = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
+    @lean
     def write(batches: Iterator) -> Iterator:
         import uuid
 
@@ -70,6 +71,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Documents of token files: doc_id, start (ids before it in the whole order), n_tokens, ids (binary, little-endian 32 bits)."""
 
+    @lean
     def read(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa

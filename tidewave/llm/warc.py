@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import fresh_dir, open_input, open_output, table, written
+from tidewave.llm._common import fresh_dir, lean, open_input, open_output, table, written
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -127,6 +127,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100) -> Dat
     marked = rows.join(groups.where("n > 1").drop("n"), "digest", "left")
     marked = marked.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
+    @lean
     def write(batches: Iterator) -> Iterator:
         import uuid
 
@@ -155,6 +156,7 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
     """
     source = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)))
 
+    @lean
     def read(batches: Iterator) -> Iterator:
         import hashlib
 
