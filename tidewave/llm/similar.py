@@ -3,7 +3,7 @@
 First SimHash fingerprints of the same shingles are linked through the BK-trees of `simhash`; links whose sets are similar
 enough join texts into groups. A radius of bits that reaches every pair of similarity 0.8 has no sharp end, so the pairs that
 are still apart come from prefixes: with the shingles of every set in one common order, two sets of similarity t or more
-share one of the first n - ceil(t n) + 1. Rare shingles come first, so that few unlike texts meet: a sample tells which are
+share l of the first n - ceil(t n) + l. Rare shingles come first, so that few unlike texts meet: a sample tells which are
 common, and those that still turn out to be in many prefixes are put last, in a map of bits of bounded size (the order may be
 any, it only has to be the same for all sets). Most candidates are unlike: bit signatures of the sets bound their similarity from above, without error, and only pairs that
 may reach it are confirmed by their whole sets, which are made again for these texts. Texts of one prefix
@@ -27,6 +27,9 @@ from tidewave.llm.simhash import near_links
 OVER, UNDER = 4, 5
 #: Bits of the map that tells which rows may have candidates; a full map only lets more rows through.
 MAP_BITS = 1 << 22
+#: Shingles that two similar sets must share in their prefixes. Prefixes are longer by one more, as two shingles of a set may
+#: agree in the 32 bits that are kept.
+SHARED = 2
 #: 64-bit words of a set's signature: bit h mod (64 WORDS) is set for every shingle hash h.
 WORDS = 32
 
@@ -74,7 +77,7 @@ def bit_map(numbers: DataFrame):
 
 def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5, late=None, only=None) -> DataFrame:
     """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set), n, sig (signature) and prefix, the first shingles in the common order (32
-    bits of each, distinct): two sets of similarity OVER / UNDER or more share one. Null texts count as empty. `late`: a map of shingles that come last;
+    bits of each, distinct): two different sets of similarity OVER / UNDER or more (which have over SHARED shingles) share SHARED. Null texts count as empty. `late`: a map of shingles that come last;
     `only`: a map of the k of rows to take (and few others)."""
     shared = docs.sparkSession.sparkContext.broadcast((*common, late, only))
 
@@ -97,7 +100,7 @@ def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5, late=None, onl
                 at = np.minimum(np.searchsorted(names, t), len(names) - 1)
                 rank = np.where(names[at] == t, counts[at], 0)
             order = np.lexsort((t, rank) if last is None else (t, rank, last[short.astype(np.int64) % MAP_BITS]))
-            return np.unique(short[order[: len(t) - (OVER * len(t) + UNDER - 1) // UNDER + 1]])
+            return np.unique(short[order[: len(t) - (OVER * len(t) + UNDER - 1) // UNDER + SHARED + 1]])
 
         def signature(x):
             bits = np.zeros(64 * WORDS, np.uint8)
@@ -201,8 +204,9 @@ def similar_sets(docs: DataFrame, distinct: DataFrame, shingle: int = 5, stars:
             member = written(member.join(mixed.select("t"), "t"), "mixed")
             near = member.join(member.select("t", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "t").where("s < s2")
         near = near.where((F.col("label") != F.col("label2")) & (UNDER * F.least("n", "n2") >= OVER * F.greatest("n", "n2")))
-        near = near.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b"))
-        links = confirmed(docs, (near.union(fingerprint_pairs(known)) if k == 0 else near).distinct(), known, shingle)
+        near = near.groupBy(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).agg(F.count("*").alias("shared"))
+        near = near.where(F.col("shared") >= SHARED).select("a", "b")
+        links = confirmed(docs, near.union(fingerprint_pairs(known)).distinct() if k == 0 else near, known, shingle)
         of = lambda x: labels.select(F.col("s").alias(x), F.col("label").alias(f"label_{x}"))
         joined = components(links.join(of("a"), "a").join(of("b"), "b").select("label_a", "label_b"))
         after = written(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("s", F.coalesce("least", "label").alias("label")), "labels")
