@@ -290,8 +290,6 @@ def test_simhash(spark, docs):
     for r in rows:
         if r.doc_id is not None:
             assert (r.fingerprint, r.component_id) == (format(known[r.doc_id], "016x"), label[r.doc_id])
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} - {None} == set(label.values())
     assert simhash.near_components(empty(docs)).count() == 0
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     bound_batches(df.sparkSession)
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _tables.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -47,8 +49,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables of which nothing is read any more: all that was made of them has been written itself."""
     for df in tables:
-        store, inner = file_system(df.written_to)
-        store.delete_dir(inner)
+        _delete(df.written_to)
+
+
+def _delete(path: str) -> None:
+    store, inner = file_system(path)
+    store.delete_dir(inner)
+    _tables.remove(path)
+
+
+def tables_so_far() -> int:
+    """How many written tables there are now: a mark for `release`."""
+    return len(_tables)
+
+
+def release(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written after a mark that are still there, but for those to keep. Results of operators read such tables, so
+    this is for a caller who has stored what it needs of them."""
+    kept = {df.written_to for df in keep}
+    for path in [p for p in _tables[mark:] if p not in kept]:
+        _delete(path)
 
 
 _live: dict = {}

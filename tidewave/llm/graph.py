@@ -26,5 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         if not after.where("label <> was").limit(1).count():
             discard(both)
-            return after.drop("was")
+            out = after.drop("was")
+            out.written_to = after.written_to
+            return out
         labels = after

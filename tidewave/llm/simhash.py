@@ -205,13 +205,6 @@ def near_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     return known.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their component; all columns. Rows with a null doc_id stay only
-    if their component has no other doc_id; of rows that repeat a kept doc_id all stay."""
-    found = near_components(docs, radius, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_components(table(spark, sf_dir, "documents"))

@@ -1,180 +1,21 @@
 """Near copies by the Jaccard similarity of shingle sets, without loss.
 
-First SimHash fingerprints of the same shingles are linked through the BK-trees of `simhash`; links whose sets are similar
-enough join texts into groups. A radius of bits that reaches every pair of similarity 0.8 has no sharp end, so the pairs that
-are still apart come from prefixes: with the shingles of every set in one common order, two sets of similarity t or more
-share l of the first n - ceil(t n) + l. Rare shingles come first, so that few unlike texts meet: a sample tells which are
-common, and those that still turn out to be in many prefixes are put last, in a map of bits of bounded size (the order may be
-any, it only has to be the same for all sets). Most candidates are unlike: bit signatures of the sets bound their similarity from above, without error, and only pairs that
-may reach it are confirmed by their whole sets, which are made again for these texts. Texts of one prefix
-shingle are first compared with one of them, round by round, and joined into groups; only texts of different groups are then
-compared in pairs, so that a large group of near copies does not cost all its pairs.
+First SimHash fingerprints of the sets are linked through the BK-trees of `simhash`; those links whose sets are similar enough join
+texts into groups. A radius of bits that reaches every pair of similarity 0.8 has no sharp end, so pairs that are still apart come
+from the token-group matrix of `tokengroups`, which loses none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import discard, lean, text_or_empty, written
-from tidewave.llm.chunks import text_slices
-from tidewave.llm.graph import components
+from tidewave.llm._common import discard, free_names, text_or_empty, written
 from tidewave.llm.simhash import near_links
+from tidewave.llm.tokengroups import Rule, set_rows
 
-#: Similarity of linked texts, as a fraction.
-OVER, UNDER = 4, 5
-#: Bits of the map that tells which rows may have candidates; a full map only lets more rows through.
-MAP_BITS = 1 << 22
-#: Shingles that two similar sets must share in their prefixes. Prefixes are longer by one more, as two shingles of a set may
-#: agree in the 32 bits that are kept.
-SHARED = 2
-#: 64-bit words of a set's signature: bit h mod (64 WORDS) is set for every shingle hash h.
-WORDS = 32
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), k (what tells rows apart by both)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.withColumn("k", F.xxhash64("doc_id", "text"))
-
-
-def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, most: int = 200_000) -> tuple:
-    """Shingles in at least 3 of about `sample_rows` texts, ascending, and their counts; the driver sees at most `most`."""
-    import numpy as np
-
-    rows = _rows(docs)
-    share = min(1 << 20, -(-sample_rows * (1 << 20) // max(1, docs.count())))
-
-    @lean
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        from tidewave.llm.simhash import shingle_hashes
-
-        for batch in batches:
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view("<i8"))], ["t"])
-
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < share).select("text").distinct().mapInArrow(run, "t long")
-    found = sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
-    t, n = np.asarray(found.column("t")), np.asarray(found.column("n"))
-    order = np.argsort(t)
-    return t[order], n[order]
-
-
-def bit_map(numbers: DataFrame):
-    """A packed map of MAP_BITS bits with bit x mod MAP_BITS set for every x of a column of numbers."""
-    import numpy as np
-
-    bits = np.zeros(MAP_BITS, bool)
-    column = F.pmod(F.col(numbers.columns[0]).cast("long"), F.lit(MAP_BITS)).cast("int")
-    bits[np.asarray(numbers.select(column.alias("b")).distinct().toArrow().column("b"))] = True
-    return np.packbits(bits)
-
-
-def prefix_rows(docs: DataFrame, common: tuple, shingle: int = 5, late=None, only=None) -> DataFrame:
-    """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set), n, sig (signature) and prefix, the first shingles in the common order (32
-    bits of each, distinct): two different sets of similarity OVER / UNDER or more (which have over SHARED shingles) share SHARED. Null texts count as empty. `late`: a map of shingles that come last;
-    `only`: a map of the k of rows to take (and few others)."""
-    shared = docs.sparkSession.sparkContext.broadcast((*common, late, only))
-
-    @lean
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        from tidewave.llm.simhash import fingerprint_of, shingle_hashes
-
-        names, counts, late, only = shared.value
-        last = None if late is None else np.unpackbits(late)
-        taken = None if only is None else np.unpackbits(only).view(bool)
-
-        def first(x):
-            t, short = x.view("<i8"), (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            rank = np.zeros(len(t), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, t), len(names) - 1)
-                rank = np.where(names[at] == t, counts[at], 0)
-            order = np.lexsort((t, rank) if last is None else (t, rank, last[short.astype(np.int64) % MAP_BITS]))
-            return np.unique(short[order[: len(t) - (OVER * len(t) + UNDER - 1) // UNDER + SHARED + 1]])
-
-        def signature(x):
-            bits = np.zeros(64 * WORDS, np.uint8)
-            bits[x % np.uint64(64 * WORDS)] = 1
-            return np.packbits(bits, bitorder="little").view("<i8")
-
-        for batch in batches:
-            if taken is not None:
-                batch = batch.filter(pa.array(taken[np.asarray(batch.column("k")) % MAP_BITS]))
-            for a, b in text_slices(batch.column("text"), 2 << 20):
-                part = batch.slice(a, b - a)
-                sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column("text").to_pylist()]
-                s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
-                fp = np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")
-                prefix = [first(x) for x in sets]
-                ends = np.cumsum([0, *map(len, prefix)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(np.concatenate([signature(x) for x in sets])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(s), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), sigs, lists], ["doc_id", "k", "s", "fp", "n", "sig", "prefix"])
-
-    return _rows(docs).mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, prefix array<int>")
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
-    """s, n, shingles (ascending) of the rows of `docs` whose k is in `wanted`, and of few others: a map of bits of bounded size
-    tells them, so that no text is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select("k")))
-
-    @lean
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        from tidewave.llm.simhash import shingle_hashes
-
-        taken = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(taken[np.asarray(batch.column("k")) % MAP_BITS]))
-            for a, b in text_slices(batch.column("text"), 2 << 20):
-                sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
-                ends = np.cumsum([0, *map(len, sets)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view("<i8")))
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.diff(ends), pa.int32()), lists], ["s", "n", "shingles"])
-
-    made = written(_rows(docs).select("text", "k").mapInArrow(run, "s long, n int, shingles array<long>"), "sets")
-    if made.count() > made.select("s").distinct().count():  # rows that repeat id and text
-        once = written(made.groupBy("s").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
-        discard(made)
-        return once
-    return made
-
-
-def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets (s, n, sig) whose similarity may be OVER / UNDER or more: every bit that is set in one signature
-    only stands for a shingle that the other set lacks."""
-    side = lambda x: known.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
-    both = F.least(F.col("n_a") - alone("sig_a", "sig_b"), F.col("n_b") - alone("sig_b", "sig_a"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(UNDER * both >= OVER * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of sets of `known` whose similarity is OVER / UNDER or more."""
-    pairs = written(possible(pairs, known), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    sets = whole_sets(docs, known.join(ends, "s", "left_semi"), shingle)
-    side = lambda x: sets.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"of_{x}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").where(UNDER * both >= OVER * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-    found = written(found, "confirmed")
-    discard(pairs, sets)
-    return found
+#: Five words and a similarity of 0.8 or more.
+NEAR = Rule(5, 4, 5)
 
 
 def fingerprint_pairs(sets: DataFrame, radius: int = 3) -> DataFrame:
@@ -183,101 +24,33 @@ def fingerprint_pairs(sets: DataFrame, radius: int = 3) -> DataFrame:
     same = sets.join(least, "fp").select(F.col("least").alias("x"), F.col("s").alias("y"))
     of = lambda fp, s: least.select(F.col("fp").alias(fp), F.col("least").alias(s))
     near = near_links(least, radius).join(of("fp_a", "x"), "fp_a").join(of("fp_b", "y"), "fp_b").select("x", "y")
-    return same.union(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def similar_sets(docs: DataFrame, distinct: DataFrame, shingle: int = 5, stars: int = 2) -> DataFrame:
-    """s, label of those of `distinct` (s, k, fp, n, sig, prefix; one row per set) that have candidates: connected just as all pairs of
-    similarity OVER / UNDER or more would connect them."""
-    several = distinct.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("sets")).where("sets > 1").select("t")
-    lists = written(distinct.select("s", "n", F.explode("prefix").alias("t")).join(several, "t"), "lists")
-    known = written(distinct.drop("prefix").join(lists.select("s").distinct(), "s", "left_semi"), "candidates")
-    labels = written(known.select("s", F.col("s").alias("label")), "labels")
-    for k in range(stars + 1):
-        member = lists.join(labels, "s")
-        hub: Column = F.min(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), "s", "n", "label")).alias("x")
-        mixed = member.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi")
-        if k < stars:
-            other = mixed.select("t", F.col("x.s").alias("s2"), F.col("x.n").alias("n2"), F.col("x.label").alias("label2"))
-            near = member.join(other, "t")
-        else:
-            member = written(member.join(mixed.select("t"), "t"), "mixed")
-            near = member.join(member.select("t", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "t").where("s < s2")
-        near = near.where((F.col("label") != F.col("label2")) & (UNDER * F.least("n", "n2") >= OVER * F.greatest("n", "n2")))
-        near = near.groupBy(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).agg(F.count("*").alias("shared"))
-        near = near.where(F.col("shared") >= SHARED).select("a", "b")
-        links = confirmed(docs, near.union(fingerprint_pairs(known)).distinct() if k == 0 else near, known, shingle)
-        of = lambda x: labels.select(F.col("s").alias(x), F.col("label").alias(f"label_{x}"))
-        joined = components(links.join(of("a"), "a").join(of("b"), "b").select("label_a", "label_b"))
-        after = written(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("s", F.coalesce("least", "label").alias("label")), "labels")
-        discard(labels, links)
-        labels = after
-    discard(lists, known, member)
-    return labels
-
-
-def touched(distinct: DataFrame, late) -> DataFrame:
-    """s, k of the sets whose prefix holds a shingle of the map."""
-    shared = distinct.sparkSession.sparkContext.broadcast(late)
-
-    @lean
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        last = np.unpackbits(shared.value)
-        for batch in batches:
-            lists = batch.column("prefix")
-            hits = np.append(0, np.cumsum(last[np.asarray(lists.flatten()).astype(np.int64) % MAP_BITS], dtype=np.int64))
-            ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-            yield batch.select(["s", "k"]).filter(pa.array(hits[ends[1:]] > hits[ends[:-1]]))
-
-    return distinct.select("s", "k", "prefix").mapInArrow(run, "s long, k long")
-
-
-def thinned(docs: DataFrame, distinct: DataFrame, common: tuple, shingle: int, crowd: int, rounds: int) -> DataFrame:
-    """`distinct` with prefixes in which shingles of over `crowd` prefixes come last. Each round looks at the prefixes of the one
-    before and makes those anew that hold such shingles; the others stay as they are in the new order, too."""
-    import numpy as np
-
-    late = np.zeros(MAP_BITS // 8, np.uint8)
-    for _ in range(rounds):
-        tokens = distinct.select(F.explode("prefix").alias("t"))
-        crowded = written(tokens.groupBy("t").agg(F.count("*").alias("sets")).where(F.col("sets") > crowd), "crowded")
-        more = late | bit_map(crowded.select("t"))
-        if (more == late).all():
-            discard(crowded)
-            break
-        late = more
-        hit = written(touched(distinct, late), "affected")
-        again = prefix_rows(docs, common, shingle, late, bit_map(hit.select("k"))).groupBy("s").agg(F.first("prefix").alias("new"))
-        after = written(distinct.join(again, "s", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "distinct")
-        discard(crowded, hit, distinct)
-        distinct = after
-    return distinct
+    pairs = same.union(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    out = written(pairs.distinct(), "fingerprint-pairs")
+    discard(least)
+    return out
 
 
-def near_components(docs: DataFrame, shingle: int = 5, crowd: int = 50, rounds: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, rule: Rule = NEAR, crowd: int = 50, rounds: int = 2) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable over links) of every row.
 
     Texts of equal sets, the empty one of empty and null texts included, are linked. Null doc_ids are never the smallest:
     a component of null doc_ids only has a null component_id. Repeated rows all come back. An empty table gives no rows.
     """
-    common = common_shingles(docs, shingle)
-    rows = written(prefix_rows(docs, common, shingle), "prefixes")
-    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "prefix")]
-    distinct = written(rows.groupBy("s").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), *firsts), "distinct")
-    distinct = thinned(docs, distinct, common, shingle, crowd, rounds)
-    labels = similar_sets(docs, distinct.drop("least"), shingle)
-    member = distinct.select("s", "least").join(labels, "s", "left").select("s", "least", F.coalesce("label", "s").alias("label"))
-    member = written(member, "members")
-    discard(distinct, labels)
-    least = member.groupBy("label").agg(F.min("least").alias("component_id"))
+    rows, member = set_rows(docs, rule, fingerprint_pairs, crowd, rounds)
+    least = rows.join(member, "s").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "s").join(member.join(least, "label").select("s", "component_id"), "s").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their component; all columns. Rows with a null doc_id stay only
-    if their component has no other doc_id; of rows that repeat a kept doc_id all stay."""
-    found = near_components(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi")
+def keep_one(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
+    """One row of each component, with all columns: that of the smallest doc_id. Rows with a null doc_id stay only if their component has no
+    other doc_id; of those, and of different texts of the smallest doc_id, one text is chosen by its hash. Of rows that repeat both doc_id
+    and text, one stays."""
+    rows, member = set_rows(docs, rule, fingerprint_pairs)
+    of = rows.join(member, "s").select("label", "k", "doc_id")
+    chosen = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("x")).select(F.col("x.k").alias("k"))
+    repeats = rows.groupBy("k").agg(F.count("*").alias("times"))
+    key, times = free_names(docs, "_k", "_times")
+    kept = chosen.join(repeats, "k").select(F.col("k").alias(key), F.col("times").alias(times))
+    found = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())).join(kept, key)
+    once = found.where(F.col(times) > 1).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(times)).select(f"{times}.*")
+    return found.where(F.col(times) == 1).select(*docs.columns).union(once)

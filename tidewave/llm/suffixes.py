@@ -24,10 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidewave.llm._common import free_names, lean, table, text_or_empty, worker_cache, written
-
-#: Stands for a null doc_id.
-NULL_ID = -(2**63)
+from tidewave.llm._common import discard, free_names, lean, table, text_or_empty, worker_cache, written
 
 LEAD = 20  # leading bytes of a sampled suffix
 CHUNK = 1 << 20  # windows of longer texts are taken in runs of so many
@@ -403,10 +400,11 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
             before = window[-1].as_py()
 
     order = ["window", "doc", "start"]
-    # A window may have several rows of one place if a document has several rows: those are no repeats of each other.
-    sorted_ = windows.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = windows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = written(sorted_.mapInArrow(run, "window binary, doc long, start long, repeat boolean"), "windows")  # both readers need the same ranges
-    return ranged.where("repeat").select("doc", "start").union(_settle(ranged, "window").where("repeat").select("doc", "start"))
+    out = written(ranged.where("repeat").select("doc", "start").union(_settle(ranged, "window").where("repeat").select("doc", "start")), "again")
+    discard(ranged)
+    return out
 
 
 def _sampled_suffixes(texts: DataFrame, length: int, seed: int, most: int = 200_000) -> tuple[list[tuple], float]:
@@ -420,7 +418,7 @@ def _sampled_suffixes(texts: DataFrame, length: int, seed: int, most: int = 200_
 def repeated_spans(docs: DataFrame, length: int = 100, hot: int | None = None, sample_rows: int = 2000, bucket_rows: int = 1_000_000) -> DataFrame:
     """Spans (doc, begin, end) that cover just the bytes of windows that also start earlier; they may overlap.
 
-    `docs` has _key (the doc_id, nulls as the least long) and text without nulls. Splitters come from about `sample_rows` texts
+    `docs` has _key (a number of its own for every row, in the order of rows) and text without nulls. Splitters come from about `sample_rows` texts
     and make buckets of about `bucket_rows` rows at most. Leading bytes are common if they have over `hot` different stretches:
     by default a quarter of a partition's share.
     """
@@ -444,7 +442,22 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int | None = None, s
     fetched = written(_fetch(docs, mixed, length), "fetched")
     spans = spans.union(_local_spans(fetched.where("not common"), length))
     again = _repeated_windows(_window_rows(fetched.where("common"), length))
-    return spans.union(again.select("doc", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
+    spans = spans.union(again.select("doc", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
+    out = written(spans, "spans")
+    discard(found, settled, fetched, again)
+    return out
+
+
+def numbered(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with a number of its own for every row, in order of doc_id (null first). Where all ids are whole and distinct that is the doc_id;
+    else rows are ordered by doc_id and the hash of their text, and written with their numbers."""
+    ids = F.col("doc_id").cast("long")
+    if docs.where(ids.isNull()).isEmpty() and docs.groupBy(ids.alias("id")).count().where("count > 1").isEmpty():
+        return docs.withColumn(key, ids)
+    (tie,) = free_names(docs, "_tie")
+    order = [ids.asc_nulls_first(), F.col(tie)]
+    sorted_ = docs.withColumn(tie, F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(sorted_.drop(tie).withColumn(key, F.monotonically_increasing_id()), "numbered")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, replace_text: bool = False, names: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
@@ -452,19 +465,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, replace_text: bool = Fals
 
     With `replace_text`, text becomes what stays, without bytes that no longer form a character, and kept is null.
 
-    A byte goes if a `length`-byte string over it also starts earlier: in a smaller doc_id, or in the same document further
-    left. Null texts count as empty, a null doc_id as the smallest. Rows that share a doc_id are versions of one document:
-    equal places in them are not earlier than each other, and spans found in one are removed from all, as far as they
-    reach. Texts shorter than `length` keep all bytes. An empty table gives no rows. Columns of `docs` that have one of the
-    `names` are replaced; others may have any name.
+    A byte goes if a `length`-byte string over it also starts earlier: in an earlier row, or in the same row further left. Rows are
+    in order of doc_id, a null doc_id first; rows that share a doc_id (or have none) are texts of their own, in order of a hash
+    of the text, so that of rows that repeat each other one stays whole. Null texts count as empty. Texts shorter than `length` keep all bytes. An
+    empty table gives no rows. Columns of `docs` that have one of the `names` are replaced; others may have any name.
     """
     docs = docs.drop(*names)
-    key, spans_ = free_names(docs, "_key", "_spans")
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    spans = repeated_spans(docs.select(least.alias("_key"), text_or_empty().alias("text")), length)
-    spans = spans.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("begin", "end")).alias(spans_))
-    keyed = docs.withColumn("text", text_or_empty()).withColumn(key, least)
-    joined = keyed.join(spans, key, "left").select(*docs.columns, spans_)
+    key, spans_, doc = free_names(docs, "_key", "_spans", "_doc")
+    keyed = numbered(docs, key).withColumn("text", text_or_empty())
+    spans = repeated_spans(keyed.select(F.col(key).alias("_key"), "text"), length)
+    # Keys are rows: what is gathered here is bounded by the row's own text.
+    spans = spans.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("begin", "end")).alias(spans_))
+    joined = keyed.join(spans, F.col(key) == F.col(doc), "left").select(*docs.columns, spans_)
     more = [F.lit(b"").cast("binary").alias(names[0]), *(F.lit(0).cast("long").alias(c) for c in names[1:])]
     schema = StructType([StructField(f.name, f.dataType) for f in joined.drop(spans_).select("*", *more).schema])
 
