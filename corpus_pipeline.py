@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm import langid, packing, quality, similar, suffixes
-from tidewave.llm._common import free_names, table, written
+from tidewave.llm._common import free_names, release, table, tables_so_far, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +37,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near duplicates: texts whose sets of 5-word shingles have a Jaccard
-    similarity of 0.8 or more are linked, all of them. SimHash fingerprints of the sets and their BK-trees link most; prefixes
-    of the sets find what no radius of bits reaches (`similar`). The 3 bits and 3 words of op1 hold for op1 alone.
+    similarity of 0.8 or more are linked, all of them. SimHash fingerprints of the sets and their BK-trees link most; a token-group
+    matrix finds what no radius of bits reaches (`similar`). The 3 bits and 3 words of op1 hold for op1 alone.
 
-    Texts without words are one group. Of rows that repeat the kept doc_id all stay; rows with a null doc_id stay only if
-    their group has no other doc_id. An empty table gives no rows."""
+    Texts without words are one group. One row of each group stays; it has a null doc_id only if its group has no other.
+    An empty table gives no rows."""
     return similar.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 100-byte strings that occur earlier; n_chars follows the text. Emptied texts stay as rows,
-    and null texts become empty. Rows that share a doc_id (or have none) count as versions of one document, see
+    and null texts become empty. Rows that share a doc_id (or have none) are documents of their own, see
     `suffixes.remove_repeats`. All columns stay; an empty table gives no rows."""
     kind = docs.schema["n_chars"].dataType
     kept, *names = free_names(docs, "kept", "n_bytes", "n_removed", "n_spans")
@@ -76,8 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. What a stage has written is deleted when the next one's documents are stored."""
     docs = table(spark, sf_dir, "documents")
+    mark = tables_so_far()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
