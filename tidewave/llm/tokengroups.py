@@ -68,13 +68,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("doc_id", "text"))
 
 
-def bit_map(numbers: DataFrame) -> tuple:
-    """(bits, packed map): bit x mod bits is set for every x of a column of numbers. The map has some 32 bits for each of them, and
+def bit_map(numbers: DataFrame, each: int = 256) -> tuple:
+    """(bits, packed map): bit x mod bits is set for every x of a column of numbers. The map has some `each` bits for each of them, and
     at most MOST_BITS."""
     import numpy as np
 
     x = F.col(numbers.columns[0]).cast("long")
-    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (32 * numbers.count()).bit_length()))
+    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (each * numbers.count()).bit_length()))
     at = F.pmod(x, F.lit(bits))
     words = numbers.select(F.shiftright(at, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -199,7 +199,7 @@ def thinned(docs: DataFrame, distinct: DataFrame, common: tuple, rule: Rule, cro
         if crowded.isEmpty():
             discard(crowded)
             break
-        late = (*late, bit_map(crowded))
+        late = (*late, bit_map(crowded, 4096))
         hit = written(touched(distinct, late[-1]), "affected")
         again = prefix_rows(docs, common, rule, late, bit_map(hit.select("k"))).groupBy("s").agg(F.first("prefix").alias("new"))
         after = written(distinct.join(again, "s", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "distinct")
@@ -296,19 +296,24 @@ def matrix_pairs(lists: DataFrame, known: DataFrame, groups: DataFrame, labels:
         .select("g", "label_g", "lo", "hi", F.array(*[f"w{i}" for i in range(WORDS)]).alias("sig_g")),
         "unions",
     )
-    rows = lists.where("indexed").join(groups, "s").groupBy("t", "g", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    rows = rows.withColumn("top", F.least(most(F.col("rest")) - F.col("lo"), F.floor(F.col("hi") * rule.under / rule.over))).where("top >= lo")
+    inside = written(lists.where("indexed").join(member, "s").select("t", "g", "c", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("label").alias("label2")), "inside")
+    rows = inside.groupBy("t", "g", "c").agg(F.min("n2").alias("lo"), F.max("n2").alias("hi"), F.max("rest2").alias("rest_g"))
+    rows = rows.withColumn("top", F.least(most(F.col("rest_g")) - F.col("lo"), F.floor(F.col("hi") * rule.under / rule.over))).where("top >= lo")
     rows = rows.join(unions.select("g", "label_g"), "g")
-    rows = rows.select("t", "g", F.col("c").alias("bx"), "label_g", F.explode(F.sequence(rule.size_class(F.col("lo")), rule.size_class(F.col("top")))).alias("by"))
+    rows = rows.select("t", "g", F.col("c").alias("bx"), "label_g", "lo", F.col("top").alias("top_g"), F.explode(F.sequence(rule.size_class(F.col("lo")), rule.size_class(F.col("top")))).alias("by"))
     asks = lists.withColumn("low", F.ceil(F.col("n") * rule.over / rule.under)).withColumn("top", F.least("n", most(F.col("rest")) - F.col("n"))).where("top >= low").join(labels, "s")
-    asks = asks.select("t", "s", "label", rule.size_class(F.col("n")).alias("by"), F.explode(F.sequence(rule.size_class(F.col("low")), rule.size_class(F.col("top")))).alias("bx"))
-    met = asks.join(rows, ["t", "bx", "by"]).where("label_g is null or label <> label_g").select("s", "g").distinct()
+    asks = asks.select("t", "s", "n", "label", "low", "top", rule.size_class(F.col("n")).alias("by"), F.explode(F.sequence(rule.size_class(F.col("low")), rule.size_class(F.col("top")))).alias("bx"))
+    apart = F.col("label_g").isNull() | (F.col("label") != F.col("label_g"))
+    met = asks.join(rows, ["t", "bx", "by"]).where(apart & F.col("n").between(F.col("lo"), F.col("top_g")) & (F.col("lo") <= F.col("top"))).select("t", "s", "g", "n", "label", "low", "top")
+    met = written(met, "met")
     bound = F.col("n") - _alone(F.col("sig"), F.col("sig_g"))
-    opened = met.join(known.select("s", "n", "sig"), "s").join(unions, "g").where(rule.alike(bound, F.col("n"), F.col("lo"))).select("s", "n", "g")
-    sizes = known.select(F.col("s").alias("s2"), F.col("n").alias("n2"))
-    inside = member.select("g", F.col("s").alias("s2"), F.col("label").alias("label2")).join(sizes, "s2")
-    pairs = opened.join(labels, "s").join(inside, "g").where((F.col("label") != F.col("label2")) & (rule.under * F.least("n", "n2") >= rule.over * F.greatest("n", "n2")))
-    return pairs.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()
+    opened = met.select("s", "g").distinct().join(known.select("s", "n", "sig"), "s").join(unions, "g").where(rule.alike(bound, F.col("n"), F.col("lo"))).select("s", "g")
+    # In an opened group the query meets the sets that the common shingle allows: neither side's rest is too short for both sizes.
+    fits = (F.col("label") != F.col("label2")) & F.col("n2").between(F.col("low"), F.col("top")) & (rule.alike(F.col("rest2"), F.col("n"), F.col("n2")))
+    pairs = met.join(opened, ["s", "g"]).join(inside, ["t", "g"]).where(fits)
+    out = written(pairs.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct(), "pairs")
+    discard(unions, inside, met)
+    return out
 
 
 def similar_sets(docs: DataFrame, distinct: DataFrame, rule: Rule, first: DataFrame | None = None, stars: int = 2) -> DataFrame:
@@ -332,6 +337,8 @@ def similar_sets(docs: DataFrame, distinct: DataFrame, rule: Rule, first: DataFr
             discard(labels, joined)
             labels = after
             discard(links)
+        if k == stars:
+            discard(near)
     discard(lists, known, groups)
     return labels
 
