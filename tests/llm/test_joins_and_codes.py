@@ -281,3 +281,37 @@ def test_pivots_are_the_lightest_disjoint_pair():
         i, j = spelling.pivots_of(places, weights)
         best = min(weights[a] + weights[b] for a in range(len(places)) for b in range(a) if places[a] - places[b] >= 2)
         assert places[j] - places[i] >= 2 and weights[i] + weights[j] == best
+
+
+def test_memory_of_long_words_is_bounded(monkeypatch):
+    """Thousands of distinct words of 50 KB leave nothing behind in what workers remember."""
+    import public_tokenizers
+
+    from tidewave.llm import bpe, langid
+
+    codec = bpe.BytePairCodec(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(codec, "encode_word", lambda word: [1] * len(word))
+    for i in range(3000):
+        codec._known([f"{i}" + "x" * 50_000, f"w{i}"])
+    assert len(codec.young) + len(codec.old) >= 3000 and sum(map(len, [*codec.young, *codec.old])) < 100_000
+    pieces = langid.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    prob = np.repeat(langid.background(pieces), 2, axis=1)
+    scorer = langid.WordScorer(pieces, prob)
+    monkeypatch.setattr(langid, "long_forward", lambda pieces, word, prob: np.zeros(prob.shape[1]))
+    for i in range(3000):
+        scorer.texts([f"{i}" + "x" * 50_000 + f" w{i}"])
+    assert sum(map(len, scorer.memo)) < 100_000 and len(scorer.scores) <= scorer.cap
+
+
+def test_ids_of_a_very_long_text():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidewave.llm import bpe
+
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdefgé \n"), 120_000)) + "x" * 20_000 + " z" * 5000
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    (ids,) = bpe.BytePairCodec(path).encode(pa.array([text]))
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids

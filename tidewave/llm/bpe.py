@@ -24,6 +24,9 @@ def byte_letters() -> list[str]:
             letters[b], extra = chr(extra), extra + 1
     return [letters[b] for b in range(256)]
 
+#: Longer pre-tokens are encoded each time they come.
+REMEMBERED = 256
+
 
 class BytePairCodec:
     """A byte-level vocabulary file (JSON with vocab, merges and added tokens) as encoder and decoder."""
@@ -84,7 +87,7 @@ class BytePairCodec:
         return [x for x in ids if x >= 0]
 
     def _known(self, words: list[str]) -> list[list[int]]:
-        """Ids of pre-tokens, remembered for about `cap` of those last asked for."""
+        """Ids of pre-tokens, remembered for about `cap` of those last asked for, but for long ones: what is kept has a bound in bytes."""
         got = list(map(self.young.get, words))
         if None in got:
             for i, x in enumerate(got):
@@ -92,7 +95,9 @@ class BytePairCodec:
                     word = words[i]
                     if (x := self.old.get(word)) is None:
                         x = self.encode_word(word)
-                    got[i] = self.young[word] = x
+                    got[i] = x
+                    if len(word) <= REMEMBERED:
+                        self.young[word] = x
             if 2 * len(self.young) > self.cap:
                 self.young, self.old = {}, self.young
         return got

@@ -147,8 +147,12 @@ def pieces_of(path: str) -> PieceTable:
     return worker_cache(("pieces", path), lambda: PieceTable(path))
 
 
+#: Longer words are scored each time they come.
+REMEMBERED = 256
+
+
 class WordScorer:
-    """Log-probabilities of words per language, remembered for at most `cap` words."""
+    """Log-probabilities of words per language, remembered for at most `cap` words, and for long ones only while a slice of texts is scored."""
 
     def __init__(self, pieces: PieceTable, prob, cap: int = 120_000):
         import numpy as np
@@ -159,8 +163,6 @@ class WordScorer:
     def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        if len(self.memo) + len(words) > self.cap:
-            self.memo, self.scores = {}, self.scores[:0]
         for at in range(0, len(words), 8_000):
             part = words[at : at + 8_000]
             marked = list(map(START.__add__, part))
@@ -171,7 +173,7 @@ class WordScorer:
             total[short] = np.log(np.maximum(alpha[np.arange(len(edges[4])), edges[4]], 1e-300))
             for i in np.flatnonzero(~short).tolist():
                 total[i] = long_forward(self.pieces, marked[i], self.prob)
-            base = len(self.memo)
+            base = len(self.scores)
             self.memo.update(zip(part, range(base, base + len(part)), strict=True))
             self.scores = np.concatenate([self.scores, total])
 
@@ -183,13 +185,16 @@ class WordScorer:
         seen: set[str] = set()
         for w in words:
             seen.update(w)
-        if len(self.memo) + len(seen) > self.cap:
+        if len(self.scores) + len(seen) > self.cap:
             self.memo, self.scores = {}, self.scores[:0]
         self.learn([w for w in seen if w not in self.memo])
         out = np.zeros((len(texts), self.prob.shape[1]))
         for i, w in enumerate(words):
             if w:
                 out[i] = self.scores[np.fromiter(map(self.memo.__getitem__, w), np.int64, len(w))].sum(axis=0)
+        for w in seen:
+            if len(w) > REMEMBERED:
+                del self.memo[w]
         return out
 
 
