@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewave import queries
@@ -40,4 +41,4 @@ def test_query(spark, duck, name):
     a, b = (f[cols].astype({c: str for c in text}).sort_values([*[c for c in cols if c != "value"], *(["value"] if "value" in cols else [])]).to_numpy().tolist() for f in (got, want))
     for x, y in zip(a, b, strict=True):
         for u, v in zip(x, y, strict=True):
-            assert (u == v) or math.isclose(float(u), float(v), rel_tol=1e-6, abs_tol=2e-5), (x, y)
+            assert u == v or (pd.isna(u) and pd.isna(v)) or math.isclose(float(u), float(v), rel_tol=1e-6, abs_tol=2e-5), (x, y)

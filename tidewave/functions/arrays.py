@@ -28,6 +28,11 @@ def folded(a: str | Column, given: Column, f: Callable[[Column, Column], Column]
     return F.aggregate(c(a), start, lambda acc, v: F.struct(acc["g"].alias("g"), (acc["s"] + f(v, acc["g"])).alias("s")), lambda acc: acc["s"])
 
 
+def let(value: str | Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value evaluated once; lambdas within f that hold a column evaluate it anew for every element."""
+    return F.get(F.transform(F.array(c(value)), f), F.lit(0))
+
+
 def numbered(a: str | Column) -> Column:
     """The values as structs (v, k) with their 0-based place as a double."""
     return F.transform(c(a), lambda v, i: F.struct(v.alias("v"), i.cast("double").alias("k")))
@@ -76,6 +81,13 @@ def first_where(a: str | Column, f: Callable[[Column, Column], Column]) -> Colum
     return F.array_position(F.transform(c(a), f), F.lit(True)).cast("long") - 1
 
 
+def first_from(a: str | Column, start: Column, f: Callable[[Column], Column]) -> Column:
+    """0-based place, at `start` or later, of the first value with f(value), or null; in one pass. `f` may hold lambda variables (see `let`)."""
+    begin = F.struct(start.cast("long").alias("s"), F.lit(0).cast("long").alias("i"), F.lit(None).cast("long").alias("at"))
+    step = lambda acc, v: F.struct(acc["s"].alias("s"), (acc["i"] + 1).alias("i"), F.when(acc["at"].isNull() & (acc["i"] >= acc["s"]) & f(v), acc["i"]).otherwise(acc["at"]).alias("at"))
+    return F.aggregate(c(a), begin, step, lambda acc: acc["at"])
+
+
 def rounded(x: str | Column, digits: int = 6) -> Column:
     """Rounded, with -0.0 as 0.0."""
     return F.round(c(x), digits) + F.lit(0.0)

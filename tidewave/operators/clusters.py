@@ -6,27 +6,12 @@ before the shuffle, so a signal with very many frames is no single task.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import total
 from tidewave.operators.spectrograms import mfcc_frames
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: iterations end their lineage there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidewave-")
-    path = f"{base.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidewave.storage import discard, written
 
 
 def _nearest(vector: Column, centroids: Column) -> Column:
@@ -45,14 +30,14 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tolerance:
     """
     if n_clusters < 1 or max_iters < 1:
         raise ValueError("n_clusters and max_iters must be positive")
-    points = _written(points.where("v is not null").select("signal_id", "frame_idx", "v"))
+    points = written(points.where("v is not null").select("signal_id", "frame_idx", "v"), "points")
     ranked = points.withColumn("i", F.row_number().over(Window.partitionBy("signal_id").orderBy("frame_idx")) - 1)
     counted = ranked.join(points.groupBy("signal_id").agg(F.count("*").alias("n")), "signal_id")
     places = F.transform(F.sequence(F.lit(0), F.lit(n_clusters - 1)), lambda c: F.struct(F.floor(c * F.col("n") / n_clusters).alias("place"), c.alias("c")))
     chosen = counted.withColumn("p", F.explode(places)).where("p.place = i")
     first = chosen.groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p.c", "v"))), lambda s: s["v"]).alias("m"))
-    seeds = _written(first)
-    centroids = seeds.withColumn("seed", F.col("m"))
+    seeds = written(first, "seeds")
+    before, centroids = seeds, seeds.withColumn("seed", F.col("m"))
     for _ in range(max_iters):
         labelled = points.join(centroids, "signal_id").select("signal_id", _nearest(F.col("v"), F.col("m")).alias("c"), F.posexplode("v").alias("d", "x"))
         means = labelled.groupBy("signal_id", "c", "d").agg(F.avg("x").alias("x"))
@@ -60,8 +45,9 @@ def kmeans(points: DataFrame, n_clusters: int, max_iters: int = 100, tolerance:
         found = vectors.groupBy("signal_id").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("by"))
         moved = centroids.join(found, "signal_id").withColumn("new", F.transform("seed", lambda s, i: F.coalesce(F.try_element_at(F.col("by"), i), s)))
         far = F.exists(F.zip_with("m", "new", lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: F.abs(x - y) > tolerance), lambda t: t)), lambda t: t)
-        after = _written(moved.select("signal_id", F.col("new").alias("m"), "seed", far.alias("moving")))
-        centroids = after.drop("moving")
+        after = written(moved.select("signal_id", F.col("new").alias("m"), "seed", far.alias("moving")), "centroids")
+        discard(before)
+        before, centroids = after, after.drop("moving")
         if not after.where("moving").limit(1).count():
             break
     return points.join(centroids, "signal_id").select("signal_id", "frame_idx", _nearest(F.col("v"), F.col("m")).alias("label"))

@@ -1,16 +1,19 @@
-"""Formants: Burg prediction per frame (a batched kernel), tracking along the frames of a signal, robust medians by aggregation."""
+"""Formants: Burg prediction per frame (a batched kernel), tracking along the frames of a signal in blocks, robust medians by aggregation."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import gaussian, literal
+from tidewave.operators.chains import blocks_of_frames, settle
 from tidewave.sources.files import resample
 from tidewave.sources.signals import frames
+from tidewave.storage import written
 
 #: Search ranges of the first five formants in Hz.
 RANGES = [(150.0, 1200.0), (400.0, 3500.0), (1200.0, 5000.0), (2000.0, 6500.0), (2500.0, 8000.0)]
@@ -74,33 +77,58 @@ def at_formant_rate(signals: DataFrame, sample_rate: int, top: float) -> tuple[D
     return signals.withColumn("samples", resample(F.col("samples"), sample_rate, target)).withColumn("sample_rate", F.lit(target)), target
 
 
-def contours(found: DataFrame, count: int, top: float) -> DataFrame:
-    """Formant tracks: signal_id, frame_idx, formant (from 1), freq, width. Frames of a signal are followed in order.
+def follow(frames: list, last: dict, ranges: list, top: float) -> tuple[list, dict]:
+    """Formants (frame_idx, formant from 0, freq, width) along frames of resonances, and the last values; `last` are those before."""
+    out = []
+    for f in frames:
+        if not f["freqs"]:
+            continue
+        free, now, below = dict(enumerate(f["freqs"])), {}, None
+        for j, (low, high) in enumerate(ranges):
+            floor = low if below is None else max(low, below + 20.0)
+            options = [k for k, v in free.items() if floor <= v <= high] or [k for k, v in free.items() if floor <= v <= top]
+            below = None
+            if options:
+                best = min(options, key=lambda k: abs(free[k] - last[j]) if j in last else free[k])
+                now[j] = below = free.pop(best)
+                out.append((f["frame_idx"], j, below, f["widths"][best]))
+        last = now
+    return out, last
+
+
+def contours(found: DataFrame, count: int, top: float, per: int = 512) -> DataFrame:
+    """Formant tracks: signal_id, frame_idx, formant (from 1), freq, width. Frames of a signal are followed in order, in blocks of `per` frames whose
+    starting values `settle` brings to agreement.
 
     A formant takes, of the free resonances in its range and 20 Hz over the formant below, the one nearest to its last value,
     or the lowest if it had none in the frame before; without any in range, those up to the highest formant count.
     """
     ranges = search_ranges(count, top)
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: dict[int, float] = {}
-        out = []
-        for row in pdf.sort_values("frame_idx").itertuples():
-            if not len(row.freqs):
-                continue
-            free, now, below = dict(enumerate(row.freqs)), {}, None
-            for j, (low, high) in enumerate(ranges):
-                floor = low if below is None else max(low, below + 20.0)
-                options = [k for k, f in free.items() if floor <= f <= high] or [k for k, f in free.items() if floor <= f <= top]
-                below = None
-                if options:
-                    best = min(options, key=lambda k: abs(free[k] - last[j]) if j in last else free[k])
-                    now[j] = below = free.pop(best)
-                    out.append((row.signal_id, row.frame_idx, j + 1, below, row.widths[best]))
-            last = now
-        return pd.DataFrame(out, columns=["signal_id", "frame_idx", "formant", "freq", "width"])
-
-    return found.groupBy("signal_id").applyInPandas(follow, "signal_id long, frame_idx long, formant int, freq double, width double")
+    def known(state) -> dict:
+        return {j: v for j, v in enumerate(state) if v > 0} if state is not None else {}
+
+    def run(frames, entry):
+        import numpy as np
+
+        last = follow(frames, known(entry), ranges, top)[1] if frames is not None else {}
+        return np.array([last.get(j, 0.0) for j in range(count)])
+
+    def tracks(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                entry, signal = batch.column("entry")[at], batch.column("signal_id")[at].as_py()
+                rows, _ = follow(batch.column("frames")[at].as_py(), known(np.asarray(entry.values)) if entry.is_valid else {}, ranges, top)
+                t, j, freq, width = zip(*rows, strict=True) if rows else ([], [], [], [])
+                columns = [pa.array([signal] * len(t), pa.int64()), pa.array(t, pa.int64()), pa.array([v + 1 for v in j], pa.int32()), pa.array(freq, pa.float64()), pa.array(width, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["signal_id", "frame_idx", "formant", "freq", "width"])
+
+    blocks = written(blocks_of_frames(found, per, "freqs", "widths"), "resonances")
+    entries = settle(blocks, run, lambda a, b: bool((a == b).all()))
+    return entries.select("signal_id", "frames", "entry").mapInArrow(tracks, "signal_id long, frame_idx long, formant int, freq double, width double")
 
 
 def frequencies(tracks: DataFrame) -> DataFrame:

@@ -1,75 +1,47 @@
-"""Whole-signal kernels without a relational form: median-filter separation, spectral gating and loudness, as batched helpers."""
+"""Loudness, median-filter separation and spectral gating of signals of any length, and the tristimulus."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.operators.blocks import filtered, resynthesised
+from tidewave.sources.signals import blocks_of_points
 
-def _stft(x, n_fft: int, hop: int):
-    """Complex spectra (bins x frames) under a periodic Hann window, centred by reflection."""
-    import numpy as np
 
-    padded = np.pad(x, n_fft // 2, mode="reflect")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
-    return np.fft.rfft(frames * np.hanning(n_fft + 1)[:-1], axis=1).T
+def harmonic_percussive(points: DataFrame, n_fft: int, hop: int, margin_h: float = 3.0, margin_p: float = 3.0) -> DataFrame:
+    """signal_id, i, harmonic, percussive: masks from medians along frequency and along time (kernels of int(2 margin + 1) bins and frames).
 
+    `points` are samples with their places, see `sources.signals`."""
+    size_h, size_p = int(2 * margin_h + 1), int(2 * margin_p + 1)
 
-def _istft(z, n_fft: int, hop: int, length: int):
-    """Overlap-add inverse, normalised by the summed squared window."""
-    import numpy as np
-
-    w = np.hanning(n_fft + 1)[:-1]
-    frames = np.fft.irfft(z.T, n_fft, axis=1) * w
-    out, norm = np.zeros(n_fft + hop * (len(frames) - 1)), np.zeros(n_fft + hop * (len(frames) - 1))
-    for i, f in enumerate(frames):
-        out[i * hop : i * hop + n_fft] += f
-        norm[i * hop : i * hop + n_fft] += w * w
-    out = out / np.where(norm > 1e-11, norm, 1.0)
-    half = n_fft // 2
-    return np.pad(out[half : half + length], (0, max(0, length - max(0, len(out) - half))))[:length]
-
-
-def harmonic_percussive(samples: Column, n_fft: int, hop: int, margin_h: float = 3.0, margin_p: float = 3.0) -> Column:
-    """struct(harmonic, percussive): masks from medians along frequency and along time (kernels of 2 margin + 1 bins)."""
-
-    @F.pandas_udf("harmonic array<double>, percussive array<double>")
-    def run(batch: pd.Series) -> pd.DataFrame:
+    def masks(z, first: bool, last: bool):
         import numpy as np
 
-        def median(m, size, axis):
-            half = size // 2
-            pad = [(half, size - 1 - half) if a == axis else (0, 0) for a in (0, 1)]
-            return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(m, pad, mode="reflect"), size, axis=axis), axis=-1)
-
-        def one(x):
-            x = np.asarray(x, float)
-            z = _stft(x, n_fft, hop)
-            m = np.abs(z)
-            h, p = median(m, int(2 * margin_h + 1), 0), median(m, int(2 * margin_p + 1), 1)
-            return [_istft(z * (part / (h + p + 1e-8)) ** 2, n_fft, hop, len(x)) for part in (h, p)]
+        def median(m, size, axis, ends=(True, True)):
+            before, after = (size // 2 if ends[0] else 0), (size - 1 - size // 2 if ends[1] else 0)
+            wide = np.pad(m, [(before, after) if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
+            out = np.median(np.lib.stride_tricks.sliding_window_view(wide, size, axis=axis), axis=-1)
+            missing = size // 2 if not ends[0] else 0
+            return np.pad(out, [(missing, m.shape[axis] - missing - out.shape[axis]) if a == axis else (0, 0) for a in (0, 1)])
 
-        return pd.DataFrame([one(x) for x in batch], columns=["harmonic", "percussive"])
+        m = np.abs(z)
+        h, p = median(m, size_h, 1), median(m, size_p, 0, (first, last))
+        return [z * (part / (h + p + 1e-8)) ** 2 for part in (h, p)]
 
-    return run(samples)
+    return resynthesised(points, n_fft, hop, masks, ["harmonic", "percussive"], halo=size_p // 2)
 
 
-def noise_reduction(samples: Column, threshold: float = 0.01, n_fft: int = 1024, hop: int = 512) -> Column:
-    """Spectral subtraction on the power spectrum with zero phase."""
+def noise_reduction(points: DataFrame, threshold: float = 0.01, n_fft: int = 1024, hop: int = 512) -> DataFrame:
+    """signal_id, i, x: spectral subtraction on the power spectrum with zero phase."""
 
-    @F.pandas_udf("array<double>")
-    def run(batch: pd.Series) -> pd.Series:
+    def subtract(z, first: bool, last: bool):
         import numpy as np
 
-        def one(x):
-            x = np.asarray(x, float)
-            power = np.abs(_stft(x, n_fft, hop)) ** 2
-            return _istft(np.maximum(power - threshold, 0.0).astype(complex), n_fft, hop, len(x))
-
-        return batch.map(one)
+        return [np.maximum(np.abs(z) ** 2 - threshold, 0.0).astype(complex)]
 
-    return run(samples)
+    return resynthesised(points, n_fft, hop, subtract, ["x"])
 
 
 def _shelf_and_highpass(rate: int):
@@ -88,42 +60,27 @@ def _shelf_and_highpass(rate: int):
     return (b, a), ([(1 + co) / 2, -(1 + co), (1 + co) / 2], [1 + al, -2 * co, 1 - al])
 
 
-def block_powers(signals: DataFrame, sample_rate: int) -> DataFrame:
-    """Mean squares of K-weighted blocks of 0.4 s every 0.1 s: signal_id, block, power. The filters are the only kernel."""
-
-    @F.pandas_udf("array<double>")
-    def weighted(batch: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def section(x, b, a):
-            y, z1, z2 = np.empty(len(x)), 0.0, 0.0
-            b, a = [v / a[0] for v in b], [v / a[0] for v in a]
-            for i, v in enumerate(x):
-                out = b[0] * v + z1
-                z1, z2 = b[1] * v - a[1] * out + z2, b[2] * v - a[2] * out
-                y[i] = out
-            return y
-
-        def one(x):
-            for b, a in _shelf_and_highpass(sample_rate):
-                x = section(x, b, a)
-            return x
-
-        return batch.map(one)
-
-    from tidewave.sources.signals import frames
-
-    blocks = frames(signals.withColumn("samples", weighted("samples")), round(0.4 * sample_rate), round(0.1 * sample_rate), pad=False)
-    return blocks.select("signal_id", F.col("frame_idx").alias("block"), (F.aggregate("frame", F.lit(0.0), lambda s, v: s + v * v) / F.size("frame")).alias("power"))
+def block_powers(points: DataFrame, sample_rate: int, length: int = 1024) -> DataFrame:
+    """Mean squares of K-weighted windows of 0.4 s every 0.1 s: signal_id, block, power. Samples are filtered in runs of `length`; each adds
+    its share to the windows it meets."""
+    n, hop = round(0.4 * sample_rate), round(0.1 * sample_rate)
+    runs = filtered(blocks_of_points(points, length), _shelf_and_highpass(sample_rate), length)
+    begin, end = F.col("block") * length, F.col("block") * length + F.size("samples")
+    first, last = F.greatest(F.floor((begin - n) / hop) + 1, F.lit(0)), F.floor((end - 1) / hop)
+    met = runs.select("signal_id", "samples", begin.alias("b"), end.alias("e"), F.explode(F.sequence(first, last)).alias("block"))
+    lo, hi = F.greatest(F.col("block") * hop - F.col("b"), F.lit(0)), F.least(F.col("block") * hop + n, "e") - F.col("b")
+    part = F.aggregate(F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int")), F.lit(0.0), lambda s, v: s + v * v)
+    sums = met.select("signal_id", "block", part.alias("s"), (hi - lo).alias("k")).groupBy("signal_id", "block").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+    return sums.where(F.col("k") == n).select("signal_id", "block", (F.col("s") / n).alias("power"))
 
 
-def loudness(signals: DataFrame, sample_rate: int) -> DataFrame:
-    """Integrated loudness: blocks over -70, then over the mean less 10, gated by two aggregations: signal_id, lufs."""
+def loudness(points: DataFrame, sample_rate: int, length: int = 1024) -> DataFrame:
+    """Integrated loudness: blocks over -70, then over the mean less 10, gated by two aggregations: signal_id, lufs (null without any)."""
     level = lambda p: -0.691 + 10 * F.log10(p)
-    loud = block_powers(signals, sample_rate).where("power > 0").where(level(F.col("power")) > -70)
+    loud = block_powers(points, sample_rate, length).where("power > 0").where(level(F.col("power")) > -70)
     bar = loud.groupBy("signal_id").agg((level(F.avg("power")) - 10).alias("bar"))
     kept = loud.join(bar, "signal_id").where(level(F.col("power")) > F.col("bar"))
-    return signals.select("signal_id").join(kept.groupBy("signal_id").agg(level(F.avg("power")).alias("lufs")), "signal_id", "left")
+    return points.select("signal_id").distinct().join(kept.groupBy("signal_id").agg(level(F.avg("power")).alias("lufs")), "signal_id", "left")
 
 
 def tristimulus(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, harmonics: int = 10, f_min: float = 60.0, f_max: float = 1000.0) -> DataFrame:

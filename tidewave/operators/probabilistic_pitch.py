@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.operators.chains import tracked
 from tidewave.operators.pitch import lag_range
-from tidewave.operators.spectrograms import padded
-from tidewave.sources.signals import frames
+from tidewave.sources.signals import points_of
 
 STEPS = 10  # pitch states to the semitone
 
@@ -62,86 +62,134 @@ def candidates(frame, sample_rate: int, f_min: float, f_max: float):
     return sample_rate / (at + np.clip(shift, -1, 1)), prob
 
 
-def likeliest_path(observed: list, f_min: float, f_max: float, seconds: float, widest: float = 35.92, switch: float = 0.01):
-    """Pitch of every frame (0: unvoiced) by a Viterbi search; `observed` has candidates and probabilities per frame.
+class PathSearch:
+    """Viterbi search over pitches a tenth of a semitone apart, voiced or not. The pitch moves by at most `widest` octaves a second, near ones likelier
+    (a triangle); voicing changes with probability `switch`. Scores are the state between blocks of frames."""
 
-    States are pitches a tenth of a semitone apart, voiced or not. The pitch moves by at most `widest` octaves a second, near
-    ones likelier (a triangle); voicing changes with probability `switch`.
-    """
-    import numpy as np
+    def __init__(self, f_min: float, f_max: float, seconds: float, widest: float = 35.92, switch: float = 0.01):
+        import numpy as np
+
+        self.f_min, self.n = f_min, int(np.floor(12 * STEPS * np.log2(f_max / f_min))) + 1
+        reach = max(1, int(round(widest * 12 * STEPS * seconds)))
+        reach = min(reach, self.n - 1) if self.n > 1 else 0
+        step = np.arange(-reach, reach + 1)
+        self.moves = list(zip(step.tolist(), np.log((reach + 1 - np.abs(step)) / ((reach + 1.0) ** 2)).tolist(), strict=True))
+        self.stay, self.change = np.log(1 - switch), np.log(switch)
 
-    n = int(np.floor(12 * STEPS * np.log2(f_max / f_min))) + 1
-    reach = max(1, int(round(widest * 12 * STEPS * seconds)))
-    reach = min(reach, n - 1) if n > 1 else 0
-    step = np.arange(-reach, reach + 1)
-    move = np.log((reach + 1 - np.abs(step)) / ((reach + 1.0) ** 2))
-    log = lambda p: np.log(np.maximum(p, 1e-300))
-    back = np.zeros((len(observed), 2, n), np.int32)
-    score = None
-    for t, (freq, prob) in enumerate(observed):
+    def seen(self, freq, prob):
+        import numpy as np
+
+        log, n = lambda p: np.log(np.maximum(p, 1e-300)), self.n
         voiced = np.zeros(n)
         if len(freq):
-            place = np.rint(12 * STEPS * np.log2(np.asarray(freq) / f_min)).astype(np.int64)
+            place = np.rint(12 * STEPS * np.log2(np.asarray(freq) / self.f_min)).astype(np.int64)
             inside = (place >= 0) & (place < n)
             np.add.at(voiced, place[inside], np.asarray(prob)[inside])
-        seen = np.stack([log(voiced), np.full(n, log(max(1 - voiced.sum(), 0.0) / n))])
+        return np.stack([log(voiced), np.full(n, log(max(1 - voiced.sum(), 0.0) / n))])
+
+    def step(self, score, freq, prob):
+        """Scores after a frame and, for each state, the one it came from; `score` is None before the first frame."""
+        import numpy as np
+
+        n, seen = self.n, self.seen(freq, prob)
         if score is None:
-            score = seen - np.log(2 * n)
-            continue
+            return seen - np.log(2 * n), np.full((2, n), -1)
         best, where = np.full((2, n), -np.inf), np.zeros((2, n), np.int64)
-        for k, m in zip(step.tolist(), move.tolist(), strict=True):
+        for k, m in self.moves:
             lo, hi = max(0, -k), min(n, n - k)
             moved = score[:, lo:hi] + m
             target = best[:, lo + k : hi + k]
             better = moved > target
             target[better] = moved[better]
             where[:, lo + k : hi + k][better] = np.broadcast_to(np.arange(lo, hi), better.shape)[better]
-        stay, change = np.log(1 - switch), np.log(switch)
-        options = np.stack([np.stack([best[0] + stay, best[1] + change]), np.stack([best[0] + change, best[1] + stay])])
+        options = np.stack([np.stack([best[0] + self.stay, best[1] + self.change]), np.stack([best[0] + self.change, best[1] + self.stay])])
         pick = options.argmax(axis=1)
-        back[t] = pick * n + np.take_along_axis(where[None].repeat(2, axis=0), pick[:, None], axis=1)[:, 0]
-        score = np.take_along_axis(options, pick[:, None], axis=1)[:, 0] + seen
-    out = np.zeros(len(observed))
-    if score is None:
-        return out
-    state = int(score.ravel().argmax())
-    for t in range(len(observed) - 1, -1, -1):
-        if state < n:
-            out[t] = f_min * 2 ** (state / (12 * STEPS))
-        state = int(back[t].ravel()[state])
-    return out
-
-
-def pyin(signals: DataFrame, sample_rate: int, n: int = 2048, hop: int = 512, f_min: float = 50.0, f_max: float = 600.0, unvoiced: float = 0.0) -> DataFrame:
-    """Pitch of frames centred on multiples of `hop`: signal_id, frame_idx, f0 (`unvoiced` where there is none).
+        came = pick * n + np.take_along_axis(where[None].repeat(2, axis=0), pick[:, None], axis=1)[:, 0]
+        return np.take_along_axis(options, pick[:, None], axis=1)[:, 0] + seen, came
+
+    def run(self, frames, entry):
+        """Scores after a block, the largest being 0; without frames, scores that prefer no state."""
+        import numpy as np
+
+        if frames is None:
+            return np.zeros(2 * self.n)
+        score = None if entry is None else entry.reshape(2, self.n)
+        for f in frames:
+            score, _ = self.step(score, f["freq"], f["prob"])
+        return (score - score.max()).ravel()
+
+    def origins(self, frames, entry):
+        """For each state after a block, the state before it that its likeliest path came from (-1 before the first frame), and the best state."""
+        import numpy as np
+
+        score, origin = None if entry is None else entry.reshape(2, self.n), np.arange(2 * self.n)
+        for f in frames:
+            score, came = self.step(score, f["freq"], f["prob"])
+            came = came.ravel()
+            origin = np.where(came >= 0, origin[came], -1)
+        return origin, int(score.ravel().argmax())
+
+    def path(self, frames, entry, last: int):
+        """Pitch of every frame of a block (0: unvoiced) on the path that ends in state `last`, as the only column."""
+        import numpy as np
+
+        score, back, out = None if entry is None else entry.reshape(2, self.n), [], np.zeros(len(frames))
+        for f in frames:
+            score, came = self.step(score, f["freq"], f["prob"])
+            back.append(came.ravel().astype(np.int32))
+        for t in range(len(frames) - 1, -1, -1):
+            if last < self.n:
+                out[t] = self.f_min * 2 ** (last / (12 * STEPS))
+            last = int(back[t][last])
+        return (out,)
+
+    def same(self, a, b) -> bool:
+        import numpy as np
+
+        d = a - b
+        return bool(np.abs(d - d[0]).max() < 1e-9)
 
-    Frames are analysed apart, wherever they lie; only their candidates, some numbers a frame, meet per signal for the path.
-    A signal without samples has no frames.
-    """
-    lag_range(sample_rate, f_min, f_max)
-    rows = frames(signals.where(F.size("samples") > 0).withColumn("samples", padded("samples", n // 2, "constant")), n, hop, pad=False)
+
+def pitch_candidates(points: DataFrame, sample_rate: int, n: int, hop: int, f_min: float, f_max: float) -> DataFrame:
+    """signal_id, frame_idx, freq, prob of frames centred on multiples of `hop`, from samples with their places (zeros on both sides)."""
+    wide = points.withColumn("size", F.col("size") + 2 * (n // 2)).withColumn("i", F.col("i") + n // 2)
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = [candidates(np.asarray(f, float), sample_rate, f_min, f_max) for f in batch.column("frame").to_pylist()]
+            found = []
+            for at, size, x in zip(batch.column("at"), batch.column("size").to_pylist(), batch.column("frame"), strict=True):
+                frame = np.zeros(n)
+                frame[np.asarray(at.values)] = np.asarray(x.values)
+                found.append(candidates(frame, sample_rate, f_min, f_max))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("signal_id"), batch.column("frame_idx"), pa.array([f.tolist() for f, _ in found], pa.list_(pa.float64())), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))],
                 ["signal_id", "frame_idx", "freq", "prob"],
             )
 
-    seen = rows.select("signal_id", "frame_idx", "frame").mapInArrow(find, "signal_id long, frame_idx long, freq array<double>, prob array<double>")
-    whole = seen.groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "freq", "prob"))).alias("seen"))
+    last = F.floor((F.col("size") - n) / hop)
+    first, until = F.greatest(F.ceil((F.col("i") - n + 1) / hop), F.lit(0)), F.least(F.floor(F.col("i") / hop), last)
+    spread = wide.where(first <= until).select("signal_id", "size", F.explode(F.sequence(first, until)).alias("frame_idx"), "i", "x")
+    held = spread.groupBy("signal_id", "frame_idx", "size").agg(F.collect_list(F.struct((F.col("i") - F.col("frame_idx") * hop).cast("int").alias("at"), "x")).alias("s"))
+    # Frames that reach no sample lie within the added zeros; they have no candidates.
+    sizes = points.groupBy("signal_id").agg((F.floor((F.max("size") + 2 * (n // 2) - n) / hop)).alias("last"))
+    every = sizes.where("last >= 0").select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame_idx"))
+    seen = held.select("signal_id", "frame_idx", "size", F.transform("s", lambda v: v["at"]).alias("at"), F.transform("s", lambda v: v["x"]).alias("frame"))
+    seen = seen.mapInArrow(find, "signal_id long, frame_idx long, freq array<double>, prob array<double>")
+    none = F.array().cast("array<double>")
+    return every.join(seen, ["signal_id", "frame_idx"], "left").select("signal_id", "frame_idx", F.coalesce("freq", none).alias("freq"), F.coalesce("prob", none).alias("prob"))
 
-    def track(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            for signal, seen in zip(batch.column("signal_id").to_pylist(), batch.column("seen").to_pylist(), strict=True):
-                f0 = likeliest_path([(s["freq"], s["prob"]) for s in seen], f_min, f_max, hop / sample_rate)
-                yield pa.RecordBatch.from_pydict({"signal_id": pa.array([signal] * len(f0), pa.int64()), "frame_idx": pa.array([s["frame_idx"] for s in seen], pa.int64()), "f0": pa.array(np.where(f0 > 0, f0, unvoiced))})
+def pyin(signals: DataFrame, sample_rate: int, n: int = 2048, hop: int = 512, f_min: float = 50.0, f_max: float = 600.0, unvoiced: float = 0.0, per: int = 512) -> DataFrame:
+    """Pitch of frames centred on multiples of `hop`: signal_id, frame_idx, f0 (`unvoiced` where there is none).
 
-    return whole.mapInArrow(track, "signal_id long, frame_idx long, f0 double")
+    `signals` are arrays, or samples with their places (`points_of_rows`) for signals of any length. Frames are analysed apart and the
+    path is searched in blocks of `per` frames. A signal without samples has no frames.
+    """
+    lag_range(sample_rate, f_min, f_max)
+    points = points_of(signals) if "samples" in signals.columns else signals
+    seen = pitch_candidates(points, sample_rate, n, hop, f_min, f_max)
+    found = tracked(seen, PathSearch(f_min, f_max, hop / sample_rate), ["freq", "prob"], ["f0"], per)
+    return found.withColumn("f0", F.when(F.col("f0") > 0, F.col("f0")).otherwise(F.lit(float(unvoiced))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import argmax, c, diff, dot, first_where, indexed, mean, ratio, total, total_of
+from tidewave.functions.arrays import argmax, c, diff, dot, first_from, indexed, let, mean, ratio, total, total_of
 from tidewave.functions.fourier import circular_autocorrelation
 from tidewave.functions.windows import hann_periodic, hann_symmetric, literal
 from tidewave.sources.signals import frame_array, samples_long
@@ -39,7 +39,8 @@ def entropy_of_energy(frame: str | Column, n: int, sub_frames: int = 10) -> Colu
     """Entropy of the energy over sub-frames, 0 for silence."""
     width = max(1, n // sub_frames)
     parts = F.transform(frame_array(c(frame), width, width), lambda s: F.aggregate(s, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(total(parts) > 0, -total_of(parts, lambda e: e / total(parts) * F.log2(e / total(parts) + 1e-8))).otherwise(0.0)
+    shares = lambda p: let(total(p), lambda t: F.when(t > 0, -total_of(p, lambda e: e / t * F.log2(e / t + 1e-8))).otherwise(0.0))
+    return let(parts, shares)
 
 
 def frame_temporal_centroid(frame: str | Column) -> Column:
@@ -54,11 +55,12 @@ def temporal_centroid(samples: str | Column) -> Column:
 
 def teager_energy(samples: str | Column) -> Column:
     """Mean of x[n]^2 - x[n-1] x[n+1], 0 under three samples."""
-    x = c(samples)
-    n = F.size(x)
-    inner = F.sequence(F.lit(1), n - 2)
-    terms = F.transform(inner, lambda i: F.get(x, i) * F.get(x, i) - F.get(x, i - 1) * F.get(x, i + 1))
-    return F.when(n >= 3, total(terms) / (n - 2)).otherwise(0.0)
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        terms = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.get(x, i) * F.get(x, i) - F.get(x, i - 1) * F.get(x, i + 1))
+        return F.when(n >= 3, total(terms) / (n - 2)).otherwise(0.0)
+
+    return let(samples, of)
 
 
 def amplitude_modulation_depth(envelope: str | Column, window: int) -> Column:
@@ -68,32 +70,33 @@ def amplitude_modulation_depth(envelope: str | Column, window: int) -> Column:
 
 
 def smoothed_envelope(samples: str | Column, sample_rate: int, window_ms: float = 5.0) -> Column:
-    """Moving average of |x| over an odd window with reflection at both ends."""
+    """Moving average of |x| over an odd window with reflection at both ends; empty for signals within half a window."""
     width = max(1, int(sample_rate * window_ms / 1000.0))
     half = (width + 1 - width % 2) // 2
     x = F.transform(c(samples), F.abs)
     n = F.size(x)
-    left = F.transform(F.sequence(F.lit(half), F.lit(1), F.lit(-1)), lambda i: F.get(x, i)) if half else F.array().cast("array<double>")
-    right = F.transform(F.sequence(F.lit(1), F.lit(half)), lambda i: F.get(x, n - 1 - i)) if half else F.array().cast("array<double>")
-    padded = F.concat(left, x, right)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: total(F.slice(padded, i, 2 * half + 1)) / (2 * half + 1))
+    left = F.reverse(F.slice(x, 2, half)) if half else F.array().cast("array<double>")
+    right = F.reverse(F.slice(x, n - half, half)) if half else F.array().cast("array<double>")
+    smooth = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 2 * half), lambda i: total(F.slice(p, i, 2 * half + 1)) / (2 * half + 1))
+    return F.when(n > half, let(F.concat(left, x, right), smooth)).otherwise(F.array().cast("array<double>"))
 
 
 def log_attack_time(envelope: str | Column, sample_rate: int, low: float = 0.1, high: float = 0.9) -> Column:
     """log10 of the seconds from the first `low` to the next `high` share of the peak; -8 where there is no rise."""
-    e = c(envelope)
-    peak = F.array_max(e)
-    start = first_where(e, lambda v, i: v >= low * peak)
-    stop = first_where(e, lambda v, i: (v >= high * peak) & (i >= start))
-    return F.when((peak >= 1e-12) & (stop > start), F.log10(F.greatest((stop - start) / F.lit(float(sample_rate)), F.lit(1e-8)))).otherwise(F.lit(-8.0))
+    def of(e: Column, peak: Column) -> Column:
+        rise = lambda start: let(first_from(e, start, lambda v: v >= high * peak), lambda stop: F.when(stop > start, F.log10(F.greatest((stop - start) / F.lit(float(sample_rate)), F.lit(1e-8)))))
+        return F.when(peak >= 1e-12, let(first_from(e, F.lit(0), lambda v: v >= low * peak), rise))
+
+    return F.coalesce(let(envelope, lambda e: let(F.array_max(e), lambda peak: of(e, peak))), F.lit(-8.0))
 
 
 def decay_time(samples: str | Column, sample_rate: int, threshold_db: float = -20.0) -> Column:
     """Seconds from the loudest sample to the first later one under the threshold; 0 if there is none."""
-    a = F.transform(c(samples), F.abs)
-    top = argmax(a)
-    below = first_where(a, lambda v, i: (v < F.array_max(a) * 10 ** (threshold_db / 20)) & (i >= top))
-    return F.when((F.array_max(a) > 0) & below.isNotNull() & (below >= top), (below - top) / F.lit(float(sample_rate))).otherwise(0.0)
+    def of(a: Column, peak: Column) -> Column:
+        fall = lambda top: let(first_from(a, top, lambda v: v < peak * 10 ** (threshold_db / 20)), lambda below: (below - top) / F.lit(float(sample_rate)))
+        return F.when(peak > 0, let(F.array_position(a, peak) - 1, fall))
+
+    return F.coalesce(let(F.transform(c(samples), F.abs), lambda a: let(F.array_max(a), lambda peak: of(a, peak))), F.lit(0.0))
 
 
 def breath_groups(signals: DataFrame, sample_rate: int) -> DataFrame:
@@ -101,7 +104,9 @@ def breath_groups(signals: DataFrame, sample_rate: int) -> DataFrame:
 
     One row per duration: signal_id, group_idx, duration. Gaps and islands by window functions over the quiet samples.
     """
-    rows = samples_long(signals.withColumn("_mean", mean("samples")).withColumn("samples", F.filter(F.transform("samples", lambda v, i: F.struct(i.alias("n"), v.alias("x"))), lambda s: s["x"] < F.col("_mean") * 0.25)).withColumn("samples", F.transform("samples", lambda s: s["n"].cast("double"))))
+    places = F.transform("samples", lambda v, i: F.struct(i.alias("n"), v.alias("x")))
+    quiet = let(mean("samples") * 0.25, lambda m: F.filter(places, lambda s: s["x"] < m))
+    rows = samples_long(signals.withColumn("samples", F.transform(quiet, lambda s: s["n"].cast("double"))))
     order = Window.partitionBy("signal_id").orderBy("x")
     starts = rows.withColumn("after", F.lead("x").over(order)).where(F.col("after") - F.col("x") > int(0.25 * sample_rate))
     return starts.withColumn("duration", (F.lead("x").over(order) - F.col("x")) / sample_rate).withColumn("group_idx", (F.row_number().over(order) - 1).cast("long")).where("duration is not null").select("signal_id", "group_idx", "duration")
@@ -112,8 +117,8 @@ def speech_rate(signals: DataFrame, sample_rate: int, threshold_ratio: float = 0
     width = max(1, int(0.02 * sample_rate))
     half = width // 2
     padded = F.concat(F.array_repeat(F.lit(0.0), half), F.transform("samples", F.abs), F.array_repeat(F.lit(0.0), half))
-    envelope = F.transform(F.sequence(F.lit(1), F.size("samples") + 2 * half - width + 1), lambda i: total(F.slice("padded", i, width)) / width)
-    env = signals.withColumn("padded", padded).withColumn("env", envelope).select("signal_id", F.size("samples").alias("size"), mean("env").alias("level"), F.posexplode("env").alias("n", "e"))
+    smooth = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - width + 1), lambda i: total(F.slice(p, i, width)) / width)
+    env = signals.withColumn("env", let(padded, smooth)).select("signal_id", F.size("samples").alias("size"), mean("env").alias("level"), F.posexplode("env").alias("n", "e"))
     order = Window.partitionBy("signal_id").orderBy("n")
     peaks = env.withColumn("b", F.lag("e").over(order)).withColumn("a", F.lead("e").over(order))
     is_peak = F.coalesce((F.col("e") > F.col("b")) & (F.col("e") > F.col("a")) & (F.col("e") > F.col("level") * threshold_ratio), F.lit(False))

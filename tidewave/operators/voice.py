@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import c, diff, folded, mean, ratio, total
+from tidewave.functions.arrays import c, diff, dot, folded, let, mean, ratio, total
 
 
 def relative_perturbation(series: str | Column) -> Column:
@@ -21,11 +21,15 @@ def local_perturbation(series: str | Column) -> Column:
 
 def smoothed_perturbation(series: str | Column, width: int) -> Column:
     """Mean distance from the centred moving average of `width` cycles, over the mean, in percent (PPQ5, APQ3)."""
-    x, half = c(series), width // 2
-    n = F.size(x)
-    centre = F.sequence(F.lit(half), F.greatest(n - 1 - half, F.lit(half)))
-    away = F.transform(centre, lambda i: F.abs(F.get(x, i) - total(F.slice(x, i - half + 1, width)) / width))
-    return F.when(n >= width, F.coalesce(ratio(mean(away), mean(x), None) * 100, F.lit(0.0))).otherwise(0.0)
+    half = width // 2
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        centre = F.sequence(F.lit(half), F.greatest(n - 1 - half, F.lit(half)))
+        away = F.transform(centre, lambda i: F.abs(F.get(x, i) - total(F.slice(x, i - half + 1, width)) / width))
+        return F.when(n >= width, F.coalesce(ratio(mean(away), mean(x), None) * 100, F.lit(0.0))).otherwise(0.0)
+
+    return let(series, of)
 
 
 def second_difference_perturbation(series: str | Column) -> Column:
@@ -109,12 +113,11 @@ def delta_series(x: str | Column) -> Column:
     return F.concat(F.array(F.lit(0.0)), diff(x))
 
 
-def glottal_to_noise_excitation(bands: list[Column]) -> Column:
-    """Largest cross product of different bands as g: 10 log10(g / (1 - g + 1e-8)), null where that is undefined."""
-    from tidewave.functions.arrays import dot
-
-    g = F.greatest(*[dot(a, b) for i, a in enumerate(bands) for b in bands[i + 1 :]])
-    r = g / (1 - g + 1e-8)
-    return F.when(r > 0, 10 * F.log10(r))
-
-
+def glottal_to_noise_excitation(spectrum: str | Column, n: int, bands: int = 6) -> Column:
+    """Largest product g of two of the even bands of an array of `n` values, a band with itself included: 10 log10(g / (1 - g + 1e-8)), null where that
+    is undefined (g over 1)."""
+    if n % bands:
+        raise ValueError(f"the number of values must be a multiple of {bands}")
+    part = lambda x, b: F.slice(x, 1 + b * (n // bands), n // bands)
+    largest = lambda x: F.greatest(*[dot(part(x, a), part(x, b)) for a in range(bands) for b in range(a, bands)])
+    return let(let(spectrum, largest), lambda g: F.when(g / (1 - g + 1e-8) > 0, 10 * F.log10(g / (1 - g + 1e-8))))

@@ -37,11 +37,9 @@ def magnitude_query(name: str, f: Callable[[str], Column], sql: str) -> None:
 
 
 def whole_query(name: str, f: Callable[[str], Column], sql: str) -> None:
-    """A feature of whole-signal spectra; `bin_hz` (in SQL: hz) is the width of a bin. The name with `_uncut` is the same query."""
+    """A feature of whole-signal spectra; `bin_hz` (in SQL: hz) is the width of a bin."""
     QUERIES[name] = lambda spark, d: spectral.uncut_spectrum(signals(spark, d)).select("signal_id", rounded(f("mag")).alias("value"))
     SQL[name] = over_whole(sql)
-    if name not in ("harmonic_differences", "subharmonic_to_harmonic_ratio", "inharmonicity"):
-        QUERIES[f"{name}_uncut"], SQL[f"{name}_uncut"] = QUERIES[name], SQL[name]
 
 
 HS = f"(0.5*(1-cos(2*pi()*(i-1)/{N - 1})))"
@@ -145,5 +143,3 @@ whole_query("harmonic_differences", lambda m: F.get(voice.harmonic_differences(m
 _AT = lambda shift: "+".join(f"pow(m[{k}*((len(m)-1)//8){shift}+1], 2)" for k in (1, 2, 3))
 whole_query("subharmonic_to_harmonic_ratio", lambda m: voice.subharmonic_to_harmonic_ratio(m, F.floor((F.size(m) - 1) / 8).cast("int"), 3), f"10*log10(({_AT('+(len(m)-1)//8//2')})/({_AT('')}+1e-8))")
 whole_query("inharmonicity", lambda m: spectral.inharmonicity(F.slice(F.col(m), 2, 5), F.lit(2.0)), "list_avg(list_transform(m[2:6], lambda v, i: abs(v/(i*2.0)-1)))")
-for _name in ("spectral_roughness", "spectral_sharpness", "nasality_index"):
-    QUERIES[f"{_name}_uncut"], SQL[f"{_name}_uncut"] = QUERIES[_name], SQL[_name]

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.operators import formants, pitch, spectral, temporal
-from tidewave.sources.signals import frames
+from tidewave.operators import formants, periodicity, pitch, probabilistic_pitch, spectral, temporal
+from tidewave.sources.signals import frames, points_of
 
 KIND = "name string, max_points double, measured double, expected double, error double, tolerance double, passed boolean, earned_points double"
 
@@ -31,8 +31,9 @@ def known_signals(spark: SparkSession, sample_rate: int, n: int) -> tuple[DataFr
     return spark.createDataFrame([(k, sample_rate, x.tolist()) for k, x in rows], "signal_id long, sample_rate int, samples array<double>"), freq
 
 
-def checks(spark: SparkSession, sample_rate: int = 22050, n: int = 1024, hop: int = 256) -> DataFrame:
-    """One row per check: what was measured and expected, the error, its tolerance, whether it passed and the points earned."""
+def checks(spark: SparkSession, sample_rate: int = 22050, n: int = 1024, hop: int = 256, optional: bool = True) -> DataFrame:
+    """One row per check: what was measured and expected, the error, its tolerance, whether it passed and the points earned. `optional` adds those of the
+    pitch trackers: probabilistic YIN and the paths through auto- and cross-correlations."""
     if sample_rate <= 0 or n <= 0 or hop <= 0:
         raise ValueError("sample_rate, n and hop must be positive")
     signals, freq = known_signals(spark, sample_rate, n)
@@ -59,6 +60,10 @@ def checks(spark: SparkSession, sample_rate: int = 22050, n: int = 1024, hop: in
     f = {k: F.max(F.when(F.col("formant") == k, F.col("freq"))) for k in (1, 2, 3)}
     inside = f[1].between(150.0, 1200.0) & f[2].between(500.0, 3200.0) & (f[1] < f[2]) & (f[2] < f[3])
     found.append(check("formants", 10, medians, F.coalesce(inside, F.lit(False)).cast("int"), 1.0, 0.0))
+    if optional:
+        points = points_of(tone)
+        tracks = {"pitch_pyin": (10, probabilistic_pitch.pyin(points, sample_rate, n, hop, max(50.0, freq / 2), max(200.0, 2 * freq))), "pitch_correlation_path": (12, periodicity.pitch(points, sample_rate)), "pitch_cross_correlation_path": (13, periodicity.pitch(points, sample_rate, method="cc"))}
+        found += [check(name, worth, f0.where("f0 > 0"), F.median("f0"), freq, 0.05, relative=True) for name, (worth, f0) in tracks.items()]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

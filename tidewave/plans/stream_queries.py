@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +16,18 @@ from tidewave.plans import derived_queries as dq
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.twins import FS, HOP, N, query, rnd
 from tidewave.sources.signals import frames, frames_of_rows
+from tidewave.storage import fresh_dir
 from tidewave.streaming import framing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidewave-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streaming_frames(spark: SparkSession, d: str) -> DataFrame:
     """Mean of every frame of 8 events, every 4, per user, by keyed state over the stream of events."""
     rows = framing.events_stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "ts", "value")
     out = framing.frame_stream(rows, "user_id", "ts", "value", 8, 4, lambda x: float(x.mean()))
-    return framing.run_to_end(out, _folder(spark)).select("user_id", "frame_idx", rounded("value").alias("value"))
+    return framing.run_to_end(out, fresh_dir(spark, "stream")).select("user_id", "frame_idx", rounded("value").alias("value"))
 
 
 QUERIES["streaming_frames"] = streaming_frames

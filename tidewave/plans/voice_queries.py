@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.functions.arrays import argmax, rounded
+from tidewave.functions.arrays import argmax, let, rounded
 from tidewave.operators import clusters, constant_q, formants, probabilistic_pitch, spectral, temporal, voice
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.kernel_queries import formant_frequencies
@@ -75,12 +75,14 @@ _signals("speed_quotient", lambda: voice.speed_quotient(F.filter(X, lambda v: v
     "list_avg(list_filter(x, lambda v: v > 0))/(list_avg(list_transform(list_filter(x, lambda v: v <= 0), lambda v: -v))+1e-8)")
 _frames("phase_coherence", lambda: spectral.phase_coherence("frame"),
     "sqrt(pow(list_avg(list_transform(f, lambda v: cos(v))), 2)+pow(list_avg(list_transform(f, lambda v: sin(v))), 2))")
-_unit = lambda a: F.transform(a, lambda v: v / F.sqrt(F.aggregate("frame", F.lit(0.0), lambda s, u: s + u * u) + 1e-8))
-_E = "sqrt(list_sum(list_transform(f, lambda u: u*u))+1e-8)"
-_dot = lambda a, b: f"list_sum(list_transform(f[{10 * a + 1}:{10 * a + 10}], lambda v, i: v/{_E}*f[{10 * b}+i]/{_E}))"
-_g = f"greatest({_dot(0, 1)}, {_dot(0, 2)}, {_dot(1, 2)})"
-_frames("glottal_to_noise_excitation", lambda: voice.glottal_to_noise_excitation([_unit(F.slice("frame", 1 + 10 * b, 10)) for b in range(3)]),
-    f"CASE WHEN {_g}/(1-{_g}+1e-8) > 0 THEN 10*log10({_g}/(1-{_g}+1e-8)) END")
+# Six bands of six values of frames of 36 samples, scaled to energy 1.
+GNE = 36
+QUERIES["glottal_to_noise_excitation"] = lambda spark, d: frames(signals(spark, d), GNE, HOP).select("signal_id", "frame_idx", rounded(voice.glottal_to_noise_excitation(let(F.aggregate("frame", F.lit(0.0), lambda s, u: s + u * u), lambda e: F.transform("frame", lambda v: v / F.sqrt(e + 1e-8))), GNE), 4).alias("value"))
+SQL["glottal_to_noise_excitation"] = query([USER, FRAMES.replace(f"+{N}]", f"+{GNE}]").replace(f"- {N}", f"- {GNE}").replace(f"< {N}", f"< {GNE}"),
+    "gu AS (SELECT signal_id, frame_idx, list_transform(f, lambda v: v/sqrt(list_sum(list_transform(f, lambda u: u*u))+1e-8)) AS u FROM fr)",
+    f"gb AS (SELECT signal_id, frame_idx, b, u[b*{GNE // 6}+1 : (b+1)*{GNE // 6}] AS x FROM gu CROSS JOIN (SELECT unnest(range(0, 6)) AS b))",
+    "gg AS (SELECT signal_id, frame_idx, max(list_dot_product(p.x, q.x)) AS g FROM gb p JOIN gb q USING (signal_id, frame_idx) GROUP BY ALL)"],
+    f"SELECT signal_id, frame_idx, CASE WHEN g/(1-g+1e-8) > 0 THEN {rnd('10*log10(g/(1-g+1e-8))', 4)} END AS value FROM gg")
 _hz = lambda: F.col("bin_hz")
 _power = lambda low, high: f"list_sum(list_transform(m, lambda v, i: CASE WHEN (i-1)*hz >= {low} AND (i-1)*hz < {high} THEN v*v ELSE 0.0 END))"
 _whole("harmonic_to_noise_ratio", lambda: voice.harmonic_to_noise_ratio(spectral.band_power("mag", _hz(), 50.0, 200.0), spectral.band_power("mag", _hz(), 200.0, 500.0)),
@@ -104,11 +106,12 @@ def _labels(m: str) -> str:
   FROM (SELECT pt.*, m.c, m.a AS ma, m.b AS mb FROM pt JOIN {m} m USING (signal_id)) GROUP BY ALL"""
 
 
-def _kmeans_sql() -> str:
-    from tidewave.plans.basic_queries import SQL as basic
+_ENERGY = "list_sum(list_transform(f, lambda v: v*v))"
+_CROSSINGS = f"list_sum(list_transform(f[2:{N}], lambda v, i: abs(sign(v)-sign(f[i]))))/2/{N}"
+
 
-    part = lambda name: basic[name].split("round(CAST(", 1)[1].rsplit(" AS DOUBLE)", 1)[0]
-    ctes = [*_KM[:2], _KM[2].format(energy=part("short_time_energy"), crossings=part("zero_crossing_rate"))]
+def _kmeans_sql() -> str:
+    ctes = [*_KM[:2], _KM[2].format(energy=_ENERGY, crossings=_CROSSINGS)]
     last = "sd"
     for i in range(ITERATIONS):
         ctes += [f"l{i} AS ({_labels(last)})", f"m{i} AS (SELECT sd.signal_id, sd.c, coalesce(g.a, sd.a) AS a, coalesce(g.b, sd.b) AS b FROM sd LEFT JOIN (SELECT signal_id, c, avg(a) AS a, avg(b) AS b FROM l{i} GROUP BY ALL) g USING (signal_id, c))"]

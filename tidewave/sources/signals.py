@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewave.functions.arrays import let
 
 def from_rows(rows: DataFrame, key: str, value: str, order: list[str], sample_rate: int) -> DataFrame:
     """One signal per key, samples in the given (total) order."""
@@ -28,7 +29,7 @@ def embedding_signals(spark: SparkSession, sf_dir: str, sample_rate: int = 22050
 def centered(signals: DataFrame) -> DataFrame:
     """Each signal less its own mean."""
     mean = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size("samples"), F.lit(1))
-    return signals.withColumn("_mean", mean).withColumn("samples", F.transform("samples", lambda v: v - F.col("_mean"))).drop("_mean")
+    return signals.withColumn("samples", let(mean, lambda m: F.transform("samples", lambda v: v - m)))
 
 
 def to_mono(signals: DataFrame, channels: str = "channels", policy: str = "mean") -> DataFrame:
@@ -51,9 +52,13 @@ def frame_array(samples: Column, n: int, hop: int, pad: bool = True) -> Column:
     """Array of frames; a signal shorter than a frame is padded with zeros on the right (or has none without `pad`)."""
     checked(n, hop)
     x = F.when(F.size(samples) < n, F.concat(samples, F.array_repeat(F.lit(0.0), n - F.size(samples)))).otherwise(samples) if pad else samples
-    count = F.floor((F.greatest(F.size(samples), F.lit(n)) if pad else F.size(samples)) - n) / hop
-    starts = F.when(F.size(samples) >= (1 if pad else n), F.sequence(F.lit(0), F.floor(count).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(x, i * hop + 1, n))
+    least = 1 if pad else n
+
+    def cut(x: Column) -> Column:
+        starts = F.when(F.size(x) >= n, F.sequence(F.lit(0), F.floor((F.size(x) - n) / hop).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(x, i * hop + 1, n))
+
+    return F.when(F.size(samples) >= least, let(x, cut)).otherwise(F.array().cast("array<array<double>>"))
 
 
 def frames(signals: DataFrame, n: int, hop: int, pad: bool = True) -> DataFrame:
@@ -61,30 +66,51 @@ def frames(signals: DataFrame, n: int, hop: int, pad: bool = True) -> DataFrame:
     return signals.select("signal_id", "sample_rate", F.posexplode(frame_array(F.col("samples"), n, hop, pad)).alias("frame_idx", "frame")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
 
 
-def frames_of_rows(rows: DataFrame, key: str, value: str, order: list[str], bucket: Column, n: int, hop: int, sample_rate: int = 0) -> DataFrame:
-    """The frames of `frames`, straight from rows that are samples, for signals too long for one row or task.
+def points_of_rows(rows: DataFrame, key: str, value: str, order: list[str], bucket: Column) -> DataFrame:
+    """Samples with their places: signal_id, size (of the signal), i (place from 0), x. No task sees a whole signal.
 
     `bucket` cuts a key's rows into runs along the order (an hour of the time, say): numbers within a run come from a window
-    over the run, and the runs before it are prefix sums of their counts. Each sample goes to the frames it falls in, so a
-    task sees single runs and frames, never a whole signal. A signal shorter than a frame gives one, padded with zeros.
+    over the run, and the runs before it are prefix sums of their counts.
     """
-    checked(n, hop)
     keyed = rows.select(F.col(key).cast("long").alias("signal_id"), *order, F.col(value).cast("double").alias("_v"), bucket.alias("_b"))
     counts = keyed.groupBy("signal_id", "_b").agg(F.count("*").alias("_n"))
     signal = Window.partitionBy("signal_id")
-    runs = counts.select("signal_id", "_b", (F.sum("_n").over(signal.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(signal).alias("_size"))
+    runs = counts.select("signal_id", "_b", (F.sum("_n").over(signal.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(signal).alias("size"))
     within = F.row_number().over(Window.partitionBy("signal_id", "_b").orderBy(*order)) - 1
-    placed = keyed.withColumn("_i", within).join(runs, ["signal_id", "_b"]).withColumn("_i", F.col("_i") + F.col("_before"))
-    last = F.floor((F.greatest("_size", F.lit(n)) - n) / hop)
-    first = F.greatest(F.ceil((F.col("_i") - n + 1) / hop), F.lit(0))
-    until = F.least(F.floor(F.col("_i") / hop), last)
-    spread = placed.where(first <= until).select("signal_id", F.explode(F.sequence(first, until)).alias("frame_idx"), "_i", "_v")
+    return keyed.withColumn("_i", within).join(runs, ["signal_id", "_b"]).select("signal_id", "size", (F.col("_i") + F.col("_before")).alias("i"), F.col("_v").alias("x"))
+
+
+def points_of(signals: DataFrame) -> DataFrame:
+    """The same of signals that are arrays."""
+    return signals.select("signal_id", F.size("samples").cast("long").alias("size"), F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+def frames_of_points(points: DataFrame, n: int, hop: int, sample_rate: int = 0, pad: bool = True) -> DataFrame:
+    """The frames of `frames` from samples with their places: each sample goes to the frames it falls in."""
+    checked(n, hop)
+    last = F.floor((F.greatest("size", F.lit(n)) - n) / hop)
+    first = F.greatest(F.ceil((F.col("i") - n + 1) / hop), F.lit(0))
+    until = F.least(F.floor(F.col("i") / hop), last)
+    points = points if pad else points.where(F.col("size") >= n)
+    spread = points.where(first <= until).select("signal_id", F.explode(F.sequence(first, until)).alias("frame_idx"), F.col("i").alias("_i"), F.col("x").alias("_v"))
     grouped = spread.groupBy("signal_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
     values = F.transform("_s", lambda s: s["_v"])
     frame = F.concat(values, F.array_repeat(F.lit(0.0), n - F.size("_s")))
     return grouped.select("signal_id", F.lit(sample_rate).alias("sample_rate"), "frame_idx", frame.alias("frame"))
 
 
+def frames_of_rows(rows: DataFrame, key: str, value: str, order: list[str], bucket: Column, n: int, hop: int, sample_rate: int = 0) -> DataFrame:
+    """The frames of `frames`, straight from rows that are samples, for signals too long for one row or task: a task sees single runs
+    and frames. A signal shorter than a frame gives one, padded with zeros."""
+    return frames_of_points(points_of_rows(rows, key, value, order, bucket), n, hop, sample_rate)
+
+
+def blocks_of_points(points: DataFrame, length: int) -> DataFrame:
+    """Disjoint runs of `length` samples, the last one of a signal as long as it is: signal_id, block, samples."""
+    rows = points.groupBy("signal_id", F.floor(F.col("i") / length).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s"))
+    return rows.select("signal_id", "block", F.transform("_s", lambda s: s["x"]).alias("samples"))
+
+
 def samples_long(signals: DataFrame) -> DataFrame:
     """One row per sample: signal_id, sample_rate, n, x."""
     return signals.select("signal_id", "sample_rate", F.posexplode("samples").alias("n", "x")).withColumn("n", F.col("n").cast("long"))
