@@ -180,3 +180,46 @@ def test_pulses_of_a_train(spark):
     assert steady.jitter_local_percent < 0.05 and steady.shimmer_local_percent < 0.5
     (silent,) = periodicity.jitter_shimmer(points(spark, np.zeros(4000)), rate).collect()
     assert silent.num_periods == 0 and silent.jitter_local_percent is None
+
+
+def test_resampling_by_rows(spark):
+    """Equal to resampling whole arrays, whatever the cut."""
+    from tidewave.sources import files
+
+    x = np.random.default_rng(2).normal(size=501)
+    for source, target in ((8000, 3000), (3000, 8000), (44100, 16000)):
+        (whole,) = signals(spark, x).select(files.resample(F.col("samples"), source, target).alias("x")).collect()
+        for per in (1, 100, 4096):
+            rows = sorted(files.resample_points(points(spark, x), source, target, per=per).collect(), key=lambda r: r.i)
+            assert [r.i for r in rows] == list(range(len(whole.x))) and np.allclose([r.x for r in rows], whole.x)
+    assert files.resample_points(points(spark, x[:1]), 8000, 4000).count() == 1
+
+
+def clicks(rate, seconds, bpm, start=0.5):
+    x = np.zeros(int(rate * seconds))
+    rng = np.random.default_rng(0)
+    at = np.arange(start, seconds - 0.1, 60.0 / bpm)
+    for t in at:
+        k = int(t * rate)
+        x[k : k + 200] += np.exp(-np.arange(200) / 40) * np.sin(2 * np.pi * 1000 * np.arange(200) / rate)
+    return x + 1e-4 * rng.normal(size=len(x)), at
+
+
+@pytest.mark.parametrize("bpm", [120.0, 150.0])
+def test_beats_and_onsets_of_clicks(spark, bpm):
+    from tidewave.operators import rhythm
+
+    rate, hop = 8000, 128
+    x, at = clicks(rate, 10.0, bpm)
+    strength = rhythm.onset_strength(points(spark, x), rate, 512, hop, 40).cache()
+    rows = sorted(rhythm.beats(strength, rate, hop).collect(), key=lambda r: r.beat_idx)
+    assert abs(rows[0].bpm - bpm) < 6 and len(rows) == len(at)
+    assert np.abs(np.array([r.time for r in rows]) - at).max() < 0.06 and abs(60 / np.mean(np.diff([r.time for r in rows])) - bpm) < 1
+    cut = sorted(rhythm.beats(strength, rate, hop, per=70).collect(), key=lambda r: r.beat_idx)
+    assert [r.frame_idx for r in cut] == [r.frame_idx for r in rows]
+    peaks = sorted(r.time for r in rhythm.pick_onsets(strength, rate, hop, backtrack=False).collect())
+    assert len(peaks) == len(at) and np.abs(np.array(peaks) - at).max() < 0.05
+    back = sorted(r.time for r in rhythm.pick_onsets(strength, rate, hop).collect())
+    assert len(back) == len(at) and all(0 <= p - b < 0.2 for p, b in zip(peaks, back, strict=True)) and sum(b < p for p, b in zip(peaks, back, strict=True)) > len(at) / 2
+    silent = rhythm.onset_strength(points(spark, np.zeros(4000)), rate, 512, hop, 40)
+    assert silent.count() == 32 and rhythm.beats(silent, rate, hop).count() == 0 and rhythm.pick_onsets(silent, rate, hop).count() == 0

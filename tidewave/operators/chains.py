@@ -68,7 +68,7 @@ def tracked(seen: DataFrame, search, columns: list[str], outputs: list[str], per
     """signal_id, frame_idx and the outputs on the likeliest path through the candidates (`columns`, arrays) of the frames of every signal.
 
     Blocks of `per` frames are searched apart from scores that `settle` brings to agreement (`search.run`, `search.same`). Each then says which state
-    before it every state after it came from (`search.origins`); one pass over these maps, last block first, gives the states at the cuts, and
+    before it every state after it came from, or -1 for none (`search.origins`); one pass over these maps, last block first, gives the states at the cuts, and
     the blocks are decoded apart (`search.path`).
     """
     blocks = written(blocks_of_frames(seen, per, *columns), "frames")
@@ -93,7 +93,7 @@ def tracked(seen: DataFrame, search, columns: list[str], outputs: list[str], per
                 last = last if last is not None and key == signal else best
                 signal = key
                 out.append(last)
-                last = origin.values[last].as_py()
+                last = origin.values[last].as_py() if last >= 0 else -1
             yield pa.RecordBatch.from_arrays([batch.column("signal_id"), batch.column("block"), pa.array(out, pa.int32())], ["signal_id", "block", "last"])
 
     def decode(batches: Iterator) -> Iterator:

@@ -8,7 +8,7 @@ import inspect
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMPONENTS = ("functions.arrays", "functions.fourier", "functions.windows", "operators.temporal", "operators.spectral", "operators.spectrograms", "operators.filterbanks", "operators.pitch", "operators.voice", "operators.linear", "operators.stats", "operators.kernels", "operators.formants", "operators.constant_q", "operators.probabilistic_pitch", "operators.periodicity", "operators.blocks", "operators.chains", "operators.clusters", "plans.extract", "plans.report", "plans.scorecard", "sources.signals", "sources.files", "streaming.framing")
+COMPONENTS = ("functions.arrays", "functions.fourier", "functions.windows", "operators.temporal", "operators.spectral", "operators.spectrograms", "operators.filterbanks", "operators.pitch", "operators.voice", "operators.linear", "operators.stats", "operators.kernels", "operators.formants", "operators.constant_q", "operators.probabilistic_pitch", "operators.periodicity", "operators.blocks", "operators.rhythm", "operators.chains", "operators.clusters", "plans.extract", "plans.report", "plans.scorecard", "sources.signals", "sources.files", "streaming.framing")
 SCHEMA = "component string, name string, signature string, description string, error string"
 
 

@@ -70,7 +70,7 @@ def _loudness_sql(rate: int) -> str:
     (b1, a1), (b2, a2) = kernels._shelf_and_highpass(rate)
     y1, c1, _ = section("x.v", b1, a1, "r.z1", "r.z2")
     y2, c2, _ = section("y1", b2, a2, "z3", "z4")
-    f = lambda v: f"{v!r}::DOUBLE"
+    f = lambda v: f"({v!r})::DOUBLE"
     n, hop = round(0.4 * rate), round(0.1 * rate)
     return query([USER, "lx AS MATERIALIZED (SELECT signal_id, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM sig)", f"""lf AS (WITH RECURSIVE r(signal_id, i, y, z1, z2, z3, z4) AS (
   SELECT signal_id, -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM sig

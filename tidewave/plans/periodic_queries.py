@@ -1,4 +1,4 @@
-"""Queries of the normalised-correlation pitch measures and of pulses; what SQL can sum directly has a twin."""
+"""Queries of the normalised-correlation pitch measures, of pulses, onsets and beats, and of resampling; what SQL can sum directly has a twin."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
-from tidewave.operators import periodicity
-from tidewave.plans.kernel_queries import event_points
-from tidewave.plans.twins import FS, USER, query, rnd
+from tidewave.operators import periodicity, rhythm
+from tidewave.plans.derived_queries import MELS
+from tidewave.plans.kernel_queries import _SZ, event_points
+from tidewave.plans.twins import FS, HOP, N, USER, mel_sql, query, rnd
+from tidewave.sources.files import resample_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +82,28 @@ SQL["pulse_perturbations"] = query(["""mk AS (SELECT CAST(user_id AS BIGINT) AS
     "am AS (SELECT signal_id, avg(a) AS a, avg(abs(a-a1)) FILTER (ok) AS d, avg(abs(20*log10(a/a1))) FILTER (ok) AS b FROM ap GROUP BY ALL)"],
     "SELECT tm.signal_id, tm.n AS num_periods, " + ", ".join(f"{rnd(e)} AS {c}" for c, e in zip(_MEASURES, ["100*tm.d/tm.u", "tm.d", "100*r3.d/tm.u", "100*r5.d/tm.u", "300*r3.d/tm.u", "100*am.d/am.a", "am.b", "100*s3.d/am.a", "100*s5.d/am.a", "100*s11.d/am.a"], strict=True))
     + " FROM tm JOIN am USING (signal_id)" + "".join(f" LEFT JOIN {t} ON {t}.signal_id = tm.signal_id" for t in ("r3", "r5", "s3", "s5", "s11")))
+
+
+QUERIES["onset_times"] = lambda spark, d: rhythm.onset_times(event_points(spark, d), FS, N, HOP, MELS).select("signal_id", "frame_idx", rounded("time").alias("time"))
+_DB = "10*log10(greatest(v, 1e-10))"
+_BY = "PARTITION BY signal_id ORDER BY t"
+SQL["onset_times"] = query([USER, *_SZ, mel_sql(MELS), "ob AS (SELECT signal_id, t, band, sum(w*(c*c+s*s)) AS v FROM sz JOIN fb USING (k) GROUP BY ALL)",
+    f"od AS (SELECT signal_id, t, band, greatest({_DB}, max({_DB}) OVER (PARTITION BY signal_id) - 80) AS d FROM ob)",
+    "orr AS (SELECT signal_id, t, d - lag(d) OVER (PARTITION BY signal_id, band ORDER BY t) AS r FROM od)",
+    f"os AS (SELECT signal_id, t + {N // (2 * HOP)} AS t, median(greatest(r, 0)) AS s FROM orr WHERE r IS NOT NULL GROUP BY ALL)",
+    "oe AS (SELECT a.signal_id, a.t, coalesce(s, 0) AS s FROM (SELECT DISTINCT signal_id, t FROM ob) a LEFT JOIN os USING (signal_id, t))",
+    "onn AS (SELECT signal_id, t, (s-lo)/(hi-lo) AS s FROM (SELECT *, min(s) OVER (PARTITION BY signal_id) AS lo, max(s) OVER (PARTITION BY signal_id) AS hi FROM oe) WHERE hi > lo)",
+    f"""om AS (SELECT signal_id, t, s >= max(s) OVER ({_BY} ROWS BETWEEN {int(0.03 * FS // HOP)} PRECEDING AND CURRENT ROW)
+  AND round(s - avg(s) OVER ({_BY} ROWS BETWEEN {int(0.1 * FS // HOP)} PRECEDING AND {int(0.1 * FS // HOP)} FOLLOWING) - 0.07, 9) >= 0 AS peak,
+  CASE WHEN s <= lag(s) OVER ({_BY}) AND s < lead(s) OVER ({_BY}) THEN t END AS low FROM onn)""",
+    f"ok AS (SELECT signal_id, t, peak, last_value(low IGNORE NULLS) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM om)",
+    f"op AS (SELECT *, t - row_number() OVER ({_BY}) AS run FROM ok WHERE peak)",
+    "oq AS (SELECT *, row_number() OVER (PARTITION BY signal_id, run ORDER BY t) AS place FROM op)"],
+    f"SELECT signal_id, CAST(coalesce(back, t) AS BIGINT) AS frame_idx, {rnd(f'coalesce(back, t)*{HOP}/{FS}.0')} AS time FROM oq WHERE place % 2 = 1")
+assert int(0.03 * FS // HOP) == 1  # the twin keeps every other one of neighbouring peaks
+QUERIES["beat_times"] = lambda spark, d: rhythm.beat_track(event_points(spark, d), FS, N, HOP, 240.0, 1200.0, MELS).select("signal_id", "beat_idx", "frame_idx", rounded("bpm", 3).alias("bpm"))
+
+QUERIES["resample"] = lambda spark, d: resample_points(event_points(spark, d), FS, 400, per=20).select("signal_id", F.col("i").alias("n"), rounded("x").alias("value"))
+SQL["resample"] = query([USER, "rx AS (SELECT signal_id, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM sig)", "rm AS (SELECT signal_id, unnest(range(0, CAST(ceil(len(x)*2/5.0) AS BIGINT))) AS m FROM sig)",
+    "rt AS (SELECT rm.signal_id, m, v, (i/5.0-m/2.0)*1.98 AS t FROM rm JOIN rx ON rx.signal_id = rm.signal_id AND abs(i/5.0-m/2.0)*1.98 < 6)"],
+    f"SELECT signal_id, CAST(m AS BIGINT) AS n, {rnd('sum(v*CASE WHEN t = 0 THEN 1 ELSE sin(pi()*t)/(pi()*t) END*pow(cos(t*pi()/12), 2))*1.98/5')} AS value FROM rt GROUP BY ALL")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewave.sources.signals import halo_blocks, scattered
+
 #: Suffixes taken for audio, and the first bytes of files that stand in for missing audio.
 SUFFIXES = ("wav", "flac", "mp3", "ogg", "m4a")
 OTHERS = {b"fLaC": "FLAC", b"OggS": "Ogg", b"ID3": "MP3", b"\xff\xfb": "MP3", b"ftyp": "M4A"}
@@ -58,6 +61,43 @@ def load_audio(files: DataFrame) -> DataFrame:
     return files.select("path", decode("content").alias("d"), hint.alias("hint")).select("path", "d.sample_rate", "d.channels", F.concat("d.error", "hint").alias("error"))
 
 
+def _kernel(source: int, target: int, width: int, rolloff: float):
+    """Filters of windowed-sinc resampling (one per phase), their reach and the steps up and down."""
+    import numpy as np
+
+    g = math.gcd(source, target)
+    up, down = target // g, source // g
+    cutoff = min(source, target) / g * rolloff
+    reach = math.ceil(width * down / cutoff)
+    idx = np.arange(-reach, reach + down)[None, :] / down
+    t = np.clip((idx - np.arange(up)[:, None] / up) * cutoff, -width, width)
+    return np.sinc(t) * np.cos(t * np.pi / width / 2) ** 2 * cutoff / down, reach, up, down
+
+
+def resample_points(points: DataFrame, source: int, target: int, width: int = 6, rolloff: float = 0.99, per: int = 4096) -> DataFrame:
+    """`resample` of samples with their places (`sources.signals`), for signals of any length: every block of about `per` samples reads the kernel's
+    reach from its neighbours, so the result does not depend on the cut: signal_id, size, i, x."""
+    if source == target:
+        return points
+    _, reach, up, down = _kernel(source, target, width, rolloff)
+    length = max(1, per // down) * down
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        kernel = _kernel(source, target, width, rolloff)[0]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = scattered(batch.column("at")[row], batch.column("x")[row], length + 2 * reach + down)
+                y = (np.lib.stride_tricks.sliding_window_view(x, kernel.shape[1])[::down][: length // down] @ kernel.T).reshape(-1)
+                first, size = batch.column("block")[row].as_py() * (length // down) * up, math.ceil(batch.column("size")[row].as_py() * up / down)
+                y = y[: max(0, size - first)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), batch.column("signal_id")[row].as_py(), np.int64)), pa.array(np.full(len(y), size, np.int64)), pa.array(first + np.arange(len(y))), pa.array(y)], ["signal_id", "size", "i", "x"])
+
+    return halo_blocks(points, length, reach, reach + down).mapInArrow(run, "signal_id long, size long, i long, x double")
+
+
 def resample(samples: Column, source: int, target: int, width: int = 6, rolloff: float = 0.99) -> Column:
     """Windowed-sinc resampling of arrays from one rate to another; no change for equal rates."""
     if source == target:
@@ -67,13 +107,7 @@ def resample(samples: Column, source: int, target: int, width: int = 6, rolloff:
     def run(batch: pd.Series) -> pd.Series:
         import numpy as np
 
-        g = math.gcd(source, target)
-        up, down = target // g, source // g
-        cutoff = min(source, target) / g * rolloff
-        reach = math.ceil(width * down / cutoff)
-        idx = np.arange(-reach, reach + down)[None, :] / down
-        t = np.clip((idx - np.arange(up)[:, None] / up) * cutoff, -width, width)
-        kernel = np.sinc(t) * np.cos(t * np.pi / width / 2) ** 2 * cutoff / down
+        kernel, reach, up, down = _kernel(source, target, width, rolloff)
 
         def one(x):
             x = np.asarray(x, float)

@@ -111,6 +111,24 @@ def blocks_of_points(points: DataFrame, length: int) -> DataFrame:
     return rows.select("signal_id", "block", F.transform("_s", lambda s: s["x"]).alias("samples"))
 
 
+def halo_blocks(points: DataFrame, length: int, before: int, after: int) -> DataFrame:
+    """Runs of `length` samples with the samples `before` and `after` them: signal_id, size, block, at (places from block * length - before on), x."""
+    last = F.floor((F.col("size") - 1) / length)
+    first, until = F.greatest(F.floor((F.col("i") - after) / length), F.lit(0)), F.least(F.floor((F.col("i") + before) / length), last)
+    rows = points.select("signal_id", "size", "i", "x", F.explode(F.sequence(first, until)).alias("block"))
+    held = rows.groupBy("signal_id", "size", "block").agg(F.collect_list(F.struct((F.col("i") - F.col("block") * length + before).cast("int").alias("at"), "x")).alias("_s"))
+    return held.select("signal_id", "size", "block", F.transform("_s", lambda s: s["at"]).alias("at"), F.transform("_s", lambda s: s["x"]).alias("x"))
+
+
+def scattered(at, x, size: int):
+    """The values of a row of `halo_blocks` at their places in an array of zeros."""
+    import numpy as np
+
+    out = np.zeros(size)
+    out[np.asarray(at.values)] = np.asarray(x.values)
+    return out
+
+
 def samples_long(signals: DataFrame) -> DataFrame:
     """One row per sample: signal_id, sample_rate, n, x."""
     return signals.select("signal_id", "sample_rate", F.posexplode("samples").alias("n", "x")).withColumn("n", F.col("n").cast("long"))
