@@ -223,3 +223,17 @@ def test_beats_and_onsets_of_clicks(spark, bpm):
     assert len(back) == len(at) and all(0 <= p - b < 0.2 for p, b in zip(peaks, back, strict=True)) and sum(b < p for p, b in zip(peaks, back, strict=True)) > len(at) / 2
     silent = rhythm.onset_strength(points(spark, np.zeros(4000)), rate, 512, hop, 40)
     assert silent.count() == 32 and rhythm.beats(silent, rate, hop).count() == 0 and rhythm.pick_onsets(silent, rate, hop).count() == 0
+
+
+def test_thumbnail_spreads_one_signal(spark):
+    """Pairs of blocks of one signal are dealt out by cells, and the result does not depend on blocks or cells."""
+    from tidewave.operators import spectrograms
+
+    rng = np.random.default_rng(4)
+    chroma = rng.random((160, 12))
+    chroma[100:108] = chroma[20:28]
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(chroma)], "signal_id long, frame_idx long, chroma array<double>")
+    for block, cells in ((512, 8), (16, 1), (16, 3), (7, 2)):
+        assert [r.start_frame for r in spectrograms.thumbnail(df, 8, True, block, cells).collect()] == [20]
+    plan = spectrograms.thumbnail(df, 8, True, 16, 2)._jdf.queryExecution().toString()
+    assert "hashpartitioning(signal_id#" not in plan or "ci#" in plan

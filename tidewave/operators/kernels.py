@@ -108,7 +108,8 @@ def tristimulus(signals: DataFrame, sample_rate: int, n_fft: int, hop: int, harm
         return batch.map(one)
 
     low = max(1, int(sample_rate / f_max))
-    ac = centered(signals).select("signal_id", F.size("samples").alias("n"), whole("samples").alias("ac"))
+    # Not deterministic only by name: filters on what is read off the transform must not be pushed below it.
+    ac = centered(signals).select("signal_id", F.size("samples").alias("n"), whole.asNondeterministic()("samples").alias("ac"))
     high = F.least(F.col("n") - 1, F.lit(int(sample_rate / f_min)))
     part = F.transform(F.slice("ac", F.lit(low + 1), F.greatest(high - low + 1, F.lit(1))), lambda v: F.round(v, 9))
     pitch = ac.where((F.col("n") >= 4) & (high > low)).select("signal_id", (F.lit(float(sample_rate)) / (argmax(part) + low)).alias("f0")).where("f0 >= 20")

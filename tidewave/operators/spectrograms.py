@@ -190,7 +190,7 @@ def spectral_contrast(signals: DataFrame, sample_rate: int, n_fft: int, hop: int
     return rows.select("signal_id", "frame_idx", "e.band", (F.greatest("e.high", "top_high") - F.greatest("e.low", "top_low")).alias("value"))
 
 
-def thumbnail(chroma_: DataFrame, length: int, exclude_diagonal: bool = False, block: int = 512) -> DataFrame:
+def thumbnail(chroma_: DataFrame, length: int, exclude_diagonal: bool = False, block: int = 512, cells: int = 8) -> DataFrame:
     """Start frame of the stretch of `length` frames most similar to some stretch: signal_id, start_frame.
 
     The frames of a signal are cut into blocks that reach `length` - 1 frames into the next one. A task has a pair of blocks,
@@ -202,7 +202,12 @@ def thumbnail(chroma_: DataFrame, length: int, exclude_diagonal: bool = False, b
     rows = chroma_.select("signal_id", "frame_idx", "chroma", F.explode(F.sequence(first, at)).alias("b"))
     frames_ = F.array_sort(F.collect_list(F.struct("frame_idx", "chroma")))
     blocks = rows.groupBy("signal_id", "b").agg(F.transform(frames_, lambda r: r["chroma"]).alias("v"))
-    pairs = blocks.select("signal_id", F.col("b").alias("bi"), F.col("v").alias("vi")).join(blocks.select("signal_id", F.col("b").alias("bj"), F.col("v").alias("vj")), "signal_id").where("bi <= bj")  # (i, j) and (j, i) are alike, and the lesser i wins
+    # Pairs meet in the cells of a triangle over runs of blocks, so that one long signal is spread over all tasks.
+    cell = F.floor(F.col("b") / cells)
+    sized = blocks.join(blocks.groupBy("signal_id").agg(F.floor(F.max("b") / cells).alias("last")), "signal_id")
+    left = sized.select("signal_id", F.col("b").alias("bi"), F.col("v").alias("vi"), cell.alias("ci"), F.explode(F.sequence(cell, "last")).alias("cj"))
+    right = sized.select("signal_id", F.col("b").alias("bj"), F.col("v").alias("vj"), cell.alias("cj"), F.explode(F.sequence(F.lit(0).cast("long"), cell)).alias("ci"))
+    pairs = left.join(right, ["signal_id", "ci", "cj"]).where("bi <= bj").select("signal_id", "bi", "vi", "bj", "vj")  # (i, j) and (j, i) are alike, and the lesser i wins
 
     def best(batches):
         import numpy as np
