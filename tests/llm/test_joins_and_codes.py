@@ -79,6 +79,7 @@ def test_matrix_alone(spark, stars, monkeypatch):
     from tidewave.llm import tokengroups
 
     monkeypatch.setattr(tokengroups, "MEMBERS", 4)
+    monkeypatch.setattr(tokengroups, "SMALL", 0 if stars else 500_000)  # texts are found through a map of bits, or by a plain join
     monkeypatch.setattr(tokengroups.similar_sets, "__defaults__", (None, stars))
     texts = varied(3)
     label, _ = brute_label(texts, 3, 90, 100)

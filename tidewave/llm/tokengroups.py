@@ -32,6 +32,8 @@ from tidewave.llm.graph import components
 WORDS = 32
 #: Bits of the largest map that is sent to tasks (8 MB); a full map only lets more rows through.
 MOST_BITS = 1 << 26
+#: Keys that are looked for without a map.
+SMALL = 500_000
 #: Sets of a group of the matrix, about, where their min-hashes do not tell them apart.
 MEMBERS = 64
 #: Size classes between a size and the least similar one.
@@ -68,6 +70,25 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("doc_id", "text"))
 
 
+def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (see `_rows`) whose k is in `keys`, a written table of distinct k. A small one is joined as it is; before a large one, a map of bits
+    leaves most texts out, so that they are not shuffled."""
+    rows = _rows(docs)
+    if keys.count() > SMALL:
+        shared = docs.sparkSession.sparkContext.broadcast(bit_map(keys))
+
+        @lean
+        def taken(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array(in_map(shared.value, np.asarray(batch.column("k")))))
+
+        rows = rows.mapInArrow(taken, "doc_id long, text string, k long")
+    return rows.join(keys, "k", "left_semi").select("doc_id", "text", "k")
+
+
 def bit_map(numbers: DataFrame, each: int = 256) -> tuple:
     """(bits, packed map): bit x mod bits is set for every x of a column of numbers. The map has some `each` bits for each of them, and
     at most MOST_BITS."""
@@ -115,11 +136,10 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
     return t[order], n[order]
 
 
-def prefix_rows(docs: DataFrame, common: tuple, rule: Rule, late: tuple = (), only: tuple | None = None) -> DataFrame:
-    """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set), n, sig (signature), m (three min-hashes) and prefix: 32 bits of each of the first
-    shingles in the common order, as many as a query needs. Null texts count as empty. `late`: maps of shingles that come last; `only`: a map of the k of rows to take
-    (and few others)."""
-    shared = docs.sparkSession.sparkContext.broadcast((*common, late, only))
+def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), simhash: bool = False) -> DataFrame:
+    """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set if `simhash`), n, sig (signature), m (three min-hashes) and prefix: 32 bits of each of the first
+    shingles in the common order, as many as a query needs. Null texts count as empty. `late`: maps of shingles that come last."""
+    shared = rows.sparkSession.sparkContext.broadcast((*common, late))
     over, under = rule.over, rule.under
 
     @lean
@@ -130,7 +150,7 @@ def prefix_rows(docs: DataFrame, common: tuple, rule: Rule, late: tuple = (), on
 
         from tidewave.llm.simhash import fingerprint_of
 
-        names, counts, late, only = shared.value
+        names, counts, late = shared.value
         odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
         def first(x):
@@ -154,21 +174,19 @@ def prefix_rows(docs: DataFrame, common: tuple, rule: Rule, late: tuple = (), on
 
         lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         for batch in batches:
-            if only is not None:
-                batch = batch.filter(pa.array(in_map(only, np.asarray(batch.column("k")))))
             for a, b in text_slices(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
                 sets = [shingle_set(t, rule.shingle) for t in part.column("text").to_pylist()]
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
-                fp = np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")
+                fp = pa.array(np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")) if simhash else pa.nulls(len(sets), pa.int64())
                 prefix = [first(x) for x in sets]
                 m = np.array([least(x) for x in sets], np.uint32).view(np.int32).ravel()
                 sigs = lists(np.arange(len(sets) + 1) * WORDS, np.concatenate([signature(x) for x in sets]))
-                columns = [part.column("doc_id"), part.column("k"), pa.array(s), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), sigs]
+                columns = [part.column("doc_id"), part.column("k"), pa.array(s), fp, pa.array([len(x) for x in sets], pa.int32()), sigs]
                 columns += [lists(np.arange(len(sets) + 1) * 3, m), lists(np.cumsum([0, *map(len, prefix)]), np.concatenate(prefix))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "fp", "n", "sig", "m", "prefix"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, m array<int>, prefix array<int>")
+    return rows.mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, m array<int>, prefix array<int>")
 
 
 def touched(distinct: DataFrame, late: tuple) -> DataFrame:
@@ -193,18 +211,23 @@ def thinned(docs: DataFrame, distinct: DataFrame, common: tuple, rule: Rule, cro
     """`distinct` with prefixes in which shingles of over `crowd` prefixes come last. Each round looks at the prefixes of the one
     before and makes those anew that hold such shingles; the others stay as they are in the new order, too."""
     late: tuple = ()
+    fresh = distinct  # whose prefixes the round counts: all of them at first, then those made anew
     for _ in range(rounds):
-        tokens = distinct.select(F.explode("prefix").alias("t"))
+        tokens = fresh.select(F.explode("prefix").alias("t"))
         crowded = written(tokens.groupBy("t").agg(F.count("*").alias("sets")).where(F.col("sets") > crowd).select("t"), "crowded")
         if crowded.isEmpty():
             discard(crowded)
             break
         late = (*late, bit_map(crowded, 4096))
         hit = written(touched(distinct, late[-1]), "affected")
-        again = prefix_rows(docs, common, rule, late, bit_map(hit.select("k"))).groupBy("s").agg(F.first("prefix").alias("new"))
-        after = written(distinct.join(again, "s", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "distinct")
-        discard(crowded, hit, distinct)
-        distinct = after
+        again = prefix_rows(rows_with(docs, hit.select("k")), common, rule, late).groupBy("s").agg(F.first("prefix").alias("prefix"))
+        some = distinct.drop("prefix").join(hit.select("s"), "s", "left_semi").join(again, "s").select(*distinct.columns)
+        made = written(some, "distinct")
+        after = written(distinct.join(hit.select("s"), "s", "left_anti").union(made), "distinct")
+        discard(crowded, hit, distinct, *([fresh] if fresh is not distinct else []))
+        distinct, fresh = after, made
+    if fresh is not distinct:
+        discard(fresh)
     return distinct
 
 
@@ -225,19 +248,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, rule: Rule) -
     pairs = written(possible(pairs, known, rule), "pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    ends = pairs.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ends))
-
-    @lean
-    def taken(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            yield batch.filter(pa.array(in_map(shared.value, np.asarray(batch.column("k")))))
-
-    some = _rows(docs).select("k", "text").mapInArrow(taken, "k long, text string")
-    texts = written(some.join(ends, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")), "texts")
+    ends = written(pairs.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct(), "ends")
+    texts = written(rows_with(docs, ends).groupBy("k").agg(F.first("text").alias("text")), "texts")
     side = lambda x: texts.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}"))
 
     @lean
@@ -258,7 +270,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, rule: Rule) -
 
     found = pairs.join(side("a"), "k_a").join(side("b"), "k_b").select("a", "b", "k_b", "text_a", "text_b")
     found = written(found.mapInArrow(check, "a long, b long"), "confirmed")
-    discard(pairs, texts)
+    discard(pairs, ends, texts)
     return found
 
 
@@ -346,7 +358,7 @@ def similar_sets(docs: DataFrame, distinct: DataFrame, rule: Rule, first: DataFr
 def set_rows(docs: DataFrame, rule: Rule, first=None, crowd: int = 50, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Written tables: doc_id, k, s, n of every row; s, label of every set, where sets have one label if links connect them."""
     common = common_shingles(docs, rule.shingle)
-    rows = written(prefix_rows(docs, common, rule), "prefixes")
+    rows = written(prefix_rows(_rows(docs), common, rule, simhash=first is not None), "prefixes")
     firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "m", "prefix")]
     distinct = written(rows.groupBy("s").agg(F.min("k").alias("k"), *firsts), "distinct")
     distinct = thinned(docs, distinct, common, rule, crowd, rounds)
