@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
+from tidewave.functions.fourier import magnitude
 from tidewave.operators import spectral, temporal, voice
 from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, mp, over_frames, over_magnitudes, over_signals, over_whole, query, rnd, sm
-from tidewave.sources.signals import centered, frames, user_signals
+from tidewave.sources.signals import centered, frames, frames_of_points, points_of_rows, user_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,8 +22,25 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centered(user_signals(spark, sf_dir, FS))
 
 
+def event_points(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user less their mean, as samples with places, straight from rows: no task holds a user's events."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value")
+    means = rows.groupBy("user_id").agg(F.avg("value").alias("_mean"))
+    rows = rows.join(means, "user_id").withColumn("value", F.col("value") - F.col("_mean"))
+    return points_of_rows(rows, "user_id", "value", ["ts", "event_id"], F.date_trunc("day", "ts"))
+
+
+def event_frames(spark: SparkSession, d: str) -> DataFrame:
+    return frames_of_points(event_points(spark, d), N, HOP, FS)
+
+
+#: Framewise queries of signals that are arrays; each has a twin by name that takes its frames from rows, as all others do.
+OF_ARRAYS = ("rms", "zero_crossing_rate", "spectral_centroid")
+
+
 def frame_query(name: str, f: Callable[[str], Column], sql: str) -> None:
-    QUERIES[name] = lambda spark, d: frames(signals(spark, d), N, HOP).select("signal_id", "frame_idx", rounded(f("frame")).alias("value"))
+    of = (lambda spark, d: frames(signals(spark, d), N, HOP)) if name in OF_ARRAYS else event_frames
+    QUERIES[name] = lambda spark, d: of(spark, d).select("signal_id", "frame_idx", rounded(f("frame")).alias("value"))
     SQL[name] = over_frames(sql)
 
 
@@ -31,8 +49,13 @@ def signal_query(name: str, f: Callable[[str], Column], sql: str, raw: bool = Fa
     SQL[name] = over_signals(sql, "raw" if raw else "sig")
 
 
+def event_spectra(spark: SparkSession, d: str) -> DataFrame:
+    return event_frames(spark, d).select("signal_id", "sample_rate", "frame_idx", magnitude(F.col("frame"), N).alias("mag"))
+
+
 def magnitude_query(name: str, f: Callable[[str], Column], sql: str) -> None:
-    QUERIES[name] = lambda spark, d: spectral.frame_spectrum(signals(spark, d), N, HOP).select("signal_id", "frame_idx", rounded(f("mag")).alias("value"))
+    of = (lambda spark, d: spectral.frame_spectrum(signals(spark, d), N, HOP)) if name in OF_ARRAYS else event_spectra
+    QUERIES[name] = lambda spark, d: of(spark, d).select("signal_id", "frame_idx", rounded(f("mag")).alias("value"))
     SQL[name] = over_magnitudes(sql)
 
 
@@ -74,8 +97,8 @@ signal_query("decay_time", lambda x: temporal.decay_time(x, FS), f"coalesce((SEL
 magnitude_query("spectral_centroid", lambda m: spectral.centroid(m, BIN), f"CASE WHEN {sm('m')} = 0 THEN 0 ELSE {sm(mp('m', f'(i-1)*{BIN}*v'))}/{sm('m')} END")
 magnitude_query("spectral_flatness", spectral.flatness, f"exp(list_avg({mp('m', 'ln(v+1e-8)')}))/list_avg(m)")
 magnitude_query("harmonic_richness", spectral.harmonic_richness, f"10*log10({sm(mp('m[2:]', 'v*v'))}/(m[1]*m[1]+1e-8))")
-QUERIES["spectral_rolloff"] = lambda spark, d: spectral.rolloff(spectral.frame_spectrum(signals(spark, d), N, HOP), BIN).select("signal_id", "frame_idx", rounded("rolloff").alias("value"))
-QUERIES["spectral_flux"] = lambda spark, d: spectral.flux(spectral.frame_spectrum(signals(spark, d), N, HOP)).select("signal_id", "frame_idx", rounded("flux").alias("value"))
+QUERIES["spectral_rolloff"] = lambda spark, d: spectral.rolloff(event_spectra(spark, d), BIN).select("signal_id", "frame_idx", rounded("rolloff").alias("value"))
+QUERIES["spectral_flux"] = lambda spark, d: spectral.flux(event_spectra(spark, d)).select("signal_id", "frame_idx", rounded("flux").alias("value"))
 from tidewave.plans.twins import BINS  # noqa: E402
 
 SQL["spectral_rolloff"] = query([USER, FRAMES, BINS, "r AS (SELECT signal_id, frame_idx, k, sum(m*m) OVER (PARTITION BY signal_id, frame_idx ORDER BY k) AS run, sum(m*m) OVER (PARTITION BY signal_id, frame_idx) AS t FROM bins)"],

@@ -9,24 +9,15 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
 from tidewave.operators import kernels
-from tidewave.plans.basic_queries import signals
+from tidewave.plans.basic_queries import event_points, signals
 from tidewave.plans.derived_queries import stft_ctes
 from tidewave.plans.twins import FS, HOP, N, USER, query, rnd
-from tidewave.sources.signals import points_of_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 LOW_RATE = 100  # makes a loudness block 40 samples, which every signal has
 
 
-def event_points(spark: SparkSession, d: str) -> DataFrame:
-    """Events of each user less their mean, as samples with places, straight from rows."""
-    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value")
-    means = rows.groupBy("user_id").agg(F.avg("value").alias("_mean"))
-    rows = rows.join(means, "user_id").withColumn("value", F.col("value") - F.col("_mean"))
-    return points_of_rows(rows, "user_id", "value", ["ts", "event_id"], F.date_trunc("day", "ts"))
-
-
 def _energies(made: DataFrame, **names: str) -> DataFrame:
     return made.groupBy("signal_id").agg(*[rounded(F.sum(F.col(c) * F.col(c)), 3).alias(name) for name, c in names.items()])
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import rounded
 from tidewave.operators import periodicity, rhythm
+from tidewave.plans.basic_queries import event_points
 from tidewave.plans.derived_queries import MELS
-from tidewave.plans.kernel_queries import _SZ, event_points
+from tidewave.plans.kernel_queries import _SZ
 from tidewave.plans.twins import FS, HOP, N, USER, mel_sql, query, rnd
 from tidewave.sources.files import resample_points
 

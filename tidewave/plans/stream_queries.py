@@ -15,7 +15,7 @@ from tidewave.plans import basic_queries, report
 from tidewave.plans import derived_queries as dq
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.twins import FS, HOP, N, query, rnd
-from tidewave.sources.signals import frames, frames_of_rows
+from tidewave.sources.signals import frames
 from tidewave.storage import fresh_dir
 from tidewave.streaming import framing
 
@@ -81,16 +81,8 @@ e AS (SELECT signal_id, abs(ya.a-fb.a)/greatest(abs(fb.a), 1e-8) AS a, abs(ya.b-
 u AS (SELECT signal_id, 'pitch_mean' AS metric, a AS v FROM e UNION ALL SELECT signal_id, 'pitch_median', b FROM e)"""], f"SELECT signal_id, metric, {rnd('v')} AS error, 0.15::DOUBLE AS tolerance, v <= 0.15 AS passed FROM u")
 
 
-def event_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of the events of each user less their mean, built from rows: no task holds a user's events."""
-    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value")
-    means = rows.groupBy("user_id").agg(F.avg("value").alias("_mean"))
-    rows = rows.join(means, "user_id").withColumn("value", F.col("value") - F.col("_mean"))
-    return frames_of_rows(rows, "user_id", "value", ["ts", "event_id"], F.date_trunc("day", "ts"), N, HOP, FS)
-
-
 def by_rows(name: str, f) -> None:
-    QUERIES[f"{name}_by_rows"] = lambda spark, d: f(event_frames(spark, d)).select("signal_id", "frame_idx", rounded("v").alias("value"))
+    QUERIES[f"{name}_by_rows"] = lambda spark, d: f(basic_queries.event_frames(spark, d)).select("signal_id", "frame_idx", rounded("v").alias("value"))
     SQL[f"{name}_by_rows"] = basic_queries.SQL[name]
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.arrays import argmax, let, rounded
 from tidewave.operators import clusters, constant_q, formants, probabilistic_pitch, spectral, temporal, voice
-from tidewave.plans.basic_queries import signals
+from tidewave.plans.basic_queries import event_frames, event_points, signals
 from tidewave.plans.kernel_queries import formant_frequencies
 from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, WHOLE, query, rnd
-from tidewave.sources.signals import frames
+from tidewave.sources.signals import frames_of_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,7 +25,7 @@ def _signals(name: str, f: Callable[[], Column], sql: str) -> None:
 
 
 def _frames(name: str, f: Callable[[], Column], sql: str) -> None:
-    QUERIES[name] = lambda spark, d: frames(signals(spark, d), N, HOP).select("signal_id", "frame_idx", rounded(f()).alias("value"))
+    QUERIES[name] = lambda spark, d: event_frames(spark, d).select("signal_id", "frame_idx", rounded(f()).alias("value"))
     SQL[name] = query([USER, FRAMES], f"SELECT signal_id, frame_idx, {rnd(sql)} AS value FROM fr")
 
 
@@ -49,14 +49,14 @@ cg AS (SELECT ct.signal_id, t, k, f, i, s*w AS w, t*{HOP}-n//2+i AS p FROM ct CR
 cr AS (SELECT cg.signal_id, t, k, sum(coalesce(v, 0)*w*cos(2*pi()*f/{FS}*i)) AS re, sum(coalesce(v, 0)*w*sin(2*pi()*f/{FS}*i)) AS im FROM cg LEFT JOIN cx ON cx.signal_id = cg.signal_id AND cx.p = cg.p GROUP BY ALL)"""],
     f"SELECT signal_id, CAST(t AS BIGINT) AS frame_idx, CAST(k AS BIGINT) AS bin, {rnd('sqrt(re*re+im*im)')} AS value FROM cr")
 
-QUERIES["f0_pyin"] = lambda spark, d: probabilistic_pitch.pyin(signals(spark, d), FS, 64, HOP, 50.0, 333.0).select("signal_id", "frame_idx", rounded("f0", 3).alias("f0"))
+QUERIES["f0_pyin"] = lambda spark, d: probabilistic_pitch.pyin(event_points(spark, d), FS, 64, HOP, 50.0, 333.0).select("signal_id", "frame_idx", rounded("f0", 3).alias("f0"))
 
 # clusters of (root mean square, zero crossing rate in tens) of frames
 K, ITERATIONS = 3, 4
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return frames(signals(spark, d), N, HOP).select("signal_id", "frame_idx", F.array(F.round(temporal.short_time_energy("frame") / 10000, 6), F.round(10 * temporal.zero_crossing_rate("frame"), 6)).alias("v"))
+    return event_frames(spark, d).select("signal_id", "frame_idx", F.array(F.round(temporal.short_time_energy("frame") / 10000, 6), F.round(10 * temporal.zero_crossing_rate("frame"), 6)).alias("v"))
 
 
 QUERIES["kmeans"] = lambda spark, d: clusters.kmeans(_points(spark, d), K, ITERATIONS)
@@ -77,7 +77,7 @@ _frames("phase_coherence", lambda: spectral.phase_coherence("frame"),
     "sqrt(pow(list_avg(list_transform(f, lambda v: cos(v))), 2)+pow(list_avg(list_transform(f, lambda v: sin(v))), 2))")
 # Six bands of six values of frames of 36 samples, scaled to energy 1.
 GNE = 36
-QUERIES["glottal_to_noise_excitation"] = lambda spark, d: frames(signals(spark, d), GNE, HOP).select("signal_id", "frame_idx", rounded(voice.glottal_to_noise_excitation(let(F.aggregate("frame", F.lit(0.0), lambda s, u: s + u * u), lambda e: F.transform("frame", lambda v: v / F.sqrt(e + 1e-8))), GNE), 4).alias("value"))
+QUERIES["glottal_to_noise_excitation"] = lambda spark, d: frames_of_points(event_points(spark, d), GNE, HOP).select("signal_id", "frame_idx", rounded(voice.glottal_to_noise_excitation(let(F.aggregate("frame", F.lit(0.0), lambda s, u: s + u * u), lambda e: F.transform("frame", lambda v: v / F.sqrt(e + 1e-8))), GNE), 4).alias("value"))
 SQL["glottal_to_noise_excitation"] = query([USER, FRAMES.replace(f"+{N}]", f"+{GNE}]").replace(f"- {N}", f"- {GNE}").replace(f"< {N}", f"< {GNE}"),
     "gu AS (SELECT signal_id, frame_idx, list_transform(f, lambda v: v/sqrt(list_sum(list_transform(f, lambda u: u*u))+1e-8)) AS u FROM fr)",
     f"gb AS (SELECT signal_id, frame_idx, b, u[b*{GNE // 6}+1 : (b+1)*{GNE // 6}] AS x FROM gu CROSS JOIN (SELECT unnest(range(0, 6)) AS b))",
