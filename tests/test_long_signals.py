@@ -237,3 +237,26 @@ def test_thumbnail_spreads_one_signal(spark):
         assert [r.start_frame for r in spectrograms.thumbnail(df, 8, True, block, cells).collect()] == [20]
     plan = spectrograms.thumbnail(df, 8, True, 16, 2)._jdf.queryExecution().toString()
     assert "hashpartitioning(signal_id#" not in plan or "ci#" in plan
+
+
+def test_optional_checks(spark):
+    from tidewave.plans import scorecard
+
+    total = scorecard.summary(scorecard.checks(spark, optional=True)).first()
+    assert total.score == 100 and total.available_points == 100 and total.total_checks == 10
+
+
+def test_reference_files_and_outputs(spark, tmp_path):
+    """A reference may stand within a block of its own; the catalogue and the checks can be written to files."""
+    import json
+
+    from tidewave import cli
+    from tidewave.plans import report
+
+    inner = {"pitch": {"mean_hz": 120.5, "note": "x"}, "formants": {"f1": 663.5}}
+    for name, data in (("flat", inner), ("nested", {"praat": inner, "other": 1})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+        assert {r.metric: r.value for r in report.load_reference(spark, str(tmp_path / f"{name}.json")).collect()} == {"pitch_mean": 120.5, "formant_f1": 663.5}
+    assert cli.main(["list-features", "--format", "json", "--output", str(tmp_path / "out" / "c.json")]) == 0
+    rows = json.loads((tmp_path / "out" / "c.json").read_text())
+    assert {"beat_track", "jitter_shimmer", "harmonicity", "resample_points"} <= {r["name"] for r in rows} and not any(r["error"] for r in rows)
