@@ -11,7 +11,7 @@ from tidewave.functions.arrays import rounded
 from tidewave.operators import pitch, spectral, spectrograms, stats, temporal, voice
 from tidewave.plans.basic_queries import signals
 from tidewave.plans.extract import extract_core
-from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, chroma_sql, dct_sql, gammatone_sql, mel_sql, query, rnd, tonnetz_sql
+from tidewave.plans.twins import BINS, FRAMES, FS, HOP, N, USER, chroma_sql, dct_sql, gammatone_sql, mel_sql, query, rnd, tonnetz_sql
 from tidewave.sources.signals import user_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,39 @@ def _rounded_row(df: DataFrame) -> DataFrame:
 
 
 QUERIES["extract_core_user"] = lambda spark, d: _rounded_row(core_user(spark, d))
+
+
+def _core_sql() -> str:
+    """The feature row by plain sums: every series of the twins above, unrounded, then its moments."""
+    from tidewave.operators.stats import STATS
+
+    hs, bin_hz = f"(0.5*(1-cos(2*pi()*(i-1)/{N - 1})))", FS / N
+    inner = lambda ctes, select: "WITH " + ",\n".join(x for x in ctes if x != USER) + " " + select
+    squares, norm, total = f"list_sum(list_transform(f, lambda v, i: pow(v*{hs}, 2)))", f"list_sum(list_transform(range(0, {N}), lambda v, i: pow({hs}, 2)))", "list_sum(m)"
+    series = {
+        "rms": f"SELECT signal_id, sqrt({squares}/{norm}) AS v FROM fr",
+        "zcr": f"SELECT signal_id, list_sum(list_transform(f[2:{N}], lambda v, i: abs(sign(v)-sign(f[i]))))/2/{N} AS v FROM fr",
+        "spectral_centroid": f"SELECT signal_id, CASE WHEN {total} = 0 THEN 0 ELSE list_sum(list_transform(m, lambda v, i: (i-1)*{bin_hz}*v))/{total} END AS v FROM mg",
+        "spectral_rolloff": f"SELECT signal_id, coalesce(min(k) FILTER (round(run+1e-8-0.85*t, 9) >= 0), max(k))*{bin_hz} AS v FROM rr GROUP BY signal_id, frame_idx",
+        "spectral_bandwidth": f"SELECT signal_id, v FROM ({inner([*stft_ctes('reflect'), f'c AS (SELECT *, sum(k*{bin_hz}*m) OVER w / (sum(m) OVER w + 1e-8) AS c FROM sb WINDOW w AS (PARTITION BY signal_id, frame_idx))'], f'SELECT signal_id, sqrt(sum(pow(k*{bin_hz}-c, 2)*m)/(sum(m)+1e-8)) AS v FROM c GROUP BY signal_id, frame_idx')})",
+        "spectral_flux": "SELECT signal_id, sqrt(sum(d*d)) AS v FROM rd WHERE d IS NOT NULL GROUP BY signal_id, frame_idx",
+        "spectral_flatness": f"SELECT signal_id, exp(list_avg(list_transform(m, lambda v: ln(v+1e-8))))/list_avg(m) AS v FROM mg JOIN sig USING (signal_id) WHERE len(x) >= {N}",
+        "pitch_strength": f"SELECT signal_id, CASE WHEN max(r) FILTER (lag = 0) = 0 THEN 0 ELSE max(r) FILTER (lag >= {LO} AND lag < {HI})/max(r) FILTER (lag = 0) END AS v FROM ac GROUP BY signal_id, frame_idx",
+    }
+    cepstra = inner([*_MFCC], "SELECT signal_id, frame_idx, coeff, sum(w*db) AS v FROM d JOIN dc USING (band) GROUP BY ALL")
+    ctes = [
+        *YIN, BINS, "rr AS (SELECT signal_id, frame_idx, k, sum(m*m) OVER (PARTITION BY signal_id, frame_idx ORDER BY k) AS run, sum(m*m) OVER (PARTITION BY signal_id, frame_idx) AS t FROM bins)",
+        "rd AS (SELECT signal_id, frame_idx, m - lag(m) OVER (PARTITION BY signal_id, k ORDER BY frame_idx) AS d FROM bins)",
+        "sa AS (" + " UNION ALL ".join(f"SELECT signal_id, '{name}' AS name, v FROM ({q})" for name, q in series.items()) + ")",
+        "su AS (SELECT signal_id, name, avg(v) AS mu, stddev_pop(v) AS sd, min(v) AS lo, max(v) AS hi FROM sa GROUP BY ALL)",
+        "sc AS (SELECT signal_id, name, any_value(mu) AS mu, any_value(sd) AS sd, any_value(lo) AS lo, any_value(hi) AS hi, avg(pow(v-mu, 3)) AS m3, avg(pow(v-mu, 4)) AS m4 FROM sa JOIN su USING (signal_id, name) GROUP BY signal_id, name)",
+        "st AS (SELECT signal_id, name, mu AS mean, sd AS std, lo AS min, hi AS max, m3/(pow(sd, 3)+1e-8) AS skewness, m4/(pow(sd, 4)+1e-8)-3 AS kurtosis FROM sc)",
+        "sp AS (SELECT signal_id, " + ", ".join(f"max({s}) FILTER (name = '{name}') AS {name}_{s}" for name in series for s in STATS) + " FROM st GROUP BY ALL)",
+        "sy AS (SELECT signal_id, avg(CAST(f0 > 0 AS INTEGER)) AS f0_voiced_ratio, avg(f0) FILTER (f0 > 0) AS f0_mean_hz, quantile_disc(f0, 0.5) FILTER (f0 > 0) AS f0_median_hz FROM yf GROUP BY ALL)",
+        f"sq AS (SELECT signal_id, {', '.join(f'avg(v) FILTER (coeff = {i}) AS mfcc_mean_{i}, stddev_pop(v) FILTER (coeff = {i}) AS mfcc_std_{i}' for i in range(COEFFS))} FROM ({cepstra}) GROUP BY ALL)",
+    ]
+    values = [f"{name}_{s}" for name in series for s in STATS] + ["f0_voiced_ratio", "f0_mean_hz", "f0_median_hz"] + [f"mfcc_{k}_{i}" for k in ("mean", "std") for i in range(COEFFS)]
+    return query(ctes, f"SELECT signal_id, {FS} AS sample_rate, CAST(len(x) AS BIGINT) AS num_samples, {rnd(f'len(x)/{FS}.0', 3)} AS duration_sec, " + ", ".join(f"{rnd(c, 3)} AS {c}" for c in values) + " FROM sig LEFT JOIN sp USING (signal_id) LEFT JOIN sy USING (signal_id) LEFT JOIN sq USING (signal_id)")
+
+
+SQL["extract_core_user"] = _core_sql()
