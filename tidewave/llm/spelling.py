@@ -3,8 +3,9 @@
 All bigrams of the vocabulary are in one order, rare ones first. A word's prefix is its three first bigrams in that order (with all that are
 equal to the third); two of them that do not overlap are its pivots, chosen by dynamic programming so that they are as rare as can be. One
 edit breaks at most one of two disjoint bigrams, so for two words within one edit, a pivot of the one whose prefix ends first is in the
-prefix of the other, at most one place away. Pivots are therefore joined with prefixes by bigram, place and length, and the
-pairs are verified.
+prefix of the other, at most one place away. The edit lies on one side of it, so on the other side the words agree, and the place is the same from that
+end: pivots are joined with prefixes by bigram and everything before it, or by bigram and everything after it, and by lengths within one. The pairs are
+verified.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ RUN = "[A-Za-zÀ-ÿ]+"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def corpus_words(docs: DataFrame, noise: int = 97, shortest: int = 5, fewest: int = 3, held: int = 4 << 20) -> DataFrame:
+def corpus_words(docs: DataFrame, noise: int = 97, shortest: int = 5, fewest: int = 3, held: int = 32 << 20) -> DataFrame:
     """word, n of the words of at least `shortest` letters that occur `fewest` times or more.
 
     A-Z become a-z. Where the unsigned crc32 of "<doc_id>:<run>" is a multiple of `noise`, the run loses the letter at the crc32 modulo
-    its length. A null doc_id counts as empty text. A task holds counts of about `held` letters and then passes them on.
+    its length. A null doc_id counts as empty text. A task holds counts of words of about `held` bytes and then passes them on.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text_or_empty().alias("text"))
 
@@ -55,7 +56,7 @@ def corpus_words(docs: DataFrame, noise: int = 97, shortest: int = 5, fewest: in
                             if word not in counts:
                                 letters += len(word) + 100
                             counts[word] += n
-                    if letters > held * 8:
+                    if letters > held:
                         yield rows_of()
                         counts.clear()
                         letters = 0
@@ -82,17 +83,19 @@ def pivots_of(places: list[int], weights: list[int]) -> tuple[int, int]:
 
 
 def gram_rows(words: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """word, length, gram, place, pivot (or not) of the prefix of every word. `counts` of bigrams is bounded by the letters there are."""
-    shared = words.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))})
-    weights = words.sparkSession.sparkContext.broadcast(counts)
+    """word, length, key, pivot (or not) of the prefix of every word, each bigram twice: the key stands for the bigram with all letters before it, or with
+    all after it. `counts` of bigrams is bounded by the letters there are."""
+    shared = words.sparkSession.sparkContext.broadcast((counts, {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}))
 
     @lean
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         from tidewave.llm.spelling import pivots_of
 
-        rank, count = shared.value, weights.value
+        count, rank = shared.value
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_())
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 out = []
@@ -101,12 +104,14 @@ def gram_rows(words: DataFrame, counts: dict[str, int]) -> DataFrame:
                     third = sorted(rank[g] for g in grams)[2]
                     places = [i for i, g in enumerate(grams) if rank[g] <= third]
                     chosen = {places[i] for i in pivots_of(places, [count[grams[i]] for i in places])}
-                    out += [(word, len(word), grams[i], i, i in chosen) for i in places]
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "length", "gram", "place", "pivot"])
+                    for i in places:
+                        for side, part in (("<", word[: i + 2]), (">", word[i:])):
+                            key = xxh64_intdigest(f"{side}{part}".encode())
+                            out.append((word, len(word), key - (key >> 63 << 64), i in chosen))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "length", "key", "pivot"])
 
-    return words.select("word").mapInArrow(run, "word string, length int, gram string, place int, pivot boolean")
+    return words.select("word").mapInArrow(run, "word string, length int, key long, pivot boolean")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -114,10 +119,9 @@ def near_words(words: DataFrame) -> DataFrame:
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("g"))
     counts = {r.g: r.n for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most the square of the letters
     rows = written(gram_rows(words, counts), "grams")
-    spread = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    pivots = rows.where("pivot").select("word", "gram", spread("place").alias("place"), "length").select("word", "gram", "place", spread("length").alias("length"))
-    prefix = rows.select(F.col("word").alias("other"), "gram", "place", "length")
-    met = pivots.join(prefix, ["gram", "place", "length"]).where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+    lengths = F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)).alias("length")
+    pivots = rows.where("pivot").select("word", "key", lengths)
+    met = pivots.join(rows.select(F.col("word").alias("other"), "key", "length"), ["key", "length"]).where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     pairs = written(met.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct(), "near")
     discard(rows)
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).union(pairs.select("b", "a"))
