@@ -121,7 +121,12 @@ def near_words(words: DataFrame) -> DataFrame:
     rows = written(gram_rows(words, counts), "grams")
     lengths = F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)).alias("length")
     pivots = rows.where("pivot").select("word", "key", lengths)
-    met = pivots.join(rows.select(F.col("word").alias("other"), "key", "length"), ["key", "length"]).where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+    met = pivots.join(rows.select(F.col("word").alias("other"), "key", "length"), ["key", "length"]).where(F.col("word") != F.col("other"))
+    # One edit leaves one half of the shorter word where it is: this spares most pairs the edit distance.
+    shorter = F.least(F.length("word"), F.col("length"))
+    half = F.floor(shorter / 2).cast("int")
+    alike = (F.left("word", half) == F.left("other", half)) | (F.right("word", shorter - half) == F.right("other", shorter - half))
+    met = met.where(alike & (F.levenshtein("word", "other", 1) == 1))
     pairs = written(met.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct(), "near")
     discard(rows)
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).union(pairs.select("b", "a"))
