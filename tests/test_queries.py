@@ -42,3 +42,40 @@ def test_query(spark, duck, name):
     for x, y in zip(a, b, strict=True):
         for u, v in zip(x, y, strict=True):
             assert u == v or (pd.isna(u) and pd.isna(v)) or math.isclose(float(u), float(v), rel_tol=1e-6, abs_tol=2e-5), (x, y)
+
+
+def spark_and_duck(spark, folder, name, signals):
+    """Rows of a query and of its twin over a table of events: values by user, written last event first."""
+    import datetime
+
+    rows = [(u * 1000 + k, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=7 * k), u, float(v)) for u, x in enumerate(signals) for k, v in enumerate(x)]
+    df = pd.DataFrame(rows[::-1], columns=["event_id", "ts", "user_id", "value"])
+    df["ts"] = df["ts"].astype("datetime64[us]")
+    df.to_parquet(folder / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    order = lambda f: f.sort_values([c for c in f.columns if c != "value"])[sorted(f.columns)].to_numpy().tolist()
+    return order(queries.QUERIES[name](spark, str(folder)).toPandas()), order(con.sql(queries.SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["zero_crossing_count", "zero_crossing_rate_by_rows", "zero_crossing_rate"])
+def test_values_at_the_mean(spark, tmp_path, name):
+    import itertools
+    import random
+
+    rng, signals = random.Random(3), []
+    while len(signals) < 12:  # one value is the mean, to rounding, and the sum depends on the order
+        x = [round(rng.uniform(0, 300), 2) for _ in range(40)]
+        x.insert(20, round(sum(x) / 40, 2))
+        x[-1] = round(41 * x[20] - sum(x[:-1]), 2)
+        forth, back = (list(itertools.accumulate(v))[-1] / 41 for v in (x, x[::-1]))
+        if forth != back and (x[20] > forth) - (x[20] < forth) != (x[20] > back) - (x[20] < back):
+            signals.append(x)
+    got, want = spark_and_duck(spark, tmp_path, name, [*signals, [1.0, 2.0, 6.0] * 15])
+    assert got == want
+
+
+def test_fry_at_a_fifth(spark, tmp_path):
+    ties = [[float(k), k / 1.2, float(k), k * 1.25] for k in range(1, 70)]
+    got, want = spark_and_duck(spark, tmp_path, "vocal_fry_index", ties)
+    assert got == want

@@ -11,7 +11,7 @@ from tidewave.functions.arrays import rounded
 from tidewave.functions.fourier import magnitude
 from tidewave.operators import spectral, temporal, voice
 from tidewave.plans.twins import FRAMES, FS, HOP, N, USER, mp, over_frames, over_magnitudes, over_signals, over_whole, query, rnd, sm
-from tidewave.sources.signals import centered, frames, frames_of_points, points_of_rows, user_signals
+from tidewave.sources.signals import centered, centered_rows, frames, frames_of_points, points_of_rows, user_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,8 +25,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_points(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user less their mean, as samples with places, straight from rows: no task holds a user's events."""
     rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value")
-    means = rows.groupBy("user_id").agg(F.avg("value").alias("_mean"))
-    rows = rows.join(means, "user_id").withColumn("value", F.col("value") - F.col("_mean"))
+    rows = centered_rows(rows, "user_id", "value", ["ts", "event_id"])
     return points_of_rows(rows, "user_id", "value", ["ts", "event_id"], F.date_trunc("day", "ts"))
 
 

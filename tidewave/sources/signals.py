@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,48 @@ def centered(signals: DataFrame) -> DataFrame:
     return signals.withColumn("samples", let(mean, lambda m: F.transform("samples", lambda v: v - m)))
 
 
+def means_in_order(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """key and _mean of its values, added in the given order: rows come in runs of a key, and a task holds the sum so far."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last, so_far, n = None, 0.0, 0
+        for batch in batches:
+            keys, values, done = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), []
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if b == a:
+                    continue
+                if keys[a] != last:
+                    done += [(last, so_far / n)] if n else []
+                    last, so_far, n = keys[a], 0.0, 0
+                so_far, n = float(np.add.accumulate(np.append(so_far, values[a:b]))[-1]), n + int(b - a)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([m for _, m in done], pa.float64())], [key, "_mean"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([so_far / n], pa.float64())], [key, "_mean"])
+
+    # mapInArrow reads all columns it is given; only the key and the value go there.
+    runs = rows.repartition(key).sortWithinPartitions(key, *order)
+    return runs.select(F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value)).mapInArrow(run, f"{key} long, _mean double")
+
+
+def centered_rows(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """`centered` of rows that are samples: values less the mean of their key.
+
+    An average of rows in any order differs from that in theirs by rounding, which changes the sign of a value that close to it. Keys that have one
+    (few) get their mean in order; all others the average, so that rows of a key need not meet.
+    """
+    x = F.col(value).cast("double")
+    means = rows.groupBy(key).agg(F.avg(x).alias("_about"), F.sum(F.abs(x)).alias("_size"))
+    met = rows.join(means, key)
+    close = met.where(F.abs(x - F.col("_about")) <= 1e-15 * F.col("_size")).select(key).distinct()
+    exact = means_in_order(rows.join(close, key, "left_semi").where(F.col(value).isNotNull()), key, value, order)
+    met = met.join(exact, key, "left")
+    return met.withColumn(value, x - F.coalesce("_mean", "_about")).drop("_mean", "_about", "_size")
+
+
 def to_mono(signals: DataFrame, channels: str = "channels", policy: str = "mean") -> DataFrame:
     """samples from an array of channels: their mean, or the first one."""
     if policy not in ("mean", "first"):
