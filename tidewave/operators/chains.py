@@ -69,10 +69,11 @@ def tracked(seen: DataFrame, search, columns: list[str], outputs: list[str], per
 
     Blocks of `per` frames are searched apart from scores that `settle` brings to agreement (`search.run`, `search.same`). Each then says which state
     before it every state after it came from, or -1 for none (`search.origins`); one pass over these maps, last block first, gives the states at the cuts, and
-    the blocks are decoded apart (`search.path`).
+    the blocks are decoded apart (`search.path`). A signal of fewer than `per` frames is one block, which starts from nothing and ends in its best state: it
+    is searched once, by `search.path` without a last state.
     """
     blocks = written(blocks_of_frames(seen, per, *columns), "frames")
-    known = written(settle(blocks, search.run, search.same), "entries")
+    alone = (F.col("block") == 0) & (F.size("frames") < per)
     state = lambda entry: entry.values.to_numpy() if entry.is_valid else None
 
     def origins(batches: Iterator) -> Iterator:
@@ -100,14 +101,29 @@ def tracked(seen: DataFrame, search, columns: list[str], outputs: list[str], per
         import numpy as np
         import pyarrow as pa
 
+        def rows_of(made):
+            ids = [pa.array(np.repeat([m[0] for m in made], [len(m[1]) for m in made]), pa.int64()), pa.array(np.concatenate([m[1] for m in made]), pa.int64())]
+            return pa.RecordBatch.from_arrays([*ids, *(pa.array(np.concatenate(v), pa.float64()) for v in zip(*(m[2] for m in made), strict=True))], ["signal_id", "frame_idx", *outputs])
+
         for batch in batches:
+            made, held = [], 0
             for at in range(batch.num_rows):
                 frames = batch.column("frames")[at].as_py()
-                made = search.path(frames, state(batch.column("entry")[at]), batch.column("last")[at].as_py())
-                ids = [pa.array(np.full(len(frames), batch.column("signal_id")[at].as_py(), np.int64)), pa.array([f["frame_idx"] for f in frames], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(v, pa.float64()) for v in made)], ["signal_id", "frame_idx", *outputs])
+                found = search.path(frames, state(batch.column("entry")[at]), batch.column("last")[at].as_py())
+                made.append((batch.column("signal_id")[at].as_py(), [f["frame_idx"] for f in frames], found))
+                held += len(frames)
+                if held > 1 << 16:
+                    yield rows_of(made)
+                    made, held = [], 0
+            if made:
+                yield rows_of(made)
 
+    schema = "signal_id long, frame_idx long, " + ", ".join(f"{c} double" for c in outputs)
+    whole = blocks.where(alone).select("signal_id", "block", "frames", F.lit(None).cast("array<double>").alias("entry"), F.lit(None).cast("int").alias("last")).mapInArrow(decode, schema)
+    rest = blocks.where(~alone)
+    if rest.isEmpty():
+        return whole
+    known = written(settle(rest, search.run, search.same), "entries")
     maps = known.mapInArrow(origins, "signal_id long, block long, origin array<int>, best int")
     ends = maps.repartition("signal_id").sortWithinPartitions("signal_id", F.desc("block")).mapInArrow(cuts, "signal_id long, block long, last int")
-    schema = "signal_id long, frame_idx long, " + ", ".join(f"{c} double" for c in outputs)
-    return known.join(ends, ["signal_id", "block"]).select("signal_id", "block", "frames", "entry", "last").mapInArrow(decode, schema)
+    return whole.union(known.join(ends, ["signal_id", "block"]).select("signal_id", "block", "frames", "entry", "last").mapInArrow(decode, schema))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from tidewave.operators.chains import tracked
 from tidewave.operators.pitch import lag_range
 from tidewave.sources.signals import points_of
+from tidewave.storage import written
 
 STEPS = 10  # pitch states to the semitone
 
 
+@cache
 def _threshold_weights(n: int = 100):
     """Beta(2, 18) weights of the thresholds k / n, k = 1 .. n."""
     import numpy as np
@@ -73,7 +76,7 @@ class PathSearch:
         reach = max(1, int(round(widest * 12 * STEPS * seconds)))
         reach = min(reach, self.n - 1) if self.n > 1 else 0
         step = np.arange(-reach, reach + 1)
-        self.moves = list(zip(step.tolist(), np.log((reach + 1 - np.abs(step)) / ((reach + 1.0) ** 2)).tolist(), strict=True))
+        self.reach, self.moves = reach, np.log((reach + 1 - np.abs(step)) / ((reach + 1.0) ** 2))
         self.stay, self.change = np.log(1 - switch), np.log(switch)
 
     def seen(self, freq, prob):
@@ -94,14 +97,11 @@ class PathSearch:
         n, seen = self.n, self.seen(freq, prob)
         if score is None:
             return seen - np.log(2 * n), np.full((2, n), -1)
-        best, where = np.full((2, n), -np.inf), np.zeros((2, n), np.int64)
-        for k, m in self.moves:
-            lo, hi = max(0, -k), min(n, n - k)
-            moved = score[:, lo:hi] + m
-            target = best[:, lo + k : hi + k]
-            better = moved > target
-            target[better] = moved[better]
-            where[:, lo + k : hi + k][better] = np.broadcast_to(np.arange(lo, hi), better.shape)[better]
+        # All moves to a state side by side, from the highest origin to the lowest.
+        wide = np.pad(score, ((0, 0), (self.reach, self.reach)), constant_values=-np.inf)
+        moved = np.lib.stride_tricks.sliding_window_view(wide, 2 * self.reach + 1, axis=1)[:, :, ::-1] + self.moves
+        move = moved.argmax(axis=2)
+        best, where = np.take_along_axis(moved, move[:, :, None], axis=2)[:, :, 0], np.arange(n) + self.reach - move
         options = np.stack([np.stack([best[0] + self.stay, best[1] + self.change]), np.stack([best[0] + self.change, best[1] + self.stay])])
         pick = options.argmax(axis=1)
         came = pick * n + np.take_along_axis(where[None].repeat(2, axis=0), pick[:, None], axis=1)[:, 0]
@@ -129,14 +129,15 @@ class PathSearch:
             origin = np.where(came >= 0, origin[came], -1)
         return origin, int(score.ravel().argmax())
 
-    def path(self, frames, entry, last: int):
-        """Pitch of every frame of a block (0: unvoiced) on the path that ends in state `last`, as the only column."""
+    def path(self, frames, entry, last: int | None):
+        """Pitch of every frame of a block (0: unvoiced) on the path that ends in state `last` (None: the best one), as the only column."""
         import numpy as np
 
         score, back, out = None if entry is None else entry.reshape(2, self.n), [], np.zeros(len(frames))
         for f in frames:
             score, came = self.step(score, f["freq"], f["prob"])
             back.append(came.ravel().astype(np.int32))
+        last = int(score.ravel().argmax()) if last is None else last
         for t in range(len(frames) - 1, -1, -1):
             if last < self.n:
                 out[t] = self.f_min * 2 ** (last / (12 * STEPS))
@@ -189,7 +190,7 @@ def pyin(signals: DataFrame, sample_rate: int, n: int = 2048, hop: int = 512, f_
     path is searched in blocks of `per` frames. A signal without samples has no frames.
     """
     lag_range(sample_rate, f_min, f_max)
-    points = points_of(signals) if "samples" in signals.columns else signals
+    points = points_of(signals) if "samples" in signals.columns else written(signals, "points")  # read by the frames and the sizes
     seen = pitch_candidates(points, sample_rate, n, hop, f_min, f_max)
     found = tracked(seen, PathSearch(f_min, f_max, hop / sample_rate), ["freq", "prob"], ["f0"], per)
     return found.withColumn("f0", F.when(F.col("f0") > 0, F.col("f0")).otherwise(F.lit(float(unvoiced))))

@@ -156,11 +156,12 @@ class BeatSearch:
         origin = np.where(places >= 0, came[np.maximum(places, 0)], reach + places if entry is not None else -1)
         return origin, int(score[-reach:].argmax())
 
-    def path(self, frames, entry, last: int):
-        """1 at beats, else 0, and the local score."""
+    def path(self, frames, entry, last: int | None):
+        """1 at beats, else 0, and the local score; without `last`, on the best path."""
         import numpy as np
 
-        _, back, _, reach = self._scan(frames, entry)
+        score, back, _, reach = self._scan(frames, entry)
+        last = int(score[-reach:].argmax()) if last is None else last
         beat, t = np.zeros(len(frames)), len(frames) - reach + last if last >= 0 else -1
         while t >= 0:
             beat[t] = 1.0
