@@ -284,6 +284,23 @@ def test_pivots_are_the_lightest_disjoint_pair():
         assert places[j] - places[i] >= 2 and weights[i] + weights[j] == best
 
 
+def test_pivots_meet_few_words_that_are_not_near(spark):
+    """Thousands of words of few bigrams: a pivot alone is shared by hundreds, but little more than the near words meet."""
+    from tidewave.llm import spelling
+
+    rng = np.random.default_rng(3)
+    some = {"".join(w) for w in rng.choice(list("abcd"), (3000, 12))}
+    for w in sorted(some)[:300]:
+        i = int(rng.integers(0, 12))
+        some |= {w[:i] + w[i + 1 :], w[:i] + "abcd"[int(rng.integers(0, 4))] + w[i:], w[:i] + "e" + w[i + 1 :]}
+    met = [tuple(sorted(r)) for r in spelling.met_words(spark.createDataFrame([(w,) for w in sorted(some)], "word string").repartition(3)).collect()]
+    brute = set()
+    for w in some:
+        near = [w[:i] + w[i + 1 :] for i in range(len(w))] + [w[:i] + c + w[j:] for c in "abcde" for i in range(len(w) + 1) for j in (i, i + 1) if j <= len(w)]
+        brute |= {tuple(sorted((w, v))) for v in near if v != w and v in some}
+    assert len(brute) > 800 and brute <= set(met) and len(met) < 20 * len(brute)
+
+
 def test_memory_of_long_words_is_bounded(monkeypatch):
     """Thousands of distinct words of 50 KB leave nothing behind in what workers remember."""
     import public_tokenizers

@@ -3,9 +3,9 @@
 All bigrams of the vocabulary are in one order, rare ones first. A word's prefix is its three first bigrams in that order (with all that are
 equal to the third); two of them that do not overlap are its pivots, chosen by dynamic programming so that they are as rare as can be. One
 edit breaks at most one of two disjoint bigrams, so for two words within one edit, a pivot of the one whose prefix ends first is in the
-prefix of the other, at most one place away. The edit lies on one side of it, so on the other side the words agree, and the place is the same from that
-end: pivots are joined with prefixes by bigram and everything before it, or by bigram and everything after it, and by lengths within one. The pairs are
-verified.
+prefix of the other, at most one place away: the right pivot with all that follows if the edit begins left of it, else the left pivot with all before it.
+A word is in four parts, and the edit is in one of them: pivots are joined with prefixes by bigram, place, length, and all letters outside of that part that
+stay, three quarters of the word or so. The pairs are verified.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tidewave.llm.chunks import text_slices
 
 #: Runs of letters that are taken as words.
 RUN = "[A-Za-zÀ-ÿ]+"
+#: Parts of a word, of which an edit is in one.
+PARTS = 4
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -82,53 +84,88 @@ def pivots_of(places: list[int], weights: list[int]) -> tuple[int, int]:
     return found[1], found[2]
 
 
-def gram_rows(words: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """word, length, key, pivot (or not) of the prefix of every word, each bigram twice: the key stands for the bigram with all letters before it, or with
-    all after it. `counts` of bigrams is bounded by the letters there are."""
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """Starts and ends of the parts of a word of n letters."""
+    ends = [n * k // PARTS for k in range(PARTS + 1)]
+    return [(a, b) for a, b in zip(ends, ends[1:]) if a < b]  # noqa: B905
+
+
+def prefix_keys(word: str, places: list[int]) -> Iterator[str]:
+    """What a word is found by: for each bigram of its prefix and each part that the edit may be in, the letters that stay. With all up to the bigram's end
+    those before the part and after it; with all from its start on likewise."""
+    n = len(word)
+    parts = parts_of(n)
+    for i in places:
+        for a, b in parts:
+            if i + 2 < b and i + 3 <= n:  # the other's right pivot comes later, and one edit takes one letter of it at most
+                yield f"<{n} {i} {word[: max(a, i + 2)]} {word[b:]}"
+            if 0 < i >= a:  # the other's left pivot comes before
+                yield f">{n} {i} {word[:a]} {word[min(b, i) :]}"
+
+
+def pivot_keys(word: str, left: int, right: int) -> Iterator[str]:
+    """What a word with pivots at two places looks for: those of `prefix_keys` of words one edit away whose prefix has the pivot that the edit leaves, that is
+    the left one where it begins at the right one or later."""
+    for n in (len(word) - 1, len(word), len(word) + 1):
+        off = len(word) - n
+        for a, b in parts_of(n):
+            if right < b:
+                yield f"<{n} {left} {word[: max(a, left + 2)]} {word[b + off :]}"
+            if a <= right - off:
+                yield f">{n} {right - off} {word[:a]} {word[min(b, right - off) + off :]}"
+
+
+def gram_rows(words: DataFrame, counts: dict[str, int], pivots: bool) -> DataFrame:
+    """word, third (where its prefix ends in the order of bigrams), key: a hash of each of its `pivot_keys` or `prefix_keys`. `counts` of bigrams is
+    bounded by the letters there are."""
     shared = words.sparkSession.sparkContext.broadcast((counts, {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}))
 
     @lean
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        from tidewave.llm.spelling import pivots_of
+        from tidewave.llm.spelling import pivot_keys, pivots_of, prefix_keys
 
         count, rank = shared.value
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_())
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                out = []
-                for word in whole.column("word").slice(at, 4096).to_pylist():
+                part, thirds, times, keys = whole.column("word").slice(at, 4096), [], [], []
+                for word in part.to_pylist():
                     grams = [word[i : i + 2] for i in range(len(word) - 1)]
-                    third = sorted(rank[g] for g in grams)[2]
-                    places = [i for i, g in enumerate(grams) if rank[g] <= third]
-                    chosen = {places[i] for i in pivots_of(places, [count[grams[i]] for i in places])}
-                    for i in places:
-                        for side, part in (("<", word[: i + 2]), (">", word[i:])):
-                            key = xxh64_intdigest(f"{side}{part}".encode())
-                            out.append((word, len(word), key - (key >> 63 << 64), i in chosen))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "length", "key", "pivot"])
-
-    return words.select("word").mapInArrow(run, "word string, length int, key long, pivot boolean")
+                    ranks = [rank[g] for g in grams]
+                    third = sorted(ranks)[2]
+                    places = [i for i, r in enumerate(ranks) if r <= third]
+                    if pivots:
+                        left, right = pivots_of(places, [count[grams[i]] for i in places])
+                        own = pivot_keys(word, places[left], places[right])
+                    else:
+                        own = prefix_keys(word, places)
+                    before = len(keys)
+                    keys += [xxh64_intdigest(key.encode()) for key in own]
+                    thirds.append(third)
+                    times.append(len(keys) - before)
+                row = np.repeat(np.arange(len(times)), times)
+                columns = [part.take(pa.array(row)), pa.array(np.array(thirds, np.int32)[row]), pa.array(np.array(keys, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "third", "key"])
+
+    return words.select("word").mapInArrow(run, "word string, third int, key long")
+
+
+def met_words(words: DataFrame) -> DataFrame:
+    """word, other: pairs of words that a pivot brings together, all those one edit apart among them (in one order at least)."""
+    grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("g"))
+    counts = {r.g: r.n for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most the square of the letters
+    found = gram_rows(words, counts, False).select(F.col("word").alias("other"), F.col("third").alias("later"), "key")
+    met = gram_rows(words, counts, True).join(found, "key").where((F.col("third") <= F.col("later")) & (F.col("word") != F.col("other")))
+    return met.select("word", "other")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs (word, near) of words of `words` (distinct, at least four letters) one insertion, deletion or replacement apart; both orders."""
-    grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("g"))
-    counts = {r.g: r.n for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most the square of the letters
-    rows = written(gram_rows(words, counts), "grams")
-    lengths = F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)).alias("length")
-    pivots = rows.where("pivot").select("word", "key", lengths)
-    met = pivots.join(rows.select(F.col("word").alias("other"), "key", "length"), ["key", "length"]).where(F.col("word") != F.col("other"))
-    # One edit leaves one half of the shorter word where it is: this spares most pairs the edit distance.
-    shorter = F.least(F.length("word"), F.col("length"))
-    half = F.floor(shorter / 2).cast("int")
-    alike = (F.left("word", half) == F.left("other", half)) | (F.right("word", shorter - half) == F.right("other", shorter - half))
-    met = met.where(alike & (F.levenshtein("word", "other", 1) == 1))
+    met = met_words(words).where(F.levenshtein("word", "other", 1) == 1)
     pairs = written(met.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct(), "near")
-    discard(rows)
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).union(pairs.select("b", "a"))
 
 
