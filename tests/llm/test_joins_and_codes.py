@@ -220,6 +220,28 @@ def test_bounds_spare_distances():
     assert spent[0] > 16 * 2900 and max(spent[1:]) < spent[0] / 8
 
 
+def test_texts_of_a_few_sets_are_found_without_a_shuffle(spark, monkeypatch):
+    """Where keys are too many to broadcast by themselves, a map of bits leaves the other texts out before any exchange."""
+    from tidewave.llm import tokengroups
+    from tidewave.llm._common import written
+
+    texts = varied(3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    keys = written(tokengroups._rows(docs).where("doc_id % 10 = 0").select("k"), "keys")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for small in (0, 500_000):
+            monkeypatch.setattr(tokengroups, "SMALL", small)
+            found = tokengroups.rows_with(docs, keys)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert not any("Exchange" in line and "Broadcast" not in line for line in plan.split("\n")), plan
+            assert {d for d in texts if d % 10 == 0} <= {r.doc_id for r in found.collect()}
+            assert found.count() < len(texts) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def brute_spelling(rows):
     n = Counter()
     for d, text in rows:

@@ -21,6 +21,7 @@ import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from tidewave.llm.graph import components
 WORDS = 32
 #: Bits of the largest map that is sent to tasks (8 MB); a full map only lets more rows through.
 MOST_BITS = 1 << 26
-#: Keys that are looked for without a map.
-SMALL = 500_000
+#: Keys that are sent to tasks as they are; a map of bits stands for more.
+SMALL = 10_000
 #: Sets of a group of the matrix, about, where their min-hashes do not tell them apart.
 MEMBERS = 64
 #: Size classes between a size and the least similar one.
@@ -71,22 +72,18 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows (see `_rows`) whose k is in `keys`, a written table of distinct k. A small one is joined as it is; before a large one, a map of bits
-    leaves most texts out, so that they are not shuffled."""
+    """The rows (see `_rows`) whose k is in `keys`, a written table of distinct k, and some others where there are many keys. No text is shuffled: few keys
+    are sent to the tasks; a map of bits that is bounded in size stands for many. Only k goes through Python for it."""
     rows = _rows(docs)
-    if keys.count() > SMALL:
-        shared = docs.sparkSession.sparkContext.broadcast(bit_map(keys))
+    if keys.count() <= SMALL:
+        return rows.join(F.broadcast(keys), "k", "left_semi").select("doc_id", "text", "k")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(keys))
 
-        @lean
-        def taken(batches: Iterator) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
+    @F.pandas_udf("boolean")
+    def taken(k: pd.Series) -> pd.Series:
+        return pd.Series(in_map(shared.value, k.to_numpy()))
 
-            for batch in batches:
-                yield batch.filter(pa.array(in_map(shared.value, np.asarray(batch.column("k")))))
-
-        rows = rows.mapInArrow(taken, "doc_id long, text string, k long")
-    return rows.join(keys, "k", "left_semi").select("doc_id", "text", "k")
+    return rows.where(taken("k"))
 
 
 def bit_map(numbers: DataFrame, each: int = 256) -> tuple:
@@ -136,9 +133,9 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
     return t[order], n[order]
 
 
-def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), simhash: bool = False) -> DataFrame:
+def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), simhash: bool = False, bare: bool = False) -> DataFrame:
     """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set if `simhash`), n, sig (signature), m (three min-hashes) and prefix: 32 bits of each of the first
-    shingles in the common order, as many as a query needs. Null texts count as empty. `late`: maps of shingles that come last."""
+    shingles in the common order, as many as a query needs. Null texts count as empty. `late`: maps of shingles that come last. `bare`: k and prefix alone."""
     shared = rows.sparkSession.sparkContext.broadcast((*common, late))
     over, under = rule.over, rule.under
 
@@ -177,20 +174,26 @@ def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), si
             for a, b in text_slices(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
                 sets = [shingle_set(t, rule.shingle) for t in part.column("text").to_pylist()]
+                prefix = [first(x) for x in sets]
+                prefixes = lists(np.cumsum([0, *map(len, prefix)]), np.concatenate(prefix))
+                if bare:
+                    yield pa.RecordBatch.from_arrays([part.column("k"), prefixes], ["k", "prefix"])
+                    continue
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
                 fp = pa.array(np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")) if simhash else pa.nulls(len(sets), pa.int64())
-                prefix = [first(x) for x in sets]
                 m = np.array([least(x) for x in sets], np.uint32).view(np.int32).ravel()
                 sigs = lists(np.arange(len(sets) + 1) * WORDS, np.concatenate([signature(x) for x in sets]))
                 columns = [part.column("doc_id"), part.column("k"), pa.array(s), fp, pa.array([len(x) for x in sets], pa.int32()), sigs]
-                columns += [lists(np.arange(len(sets) + 1) * 3, m), lists(np.cumsum([0, *map(len, prefix)]), np.concatenate(prefix))]
+                columns += [lists(np.arange(len(sets) + 1) * 3, m), prefixes]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "fp", "n", "sig", "m", "prefix"])
 
+    if bare:
+        return rows.mapInArrow(run, "k long, prefix array<int>")
     return rows.mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, m array<int>, prefix array<int>")
 
 
 def touched(distinct: DataFrame, late: tuple) -> DataFrame:
-    """s, k of the sets whose prefix holds a shingle of the map."""
+    """k of the sets whose prefix holds a shingle of the map."""
     shared = distinct.sparkSession.sparkContext.broadcast(late)
 
     @lean
@@ -202,33 +205,31 @@ def touched(distinct: DataFrame, late: tuple) -> DataFrame:
             lists = batch.column("prefix")
             hits = np.append(0, np.cumsum(in_map(shared.value, np.asarray(lists.flatten())), dtype=np.int64))
             ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-            yield batch.select(["s", "k"]).filter(pa.array(hits[ends[1:]] > hits[ends[:-1]]))
+            yield batch.select(["k"]).filter(pa.array(hits[ends[1:]] > hits[ends[:-1]]))
 
-    return distinct.select("s", "k", "prefix").mapInArrow(run, "s long, k long")
+    return distinct.select("k", "prefix").mapInArrow(run, "k long")
 
 
 def thinned(docs: DataFrame, distinct: DataFrame, common: tuple, rule: Rule, crowd: int, rounds: int) -> DataFrame:
-    """`distinct` with prefixes in which shingles of over `crowd` prefixes come last. Each round looks at the prefixes of the one
-    before and makes those anew that hold such shingles; the others stay as they are in the new order, too."""
+    """s, k, n and prefix of `distinct`, with prefixes in which shingles of over `crowd` prefixes come last. Each round looks at the prefixes of the one
+    before and makes those anew that hold such shingles; the others stay as they are in the new order, too (and come out the same where they are made anew
+    for nothing). Signatures are left aside, as they would be shuffled each time."""
     late: tuple = ()
-    fresh = distinct  # whose prefixes the round counts: all of them at first, then those made anew
-    for _ in range(rounds):
-        tokens = fresh.select(F.explode("prefix").alias("t"))
+    now = distinct.select("s", "k", "n", "prefix", F.lit(True).alias("fresh"))  # fresh: counted in the round, all at first, then those made anew
+    for r in range(rounds):
+        tokens = now.where("fresh").select(F.explode("prefix").alias("t"))
         crowded = written(tokens.groupBy("t").agg(F.count("*").alias("sets")).where(F.col("sets") > crowd).select("t"), "crowded")
         if crowded.isEmpty():
             discard(crowded)
             break
         late = (*late, bit_map(crowded, 4096))
-        hit = written(touched(distinct, late[-1]), "affected")
-        again = prefix_rows(rows_with(docs, hit.select("k")), common, rule, late).groupBy("s").agg(F.first("prefix").alias("prefix"))
-        some = distinct.drop("prefix").join(hit.select("s"), "s", "left_semi").join(again, "s").select(*distinct.columns)
-        made = written(some, "distinct")
-        after = written(distinct.join(hit.select("s"), "s", "left_anti").union(made), "distinct")
-        discard(crowded, hit, distinct, *([fresh] if fresh is not distinct else []))
-        distinct, fresh = after, made
-    if fresh is not distinct:
-        discard(fresh)
-    return distinct
+        hit = written(touched(now, late[-1]), "affected")
+        again = prefix_rows(rows_with(docs, hit), common, rule, late, bare=True).groupBy("k").agg(F.first("prefix").alias("again"))
+        made = now.drop("fresh").join(again, "k", "left").select("s", "k", "n", F.coalesce("again", "prefix").alias("prefix"), F.col("again").isNotNull().alias("fresh"))
+        after = written(made, "thinned")
+        discard(crowded, hit, *([now] if r else []))
+        now = after
+    return now
 
 
 def _alone(x: Column, y: Column) -> Column:
@@ -249,7 +250,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, rule: Rule) -
     if pairs.isEmpty():
         return pairs.select("a", "b")
     ends = written(pairs.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct(), "ends")
-    texts = written(rows_with(docs, ends).groupBy("k").agg(F.first("text").alias("text")), "texts")
+    texts = written(rows_with(docs, ends).join(ends, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")), "texts")
     side = lambda x: texts.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}"))
 
     @lean
@@ -328,11 +329,11 @@ def matrix_pairs(lists: DataFrame, known: DataFrame, groups: DataFrame, labels:
     return out
 
 
-def similar_sets(docs: DataFrame, distinct: DataFrame, rule: Rule, first: DataFrame | None = None, stars: int = 2) -> DataFrame:
-    """s, label of those of `distinct` (s, k, fp, n, sig, m, prefix; one row per set) that have candidates: connected just as all pairs
+def similar_sets(docs: DataFrame, distinct: DataFrame, prefixes: DataFrame, rule: Rule, first: DataFrame | None = None, stars: int = 2) -> DataFrame:
+    """s, label of those of `distinct` (s, k, fp, n, sig, m; one row per set; `prefixes`: s, n, prefix of them) that have candidates: connected just as all pairs
     that are similar enough would connect them. `first`: a function of these sets that gives pairs to look at first."""
     count = F.col("n") - F.ceil(2 * rule.over * F.col("n") / (rule.over + rule.under)) + 1
-    every = distinct.select("s", "n", count.alias("index"), F.posexplode("prefix").alias("at", "t")).select("s", "n", "t", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("index")).alias("indexed"))
+    every = prefixes.select("s", "n", count.alias("index"), F.posexplode("prefix").alias("at", "t")).select("s", "n", "t", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("index")).alias("indexed"))
     several = every.groupBy("t").agg(F.count("*").alias("sets"), F.max("indexed").alias("any")).where("sets > 1 and any").select("t")
     lists = written(every.join(several, "t"), "lists")
     known = written(distinct.drop("prefix").join(lists.select("s").distinct(), "s", "left_semi"), "candidates")
@@ -361,10 +362,10 @@ def set_rows(docs: DataFrame, rule: Rule, first=None, crowd: int = 50, rounds: i
     rows = written(prefix_rows(_rows(docs), common, rule, simhash=first is not None), "prefixes")
     firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "m", "prefix")]
     distinct = written(rows.groupBy("s").agg(F.min("k").alias("k"), *firsts), "distinct")
-    distinct = thinned(docs, distinct, common, rule, crowd, rounds)
-    labels = similar_sets(docs, distinct, rule, first)
+    prefixes = thinned(docs, distinct, common, rule, crowd, rounds)
+    labels = similar_sets(docs, distinct, prefixes, rule, first)
     member = written(distinct.select("s").join(labels, "s", "left").select("s", F.coalesce("label", "s").alias("label")), "members")
-    discard(distinct, labels)
+    discard(distinct, labels, *([prefixes] if hasattr(prefixes, "written_to") else []))
     return rows.select("doc_id", "k", "s", "n"), member
 
 
