@@ -56,13 +56,81 @@ class Rule(NamedTuple):
         return (self.over + self.under) * both >= self.over * (n_a + n_b)
 
 
-def shingle_set(text: str, shingle: int):
-    """Ascending distinct 64-bit hashes of a text's shingles."""
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def _mixed(x):
+    """64-bit numbers mixed one to one, in place, so that each bit depends on all."""
     import numpy as np
 
-    from tidewave.llm.simhash import shingle_hashes
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
-    return np.unique(shingle_hashes(text, shingle))
+
+def word_hashes(texts):
+    """64-bit hashes of the words of an Arrow string array without nulls (A-Z in lower case, split at ASCII white space), all in order, and the ends of
+    the texts among them (one more than texts, from 0). Words are taken eight bytes at a time, all of them at once."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    texts = texts.cast(pa.large_string())
+    cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    text = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    text = text | (text - np.uint8(65) < 26).view(np.uint8) << 5
+    cuts = cuts - cuts[0]
+    letter = (text != 32) & (text - np.uint8(9) > 4)
+    first, last = letter.copy(), letter.copy()  # a letter after or before white space or an end of its text
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    begins, ends = cuts[:-1][cuts[:-1] < len(text)], cuts[1:][cuts[1:] > 0] - 1
+    first[begins], last[ends] = letter[begins], letter[ends]
+    at = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - at
+    eights = np.zeros(len(text) // 8 + 2, "<u8")
+    eights.view(np.uint8)[: len(text)] = text
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    todo = np.flatnonzero(size <= LONG_WORD)
+    begin, left = at[todo], size[todo]
+    while len(todo):
+        q, r = begin >> 3, ((begin & 7) << 3).astype(np.uint64)
+        piece = (eights[q] >> r) | (eights[q + 1] << np.uint64(1) << (np.uint64(63) - r))
+        piece &= masks[np.minimum(left, 8)]
+        out[todo] = _mixed(out[todo] ^ piece)
+        more = left > 8
+        todo, begin, left = todo[more], begin[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[at[i] : at[i] + size[i]], 42)
+    return out, np.searchsorted(at, cuts)
+
+
+def shingle_sets(texts, shingle: int) -> list:
+    """Ascending distinct 64-bit hashes of the shingles of each text of an Arrow string array without nulls: of `shingle` words, or of all where there are fewer (none:
+    no shingles)."""
+    import numpy as np
+
+    words, ends = word_hashes(texts)
+
+    def joined(x, width):
+        h = x[: max(0, len(x) - width + 1)].copy()
+        for i in range(1, width):
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h += x[i : i + len(h)]
+        return _mixed(h)
+
+    every, out, ends = joined(words, shingle), [], ends.tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        x = np.sort(every[a : b - shingle + 1] if b - a >= shingle else joined(words[a:b], b - a) if b > a else words[:0])
+        fresh = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=fresh[1:])
+        out.append(x[fresh])
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -123,8 +191,9 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
         import pyarrow as pa
 
         for batch in batches:
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view("<i8"))], ["t"])
+            for a, b in text_slices(batch.column("text"), 2 << 20):
+                sets = shingle_sets(batch.column("text").slice(a, b - a), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view("<i8"))], ["t"])
 
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < share).select("text").distinct().mapInArrow(run, "t long")
     found = sample.groupBy("t").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
@@ -149,42 +218,56 @@ def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), si
 
         names, counts, late = shared.value
         odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+        few = np.zeros(1 << 20, bool)  # which low bits of a hash any of the names has
+        few[names & ((1 << 20) - 1)] = True
 
-        def first(x):
+        def ranks(x):
+            """Places of hashes in the order, and their 32 bits."""
             t, short = x.view("<i8"), (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
             rank = np.zeros(len(t), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, t), len(names) - 1)
-                rank = np.where(names[at] == t, counts[at], 0)
+            some = np.flatnonzero(few[t & ((1 << 20) - 1)])
+            if len(some):
+                at = np.minimum(np.searchsorted(names, t[some]), len(names) - 1)
+                rank[some] = np.where(names[at] == t[some], counts[at], 0)
             for known in late:
                 rank += in_map(known, short).astype(np.int64) << 40
-            length = len(t) - (over * len(t) + under - 1) // under + 1 if len(t) else 0
-            return short[np.lexsort((t, rank))[:length]]
+            return rank, short
+
+        def first(rank, short):
+            """The prefix: equal ranks stay in the order of the hashes."""
+            length = len(rank) - (over * len(rank) + under - 1) // under + 1 if len(rank) else 0
+            rare = np.flatnonzero(rank == 0)
+            return short[rare[:length] if len(rare) >= length else np.argsort(rank, kind="stable")[:length]]
 
         def signature(x):
             bits = np.zeros(64 * WORDS, np.uint8)
-            bits[x % np.uint64(64 * WORDS)] = 1
+            bits[x & np.uint64(64 * WORDS - 1)] = 1
             return np.packbits(bits, bitorder="little").view("<i8")
 
-        def least(x):
-            return [(x * m >> np.uint64(32)).min() if len(x) else 0 for m in odd]
+        def least(x, ends):
+            """Three min-hashes of each of the sets that end there; 0 for empty ones."""
+            out, full = np.zeros((len(ends) - 1, 3), np.uint32), ends[1:] > ends[:-1]
+            for i, m in enumerate(odd):
+                out[full, i] = np.minimum.reduceat((x * m >> np.uint64(32)).astype(np.uint32), ends[:-1][full]) if len(x) else 0
+            return out.view(np.int32).ravel()
 
         lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         for batch in batches:
             for a, b in text_slices(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
-                sets = [shingle_set(t, rule.shingle) for t in part.column("text").to_pylist()]
-                prefix = [first(x) for x in sets]
+                sets = shingle_sets(part.column("text"), rule.shingle)
+                every, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+                rank, short = ranks(every)
+                prefix = [first(rank[i:j], short[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 prefixes = lists(np.cumsum([0, *map(len, prefix)]), np.concatenate(prefix))
                 if bare:
                     yield pa.RecordBatch.from_arrays([part.column("k"), prefixes], ["k", "prefix"])
                     continue
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], "<u8").view("<i8")
                 fp = pa.array(np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")) if simhash else pa.nulls(len(sets), pa.int64())
-                m = np.array([least(x) for x in sets], np.uint32).view(np.int32).ravel()
                 sigs = lists(np.arange(len(sets) + 1) * WORDS, np.concatenate([signature(x) for x in sets]))
                 columns = [part.column("doc_id"), part.column("k"), pa.array(s), fp, pa.array([len(x) for x in sets], pa.int32()), sigs]
-                columns += [lists(np.arange(len(sets) + 1) * 3, m), prefixes]
+                columns += [lists(np.arange(len(sets) + 1) * 3, least(every, ends)), prefixes]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "fp", "n", "sig", "m", "prefix"])
 
     if bare:
@@ -260,13 +343,17 @@ def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, rule: Rule) -
 
         last, of_last = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (k, a, b) in enumerate(zip(batch.column("k_b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if last != k:
-                    last, of_last = k, shingle_set(b.as_py(), rule.shingle)
-                of_a = shingle_set(a.as_py(), rule.shingle)
-                both = len(np.intersect1d(of_a, of_last, assume_unique=True))
-                keep[i] = (rule.over + rule.under) * both >= rule.over * (len(of_a) + len(of_last))
+            keep, keys = np.zeros(batch.num_rows, bool), batch.column("k_b").to_numpy()
+            for at, stop in text_slices(batch.column("text_a"), 2 << 20):
+                part, k = batch.slice(at, stop - at), keys[at:stop]
+                fresh = np.append(k[0] != last, k[1:] != k[:-1])  # rows come in runs of one b
+                sets_a, sets_b = shingle_sets(part.column("text_a"), rule.shingle), iter(shingle_sets(part.column("text_b").filter(pa.array(fresh)), rule.shingle))
+                for i, (of_a, anew) in enumerate(zip(sets_a, fresh.tolist(), strict=True)):
+                    of_last = next(sets_b) if anew else of_last
+                    of_both = np.sort(np.concatenate([of_a, of_last]))
+                    both = np.count_nonzero(of_both[1:] == of_both[:-1])
+                    keep[at + i] = (rule.over + rule.under) * both >= rule.over * (len(of_a) + len(of_last))
+                last = k[-1]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     found = pairs.join(side("a"), "k_a").join(side("b"), "k_b").select("a", "b", "k_b", "text_a", "text_b")
