@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -281,6 +282,32 @@ def test_sets_of_a_slice_are_made_at_once():
     assert spent[1] < spent[0] / 2
 
 
+def test_large_unlike_sets_are_told_apart_by_signatures(spark):
+    """Of pairs of large sets those that are alike pass, of any sizes, and those that share half of their text do not."""
+    from tidewave.llm import tokengroups
+    from tidewave.llm._common import written
+
+    rng = np.random.default_rng(8)
+    texts = {}
+    for f, size in enumerate((1000, 1030, 1080, 2000, 2060, 2150, 4300, 8000)):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, size)]
+        other = [f"w{k}" for k in rng.integers(0, 10**6, size // 2)]
+        texts |= {10 * f: base, 10 * f + 1: base[: size * 19 // 20], 10 * f + 2: [*base[: size - 10], "x"], 10 * f + 3: base[: size // 2] + other}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    for rule in (tokengroups.Rule(), tokengroups.Rule(5, 4, 5), tokengroups.Rule(3, 40, 100)):
+        known = written(tokengroups.prefix_rows(tokengroups._rows(docs), (np.zeros(0, np.int64),) * 2, rule), "sets")
+        name = {r.s: r.doc_id for r in known.collect()}
+        pairs = known.select(F.col("s").alias("a")).crossJoin(known.select(F.col("s").alias("b"))).where("a < b")
+        wide = known.where("wide is not null").select("s", "wide")
+        assert all(2 * r.n <= 64 * len(r.wide) <= 4 * r.n for r in known.where("wide is not null").collect()) and known.where("wide is null and n > 1024").count() == 0
+        got = tokengroups.likely(written(tokengroups.possible(pairs, known, rule), "pairs"), wide, rule).collect()
+        got = {tuple(sorted((name[r.a], name[r.b]))) for r in got}
+        sets = {d: {tuple(w[i : i + rule.shingle]) for i in range(len(w) - rule.shingle + 1)} for d, w in texts.items()}
+        alike = {(a, b) for a in sets for b in sets if a < b and rule.under * len(sets[a] & sets[b]) >= rule.over * len(sets[a] | sets[b])}
+        assert alike <= got and len(alike) >= 24
+        assert got == alike or rule.under == 100 and rule.over == 40
+
+
 def brute_spelling(rows):
     n = Counter()
     for d, text in rows:

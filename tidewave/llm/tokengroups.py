@@ -10,7 +10,7 @@
    common shingle bounds the overlap by what follows it, so each side names the sizes it can be similar to, and rows join by
    shingle, size class of the group and size class of the query. Queries and groups that are joined already do not meet.
 4. For these, the union of the bit signatures of a group bounds the query's overlap with all its sets. Only groups that
-   qualify are opened; signatures bound the pairs, and the whole texts decide.
+   qualify are opened; signatures bound the pairs (of large sets, wider ones, too), and the whole texts decide.
 
 No step has a cap: the order, the maps and the groups only decide how much is compared.
 """
@@ -139,19 +139,24 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("doc_id", "text"))
 
 
-def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows (see `_rows`) whose k is in `keys`, a written table of distinct k, and some others where there are many keys. No text is shuffled: few keys
-    are sent to the tasks; a map of bits that is bounded in size stands for many. Only k goes through Python for it."""
-    rows = _rows(docs)
+def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose number of the name of the only column of `keys`, a written table of distinct numbers, is in it, and some others where there are many keys. No
+    row is shuffled: few keys are sent to the tasks; a map of bits that is bounded in size stands for many. Only the number goes through Python for it."""
+    (name,) = keys.columns
     if keys.count() <= SMALL:
-        return rows.join(F.broadcast(keys), "k", "left_semi").select("doc_id", "text", "k")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(keys))
+        return rows.join(F.broadcast(keys), name, "left_semi").select(*rows.columns)
+    shared = rows.sparkSession.sparkContext.broadcast(bit_map(keys))
 
     @F.pandas_udf("boolean")
     def taken(k: pd.Series) -> pd.Series:
         return pd.Series(in_map(shared.value, k.to_numpy()))
 
-    return rows.where(taken("k"))
+    return rows.where(taken(name))
+
+
+def rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (see `_rows`) whose k is in `keys`, and maybe some others (see `with_keys`)."""
+    return with_keys(_rows(docs), keys)
 
 
 def bit_map(numbers: DataFrame, each: int = 256) -> tuple:
@@ -191,7 +196,7 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in text_slices(batch.column("text"), 2 << 20):
+            for a, b in text_slices(batch.column("text"), 1 << 20):
                 sets = shingle_sets(batch.column("text").slice(a, b - a), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view("<i8"))], ["t"])
 
@@ -203,7 +208,8 @@ def common_shingles(docs: DataFrame, shingle: int, sample_rows: int = 2_000, mos
 
 
 def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), simhash: bool = False, bare: bool = False) -> DataFrame:
-    """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set if `simhash`), n, sig (signature), m (three min-hashes) and prefix: 32 bits of each of the first
+    """Per row: doc_id, k, s (hash of the set), fp (SimHash of the set if `simhash`), n, sig (signature), wide (null, or
+    a wider signature of a large set), m (three min-hashes) and prefix: 32 bits of each of the first
     shingles in the common order, as many as a query needs. Null texts count as empty. `late`: maps of shingles that come last. `bare`: k and prefix alone."""
     shared = rows.sparkSession.sparkContext.broadcast((*common, late))
     over, under = rule.over, rule.under
@@ -239,11 +245,15 @@ def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), si
             rare = np.flatnonzero(rank == 0)
             return short[rare[:length] if len(rare) >= length else np.argsort(rank, kind="stable")[:length]]
 
-        def signature(x):
-            bits = np.zeros(64 * WORDS, np.uint8)
-            bits[x & np.uint64(64 * WORDS - 1)] = 1
+        def signature(x, words=WORDS):
+            bits = np.zeros(64 * words, np.uint8)
+            bits[x & np.uint64(64 * words - 1)] = 1
             return np.packbits(bits, bitorder="little").view("<i8")
 
+        def wider(x):
+            """Two to four bits a shingle, where the signature has less."""
+            return signature(x, 1 << ((len(x) - 1) // 32).bit_length()) if len(x) > 32 * WORDS else None
+
         def least(x, ends):
             """Three min-hashes of each of the sets that end there; 0 for empty ones."""
             out, full = np.zeros((len(ends) - 1, 3), np.uint32), ends[1:] > ends[:-1]
@@ -253,7 +263,7 @@ def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), si
 
         lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         for batch in batches:
-            for a, b in text_slices(batch.column("text"), 2 << 20):
+            for a, b in text_slices(batch.column("text"), 1 << 20):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part.column("text"), rule.shingle)
                 every, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
@@ -267,12 +277,13 @@ def prefix_rows(rows: DataFrame, common: tuple, rule: Rule, late: tuple = (), si
                 fp = pa.array(np.array([fingerprint_of(x) for x in sets], "<u8").view("<i8")) if simhash else pa.nulls(len(sets), pa.int64())
                 sigs = lists(np.arange(len(sets) + 1) * WORDS, np.concatenate([signature(x) for x in sets]))
                 columns = [part.column("doc_id"), part.column("k"), pa.array(s), fp, pa.array([len(x) for x in sets], pa.int32()), sigs]
+                columns.append(pa.array([wider(x) for x in sets], pa.list_(pa.int64())))
                 columns += [lists(np.arange(len(sets) + 1) * 3, least(every, ends)), prefixes]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "fp", "n", "sig", "m", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "fp", "n", "sig", "wide", "m", "prefix"])
 
     if bare:
         return rows.mapInArrow(run, "k long, prefix array<int>")
-    return rows.mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, m array<int>, prefix array<int>")
+    return rows.mapInArrow(run, "doc_id long, k long, s long, fp long, n int, sig array<long>, wide array<long>, m array<int>, prefix array<int>")
 
 
 def touched(distinct: DataFrame, late: tuple) -> DataFrame:
@@ -320,16 +331,41 @@ def _alone(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
 
 
+def _bound(a: Column, b: Column) -> Column:
+    """The most shingles that two sets of n_a and n_b can share by their signatures."""
+    return F.least(F.col("n_a") - _alone(a, b), F.col("n_b") - _alone(b, a))
+
+
 def possible(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of sets (s, k, n, sig) whose similarity may be enough, by their signatures; with k_a and k_b."""
+    """The pairs (a, b) of sets (s, k, n, sig) whose similarity may be enough, by their signatures; with k_a and k_b, n_a and n_b."""
     side = lambda x: known.select(F.col("s").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("k", "n", "sig")])
-    both = F.least(F.col("n_a") - _alone(F.col("sig_a"), F.col("sig_b")), F.col("n_b") - _alone(F.col("sig_b"), F.col("sig_a")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(rule.alike(both, F.col("n_a"), F.col("n_b"))).select("a", "b", "k_a", "k_b")
+    may = rule.alike(_bound(F.col("sig_a"), F.col("sig_b")), F.col("n_a"), F.col("n_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "k_a", "k_b", "n_a", "n_b")
+
+
+def likely(pairs: DataFrame, wide: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs that `possible` gives, written, whose similarity may be enough by the wider signatures, too: s, wide of the large sets. The signature of
+    a large set has nearly all bits, so that it tells little. Bits h and h + half of the wider one of a pair are one bit of the other."""
+    large = pairs.where(F.least("n_a", "n_b") > 32 * WORDS)
+    ends = written(large.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "large")
+    of = with_keys(wide, ends)
+    side = lambda x: of.select(F.col("s").alias(x), F.col("wide").alias(f"wide_{x}"))
+
+    def folded(x: str, y: str) -> Column:
+        w, half = F.col(x), F.size(y)
+        return F.when(F.size(x) == 2 * half, F.zip_with(F.slice(w, F.lit(1), half), F.slice(w, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(w)
+
+    both = large.join(side("a"), "a").join(side("b"), "b").withColumns({"wide_a": folded("wide_a", "wide_b"), "wide_b": folded("wide_b", "wide_a")})
+    bound = rule.alike(_bound(F.col("wide_a"), F.col("wide_b")), F.col("n_a"), F.col("n_b"))
+    both = both.where((F.size("wide_a") != F.size("wide_b")) | bound).select(*pairs.columns)
+    out = written(pairs.where(F.least("n_a", "n_b") <= 32 * WORDS).union(both), "likely")
+    discard(pairs, ends)
+    return out
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of sets of `known` that are similar enough by the whole texts, fetched again for these sets."""
-    pairs = written(possible(pairs, known, rule), "pairs")
+def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, wide: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of sets of `known` that are similar enough by the whole texts, fetched again for these sets. `wide`: s, wide of the large ones."""
+    pairs = likely(written(possible(pairs, known, rule), "pairs"), wide, rule)
     if pairs.isEmpty():
         return pairs.select("a", "b")
     ends = written(pairs.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct(), "ends")
@@ -344,7 +380,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame, rule: Rule) -
         last, of_last = None, None
         for batch in batches:
             keep, keys = np.zeros(batch.num_rows, bool), batch.column("k_b").to_numpy()
-            for at, stop in text_slices(batch.column("text_a"), 2 << 20):
+            for at, stop in text_slices(batch.column("text_a"), 1 << 20):
                 part, k = batch.slice(at, stop - at), keys[at:stop]
                 fresh = np.append(k[0] != last, k[1:] != k[:-1])  # rows come in runs of one b
                 sets_a, sets_b = shingle_sets(part.column("text_a"), rule.shingle), iter(shingle_sets(part.column("text_b").filter(pa.array(fresh)), rule.shingle))
@@ -417,18 +453,19 @@ def matrix_pairs(lists: DataFrame, known: DataFrame, groups: DataFrame, labels:
 
 
 def similar_sets(docs: DataFrame, distinct: DataFrame, prefixes: DataFrame, rule: Rule, first: DataFrame | None = None, stars: int = 2) -> DataFrame:
-    """s, label of those of `distinct` (s, k, fp, n, sig, m; one row per set; `prefixes`: s, n, prefix of them) that have candidates: connected just as all pairs
+    """s, label of those of `distinct` (s, k, fp, n, sig, wide, m; one row per set; `prefixes`: s, n, prefix of them) that have candidates: connected just as all pairs
     that are similar enough would connect them. `first`: a function of these sets that gives pairs to look at first."""
     count = F.col("n") - F.ceil(2 * rule.over * F.col("n") / (rule.over + rule.under)) + 1
     every = prefixes.select("s", "n", count.alias("index"), F.posexplode("prefix").alias("at", "t")).select("s", "n", "t", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("index")).alias("indexed"))
     several = every.groupBy("t").agg(F.count("*").alias("sets"), F.max("indexed").alias("any")).where("sets > 1 and any").select("t")
     lists = written(every.join(several, "t"), "lists")
-    known = written(distinct.drop("prefix").join(lists.select("s").distinct(), "s", "left_semi"), "candidates")
+    wide = distinct.where("wide is not null").select("s", "wide")
+    known = written(distinct.drop("prefix", "wide").join(lists.select("s").distinct(), "s", "left_semi"), "candidates")
     labels = written(known.select("s", F.col("s").alias("label")), "labels")
     groups = written(grouped(known, rule), "groups")
     for k in range(stars + 1):
         near = star_pairs(lists, labels, rule) if k < stars else matrix_pairs(lists, known, groups, labels, rule)
-        links = confirmed(docs, near.union(first(known)).distinct() if first and k == 0 else near, known, rule)
+        links = confirmed(docs, near.union(first(known)).distinct() if first and k == 0 else near, known, wide, rule)
         if not links.isEmpty():
             of = lambda x: labels.select(F.col("s").alias(x), F.col("label").alias(f"label_{x}"))
             joined = components(links.join(of("a"), "a").join(of("b"), "b").select("label_a", "label_b"))
@@ -447,7 +484,7 @@ def set_rows(docs: DataFrame, rule: Rule, first=None, crowd: int = 50, rounds: i
     """Written tables: doc_id, k, s, n of every row; s, label of every set, where sets have one label if links connect them."""
     common = common_shingles(docs, rule.shingle)
     rows = written(prefix_rows(_rows(docs), common, rule, simhash=first is not None), "prefixes")
-    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "m", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sig", "wide", "m", "prefix")]
     distinct = written(rows.groupBy("s").agg(F.min("k").alias("k"), *firsts), "distinct")
     prefixes = thinned(docs, distinct, common, rule, crowd, rounds)
     labels = similar_sets(docs, distinct, prefixes, rule, first)
