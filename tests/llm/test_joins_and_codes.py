@@ -360,6 +360,19 @@ def test_spelling(spark, monkeypatch):
     assert spelling.variants(docs.where("false")).count() == 0
 
 
+def test_no_table_of_words_is_broadcast(spark, tmp_path):
+    """A written table of words is small to Spark, and the keys made of it are sized like it."""
+    from tidewave.llm import spelling
+
+    spark.createDataFrame([(i, " ".join(["letter", "lettre", "lettere", "better"][: 1 + i % 4])) for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsList().size()
+    assert {r.word: r.root for r in spelling.variants(spark.read.parquet(str(tmp_path / "d"))).collect()}["lettere"] == "letter"
+    ran = plans.executionsList().drop(before)
+    text = "\n".join(ran.apply(i).physicalPlanDescription() for i in range(ran.size()))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_pivots_are_the_lightest_disjoint_pair():
     from tidewave.llm import spelling
 

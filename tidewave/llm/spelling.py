@@ -153,12 +153,18 @@ def gram_rows(words: DataFrame, counts: dict[str, int], pivots: bool) -> DataFra
     return words.select("word").mapInArrow(run, "word string, third int, key long")
 
 
+def sorted_join(rows: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side. Spark sizes a table by its compressed files, and one row of them may become dozens of keys within mapInArrow,
+    which it doesn't count: tables far beyond the driver's memory would be broadcast as small ones."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def met_words(words: DataFrame) -> DataFrame:
     """word, other: pairs of words that a pivot brings together, all those one edit apart among them (in one order at least)."""
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("g"))
     counts = {r.g: r.n for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most the square of the letters
     found = gram_rows(words, counts, False).select(F.col("word").alias("other"), F.col("third").alias("later"), "key")
-    met = gram_rows(words, counts, True).join(found, "key").where((F.col("third") <= F.col("later")) & (F.col("word") != F.col("other")))
+    met = sorted_join(gram_rows(words, counts, True), found, "key").where((F.col("third") <= F.col("later")) & (F.col("word") != F.col("other")))
     return met.select("word", "other")
 
 
@@ -177,21 +183,21 @@ def variants(docs: DataFrame, ratio: int = 2) -> DataFrame:
     read. An empty table gives no rows.
     """
     words = written(corpus_words(docs), "words")
-    near = near_words(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    near = sorted_join(near_words(words), words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("down"), "near")).alias("x"))
-    known = words.join(best, "word", "left").withColumn("top", -F.col("x.down"))
+    known = sorted_join(words, best, "word", "left").withColumn("top", -F.col("x.down"))
     enough = F.col("top") >= ratio * F.col("n")
     known = written(known.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("x.near")).alias("form"), F.when(enough, F.col("top")).alias("form_n")), "forms")
     steps = written(known.where("form is not null").select("word", F.col("form").alias("to")), "steps")
     while True:  # every round doubles the steps taken; n doubles with every step, so there are few
         on = steps.select(F.col("word").alias("to"), F.col("to").alias("on"))
-        after = written(steps.join(on, "to", "left").select("word", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "steps")
+        after = written(sorted_join(steps, on, "to", "left").select("word", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "steps")
         done = after.where("moved").isEmpty()
         discard(steps)
         steps = after
         if done:
             break
-    out = known.join(steps.select("word", F.col("to").alias("root")), "word", "left")
+    out = sorted_join(known, steps.select("word", F.col("to").alias("root")), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
